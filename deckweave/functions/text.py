@@ -1,9 +1,8 @@
 """Text helpers, all of them Column expressions but for HTML unescaping."""
 
 import html
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,20 +36,20 @@ def embedded_rows(page: Column | str, row: T.StructType) -> Column:
     return json_rows(embedded_json(page), row)
 
 
-@F.pandas_udf("string")
-def _unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield batch.map(html.unescape, na_action="ignore")
+def _unescape(texts: pa.Array) -> pa.Array:
+    plain = [None if text is None else html.unescape(text) for text in texts.to_pylist()]
+    return pa.array(plain, pa.string())
 
 
 def unescape_html(text: Column | str) -> Column:
     """Resolve HTML entities; null stays null.
 
     Spark has no such function. Texts without ``&`` have nothing to resolve and are not sent
-    to Python.
+    to Python; several columns of one table go there in one pass.
     """
     value = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(_unescape(F.when(F.contains(value, F.lit("&")), value)), value)
+    resolve = F.arrow_udf(_unescape, T.StringType())
+    return F.coalesce(resolve(F.when(F.contains(value, F.lit("&")), value)), value)
 
 
 def percent_match(score: Column) -> Column:

@@ -121,10 +121,9 @@ def page_of(df: DataFrame, page: int = 1, size: int = 5, order: str | Column = "
         raise ValueError("page and size start at 1")
     total = row_count(df, "n").scalar()
     rows = df.orderBy(order).offset((page - 1) * size).limit(size)
-    return rows.select(
-        "*",
-        F.lit(page).alias("page"),
-        F.lit(size).alias("pageSize"),
-        F.greatest(F.lit(0), F.least(F.lit(size), total - (page - 1) * size)).alias("count"),
-        total.alias("totalCount"),
+    numbered = rows.select(
+        "*", F.lit(page).alias("page"), F.lit(size).alias("pageSize"), total.alias("totalCount")
     )
+    left = F.col("totalCount") - (page - 1) * size
+    counted = F.greatest(F.lit(0), F.least(F.lit(size), left)).alias("count")
+    return numbered.select(*rows.columns, "page", "pageSize", counted, "totalCount")

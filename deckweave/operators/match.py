@@ -33,6 +33,8 @@ BLOCK_BYTES = 32 << 20
 PIVOTS = 512
 RINGS = 64
 SUB_BLOCKS = 1 << 24
+# A table with a row per block is broadcast up to this number of blocks, 16 bytes each.
+BROADCAST_BLOCKS = 1 << 20
 
 # Angles come from arccos of rounded cosines; near 0 that loses half of the digits.
 _ANGLE_SLACK = 1e-6
@@ -214,9 +216,9 @@ def match_large_index(
     index = index.select("idx", "card_id", "embedding")
     asked = queries.select("query_id", "embedding")
     usable = asked.where(_usable("embedding"))
-    lengths = [
-        row[0] for row in usable.select(F.size("embedding")).distinct().collect()
-    ]
+    # One row per length of vector, not per query.
+    sizes = asked.where(F.size("embedding") > 0).select(F.size("embedding")).distinct()
+    lengths = [row[0] for row in sizes.collect()]
     hit = _hit_type(index)
     nothing = asked.select("query_id", F.lit(None).cast(hit).alias("hit"))
     parts = [nothing]
@@ -262,13 +264,13 @@ def _match_length(
     block_bytes: int,
 ) -> list[DataFrame]:
     spark = queries.sparkSession
-    index = cut_lineage(collapse_copies(index), "index")
     # Pivots are index vectors in hash order; their number bounds what is collected here.
     count = max(1, min(pivots, SMALL_INDEX_BYTES // (8 * length)))
-    sample = index.orderBy(F.xxhash64("embedding"), "idx").limit(count).select("embedding").toArrow()
+    sample = index.orderBy(F.xxhash64("idx"), "idx").limit(count).select("embedding").toArrow()
     if sample.num_rows == 0:
         return []
-    centres = nearest.matrices(nearest._one_chunk(sample["embedding"]))[length][1]
+    centres = nearest.matrices(nearest.one_chunk(sample["embedding"]))[length][1]
+    centres = np.unique(centres, axis=0)
     shared_centres = spark.sparkContext.broadcast(centres)
 
     @F.arrow_udf("struct<cell: bigint, angle: double>")
@@ -283,10 +285,8 @@ def _match_length(
                 names=["cell", "angle"],
             )
 
-    placed = cut_lineage(
-        index.withColumn("at", place("embedding")).select("idx", "card_id", "embedding", "at.*"),
-        "cells",
-    )
+    distinct = collapse_copies(index).withColumn("at", place("embedding"))
+    placed = cut_lineage(distinct.select("idx", "card_id", "embedding", "at.*"), "cells")
     # At most pivots × rings rows, whatever the size of the index.
     block_rows = max(1, block_bytes // (8 * length))
     summary = (
@@ -298,6 +298,7 @@ def _match_length(
         )
     )
     cell_rows = [tuple(row) for row in summary.collect()]
+    few_blocks = sum(row[3] for row in cell_rows) <= BROADCAST_BLOCKS
     shared_cells = spark.sparkContext.broadcast(_Cells(centres, cell_rows))
     cell_parts = spark.createDataFrame(
         [(c[0], c[3]) for c in cell_rows], "cell bigint, parts bigint"
@@ -330,7 +331,7 @@ def _match_length(
         "home",
     )
     hit = _hit_type(index)
-    found = _score(at_home, blocks, hit, threshold, block_rows, keep_vector=True)
+    found = _score(at_home, blocks, hit, threshold, block_rows, few_blocks, keep_vector=True)
 
     @F.arrow_udf("array<bigint>")
     def other_blocks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -363,7 +364,7 @@ def _match_length(
     visits = routed.select("query_id", "embedding", F.explode("blocks").alias("block"))
     return [
         routed.select("query_id", "hit"),
-        _score(visits, blocks, hit, threshold, block_rows, keep_vector=False),
+        _score(visits, blocks, hit, threshold, block_rows, few_blocks, keep_vector=False),
     ]
 
 
@@ -373,22 +374,24 @@ def _score(
     hit: T.StructType,
     threshold: float,
     block_rows: int,
+    few_blocks: bool,
     keep_vector: bool,
 ) -> DataFrame:
     """Best row of a block for every query that visits it: ``(query_id, hit, …)``.
 
     Blocks are bounded when they are made. The visits of a block are counted first, with
     partial counts, and a crowded block is read by as many groups as its visits fill, so no
-    group grows with the data.
+    group grows with the data. The counts have one row per block; where blocks are few enough
+    they are broadcast, and the vectors are shuffled once.
     """
-    crowded = (
-        visits.groupBy("block")
-        .agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("shares"))
+    crowded = visits.groupBy("block").agg(
+        F.ceil(F.count(F.lit(1)) / block_rows).alias("shares")
     )
-    shares = F.coalesce(F.col("shares"), F.lit(1))
-    left = visits.join(crowded.where("shares > 1"), "block", "left").select(
+    if few_blocks:
+        crowded = F.broadcast(crowded)
+    left = visits.join(crowded, "block").select(
         "block",
-        F.pmod(F.xxhash64("query_id"), shares).alias("share"),
+        F.pmod(F.xxhash64("query_id"), "shares").alias("share"),
         "query_id",
         "embedding",
     )
@@ -407,7 +410,7 @@ def _score(
         fields += [visits.schema["block"], visits.schema["embedding"]]
 
     def best(asked: pa.Table, held: pa.Table) -> pa.Table:
-        vectors = nearest._one_chunk(asked["embedding"])
+        vectors = nearest.one_chunk(asked["embedding"])
         found = nearest.hits(nearest.IndexRows(held), vectors, threshold)
         columns = {"query_id": asked["query_id"], "hit": found}
         if keep_vector:

@@ -101,9 +101,9 @@ class IndexRows:
 
     def __init__(self, table: pa.Table):
         table = table.sort_by("idx").combine_chunks()
-        self.idx = _one_chunk(table["idx"])
-        self.card_id = _one_chunk(table["card_id"])
-        self._by_length = matrices(_one_chunk(table["embedding"]))
+        self.idx = one_chunk(table["idx"])
+        self.card_id = one_chunk(table["card_id"])
+        self._by_length = matrices(one_chunk(table["embedding"]))
         self._prepared: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def prepared(self, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ class IndexRows:
         return rows, scores
 
 
-def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
+def one_chunk(column: pa.ChunkedArray) -> pa.Array:
     merged = column.combine_chunks()
     if isinstance(merged, pa.ChunkedArray):
         merged = merged.chunk(0) if merged.num_chunks else pa.array([], merged.type)

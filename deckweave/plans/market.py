@@ -47,9 +47,12 @@ def page_rows(pages: DataFrame, row: T.StructType = schemas.MARKET_ROW) -> DataF
 def market_rows(
     pages: DataFrame, collections: DataFrame | None = None, row: T.StructType = schemas.MARKET_ROW
 ) -> DataFrame:
-    """Raw market rows of accepted pages, of all collections or of the listed ones."""
+    """Raw market rows of accepted pages, of all collections or of the listed ones.
+
+    A page that carries the table passes ``has_card_content`` by that alone, so the test of the
+    whole page in lower case is not made again.
+    """
     good = page_source.accepted(pages)
-    good = good.where(page_source.has_card_content("html"))
     if collections is not None:
         good = page_source.in_collections(good, collections)
     return page_rows(good, row)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deckweave.functions.vectors import PLACEHOLDER_LENGTH, or_placeholder
 from deckweave.operators import match as matching
 from deckweave.operators.mapping import embed
+from deckweave.session import cut_lineage
 
 NO_MATCH = "No matching card found."
 FAILED = "Failed to scan image."
@@ -53,5 +54,12 @@ def match_images(
     query_id: str,
     threshold: float = matching.THRESHOLD,
 ) -> DataFrame:
-    """Best card of every image: ``(query_id, idx, card_id, score, matched)``."""
-    return matching.match(embed_queries(images, factory, image, query_id), index, threshold)
+    """Best card of every image: ``(query_id, idx, card_id, score, matched)``.
+
+    The search in a large index reads its queries several times, so their vectors are written
+    first and the model runs once per image.
+    """
+    queries = embed_queries(images, factory, image, query_id)
+    if matching.index_bytes(index) <= matching.SMALL_INDEX_BYTES:
+        return matching.match_small_index(queries, index, threshold)
+    return matching.match_large_index(cut_lineage(queries, "queries"), index, threshold)

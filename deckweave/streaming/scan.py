@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from deckweave.operators import match as matching
 from deckweave.plans.scan import FAILED, NO_MATCH, embed_queries
+from deckweave.session import cut_lineage
 
 
 def scan_results(
@@ -65,8 +66,9 @@ def start_scan(
     else:
 
         def match_batch(batch: DataFrame, number: int) -> None:
-            best = matching.match_large_index(batch, index, threshold)
-            errors = batch.select("query_id", "error")
+            arrived = cut_lineage(batch.select("query_id", "embedding", "error"), "arrivals")
+            best = matching.match_large_index(arrived, index, threshold)
+            errors = arrived.select("query_id", "error")
             result = _with_message(best.drop("matched").join(errors, "query_id", "left"))
             result.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={number}")
 
