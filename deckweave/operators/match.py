@@ -30,7 +30,7 @@ from deckweave.session import cut_lineage
 THRESHOLD = 0.15
 SMALL_INDEX_BYTES = 128 << 20
 BLOCK_BYTES = 32 << 20
-PIVOTS = 512
+PIVOTS = 1024
 RINGS = 64
 SUB_BLOCKS = 1 << 24
 # A table with a row per block is broadcast up to this number of blocks, 16 bytes each.
@@ -40,6 +40,9 @@ BROADCAST_BLOCKS = 1 << 20
 _ANGLE_SLACK = 1e-6
 _SCORE_SLACK = 1e-9
 
+# Elements of the matrix of bounds (queries × cells) held at a time.
+_BOUND_ELEMENTS = 1 << 22
+
 
 def without_placeholders(index: DataFrame) -> DataFrame:
     """Index rows that can be matched: with a vector that is not all zeros."""
@@ -136,17 +139,37 @@ def match_small_index(
 # --- Large index -----------------------------------------------------------------------------
 
 
+def _merged_rings(rings: list[tuple], block_rows: int) -> list[list[tuple]]:
+    """Neighbouring rings of a pivot together until they fill a block.
+
+    ``rings`` are ``(ring, low, high, rows)``, at most pivots × rings of them.
+    """
+    cells: list[list[tuple]] = []
+    rows = 0
+    for ring in sorted(rings):
+        same_pivot = cells and cells[-1][0][0] // RINGS == ring[0] // RINGS
+        if same_pivot and rows < block_rows:
+            cells[-1].append(ring)
+            rows += ring[3]
+        else:
+            cells.append([ring])
+            rows = ring[3]
+    return cells
+
+
 class _Cells:
     """Pivots and the cells around them: for each, the range of angles of its vectors."""
 
-    def __init__(self, pivots: np.ndarray, cells: list):
+    def __init__(self, pivots: np.ndarray, cells: list[list[tuple]], block_rows: int):
         self.pivots = nearest.unit_rows(pivots)
-        cells = sorted(cells)
-        self.cell = np.array([c[0] for c in cells], dtype=np.int64)
-        self.low = np.array([c[1] for c in cells], dtype=np.float64)
-        self.high = np.array([c[2] for c in cells], dtype=np.float64)
-        self.parts = np.array([c[3] for c in cells], dtype=np.int64)
+        self.cell = np.array([c[0][0] for c in cells], dtype=np.int64)
+        self.low = np.array([c[0][1] for c in cells], dtype=np.float64)
+        self.high = np.array([c[-1][2] for c in cells], dtype=np.float64)
+        self.parts = np.array(
+            [math.ceil(sum(ring[3] for ring in c) / block_rows) for c in cells], dtype=np.int64
+        )
         self.owner = self.cell // RINGS
+        self.step = max(1, _BOUND_ELEMENTS // max(1, len(cells)))
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greatest cosine a vector of each cell can have, and the best cosine of a pivot."""
@@ -156,8 +179,8 @@ class _Cells:
         return np.cos(np.maximum(gap - _ANGLE_SLACK, 0.0)), cosines.max(axis=1)
 
 
-def _angle_cells(pivots: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each vector (nearest pivot and ring of angles) and its angle to the pivot."""
+def _angle_rings(pivots: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ring of each vector (nearest pivot and band of angles) and its angle to the pivot."""
     cosines = np.clip(nearest.unit_rows(matrix) @ nearest.unit_rows(pivots).T, -1.0, 1.0)
     owner = cosines.argmax(axis=1)
     angle = np.arccos(cosines[np.arange(len(owner)), owner])
@@ -165,10 +188,10 @@ def _angle_cells(pivots: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np
     return owner * RINGS + ring, angle
 
 
-def _steps(vectors: pa.Array, length: int) -> Iterator[np.ndarray]:
+def _steps(vectors: pa.Array, length: int, rows: int) -> Iterator[np.ndarray]:
     """Matrices of a column of equally long vectors, a bounded number of rows at a time."""
-    for low in range(0, len(vectors), nearest.QUERY_STEP):
-        part = vectors.slice(low, nearest.QUERY_STEP)
+    for low in range(0, len(vectors), rows):
+        part = vectors.slice(low, rows)
         yield part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), length)
 
 
@@ -221,6 +244,7 @@ def match_large_index(
     lengths = [row[0] for row in sizes.collect()]
     hit = _hit_type(index)
     nothing = asked.select("query_id", F.lit(None).cast(hit).alias("hit"))
+    index_rows = index.count()
     parts = [nothing]
     for length in sorted(lengths):
         same = usable.where(F.size("embedding") == length)
@@ -230,7 +254,7 @@ def match_large_index(
             .select("idx", "card_id", F.slice("embedding", 1, length).alias("embedding"))
             .where(_usable("embedding"))
         )
-        parts += _match_length(same, cut, length, threshold, pivots, block_bytes)
+        parts += _match_length(same, cut, length, threshold, index_rows, pivots, block_bytes)
     best = parts[0]
     for part in parts[1:]:
         best = best.unionByName(part)
@@ -260,12 +284,16 @@ def _match_length(
     index: DataFrame,
     length: int,
     threshold: float,
+    index_rows: int,
     pivots: int,
     block_bytes: int,
 ) -> list[DataFrame]:
     spark = queries.sparkSession
-    # Pivots are index vectors in hash order; their number bounds what is collected here.
-    count = max(1, min(pivots, SMALL_INDEX_BYTES // (8 * length)))
+    block_rows = max(1, block_bytes // (8 * length))
+    # Pivots are index vectors in hash order, a few per block of the index up to a bound on
+    # their number and bytes: they are collected here.
+    wanted = math.ceil(4 * index_rows / block_rows)
+    count = max(1, min(pivots, wanted, SMALL_INDEX_BYTES // (8 * length)))
     sample = index.orderBy(F.xxhash64("idx"), "idx").limit(count).select("embedding").toArrow()
     if sample.num_rows == 0:
         return []
@@ -273,37 +301,40 @@ def _match_length(
     centres = np.unique(centres, axis=0)
     shared_centres = spark.sparkContext.broadcast(centres)
 
-    @F.arrow_udf("struct<cell: bigint, angle: double>")
+    @F.arrow_udf("struct<ring: bigint, angle: double>")
     def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vectors in batches:
-            found = [_angle_cells(shared_centres.value, m) for m in _steps(vectors, length)]
+            found = [
+                _angle_rings(shared_centres.value, matrix)
+                for matrix in _steps(vectors, length, nearest.QUERY_STEP)
+            ]
             yield pa.StructArray.from_arrays(
                 [
-                    pa.array(np.concatenate([cell for cell, _ in found] or [[]]), pa.int64()),
+                    pa.array(np.concatenate([ring for ring, _ in found] or [[]]), pa.int64()),
                     pa.array(np.concatenate([angle for _, angle in found] or [[]]), pa.float64()),
                 ],
-                names=["cell", "angle"],
+                names=["ring", "angle"],
             )
 
     distinct = collapse_copies(index).withColumn("at", place("embedding"))
     placed = cut_lineage(distinct.select("idx", "card_id", "embedding", "at.*"), "cells")
     # At most pivots × rings rows, whatever the size of the index.
-    block_rows = max(1, block_bytes // (8 * length))
-    summary = (
-        placed.groupBy("cell")
-        .agg(
-            F.min("angle").alias("low"),
-            F.max("angle").alias("high"),
-            F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"),
-        )
+    summary = placed.groupBy("ring").agg(
+        F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("rows")
     )
-    cell_rows = [tuple(row) for row in summary.collect()]
-    few_blocks = sum(row[3] for row in cell_rows) <= BROADCAST_BLOCKS
-    shared_cells = spark.sparkContext.broadcast(_Cells(centres, cell_rows))
-    cell_parts = spark.createDataFrame(
-        [(c[0], c[3]) for c in cell_rows], "cell bigint, parts bigint"
+    merged = _merged_rings([tuple(row) for row in summary.collect()], block_rows)
+    cells = _Cells(centres, merged, block_rows)
+    few_blocks = int(cells.parts.sum()) <= BROADCAST_BLOCKS
+    shared_cells = spark.sparkContext.broadcast(cells)
+    cell_of_ring = spark.createDataFrame(
+        [
+            (ring[0], int(cell), int(parts))
+            for rings, cell, parts in zip(merged, cells.cell, cells.parts)
+            for ring in rings
+        ],
+        "ring bigint, cell bigint, parts bigint",
     )
-    blocks = placed.join(F.broadcast(cell_parts), "cell").select(
+    blocks = placed.join(F.broadcast(cell_of_ring), "ring").select(
         (F.col("cell") * SUB_BLOCKS + F.pmod(F.xxhash64("idx"), "parts")).alias("block"),
         "idx",
         "card_id",
@@ -314,7 +345,7 @@ def _match_length(
     def nearest_cell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cells = shared_cells.value
         for vectors in batches:
-            best = [cells.bounds(m)[0].argmax(axis=1) for m in _steps(vectors, length)]
+            best = [cells.bounds(m)[0].argmax(axis=1) for m in _steps(vectors, length, cells.step)]
             rows = np.concatenate(best or [[]]).astype(np.int64)
             yield pa.StructArray.from_arrays(
                 [pa.array(cells.cell[rows]), pa.array(cells.parts[rows])], names=["cell", "parts"]
@@ -339,7 +370,7 @@ def _match_length(
         for vectors, scores in batches:
             reached = scores.fill_null(threshold).to_numpy(zero_copy_only=False)
             lists, low = [], 0
-            for matrix in _steps(vectors, length):
+            for matrix in _steps(vectors, length, cells.step):
                 bound, pivot = cells.bounds(matrix)
                 least = np.maximum(np.maximum(reached[low : low + len(matrix)], pivot), threshold)
                 low += len(matrix)

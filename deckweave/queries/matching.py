@@ -69,8 +69,9 @@ def best_match_threshold(spark, folder):
 
 @query("C4 H3 D3 B12 B13 C6", _match_sql(_DISTURBED, 0.15))
 def best_match_large_index(spark, folder):
+    # Small blocks, so that tables of this size already have many.
     queries, index = _photos(spark, folder, 0.5), _index(spark, folder)
-    return _result(matching.match_large_index(queries, index, pivots=64))
+    return _result(matching.match_large_index(queries, index, block_bytes=1 << 17))
 
 
 @query(
