@@ -25,7 +25,7 @@ def fixed(value: Column, digits: int) -> Column:
     x = value.cast("double")
     halves = x * float(2 ** (digits + 1))
     tie = F.abs(F.pmod(halves, F.lit(2.0))) == 1.0
-    moved = F.when(tie, x + F.signum(x) * float(2 ** -(digits + 4))).otherwise(x + 0.0)
+    moved = F.when(tie, x + F.signum(x) * float(2 ** -(4 * digits + 4))).otherwise(x + 0.0)
     pattern = "0." + "0" * digits if digits else "0"
     return F.call_function("format_number", moved, F.lit(pattern))
 

@@ -98,6 +98,12 @@ def match(
     return match_large_index(queries, index, threshold)
 
 
+def _check(threshold: float) -> None:
+    """From 0 up, a vector of length 0 never matches, and neither form has to look at it."""
+    if threshold < 0:
+        raise ValueError("the threshold must be 0 or more")
+
+
 def _hit_type(index: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -114,6 +120,7 @@ def hit_column(index: DataFrame, threshold: float = THRESHOLD, query: str = "emb
     The caller has checked the size (``index_bytes``). A map over rows, so it works on streams
     as on tables; other columns stay in the JVM.
     """
+    _check(threshold)
     index = index.select("idx", "card_id", "embedding")
     rows = nearest.IndexRows(without_placeholders(index).toArrow())
     shared: Broadcast = index.sparkSession.sparkContext.broadcast(rows)
@@ -230,12 +237,10 @@ def match_large_index(
     The join of two sets of vectors on nearest neighbours by Voronoi cells (Lu et al., VLDB
     2012), with angles as the metric: every query first scores one block of its nearest cell,
     then visits the cells whose bound is not below what it found. Nothing is approximate, and
-    no pair of vectors leaves a task. Works for thresholds from 0 up: vectors of length 0 then
-    never match. Queries of different lengths are matched one length at a time, as each length
-    cuts the index differently.
+    no pair of vectors leaves a task. Queries of different lengths are matched one length at a
+    time, as each length cuts the index differently.
     """
-    if threshold < 0:
-        raise ValueError("a large index needs a threshold of 0 or more")
+    _check(threshold)
     index = index.select("idx", "card_id", "embedding")
     asked = queries.select("query_id", "embedding")
     usable = asked.where(_usable("embedding"))

@@ -55,7 +55,8 @@ def first_best(
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each query the first index row with the greatest cosine above the threshold.
 
-    Gives ``(rows, scores)`` with row -1 where no score is above it. Both matrices are finite.
+    Gives ``(rows, scores)`` with row -1 where no score is above it. Both matrices are finite
+    and the threshold is not negative, so that a zero query has no match.
     A matrix product finds the rows within rounding of the best; only those are scored exactly
     and compared, so ties go to the first row. Memory is bounded by the step sizes.
     """
@@ -72,10 +73,6 @@ def first_best(
 def _match_step(queries, index, low, rows, scores, slack):
     wide = queries[low : low + QUERY_STEP].astype(np.float64)
     live = np.flatnonzero(wide.any(axis=1))
-    # A zero query scores 0 everywhere: the first row wins if 0 is above the threshold.
-    flat = np.setdiff1d(np.arange(len(wide)), live)
-    wins = low + flat[scores[low + flat] < 0.0]
-    rows[wins], scores[wins] = 0, 0.0
     units = unit_rows(wide[live])
     for first in range(0, len(index), INDEX_STEP):
         block = index[first : first + INDEX_STEP].astype(np.float64)

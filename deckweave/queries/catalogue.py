@@ -263,7 +263,7 @@ def _cards(spark, folder):
 def _fixed_sql(value: str, digits: int) -> str:
     """printf rounds the exact value, ties to even: a tie is moved away from zero first."""
     tie = f"abs(({value}) * {2 ** (digits + 1)} % 2) = 1"
-    moved = f"({value}) + CASE WHEN {tie} THEN sign({value}) * {2.0 ** -(digits + 4)} ELSE 0 END"
+    moved = f"({value}) + CASE WHEN {tie} THEN sign({value}) * {2.0 ** -(4 * digits + 4)} ELSE 0 END"
     return f"printf('%.{digits}f', CAST({moved} AS DOUBLE))"
 
 
