@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-QUERY_STEP = 1024
-INDEX_STEP = 4096
+QUERY_STEP = 512
+INDEX_STEP = 2048
 PAIR_ELEMENTS = 1 << 22
+# Pairs in question per query from which a block is worth a product in double.
+CROWD = 8
 
 
 def matrices(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -57,40 +59,56 @@ def first_best(
 
     Gives ``(rows, scores)`` with row -1 where no score is above it. Both matrices are finite
     and the threshold is not negative, so that a zero query has no match.
-    A matrix product finds the rows within rounding of the best; only those are scored exactly
-    and compared, so ties go to the first row. Memory is bounded by the step sizes.
+
+    A matrix product in single precision finds the rows that its rounding leaves in question.
+    Only those are scored exactly, in double, and compared; ties go to the first row. Memory is
+    bounded by the step sizes.
     """
     rows = np.full(len(queries), -1, dtype=np.int64)
     scores = np.full(len(queries), float(threshold))
-    if len(index) == 0:
-        return rows, scores
-    slack = 1e-12 + 8 * queries.shape[1] * np.finfo(np.float64).eps
-    for low in range(0, len(queries), QUERY_STEP):
-        _match_step(queries, index, low, rows, scores, slack)
+    wide = queries.astype(np.float64)
+    units = unit_rows(wide)
+    rough_units = units.astype(np.float32)
+    # Bound on the rounding of a product of two unit vectors in single precision.
+    error = (queries.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    for first in range(0, len(index), INDEX_STEP):
+        block = index[first : first + INDEX_STEP].astype(np.float64)
+        block_units = unit_rows(block)
+        rough_block = np.ascontiguousarray(block_units.T, dtype=np.float32)
+        for low in range(0, len(queries), QUERY_STEP):
+            rough = rough_units[low : low + QUERY_STEP] @ rough_block
+            top = rough.max(axis=1)
+            reached = scores[low : low + QUERY_STEP] - error
+            at = np.flatnonzero(top >= reached)
+            if not len(at):
+                continue
+            floor = np.maximum(top[at] - 2 * error, reached[at])
+            near, hit = np.nonzero(rough[at] >= floor[:, None])
+            if len(near) > CROWD * len(at):
+                near, hit = _narrowed(units[low + at], block_units, floor)
+            _keep_best(wide, block, low + at[near], hit, first, rows, scores)
     return rows, scores
 
 
-def _match_step(queries, index, low, rows, scores, slack):
-    wide = queries[low : low + QUERY_STEP].astype(np.float64)
-    live = np.flatnonzero(wide.any(axis=1))
-    units = unit_rows(wide[live])
-    for first in range(0, len(index), INDEX_STEP):
-        block = index[first : first + INDEX_STEP].astype(np.float64)
-        rough = units @ unit_rows(block).T
-        if not rough.size:
-            return
-        floor = np.maximum(rough.max(axis=1), scores[low + live]) - slack
-        near, hit = np.nonzero(rough >= floor[:, None])
-        step = max(1, PAIR_ELEMENTS // max(1, block.shape[1]))
-        for start in range(0, len(near), step):
-            at, to = live[near[start : start + step]], hit[start : start + step]
-            exact = exact_scores(wide[at], block[to])
-            order = np.lexsort((to, -exact, at))
-            at, to, exact = at[order], to[order], exact[order]
-            top = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            better = top[exact[top] > scores[low + at[top]]]
-            rows[low + at[better]] = first + to[better]
-            scores[low + at[better]] = exact[better]
+def _narrowed(units, block_units, floor):
+    """The rows in question after a product in double, for blocks with many near the best."""
+    close = units @ block_units.T
+    slack = 1e-12 + 8 * units.shape[1] * np.finfo(np.float64).eps
+    return np.nonzero(close >= np.maximum(close.max(axis=1) - slack, floor)[:, None])
+
+
+def _keep_best(wide, block, near, hit, first, rows, scores):
+    """Score pairs exactly and keep what beats the best so far; pairs come in index order."""
+    step = max(1, PAIR_ELEMENTS // max(1, block.shape[1]))
+    for start in range(0, len(near), step):
+        at, to = near[start : start + step], hit[start : start + step]
+        exact = exact_scores(wide[at], block[to])
+        order = np.lexsort((to, -exact, at))
+        at, to, exact = at[order], to[order], exact[order]
+        top = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        better = top[exact[top] > scores[at[top]]]
+        rows[at[better]] = first + to[better]
+        scores[at[better]] = exact[better]
 
 
 class IndexRows:

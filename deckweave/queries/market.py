@@ -204,8 +204,8 @@ def _page_date():
 
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 _PLAIN = (
-    "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), "
-    "'&quot;', '\"'), '&amp;', '&')"
+    "regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), "
+    "'&quot;', '\"'), '&amp;?', '&', 'g')"
 )
 
 

@@ -242,6 +242,19 @@ def test_first_best_is_the_brute_force_answer(queries, index):
         assert place < 0 or scores[at] == best
 
 
+@pytest.mark.parametrize("spread", [0.0, 1e-9, 1e-7, 1e-5, 1e-2])
+def test_first_best_among_near_copies(spread):
+    """Many vectors closer to each other than single precision can tell apart."""
+    random = np.random.default_rng(7)
+    base = random.normal(size=24)
+    index = base + spread * random.normal(size=(5000, 24))
+    queries = base + spread * random.normal(size=(40, 24))
+    rows, scores = nearest.first_best(queries, index, 0.15)
+    for at, query in enumerate(queries):
+        exact = nearest.exact_scores(np.broadcast_to(query, index.shape), index)
+        assert rows[at] == exact.argmax() and scores[at] == exact.max()
+
+
 @settings(max_examples=60, deadline=None)
 @given(_vector, _vector)
 def test_cosine_is_symmetric_and_bounded(a, b):
