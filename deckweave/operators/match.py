@@ -31,7 +31,9 @@ THRESHOLD = 0.15
 SMALL_INDEX_BYTES = 128 << 20
 BLOCK_BYTES = 32 << 20
 PIVOTS = 1024
+ROWS_PER_PIVOT = 32
 RINGS = 64
+MERGED_RINGS = 8
 SUB_BLOCKS = 1 << 24
 # A table with a row per block is broadcast up to this number of blocks, 16 bytes each.
 BROADCAST_BLOCKS = 1 << 20
@@ -149,13 +151,15 @@ def match_small_index(
 def _merged_rings(rings: list[tuple], block_rows: int) -> list[list[tuple]]:
     """Neighbouring rings of a pivot together until they fill a block.
 
-    ``rings`` are ``(ring, low, high, rows)``, at most pivots × rings of them.
+    ``rings`` are ``(ring, low, high, rows)``, at most pivots × rings of them. A cell spans few
+    rings even where it stays small: a wide cell has a weak bound and every query visits it.
     """
     cells: list[list[tuple]] = []
     rows = 0
     for ring in sorted(rings):
-        same_pivot = cells and cells[-1][0][0] // RINGS == ring[0] // RINGS
-        if same_pivot and rows < block_rows:
+        band = ring[0] // MERGED_RINGS
+        same_band = cells and cells[-1][0][0] // MERGED_RINGS == band
+        if same_band and rows < block_rows:
             cells[-1].append(ring)
             rows += ring[3]
         else:
@@ -178,12 +182,25 @@ class _Cells:
         self.owner = self.cell // RINGS
         self.step = max(1, _BOUND_ELEMENTS // max(1, len(cells)))
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Greatest cosine a vector of each cell can have, and the best cosine of a pivot."""
+    def _gaps(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least angle between each query and each cell, and the cosines of the pivots."""
         cosines = np.clip(nearest.unit_rows(queries) @ self.pivots.T, -1.0, 1.0)
         angles = np.arccos(cosines)[:, self.owner]
-        gap = np.maximum(np.maximum(angles - self.high, self.low - angles), 0.0)
-        return np.cos(np.maximum(gap - _ANGLE_SLACK, 0.0)), cosines.max(axis=1)
+        gaps = np.maximum(np.maximum(angles - self.high, self.low - angles), 0.0)
+        return gaps, cosines
+
+    def home(self, queries: np.ndarray) -> np.ndarray:
+        """The cell to score first: of the nearest pivot's cells, the nearest."""
+        gaps, cosines = self._gaps(queries)
+        others = self.owner[None, :] != cosines.argmax(axis=1)[:, None]
+        return (gaps + 4.0 * others).argmin(axis=1)
+
+    def open_cells(self, queries: np.ndarray, reached: np.ndarray) -> np.ndarray:
+        """Which cells may hold a vector as good as the score reached, or the best pivot's."""
+        gaps, cosines = self._gaps(queries)
+        bound = np.cos(np.maximum(gaps - _ANGLE_SLACK, 0.0))
+        least = np.maximum(reached, cosines.max(axis=1)) - _SCORE_SLACK
+        return bound >= least[:, None]
 
 
 def _angle_rings(pivots: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,15 +312,17 @@ def _match_length(
 ) -> list[DataFrame]:
     spark = queries.sparkSession
     block_rows = max(1, block_bytes // (8 * length))
-    # Pivots are index vectors in hash order, a few per block of the index up to a bound on
-    # their number and bytes: they are collected here.
-    wanted = math.ceil(4 * index_rows / block_rows)
-    count = max(1, min(pivots, wanted, SMALL_INDEX_BYTES // (8 * length)))
-    sample = index.orderBy(F.xxhash64("idx"), "idx").limit(count).select("embedding").toArrow()
+    # Pivots are index vectors in hash order, up to a bound on their number and bytes: they are
+    # collected here. Half may be copies of each other.
+    wanted = math.ceil(index_rows / ROWS_PER_PIVOT)
+    count = max(1, min(pivots, wanted, SMALL_INDEX_BYTES // (16 * length)))
+    hashed = index.orderBy(F.xxhash64("idx"), "idx").limit(2 * count)
+    sample = hashed.select("embedding").toArrow()
     if sample.num_rows == 0:
         return []
     centres = nearest.matrices(nearest.one_chunk(sample["embedding"]))[length][1]
-    centres = np.unique(centres, axis=0)
+    first_copies = np.sort(np.unique(centres, axis=0, return_index=True)[1])
+    centres = centres[first_copies[:count]]
     shared_centres = spark.sparkContext.broadcast(centres)
 
     @F.arrow_udf("struct<ring: bigint, angle: double>")
@@ -350,7 +369,7 @@ def _match_length(
     def nearest_cell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cells = shared_cells.value
         for vectors in batches:
-            best = [cells.bounds(m)[0].argmax(axis=1) for m in _steps(vectors, length, cells.step)]
+            best = [cells.home(matrix) for matrix in _steps(vectors, length, cells.step)]
             rows = np.concatenate(best or [[]]).astype(np.int64)
             yield pa.StructArray.from_arrays(
                 [pa.array(cells.cell[rows]), pa.array(cells.parts[rows])], names=["cell", "parts"]
@@ -376,13 +395,12 @@ def _match_length(
             reached = scores.fill_null(threshold).to_numpy(zero_copy_only=False)
             lists, low = [], 0
             for matrix in _steps(vectors, length, cells.step):
-                bound, pivot = cells.bounds(matrix)
-                least = np.maximum(np.maximum(reached[low : low + len(matrix)], pivot), threshold)
+                is_open = cells.open_cells(matrix, reached[low : low + len(matrix)])
                 low += len(matrix)
-                for row in bound >= (least - _SCORE_SLACK)[:, None]:
-                    open_cells = np.flatnonzero(row)
-                    parts = cells.parts[open_cells]
-                    base = np.repeat(cells.cell[open_cells] * SUB_BLOCKS, parts)
+                for row in is_open:
+                    chosen = np.flatnonzero(row)
+                    parts = cells.parts[chosen]
+                    base = np.repeat(cells.cell[chosen] * SUB_BLOCKS, parts)
                     ends = np.cumsum(parts)
                     within = np.arange(len(base)) - np.repeat(ends - parts, parts)
                     lists.append(base + within)
@@ -447,7 +465,7 @@ def _score(
 
     def best(asked: pa.Table, held: pa.Table) -> pa.Table:
         vectors = nearest.one_chunk(asked["embedding"])
-        found = nearest.hits(nearest.IndexRows(held), vectors, threshold)
+        found = nearest.hits(nearest.IndexRows(held, copies=False), vectors, threshold)
         columns = {"query_id": asked["query_id"], "hit": found}
         if keep_vector:
             columns |= {"block": asked["block"], "embedding": vectors}

@@ -114,7 +114,8 @@ def _keep_best(wide, block, near, hit, first, rows, scores):
 class IndexRows:
     """Vectors of an index in tie-break order, with their positions and card ids."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, copies: bool = True):
+        self.copies = copies
         table = table.sort_by("idx").combine_chunks()
         self.idx = one_chunk(table["idx"])
         self.card_id = one_chunk(table["card_id"])
@@ -125,7 +126,8 @@ class IndexRows:
         """Rows and matrix of the vectors a query of this length can match.
 
         Longer vectors are cut to the query's length and shorter ones left out. Vectors with
-        an element that is not finite never win. Of equal vectors the first stands for all.
+        an element that is not finite never win. Of equal vectors the first stands for all;
+        tables without ``copies`` are not searched for them.
         """
         if length not in self._prepared:
             parts = [(r, m[:, :length]) for n, (r, m) in self._by_length.items() if n >= length]
@@ -138,7 +140,7 @@ class IndexRows:
                 rows, matrix = rows[finite], np.ascontiguousarray(matrix[finite])
             else:
                 rows, matrix = np.zeros(0, np.int64), np.zeros((0, length), np.float32)
-            if len(rows) and length:
+            if self.copies and len(rows) and length:
                 whole = matrix.view(np.dtype((np.void, matrix.itemsize * length))).ravel()
                 firsts = np.sort(np.unique(whole, return_index=True)[1])
                 rows, matrix = rows[firsts], matrix[firsts]

@@ -71,7 +71,7 @@ def best_match_threshold(spark, folder):
 def best_match_large_index(spark, folder):
     # Small blocks, so that tables of this size already have many.
     queries, index = _photos(spark, folder, 0.5), _index(spark, folder)
-    return _result(matching.match_large_index(queries, index, block_bytes=1 << 17))
+    return _result(matching.match_large_index(queries, index, pivots=16, block_bytes=1 << 17))
 
 
 @query(
