@@ -13,6 +13,9 @@ from deckweave.functions.numbers import fixed
 TABLE_MARKER = "var cardsjson = ["
 TABLE_PATTERN = r"(?s)var cardsjson = (\[.*?\]);"
 
+# Spark accepts single quotes unless told not to; browsers and the standard library do not.
+STRICT_JSON = {"allowSingleQuotes": "false"}
+
 # The address of the gainers and losers pages.
 VARIATION_URL = "https://www.ligapokemon.com.br/?view=cards/variacao&show=%s&formato=&order=%d"
 
@@ -24,7 +27,7 @@ def embedded_json(page: Column | str, pattern: str = TABLE_PATTERN) -> Column:
 
 def json_rows(text: Column, row: T.StructType) -> Column:
     """Parse a JSON array into typed rows; broken JSON gives null."""
-    return F.from_json(text, T.ArrayType(row))
+    return F.from_json(text, T.ArrayType(row), STRICT_JSON)
 
 
 def embedded_rows(page: Column | str, row: T.StructType) -> Column:

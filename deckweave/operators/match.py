@@ -6,49 +6,30 @@ Tables: ``queries(query_id, embedding, …)`` and ``index(idx, card_id, embeddin
 * ``match_small_index``: the index is measured, fits the bound, and goes to every worker. The
   queries are not shuffled at all; each Arrow batch is one matrix product.
 * ``match_large_index``: the index is split into cells around pivots. The triangle inequality
-  on angles tells which cells can hold a better vector, so a query visits only those.
+  on angles tells which cells can hold a better vector, so a query visits only those (``cells``).
 
 ``match`` measures the index and chooses.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from deckweave.functions.vectors import is_placeholder
 from deckweave.operators import nearest
-from deckweave.session import cut_lineage
-
-THRESHOLD = 0.15
-SMALL_INDEX_BYTES = 128 << 20
-BLOCK_BYTES = 32 << 20
-PIVOTS = 1024
-ROWS_PER_PIVOT = 32
-RINGS = 64
-MERGED_RINGS = 8
-SUB_BLOCKS = 1 << 24
-# A table with a row per block is broadcast up to this number of blocks, 16 bytes each.
-BROADCAST_BLOCKS = 1 << 20
-
-# Angles come from arccos of rounded cosines; near 0 that loses half of the digits.
-_ANGLE_SLACK = 1e-6
-_SCORE_SLACK = 1e-9
-
-# Elements of the matrix of bounds (queries × cells) held at a time.
-_BOUND_ELEMENTS = 1 << 22
-
-
-def without_placeholders(index: DataFrame) -> DataFrame:
-    """Index rows that can be matched: with a vector that is not all zeros."""
-    return index.where(F.col("embedding").isNotNull() & ~is_placeholder(F.col("embedding")))
+from deckweave.operators.cells import BLOCK_BYTES, PIVOTS, CellIndex
+from deckweave.operators.index import (
+    SMALL_INDEX_BYTES,
+    THRESHOLD,
+    check_threshold,
+    hit_type,
+    index_bytes,
+    without_placeholders,
+)
 
 
 def above(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -79,14 +60,6 @@ def with_card(matches: DataFrame, cards: DataFrame, key: str = "card_id") -> Dat
     return matches.join(cards, key, "left")
 
 
-def index_bytes(index: DataFrame) -> int:
-    """Size of the index vectors, from one pass with partial sums."""
-    kind = index.schema["embedding"].dataType.elementType
-    width = 4 if isinstance(kind, T.FloatType) else 8
-    size = F.coalesce(F.size("embedding"), F.lit(0)) * width + 32
-    return index.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-
-
 def match(
     queries: DataFrame,
     index: DataFrame,
@@ -100,34 +73,18 @@ def match(
     return match_large_index(queries, index, threshold)
 
 
-def _check(threshold: float) -> None:
-    """From 0 up, a vector of length 0 never matches, and neither form has to look at it."""
-    if threshold < 0:
-        raise ValueError("the threshold must be 0 or more")
-
-
-def _hit_type(index: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("idx", index.schema["idx"].dataType),
-            T.StructField("card_id", index.schema["card_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-
-
 def hit_column(index: DataFrame, threshold: float = THRESHOLD, query: str = "embedding") -> Column:
     """``struct<idx, card_id, score>`` of the best match of a vector column, for a small index.
 
     The caller has checked the size (``index_bytes``). A map over rows, so it works on streams
     as on tables; other columns stay in the JVM.
     """
-    _check(threshold)
+    check_threshold(threshold)
     index = index.select("idx", "card_id", "embedding")
     rows = nearest.IndexRows(without_placeholders(index).toArrow())
     shared: Broadcast = index.sparkSession.sparkContext.broadcast(rows)
 
-    @F.arrow_udf(_hit_type(index))
+    @F.arrow_udf(hit_type(index))
     def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vectors in batches:
             yield nearest.hits(shared.value, vectors, threshold)
@@ -145,103 +102,6 @@ def match_small_index(
     )
 
 
-# --- Large index -----------------------------------------------------------------------------
-
-
-def _merged_rings(rings: list[tuple], block_rows: int) -> list[list[tuple]]:
-    """Neighbouring rings of a pivot together until they fill a block.
-
-    ``rings`` are ``(ring, low, high, rows)``, at most pivots × rings of them. A cell spans few
-    rings even where it stays small: a wide cell has a weak bound and every query visits it.
-    """
-    cells: list[list[tuple]] = []
-    rows = 0
-    for ring in sorted(rings):
-        band = ring[0] // MERGED_RINGS
-        same_band = cells and cells[-1][0][0] // MERGED_RINGS == band
-        if same_band and rows < block_rows:
-            cells[-1].append(ring)
-            rows += ring[3]
-        else:
-            cells.append([ring])
-            rows = ring[3]
-    return cells
-
-
-class _Cells:
-    """Pivots and the cells around them: for each, the range of angles of its vectors."""
-
-    def __init__(self, pivots: np.ndarray, cells: list[list[tuple]], block_rows: int):
-        self.pivots = nearest.unit_rows(pivots)
-        self.cell = np.array([c[0][0] for c in cells], dtype=np.int64)
-        self.low = np.array([c[0][1] for c in cells], dtype=np.float64)
-        self.high = np.array([c[-1][2] for c in cells], dtype=np.float64)
-        self.parts = np.array(
-            [math.ceil(sum(ring[3] for ring in c) / block_rows) for c in cells], dtype=np.int64
-        )
-        self.owner = self.cell // RINGS
-        self.step = max(1, _BOUND_ELEMENTS // max(1, len(cells)))
-
-    def _gaps(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least angle between each query and each cell, and the cosines of the pivots."""
-        cosines = np.clip(nearest.unit_rows(queries) @ self.pivots.T, -1.0, 1.0)
-        angles = np.arccos(cosines)[:, self.owner]
-        gaps = np.maximum(np.maximum(angles - self.high, self.low - angles), 0.0)
-        return gaps, cosines
-
-    def home(self, queries: np.ndarray) -> np.ndarray:
-        """The cell to score first: of the nearest pivot's cells, the nearest."""
-        gaps, cosines = self._gaps(queries)
-        others = self.owner[None, :] != cosines.argmax(axis=1)[:, None]
-        return (gaps + 4.0 * others).argmin(axis=1)
-
-    def open_cells(self, queries: np.ndarray, reached: np.ndarray) -> np.ndarray:
-        """Which cells may hold a vector as good as the score reached, or the best pivot's."""
-        gaps, cosines = self._gaps(queries)
-        bound = np.cos(np.maximum(gaps - _ANGLE_SLACK, 0.0))
-        least = np.maximum(reached, cosines.max(axis=1)) - _SCORE_SLACK
-        return bound >= least[:, None]
-
-
-def _angle_rings(pivots: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ring of each vector (nearest pivot and band of angles) and its angle to the pivot."""
-    cosines = np.clip(nearest.unit_rows(matrix) @ nearest.unit_rows(pivots).T, -1.0, 1.0)
-    owner = cosines.argmax(axis=1)
-    angle = np.arccos(cosines[np.arange(len(owner)), owner])
-    ring = np.minimum((angle * (RINGS / math.pi)).astype(np.int64), RINGS - 1)
-    return owner * RINGS + ring, angle
-
-
-def _steps(vectors: pa.Array, length: int, rows: int) -> Iterator[np.ndarray]:
-    """Matrices of a column of equally long vectors, a bounded number of rows at a time."""
-    for low in range(0, len(vectors), rows):
-        part = vectors.slice(low, rows)
-        yield part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), length)
-
-
-def _usable(vectors: str) -> Column:
-    """Not all zeros, and every element finite: only such vectors can score above 0."""
-    infinity = F.lit(float("inf"))
-    finite = F.forall(
-        vectors, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < infinity), F.lit(False))
-    )
-    return finite & ~is_placeholder(F.col(vectors))
-
-
-def collapse_copies(index: DataFrame) -> DataFrame:
-    """One row per distinct vector, the first of its copies: later ones can only tie with it.
-
-    Copies meet in map-side partial aggregates, so a third of the index being one vector costs
-    no more than one row per task. The hash comes first in the key to keep comparisons short.
-    """
-    first = F.min(F.struct("idx", "card_id")).alias("first")
-    return (
-        index.groupBy(F.xxhash64("embedding").alias("key"), "embedding")
-        .agg(first)
-        .select("first.idx", "first.card_id", "embedding")
-    )
-
-
 def match_large_index(
     queries: DataFrame,
     index: DataFrame,
@@ -249,230 +109,5 @@ def match_large_index(
     pivots: int = PIVOTS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Best match with an index of any size.
-
-    The join of two sets of vectors on nearest neighbours by Voronoi cells (Lu et al., VLDB
-    2012), with angles as the metric: every query first scores one block of its nearest cell,
-    then visits the cells whose bound is not below what it found. Nothing is approximate, and
-    no pair of vectors leaves a task. Queries of different lengths are matched one length at a
-    time, as each length cuts the index differently.
-    """
-    _check(threshold)
-    index = index.select("idx", "card_id", "embedding")
-    asked = queries.select("query_id", "embedding")
-    usable = asked.where(_usable("embedding"))
-    # One row per length of vector, not per query.
-    sizes = asked.where(F.size("embedding") > 0).select(F.size("embedding")).distinct()
-    lengths = [row[0] for row in sizes.collect()]
-    hit = _hit_type(index)
-    nothing = asked.select("query_id", F.lit(None).cast(hit).alias("hit"))
-    index_rows = index.count()
-    parts = [nothing]
-    for length in sorted(lengths):
-        same = usable.where(F.size("embedding") == length)
-        cut = (
-            without_placeholders(index)
-            .where(F.size("embedding") >= length)
-            .select("idx", "card_id", F.slice("embedding", 1, length).alias("embedding"))
-            .where(_usable("embedding"))
-        )
-        parts += _match_length(same, cut, length, threshold, index_rows, pivots, block_bytes)
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
-    rank = F.when(
-        F.col("hit.score").isNotNull(),
-        F.struct(
-            (-F.col("hit.score")).alias("order"),
-            F.col("hit.idx").alias("idx"),
-            F.col("hit.card_id").alias("card_id"),
-        ),
-    )
-    return (
-        best.groupBy("query_id")
-        .agg(F.min(rank).alias("top"))
-        .select(
-            "query_id",
-            "top.idx",
-            "top.card_id",
-            (-F.col("top.order")).alias("score"),
-            F.col("top").isNotNull().alias("matched"),
-        )
-    )
-
-
-def _match_length(
-    queries: DataFrame,
-    index: DataFrame,
-    length: int,
-    threshold: float,
-    index_rows: int,
-    pivots: int,
-    block_bytes: int,
-) -> list[DataFrame]:
-    spark = queries.sparkSession
-    block_rows = max(1, block_bytes // (8 * length))
-    # Pivots are index vectors in hash order, up to a bound on their number and bytes: they are
-    # collected here. Half may be copies of each other.
-    wanted = math.ceil(index_rows / ROWS_PER_PIVOT)
-    count = max(1, min(pivots, wanted, SMALL_INDEX_BYTES // (16 * length)))
-    hashed = index.orderBy(F.xxhash64("idx"), "idx").limit(2 * count)
-    sample = hashed.select("embedding").toArrow()
-    if sample.num_rows == 0:
-        return []
-    centres = nearest.matrices(nearest.one_chunk(sample["embedding"]))[length][1]
-    first_copies = np.sort(np.unique(centres, axis=0, return_index=True)[1])
-    centres = centres[first_copies[:count]]
-    shared_centres = spark.sparkContext.broadcast(centres)
-
-    @F.arrow_udf("struct<ring: bigint, angle: double>")
-    def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for vectors in batches:
-            found = [
-                _angle_rings(shared_centres.value, matrix)
-                for matrix in _steps(vectors, length, nearest.QUERY_STEP)
-            ]
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array(np.concatenate([ring for ring, _ in found] or [[]]), pa.int64()),
-                    pa.array(np.concatenate([angle for _, angle in found] or [[]]), pa.float64()),
-                ],
-                names=["ring", "angle"],
-            )
-
-    distinct = collapse_copies(index).withColumn("at", place("embedding"))
-    placed = cut_lineage(distinct.select("idx", "card_id", "embedding", "at.*"), "cells")
-    # At most pivots × rings rows, whatever the size of the index.
-    summary = placed.groupBy("ring").agg(
-        F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("rows")
-    )
-    merged = _merged_rings([tuple(row) for row in summary.collect()], block_rows)
-    cells = _Cells(centres, merged, block_rows)
-    few_blocks = int(cells.parts.sum()) <= BROADCAST_BLOCKS
-    shared_cells = spark.sparkContext.broadcast(cells)
-    cell_of_ring = spark.createDataFrame(
-        [
-            (ring[0], int(cell), int(parts))
-            for rings, cell, parts in zip(merged, cells.cell, cells.parts)
-            for ring in rings
-        ],
-        "ring bigint, cell bigint, parts bigint",
-    )
-    blocks = placed.join(F.broadcast(cell_of_ring), "ring").select(
-        (F.col("cell") * SUB_BLOCKS + F.pmod(F.xxhash64("idx"), "parts")).alias("block"),
-        "idx",
-        "card_id",
-        "embedding",
-    )
-
-    @F.arrow_udf("struct<cell: bigint, parts: bigint>")
-    def nearest_cell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cells = shared_cells.value
-        for vectors in batches:
-            best = [cells.home(matrix) for matrix in _steps(vectors, length, cells.step)]
-            rows = np.concatenate(best or [[]]).astype(np.int64)
-            yield pa.StructArray.from_arrays(
-                [pa.array(cells.cell[rows]), pa.array(cells.parts[rows])], names=["cell", "parts"]
-            )
-
-    at_home = cut_lineage(
-        queries.withColumn("home", nearest_cell("embedding")).select(
-            "query_id",
-            "embedding",
-            (
-                F.col("home.cell") * SUB_BLOCKS + F.pmod(F.xxhash64("query_id"), "home.parts")
-            ).alias("block"),
-        ),
-        "home",
-    )
-    hit = _hit_type(index)
-    found = _score(at_home, blocks, hit, threshold, block_rows, few_blocks, keep_vector=True)
-
-    @F.arrow_udf("array<bigint>")
-    def other_blocks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        cells = shared_cells.value
-        for vectors, scores in batches:
-            reached = scores.fill_null(threshold).to_numpy(zero_copy_only=False)
-            lists, low = [], 0
-            for matrix in _steps(vectors, length, cells.step):
-                is_open = cells.open_cells(matrix, reached[low : low + len(matrix)])
-                low += len(matrix)
-                for row in is_open:
-                    chosen = np.flatnonzero(row)
-                    parts = cells.parts[chosen]
-                    base = np.repeat(cells.cell[chosen] * SUB_BLOCKS, parts)
-                    ends = np.cumsum(parts)
-                    within = np.arange(len(base)) - np.repeat(ends - parts, parts)
-                    lists.append(base + within)
-            yield pa.array(lists, pa.list_(pa.int64()))
-
-    routed = cut_lineage(
-        found.select(
-            "query_id",
-            "embedding",
-            "hit",
-            F.array_remove(other_blocks("embedding", "hit.score"), F.col("block")).alias("blocks"),
-        ),
-        "routes",
-    )
-    visits = routed.select("query_id", "embedding", F.explode("blocks").alias("block"))
-    return [
-        routed.select("query_id", "hit"),
-        _score(visits, blocks, hit, threshold, block_rows, few_blocks, keep_vector=False),
-    ]
-
-
-def _score(
-    visits: DataFrame,
-    blocks: DataFrame,
-    hit: T.StructType,
-    threshold: float,
-    block_rows: int,
-    few_blocks: bool,
-    keep_vector: bool,
-) -> DataFrame:
-    """Best row of a block for every query that visits it: ``(query_id, hit, …)``.
-
-    Blocks are bounded when they are made. The visits of a block are counted first, with
-    partial counts, and a crowded block is read by as many groups as its visits fill, so no
-    group grows with the data. The counts have one row per block; where blocks are few enough
-    they are broadcast, and the vectors are shuffled once.
-    """
-    crowded = visits.groupBy("block").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).alias("shares")
-    )
-    if few_blocks:
-        crowded = F.broadcast(crowded)
-    left = visits.join(crowded, "block").select(
-        "block",
-        F.pmod(F.xxhash64("query_id"), "shares").alias("share"),
-        "query_id",
-        "embedding",
-    )
-    right = blocks.join(crowded, "block").select(
-        "block",
-        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
-        "idx",
-        "card_id",
-        "embedding",
-    )
-    fields = [
-        visits.schema["query_id"],
-        T.StructField("hit", hit),
-    ]
-    if keep_vector:
-        fields += [visits.schema["block"], visits.schema["embedding"]]
-
-    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
-        vectors = nearest.one_chunk(asked["embedding"])
-        found = nearest.hits(nearest.IndexRows(held, copies=False), vectors, threshold)
-        columns = {"query_id": asked["query_id"], "hit": found}
-        if keep_vector:
-            columns |= {"block": asked["block"], "embedding": vectors}
-        return pa.table(columns)
-
-    return (
-        left.groupBy("block", "share")
-        .cogroup(right.groupBy("block", "share"))
-        .applyInArrow(best, T.StructType(fields))
-    )
+    """Best match with an index of any size. To search one index again, keep a ``CellIndex``."""
+    return CellIndex(index, pivots, block_bytes).match(queries, threshold)

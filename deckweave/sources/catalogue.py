@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckweave import schemas
+from deckweave.functions.text import STRICT_JSON
 
 
 def read_envelopes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -12,12 +13,13 @@ def read_envelopes(spark: SparkSession, path: str, multi_line: bool = True) -> D
     A pretty-printed envelope needs ``multi_line``, which reads a file in one task; many
     envelopes in one file, one per line, are read in splits without it.
     """
-    return spark.read.schema(schemas.ENVELOPE).option("multiLine", multi_line).json(path)
+    reader = spark.read.schema(schemas.ENVELOPE).options(**STRICT_JSON)
+    return reader.option("multiLine", multi_line).json(path)
 
 
 def parse_envelopes(responses: DataFrame, body: str = "body") -> DataFrame:
     """Response envelopes from a column of JSON texts; a broken text has no fields."""
-    return responses.select(F.from_json(body, schemas.ENVELOPE).alias("e")).select("e.*")
+    return responses.select(F.from_json(body, schemas.ENVELOPE, STRICT_JSON).alias("e")).select("e.*")
 
 
 def envelope_cards(envelopes: DataFrame) -> DataFrame:

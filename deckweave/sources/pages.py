@@ -2,9 +2,9 @@
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from deckweave import schemas
 from deckweave.functions import numbers, text
@@ -48,9 +48,12 @@ def has_card_content(page: Column | str) -> Column:
 
 
 def collection_list(spark: SparkSession, urls: Iterable[str] = COLLECTIONS) -> DataFrame:
-    """The collections to process, as a table of addresses."""
-    schema = T.StructType([T.StructField("url", T.StringType())])
-    return spark.createDataFrame([(url,) for url in urls], schema)
+    """The collections to process, as a table of addresses.
+
+    Made from Arrow, as a local relation whose size the planner knows; a table made from Python
+    rows has no known size, and a join with it would shuffle the pages.
+    """
+    return spark.createDataFrame(pa.table({"url": pa.array(list(urls), pa.string())}))
 
 
 def in_collections(rows: DataFrame, collections: DataFrame, key: str = "url") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from deckweave.operators import match as matching
+from deckweave.operators.cells import CellIndex
 from deckweave.plans.scan import FAILED, NO_MATCH, embed_queries
 from deckweave.session import cut_lineage
 
@@ -52,7 +53,8 @@ def start_scan(
     With a factory the images are embedded first; without one the stream already holds
     ``(query_id, embedding, error)``. The index is measured: a small one is matched by a map
     and the file sink commits each batch once; a large one is matched batch by batch, each
-    batch overwriting its own folder, so a repeated batch leaves no second copy. Every result
+    batch overwriting its own folder, so a repeated batch leaves no second copy; its cells are
+    made once. Every result
     row carries its query id. ``once`` stops when the files that are there are done.
     """
     queries = images if factory is None else embed_queries(images, factory, image, query_id)
@@ -64,10 +66,11 @@ def start_scan(
             .outputMode("append")
         )
     else:
+        cells = CellIndex(index)
 
         def match_batch(batch: DataFrame, number: int) -> None:
             arrived = cut_lineage(batch.select("query_id", "embedding", "error"), "arrivals")
-            best = matching.match_large_index(arrived, index, threshold)
+            best = cells.match(arrived, threshold)
             errors = arrived.select("query_id", "error")
             result = _with_message(best.drop("matched").join(errors, "query_id", "left"))
             result.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={number}")

@@ -16,6 +16,8 @@ PAGES = {
     "bracket in text": 'var cardsjson = [{"id": "1", "nEN": "x];y"}];',
     "first of two": 'var cardsjson = [{"id": "1"}]; var cardsjson = [{"id": "2"}];',
     "never ends": 'var cardsjson = [{"id": "1"}]',
+    "single quotes": "var cardsjson = [{'id': '1'}];",
+    "control character": 'var cardsjson = [{"id": "1\n2"}];',
     "null page": None,
 }
 
