@@ -31,7 +31,7 @@ from deckweave.operators.index import (
 )
 from deckweave.session import cut_lineage
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
 PIVOTS = 1024
 ROWS_PER_PIVOT = 32
 RINGS = 64

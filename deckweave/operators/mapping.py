@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,12 +23,12 @@ def _model(plan: str, factory: Callable[[], Callable]) -> Callable:
     return _loaded[plan]
 
 
-def _vector_of(output: Any) -> list[float] | None:
-    """The flat vector of a model's output: its ``data``, or the output itself if it is a list."""
+def _vector_of(output: Any) -> np.ndarray | None:
+    """The flat vector of a model's output: its ``data``, or the output itself if it is an array."""
     data = getattr(output, "data", None)
     if data is None or isinstance(data, memoryview):
-        data = output if isinstance(output, (list, tuple)) or hasattr(output, "tolist") else None
-    return None if data is None else [float(x) for x in data]
+        data = output if isinstance(output, (list, tuple, np.ndarray)) else None
+    return None if data is None else np.asarray(data, dtype=np.float32).ravel()
 
 
 def embed(content: Column | str, factory: Callable[[], Callable]) -> Column:
