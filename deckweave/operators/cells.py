@@ -144,8 +144,9 @@ class CellIndex:
         self._blocks: dict[int, _Blocks | None] = {}
 
     def match(self, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-        """``(query_id, idx, card_id, score, matched)``, one row per query.
+        """``(query_id, idx, card_id, score, matched)``, one row per query id.
 
+        The queries are read several times: where a model makes them, pass a written copy.
         Queries of different lengths are matched one length at a time, as each length cuts the
         index differently.
         """
@@ -184,13 +185,15 @@ class CellIndex:
         merged = _merged_rings([tuple(row) for row in summary.collect()], block_rows)
         cells = _Cells(centres, merged, block_rows)
         spark = cut.sparkSession
+        spread = [len(rings) for rings in merged]
         cell_of_ring = spark.createDataFrame(
-            [
-                (ring[0], int(cell), int(parts))
-                for rings, cell, parts in zip(merged, cells.cell, cells.parts)
-                for ring in rings
-            ],
-            "ring bigint, cell bigint, parts bigint",
+            pa.table(
+                {
+                    "ring": pa.array([ring[0] for rings in merged for ring in rings], pa.int64()),
+                    "cell": pa.array(np.repeat(cells.cell, spread)),
+                    "parts": pa.array(np.repeat(cells.parts, spread)),
+                }
+            )
         )
         part = F.pmod(F.xxhash64("idx"), "parts")
         rows = placed.join(F.broadcast(cell_of_ring), "ring").select(

@@ -16,10 +16,12 @@ def without_placeholders(index: DataFrame) -> DataFrame:
 
 
 def index_bytes(index: DataFrame) -> int:
-    """Size of the index vectors, from one pass with partial sums."""
+    """Size of the index with its ids, from one pass with partial sums."""
     kind = index.schema["embedding"].dataType.elementType
     width = 4 if isinstance(kind, T.FloatType) else 8
-    size = F.coalesce(F.size("embedding"), F.lit(0)) * width + 32
+    size = F.coalesce(F.size("embedding"), F.lit(0)).cast("bigint") * width + 32
+    for name in ("idx", "card_id"):
+        size += F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
     return index.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 

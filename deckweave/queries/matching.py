@@ -206,9 +206,7 @@ def data_urls(spark, folder):
            CASE WHEN b.idx IS NULL THEN 'No matching card found.' END AS message"""))
 def stream_match(spark, folder):
     schema = table(spark, folder, "embeddings").schema
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(folder)
-    )
+    arriving = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/embeddings.parquet")
     queries = arriving.select(
         F.col("vec_id").alias("query_id"),
         F.reverse("embedding").alias("embedding"),

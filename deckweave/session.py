@@ -56,9 +56,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/deckweave/{application}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/deckweave/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below a folder of this application."""
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder.
+
+    To be called when the results that were read from there are written elsewhere.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -54,7 +54,7 @@ def start_scan(
     ``(query_id, embedding, error)``. The index is measured: a small one is matched by a map
     and the file sink commits each batch once; a large one is matched batch by batch, each
     batch overwriting its own folder, so a repeated batch leaves no second copy; its cells are
-    made once. Every result
+    made once, and ``batch`` is a column of what is read back. Every result
     row carries its query id. ``once`` stops when the files that are there are done.
     """
     queries = images if factory is None else embed_queries(images, factory, image, query_id)

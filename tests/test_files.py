@@ -1,9 +1,11 @@
 import io
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from deckweave.functions import text
+from deckweave.session import cut_lineage, remove_scratch, scratch_path, shared_folder
 from deckweave.sources import files
 
 
@@ -39,3 +41,17 @@ def test_read_images(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"no image")
     rows = files.read_images(spark, str(tmp_path), "*.png").collect()
     assert [(bytes(r.content), r.length) for r in rows] == [(b"abc", 3)]
+
+
+def test_lineage_is_cut_in_the_shared_folder(spark):
+    assert scratch_path(spark, "x").startswith(shared_folder(spark).rstrip("/") + "/deckweave/")
+    written = cut_lineage(spark.range(5).withColumn("y", F.col("id") * 2), "numbers")
+    assert "Range" not in written._jdf.queryExecution().analyzed().toString()
+    assert written.agg(F.sum("y")).first()[0] == 20
+
+
+def test_remove_scratch(spark):
+    folder = Path(scratch_path(spark, "gone")).parent
+    assert cut_lineage(spark.range(3), "gone").count() == 3 and folder.is_dir()
+    remove_scratch(spark)
+    assert not folder.exists()
