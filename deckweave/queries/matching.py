@@ -206,7 +206,9 @@ def data_urls(spark, folder):
            CASE WHEN b.idx IS NULL THEN 'No matching card found.' END AS message"""))
 def stream_match(spark, folder):
     schema = table(spark, folder, "embeddings").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/embeddings.parquet")
+    # A pattern, so that the table may be one file or a folder of files.
+    path = f"{folder.rstrip('/')}/embeddings.parquet*"
+    arriving = spark.readStream.schema(schema).parquet(path)
     queries = arriving.select(
         F.col("vec_id").alias("query_id"),
         F.reverse("embedding").alias("embedding"),
