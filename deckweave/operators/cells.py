@@ -45,7 +45,7 @@ _ANGLE_SLACK = 1e-6
 _SCORE_SLACK = 1e-9
 
 # Elements of the matrix of bounds (queries × cells) held at a time.
-_BOUND_ELEMENTS = 1 << 22
+_BOUND_ELEMENTS = 1 << 20
 
 
 def _merged_rings(rings: list[tuple], block_rows: int) -> list[list[tuple]]:
@@ -104,8 +104,11 @@ class _Cells:
 
 
 def _angle_rings(pivots: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ring of each vector (nearest pivot and band of angles) and its angle to the pivot."""
-    cosines = np.clip(nearest.unit_rows(matrix) @ nearest.unit_rows(pivots).T, -1.0, 1.0)
+    """Ring of each vector (nearest pivot and band of angles) and its angle to the pivot.
+
+    Pivots come scaled to length 1.
+    """
+    cosines = np.clip(nearest.unit_rows(matrix) @ pivots.T, -1.0, 1.0)
     owner = cosines.argmax(axis=1)
     angle = np.arccos(cosines[np.arange(len(owner)), owner])
     ring = np.minimum((angle * (RINGS / math.pi)).astype(np.int64), RINGS - 1)
@@ -226,7 +229,7 @@ class CellIndex:
 
 def _placed(index: DataFrame, centres: np.ndarray, length: int) -> DataFrame:
     """Distinct index vectors with their ring and angle, written to the shared folder."""
-    shared_centres = index.sparkSession.sparkContext.broadcast(centres)
+    shared_centres = index.sparkSession.sparkContext.broadcast(nearest.unit_rows(centres))
 
     @F.arrow_udf("struct<ring: bigint, angle: double>")
     def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
