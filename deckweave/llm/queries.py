@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deckweave.llm import decontaminate, token_counts, token_files, tree_bpe
+from deckweave.llm import decontaminate, quality, token_counts, token_files, tree_bpe
 from deckweave.session import scratch_path
 
 
@@ -27,6 +27,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, folder)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -77,6 +81,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 def load() -> dict[str, Query]:
     return {
         "op1_token_files": Query(op1_token_files),
+        "op3_quality": Query(op3_quality),
         "op4_token_counts": Query(op4_token_counts),
         "op7_decontaminate": Query(op7_decontaminate, OP7_SQL),
         "op10_tree_bpe": Query(op10_tree_bpe),
