@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deckweave.llm import decontaminate, quality, token_counts, token_files, tree_bpe
+from deckweave.llm import decontaminate, language, quality, token_counts, token_files, tree_bpe, url_templates
 from deckweave.session import scratch_path
 
 
@@ -36,6 +36,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tree_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -84,5 +92,7 @@ def load() -> dict[str, Query]:
         "op3_quality": Query(op3_quality),
         "op4_token_counts": Query(op4_token_counts),
         "op7_decontaminate": Query(op7_decontaminate, OP7_SQL),
+        "op8_url_templates": Query(op8_url_templates),
+        "op9_language": Query(op9_language),
         "op10_tree_bpe": Query(op10_tree_bpe),
     }
