@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deckweave.llm import decontaminate, language, quality, token_counts, token_files, tree_bpe, url_templates
+from deckweave.llm import decontaminate, language, near_dups, quality, token_counts, token_files, tree_bpe, url_templates
 from deckweave.session import scratch_path
 
 
@@ -49,6 +49,10 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -91,6 +95,7 @@ def load() -> dict[str, Query]:
         "op1_token_files": Query(op1_token_files),
         "op3_quality": Query(op3_quality),
         "op4_token_counts": Query(op4_token_counts),
+        "op6_near_duplicates": Query(op6_near_duplicates),
         "op7_decontaminate": Query(op7_decontaminate, OP7_SQL),
         "op8_url_templates": Query(op8_url_templates),
         "op9_language": Query(op9_language),
