@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deckweave.llm import decontaminate, language, near_dups, quality, token_counts, token_files, tree_bpe, url_templates
+from deckweave.llm import decontaminate, language, near_dups, quality, secret_forest, token_counts, token_files, tree_bpe, url_templates
 from deckweave.session import scratch_path
 
 
@@ -27,6 +27,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(spark, folder)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.findings(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 def load() -> dict[str, Query]:
     return {
         "op1_token_files": Query(op1_token_files),
+        "op2_secrets": Query(op2_secrets),
         "op3_quality": Query(op3_quality),
         "op4_token_counts": Query(op4_token_counts),
         "op6_near_duplicates": Query(op6_near_duplicates),
