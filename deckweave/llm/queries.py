@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deckweave.llm import decontaminate, language, near_dups, quality, secret_forest, token_counts, token_files, tree_bpe, url_templates
+from deckweave.llm import decontaminate, html_text, language, near_dups, quality, secret_forest, token_counts, token_files, tree_bpe, url_templates
 from deckweave.session import scratch_path
 
 
@@ -53,6 +53,11 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -100,6 +105,7 @@ def load() -> dict[str, Query]:
         "op2_secrets": Query(op2_secrets),
         "op3_quality": Query(op3_quality),
         "op4_token_counts": Query(op4_token_counts),
+        "op5_html_text": Query(op5_html_text),
         "op6_near_duplicates": Query(op6_near_duplicates),
         "op7_decontaminate": Query(op7_decontaminate, OP7_SQL),
         "op8_url_templates": Query(op8_url_templates),
