@@ -173,7 +173,7 @@ class Tagger:
         """For each text the matches of its words and the place of each one's language."""
         if len(self._rows) > 400_000:
             self._rows.clear()
-            self._store.clear()
+            self._store.empty()
         words = [_WORD.findall(text.lower()) for text in texts]
         places = [np.fromiter(map(self._store.__getitem__, found), np.int64, len(found)) for found in words]
         table = np.array(self._rows) if self._rows else np.zeros((0, len(self.model.languages)), np.float32)

@@ -9,8 +9,8 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: No match of the pattern looks at more than so many characters after the place where it ends.
 LOOK_AHEAD = 3
-#: Entries after which a worker empties its store of pieces; results do not depend on it.
-STORE_ENTRIES = 400_000
+#: Entries of each of the two generations of a worker's store; results do not depend on it.
+STORE_ENTRIES = 500_000
 
 _any = regex.compile(PATTERN)
 # The same matches by the faster standard module, for texts of the characters below only.
@@ -25,16 +25,27 @@ def split(text: str) -> list[str]:
 
 
 class Store(dict):
-    """Values computed once per key in a worker, bounded in entries."""
+    """Values computed once per key in a worker, bounded in entries.
+
+    A full store becomes the older generation and a new one begins; keys that are asked for again
+    move over, so frequent ones stay.
+    """
 
     def __init__(self, make: Callable):
         super().__init__()
-        self._make = make
+        self._make, self._older = make, {}
 
     def __missing__(self, key):
-        if len(self) >= STORE_ENTRIES:
-            self.clear()
-        value = self._make(key)
+        value = self._older.get(key)
+        if value is None:
+            value = self._make(key)
         if len(key) <= 64:
+            if len(self) >= STORE_ENTRIES:
+                self._older = dict(self)
+                self.clear()
             self[key] = value
         return value
+
+    def empty(self) -> None:
+        self._older = {}
+        self.clear()

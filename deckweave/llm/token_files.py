@@ -13,6 +13,7 @@ A folder holds Parquet files whose rows are blocks of documents in ascending ord
 A short document is read by its offset alone, without decompressing the others.
 """
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -51,6 +52,11 @@ _BLOCK_FIELDS = pa.schema([
 ])
 
 
+# Printable bytes stand for themselves, the others for the characters from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
     """Ids of whole texts by a byte-level ``tokenizers`` file.
 
@@ -61,11 +67,17 @@ class Encoder:
     def __init__(self, path: str):
         self._tokenizer = tokenizer(path)
         self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
-        self._store = Store(self._ids)
+        self._bpe = self._tokenizer.model
+        self._store = Store(self._piece)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one match of the pattern by the tokenizer's model, which reads bytes as characters."""
+        found = self._bpe.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
+        return struct.pack(f"<{len(found)}I", *[token.id for token in found])
+
     def encode(self, text: str) -> bytes:
         if any(token in text for token in self._special):
             return self._ids(text)
