@@ -1,23 +1,52 @@
-"""A corpus pipeline of stages, each over all rows that the stage before kept.
+"""A corpus pipeline of five stages, each over all rows that the stage before kept.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
-which is written as Parquet and read again as the next one's docs.
+which is written as Parquet and read again as the next one's docs. All but the last return the
+columns of ``documents``.
 """
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deckweave.llm import tree_bpe
+from deckweave.llm import decontaminate, near_dups, quality, secret_forest, tree_bpe
 from deckweave.session import scratch_path, ship_package
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without texts that fail the base rules or are outliers of their language and source."""
+    ship_package(spark)
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the least id."""
+    ship_package(spark)
+    return near_dups.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a window of a benchmark item."""
+    ship_package(spark)
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of every secret."""
+    ship_package(spark)
+    return secret_forest.redact(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text that is left."""
+    """Ids of every text that is left, with digests of them and of the text decoded from them."""
     ship_package(spark)
-    return tree_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return tree_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
     ("byte-level BPE encoding and decoding", encode),
 ]
 

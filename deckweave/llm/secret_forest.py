@@ -220,18 +220,18 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     value = F.col(f"`{text}`").cast("string")
-    row_id = fresh(docs, "row_id")[0]
+    row_id, spans = fresh(docs, "row_id", "spans")
     with_any = docs.where(value.rlike(CANDIDATE)).withColumn(row_id, F.monotonically_increasing_id())
     stored = cut_lineage(with_any, "suspects")
     found, name = scored(stored, text, keep=[row_id])
     secrets = (
         found.where(F.col("score") >= SECRET)
         .groupBy(F.col(f"row.`{row_id}`").alias(row_id))
-        .agg(F.sort_array(F.collect_set(F.struct(F.col(f"{name}.start").alias("start"), F.length(f"{name}.value").alias("n")))).alias("nd_spans"))
+        .agg(F.sort_array(F.collect_set(F.struct(F.col(f"{name}.start").alias("start"), F.length(f"{name}.value").alias("n")))).alias(spans))
     )
     whole = F.col(f"`{text}`")
     step = F.aggregate(
-        "nd_spans",
+        spans,
         F.struct(F.lit("").alias("made"), F.lit(0).cast("bigint").alias("at")),
         lambda done, s: F.struct(
             F.concat(done["made"], F.substring(whole, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")), F.lit(mark)).alias("made"),
@@ -240,6 +240,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
         lambda done: F.concat(done["made"], F.substring(whole, (done["at"] + 1).cast("int"), F.length(whole))),
     )
     cleaned = stored.join(secrets, row_id, "left").select(
-        *[(F.when(F.col("nd_spans").isNotNull(), step).otherwise(whole).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns]
+        *[(F.when(F.col(spans).isNotNull(), step).otherwise(whole).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns]
     )
     return docs.where(~F.coalesce(value.rlike(CANDIDATE), F.lit(False))).select(*own).unionByName(cleaned)

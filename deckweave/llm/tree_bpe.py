@@ -108,7 +108,7 @@ def codec(path: str, leaf_chars: int = LEAF_CHARS) -> TreeCodec:
 def encode_documents(
     docs: DataFrame, ranks: str, text: str = "text", doc_id: str = "doc_id", leaf_chars: int = LEAF_CHARS
 ) -> DataFrame:
-    """Rows ``doc_id, ids`` (array<bigint>), one for each row of ``docs`` in any order.
+    """Rows ``doc_id, ids`` (array<int>), one for each row of ``docs`` in any order.
 
     ``ranks`` is the path of a rank file that every executor has. A text is encoded whole, in one
     task without a shuffle; ids are those of encoding each match of the pattern separately. A null
@@ -118,12 +118,12 @@ def encode_documents(
 
     def rows(part):
         use = codec(ranks, leaf_chars)
-        return [(key, np.frombuffer(use.encode(value or ""), "<u4").astype(np.int64)) for key, value in part]
+        return [(key, np.frombuffer(use.encode(value or ""), "<i4")) for key, value in part]
 
-    fields = [pa.field(doc_id, pa.int64()), pa.field("ids", pa.list_(pa.int64()))]
+    fields = [pa.field(doc_id, pa.int64()), pa.field("ids", pa.list_(pa.int32()))]
     return map_rows(
         docs.select(typed(docs, doc_id, "bigint"), typed(docs, text, "string")),
-        rows, fields, f"`{doc_id}` bigint, ids array<bigint>",
+        rows, fields, f"`{doc_id}` bigint, ids array<int>",
     )
 
 
@@ -142,11 +142,12 @@ def decode_documents(encoded: DataFrame, ranks: str, ids: str = "ids", doc_id: s
 
 
 def round_trip_digests(
-    docs: DataFrame, ranks: str, text: str = "text", doc_id: str = "doc_id", leaf_chars: int = LEAF_CHARS
-) -> DataFrame:
+    docs: DataFrame, ranks: str, text: str = "text", doc_id: str = "doc_id", leaf_chars: int = LEAF_CHARS,
+    with_ids: bool = False,
+) -> DataFrame:
     """Rows ``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoding and decoding in one pass.
 
-    Digests are those of the ids as little-endian unsigned 32-bit integers and of the decoded
+    ``with_ids`` adds the ids themselves (array<int>). Digests are those of the ids as little-endian unsigned 32-bit integers and of the decoded
     bytes. Nulls, repeated rows and other columns as in ``encode_documents``.
     """
 
@@ -154,14 +155,13 @@ def round_trip_digests(
         use, made = codec(ranks, leaf_chars), []
         for key, value in part:
             ids = use.encode(value or "")
-            made.append((key, len(ids) // 4, sha256(ids).hexdigest(), sha256(use.decode(ids)).hexdigest()))
+            row = (key, len(ids) // 4, sha256(ids).hexdigest(), sha256(use.decode(ids)).hexdigest())
+            made.append((*row, np.frombuffer(ids, "<i4")) if with_ids else row)
         return made
 
     fields = [
         pa.field(doc_id, pa.int64()), pa.field("n_tokens", pa.int64()),
         pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string()),
-    ]
-    return map_rows(
-        docs.select(typed(docs, doc_id, "bigint"), typed(docs, text, "string")),
-        rows, fields, f"`{doc_id}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-    )
+    ] + [pa.field("ids", pa.list_(pa.int32()))] * with_ids
+    schema = f"`{doc_id}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_rows(docs.select(typed(docs, doc_id, "bigint"), typed(docs, text, "string")), rows, fields, schema)
