@@ -35,6 +35,11 @@ def ends_page_load(status: Column) -> Column:
     return F.coalesce(status.between(200, 299), F.lit(False))
 
 
+def ends_catalogue_request(status: Column, content_type: Column) -> Column:
+    """Only success with a JSON answer ends a request to the catalogue (two attempts at most)."""
+    return classify_response(status, content_type) == "ok"
+
+
 def resolve_attempts(
     attempts: DataFrame, limit: int = 3, terminal: Column | None = None
 ) -> DataFrame:

@@ -29,7 +29,7 @@ from deckweave.operators.index import (
     usable,
     without_placeholders,
 )
-from deckweave.session import cut_lineage
+from deckweave.session import cut_lineage, lasting_tables
 
 BLOCK_BYTES = 64 << 20
 PIVOTS = 1024
@@ -146,27 +146,33 @@ class CellIndex:
         self.block_bytes = block_bytes
         self._blocks: dict[int, _Blocks | None] = {}
 
-    def match(self, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-        """``(query_id, idx, card_id, score, matched)``, one row per query id.
+    def match(
+        self, queries: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()
+    ) -> DataFrame:
+        """``(query_id, …, idx, card_id, score, matched)``, one row per query row.
 
-        The queries are read several times: where a model makes them, pass a written copy.
-        Queries of different lengths are matched one length at a time, as each length cuts the
+        The queries are written first, each row with a key of its own, so that ids may repeat or be
+        null and a model that makes the vectors runs once. ``carry`` names columns to keep. Queries of different lengths are matched one length at a time, as each length cuts the
         index differently.
         """
         check_threshold(threshold)
-        asked = queries.select("query_id", "embedding")
+        who = F.struct("query_id", *carry).alias("who")
+        keyed = queries.select(F.monotonically_increasing_id().alias("row"), who, "embedding")
+        written = cut_lineage(keyed, "asked")
+        asked = written.select("row", "embedding")
         # One row per length of vector, not per query.
         sizes = asked.where(F.size("embedding") > 0).select(F.size("embedding")).distinct()
         hit = hit_type(self.index)
-        best = asked.select("query_id", F.lit(None).cast(hit).alias("hit"))
+        best = written.select("row", "who", F.lit(None).cast(hit).alias("hit"))
         for length in sorted(row[0] for row in sizes.collect()):
             if length not in self._blocks:
-                self._blocks[length] = self._made(length)
+                with lasting_tables():
+                    self._blocks[length] = self._made(length)
             blocks = self._blocks[length]
             if blocks is not None:
                 same = asked.where((F.size("embedding") == length) & usable("embedding"))
                 for part in _search(same, blocks, threshold):
-                    best = best.unionByName(part)
+                    best = best.unionByName(part, allowMissingColumns=True)
         return _top(best)
 
     def _made(self, length: int) -> _Blocks | None:
@@ -266,10 +272,10 @@ def _search(queries: DataFrame, blocks: _Blocks, threshold: float) -> list[DataF
 
     at_home = cut_lineage(
         queries.withColumn("home", nearest_cell("embedding")).select(
-            "query_id",
+            "row",
             "embedding",
             (
-                F.col("home.cell") * SUB_BLOCKS + F.pmod(F.xxhash64("query_id"), "home.parts")
+                F.col("home.cell") * SUB_BLOCKS + F.pmod(F.xxhash64("row"), "home.parts")
             ).alias("block"),
         ),
         "home",
@@ -296,16 +302,16 @@ def _search(queries: DataFrame, blocks: _Blocks, threshold: float) -> list[DataF
 
     routed = cut_lineage(
         found.select(
-            "query_id",
+            "row",
             "embedding",
             "hit",
             F.array_remove(other_blocks("embedding", "hit.score"), F.col("block")).alias("blocks"),
         ),
         "routes",
     )
-    visits = routed.select("query_id", "embedding", F.explode("blocks").alias("block"))
+    visits = routed.select("row", "embedding", F.explode("blocks").alias("block"))
     return [
-        routed.select("query_id", "hit"),
+        routed.select("row", "hit"),
         _score(visits, blocks, threshold, keep_vector=False),
     ]
 
@@ -327,8 +333,8 @@ def _score(
         crowded = F.broadcast(crowded)
     left = visits.join(crowded, "block").select(
         "block",
-        F.pmod(F.xxhash64("query_id"), "shares").alias("share"),
-        "query_id",
+        F.pmod(F.xxhash64("row"), "shares").alias("share"),
+        "row",
         "embedding",
     )
     right = blocks.rows.join(crowded, "block").select(
@@ -339,7 +345,7 @@ def _score(
         "embedding",
     )
     fields = [
-        visits.schema["query_id"],
+        visits.schema["row"],
         T.StructField("hit", blocks.hit),
     ]
     if keep_vector:
@@ -348,7 +354,7 @@ def _score(
     def best(asked: pa.Table, held: pa.Table) -> pa.Table:
         vectors = nearest.one_chunk(asked["embedding"])
         found = nearest.hits(nearest.IndexRows(held, copies=False), vectors, threshold)
-        columns = {"query_id": asked["query_id"], "hit": found}
+        columns = {"row": asked["row"], "hit": found}
         if keep_vector:
             columns |= {"block": asked["block"], "embedding": vectors}
         return pa.table(columns)
@@ -361,7 +367,7 @@ def _score(
 
 
 def _top(best: DataFrame) -> DataFrame:
-    """The best hit of every query; queries that only have null hits are unmatched."""
+    """The best hit of every query row; rows that only have null hits are unmatched."""
     rank = F.when(
         F.col("hit.score").isNotNull(),
         F.struct(
@@ -371,10 +377,10 @@ def _top(best: DataFrame) -> DataFrame:
         ),
     )
     return (
-        best.groupBy("query_id")
-        .agg(F.min(rank).alias("top"))
+        best.groupBy("row")
+        .agg(F.min(rank).alias("top"), F.first("who", ignorenulls=True).alias("who"))
         .select(
-            "query_id",
+            "who.*",
             "top.idx",
             "top.card_id",
             (-F.col("top.order")).alias("score"),

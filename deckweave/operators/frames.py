@@ -127,3 +127,16 @@ def page_of(df: DataFrame, page: int = 1, size: int = 5, order: str | Column = "
     left = F.col("totalCount") - (page - 1) * size
     counted = F.greatest(F.lit(0), F.least(F.lit(size), left)).alias("count")
     return numbered.select(*rows.columns, "page", "pageSize", counted, "totalCount")
+
+
+def page_counts(df: DataFrame, page: int = 1, size: int = 5) -> DataFrame:
+    """``page, pageSize, count, totalCount`` of a page as one row, also of a page past the end."""
+    if page < 1 or size < 1:
+        raise ValueError("page and size start at 1")
+    left = F.col("totalCount") - (page - 1) * size
+    return row_count(df, "totalCount").select(
+        F.lit(page).alias("page"),
+        F.lit(size).alias("pageSize"),
+        F.greatest(F.lit(0), F.least(F.lit(size), left)).alias("count"),
+        "totalCount",
+    )

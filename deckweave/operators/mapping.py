@@ -3,24 +3,30 @@
 Both send one column to Python in Arrow batches; the other columns of the row stay in the JVM.
 """
 
-import uuid
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-# Models of this Python worker, by the plan that uses them.
+# The model of this Python worker: the last one used, by its factory's serialised form.
 _loaded: dict[str, Callable] = {}
+# Images of one call of a model that takes many.
+MODEL_BATCH = 64
+NO_OUTPUT = "the model gave no vector"
 
 
-def _model(plan: str, factory: Callable[[], Callable]) -> Callable:
-    if plan not in _loaded:
-        _loaded[plan] = factory()
-    return _loaded[plan]
+def _model(key: str, factory: Callable[[], Callable]) -> Callable:
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = factory()
+    return _loaded[key]
 
 
 def _vector_of(output: Any) -> np.ndarray | None:
@@ -31,14 +37,38 @@ def _vector_of(output: Any) -> np.ndarray | None:
     return None if data is None else np.asarray(data, dtype=np.float32).ravel()
 
 
+def _outcome(model: Callable, image: Any) -> tuple[np.ndarray | None, str | None]:
+    try:
+        vector = _vector_of(model(image))
+    except Exception as failure:
+        return None, f"{type(failure).__name__}: {failure}"
+    return vector, None if vector is not None else NO_OUTPUT
+
+
+def _outcomes(model: Callable, images: list) -> list[tuple[np.ndarray | None, str | None]]:
+    """Vector and error of each image, in one call where the model takes many."""
+    many = getattr(model, "many", None)
+    if many is not None:
+        try:
+            vectors = [_vector_of(output) for output in many(images)]
+            if len(vectors) == len(images):
+                return [(vector, None if vector is not None else NO_OUTPUT) for vector in vectors]
+        except Exception:
+            pass  # one image may have spoilt the call: they are tried one by one
+    return [_outcome(model, image) for image in images]
+
+
 def embed(content: Column | str, factory: Callable[[], Callable]) -> Column:
     """``struct<embedding: array<float>, error: string>`` of every image.
 
-    ``factory`` gives a function from image to output and is called once per Python worker.
+    ``factory`` gives a function from image to output. A Python worker calls it once and keeps its
+    model until another factory is used. A model with a method ``many`` gets the images of a batch
+    as lists of up to ``MODEL_BATCH`` and returns as many outputs; where that raises, its images
+    are tried one by one.
     Where the function raises, or gives neither ``.data`` nor an array, there is no vector and
     the error says why; other rows are unaffected.
     """
-    plan = uuid.uuid4().hex
+    key = sha256(cloudpickle.dumps(factory)).hexdigest()
     kind = T.StructType(
         [
             T.StructField("embedding", T.ArrayType(T.FloatType())),
@@ -46,26 +76,18 @@ def embed(content: Column | str, factory: Callable[[], Callable]) -> Column:
         ]
     )
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = _model(plan, factory)
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = _model(key, factory)
         for batch in batches:
             vectors, errors = [], []
-            for image in batch:
-                vector, error = None, None
-                try:
-                    vector = _vector_of(model(image))
-                    if vector is None:
-                        error = "Model failed to produce output"
-                except Exception as failure:
-                    error = f"{type(failure).__name__}: {failure}"
-                vectors.append(vector)
-                errors.append(error)
-            yield pd.DataFrame(
-                {
-                    "embedding": pd.Series(vectors, dtype=object),
-                    "error": pd.Series(errors, dtype=object),
-                }
+            for low in range(0, len(batch), MODEL_BATCH):
+                for vector, error in _outcomes(model, batch.slice(low, MODEL_BATCH).to_pylist()):
+                    vectors.append(vector)
+                    errors.append(error)
+            yield pa.StructArray.from_arrays(
+                [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],
+                names=["embedding", "error"],
             )
 
     return run(content)
@@ -75,27 +97,27 @@ def try_map(value: Column | str, function: Callable[[Any], Any], kind: str | T.D
     """``struct<result, error: string>`` of a function over one value per row.
 
     A row on which the function raises has a null result and its error; every input row gives
-    one row. Workers, time limits and retries of lost tasks are settings of Spark.
+    one row. The function gets the value as it is, whatever stands in other rows: whole numbers
+    of any size, ``None`` for null, dates as dates. Workers, time limits and retries of lost tasks
+    are settings of Spark.
     """
     result = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
     both = T.StructType([T.StructField("result", result), T.StructField("error", T.StringType())])
+    wanted = to_arrow_type(result)
 
-    @F.pandas_udf(both)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(both)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             results, errors = [], []
-            for item in batch:
+            for item in batch.to_pylist():
                 try:
                     results.append(function(item))
                     errors.append(None)
                 except Exception as failure:
                     results.append(None)
                     errors.append(f"{type(failure).__name__}: {failure}")
-            yield pd.DataFrame(
-                {
-                    "result": pd.Series(results, dtype=object),
-                    "error": pd.Series(errors, dtype=object),
-                }
+            yield pa.StructArray.from_arrays(
+                [pa.array(results, wanted), pa.array(errors, pa.string())], names=["result", "error"]
             )
 
     return run(value)

@@ -56,8 +56,13 @@ def keep_unmatched(queries: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def with_card(matches: DataFrame, cards: DataFrame, key: str = "card_id") -> DataFrame:
-    """Matches with the columns of their card; unmatched queries stay."""
-    return matches.join(cards, key, "left")
+    """Matches with the columns of their card; unmatched queries stay.
+
+    Only rows with a card id are joined. The others, which may be most, get null columns where
+    they are: in a join their null key would bring all of them into one task.
+    """
+    found = matches.where(F.col(key).isNotNull()).join(cards, key, "left")
+    return found.unionByName(matches.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def match(
@@ -66,21 +71,28 @@ def match(
     threshold: float = THRESHOLD,
     small_bytes: int = SMALL_INDEX_BYTES,
 ) -> DataFrame:
-    """``(query_id, idx, card_id, score, matched)``, one row per query."""
+    """``(query_id, idx, card_id, score, matched)``, one row per query row, repeated ids or not."""
     index = index.select("idx", "card_id", "embedding")
-    if index_bytes(index) <= small_bytes:
-        return match_small_index(queries, index, threshold)
+    size = index_bytes(index)
+    if size <= min(small_bytes, SMALL_INDEX_BYTES):
+        return match_small_index(queries, index, threshold, size=size)
     return match_large_index(queries, index, threshold)
 
 
-def hit_column(index: DataFrame, threshold: float = THRESHOLD, query: str = "embedding") -> Column:
+def hit_column(
+    index: DataFrame, threshold: float = THRESHOLD, query: str = "embedding", size: int | None = None
+) -> Column:
     """``struct<idx, card_id, score>`` of the best match of a vector column, for a small index.
 
-    The caller has checked the size (``index_bytes``). A map over rows, so it works on streams
-    as on tables; other columns stay in the JVM.
+    A map over rows, so it works on streams as on tables; other columns stay in the JVM. An index
+    beyond ``SMALL_INDEX_BYTES`` is refused, as it would go to every worker.
     """
     check_threshold(threshold)
     index = index.select("idx", "card_id", "embedding")
+    if size is None:
+        size = index_bytes(index)
+    if size > SMALL_INDEX_BYTES:
+        raise ValueError(f"an index of {size} bytes is too large to send to every worker; use match")
     rows = nearest.IndexRows(without_placeholders(index).toArrow())
     shared: Broadcast = index.sparkSession.sparkContext.broadcast(rows)
 
@@ -93,12 +105,16 @@ def hit_column(index: DataFrame, threshold: float = THRESHOLD, query: str = "emb
 
 
 def match_small_index(
-    queries: DataFrame, index: DataFrame, threshold: float = THRESHOLD
+    queries: DataFrame,
+    index: DataFrame,
+    threshold: float = THRESHOLD,
+    carry: tuple[str, ...] = (),
+    size: int | None = None,
 ) -> DataFrame:
-    """Best match with the whole index at every worker."""
-    hits = queries.select("query_id", hit_column(index, threshold).alias("hit"))
+    """Best match with the whole index at every worker; ``carry`` names columns to keep."""
+    hits = queries.select("query_id", *carry, hit_column(index, threshold, size=size).alias("hit"))
     return hits.select(
-        "query_id", "hit.idx", "hit.card_id", "hit.score", F.col("hit.score").isNotNull().alias("matched")
+        "query_id", *carry, "hit.idx", "hit.card_id", "hit.score", F.col("hit.score").isNotNull().alias("matched")
     )
 
 
@@ -108,6 +124,7 @@ def match_large_index(
     threshold: float = THRESHOLD,
     pivots: int = PIVOTS,
     block_bytes: int = BLOCK_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best match with an index of any size. To search one index again, keep a ``CellIndex``."""
-    return CellIndex(index, pivots, block_bytes).match(queries, threshold)
+    return CellIndex(index, pivots, block_bytes).match(queries, threshold, carry)

@@ -10,6 +10,7 @@ from deckweave.operators import match as matching
 from deckweave.operators.mapping import embed
 from deckweave.session import cut_lineage
 
+# The two answers for an image without a card.
 NO_MATCH = "No matching card found."
 FAILED = "Failed to scan image."
 
@@ -54,12 +55,37 @@ def match_images(
     query_id: str,
     threshold: float = matching.THRESHOLD,
 ) -> DataFrame:
-    """Best card of every image: ``(query_id, idx, card_id, score, matched)``.
+    """Best card of every image, one row each:
+    ``(query_id, idx, card_id, score, matched, error, message)``.
 
-    The search in a large index reads its queries several times, so their vectors are written
-    first and the model runs once per image.
+    ``message`` tells a failed image from one without a match. The index is written first, as it
+    is read more than once and may come from a model; the model runs once per image and card.
     """
     queries = embed_queries(images, factory, image, query_id)
-    if matching.index_bytes(index) <= matching.SMALL_INDEX_BYTES:
-        return matching.match_small_index(queries, index, threshold)
-    return matching.match_large_index(cut_lineage(queries, "queries"), index, threshold)
+    index = cut_lineage(index.select("idx", "card_id", "embedding"), "index")
+    return scan_results(queries, index, threshold)
+
+
+def scan_results(
+    queries: DataFrame,
+    index: DataFrame,
+    threshold: float = matching.THRESHOLD,
+    small_bytes: int = matching.SMALL_INDEX_BYTES,
+) -> DataFrame:
+    """Results for query vectors ``(query_id, embedding, error)``, one row per query row.
+
+    ``message`` says why there is no card; an image that failed spoils no other.
+    """
+    size = matching.index_bytes(index)
+    if size <= min(small_bytes, matching.SMALL_INDEX_BYTES):
+        found = matching.match_small_index(queries, index, threshold, ("error",), size)
+    else:
+        found = matching.match_large_index(queries, index, threshold, carry=("error",))
+    return with_message(found)
+
+
+def with_message(found: DataFrame) -> DataFrame:
+    message = F.when(F.col("error").isNotNull(), FAILED).when(~F.col("matched"), NO_MATCH)
+    return found.select(
+        "query_id", "idx", "card_id", "score", "matched", "error", message.alias("message")
+    )

@@ -404,6 +404,17 @@ def catalogue_page(spark, folder):
     return catalogue.catalogue_page(cards, F.col("set.id") == "Brand#2", page=2, size=5).drop("set")
 
 
+@query(
+    "F4",
+    """
+    SELECT 100000 AS page, 5 AS "pageSize", 0 AS count, count(*) AS "totalCount"
+    FROM part WHERE p_brand = 'Brand#2'""",
+)
+def catalogue_page_past_end(spark, folder):
+    cards = _part_cards(spark, folder).where(F.col("set.id") == "Brand#2")
+    return frames.page_counts(cards, page=100000, size=5)
+
+
 @query(
     "F4",
     """

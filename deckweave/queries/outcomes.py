@@ -7,6 +7,7 @@ from deckweave.functions import numbers, text
 from deckweave.operators import attempts
 from deckweave.operators.mapping import try_map
 from deckweave.queries import query, table
+from deckweave.sources import catalogue as card_source
 
 LIMIT = 3
 
@@ -160,3 +161,73 @@ def error_map(spark, folder):
     done = try_map("c_acctbal", root_of_balance, "double")
     rows = table(spark, folder, "customer").select("c_custkey", done.alias("done"))
     return rows.select("c_custkey", F.round("done.result", 6).alias("result"), "done.error")
+
+
+def successor(number: int | None) -> int | None:
+    """A job on whole numbers of any size that fails on some rows."""
+    if number is not None and number % 5 == 0:
+        raise ValueError("multiple of five")
+    return None if number is None else number + 1
+
+
+_LARGE = 9007199254740993
+
+
+@query(
+    "J3",
+    f"""
+    WITH numbers AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN {_LARGE} + o_orderkey END AS n FROM orders)
+    SELECT o_orderkey, CASE WHEN n % 5 <> 0 THEN n + 1 END AS result,
+           CASE WHEN n % 5 = 0 THEN 'ValueError: multiple of five' END AS error
+    FROM numbers""",
+)
+def error_map_integers(spark, folder):
+    number = F.when(F.col("o_custkey") % 7 != 0, F.col("o_orderkey").cast("bigint") + _LARGE)
+    done = try_map(number, successor, "bigint")
+    rows = table(spark, folder, "orders").select("o_orderkey", done.alias("done"))
+    return rows.select("o_orderkey", "done.result", "done.error")
+
+
+def _turns_as_requests(spark, folder):
+    """Turns as requests to the catalogue: users get pages in place of JSON, assistants get JSON."""
+    role = F.col("role")
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("key"),
+        (F.col("turn") + 1).alias("attempt"),
+        F.when(F.col("turn") % 3 != 2, 200).otherwise(503).alias("status"),
+        role.alias("error"),
+        F.when(role == "assistant", "application/json").otherwise("text/html").alias("content_type"),
+    )
+
+
+@query(
+    "E1 B16",
+    """
+    WITH attempts AS (
+        SELECT conv_id AS key, turn + 1 AS attempt, CASE WHEN turn % 3 <> 2 THEN 200 ELSE 503 END AS status,
+               role AS error FROM conversations),
+    first_two AS (SELECT * FROM attempts WHERE attempt <= 2)"""
+    + _resolved_sql("status = 200 AND error = 'assistant'", "first_two"),
+)
+def catalogue_request_resolution(spark, folder):
+    ends = attempts.ends_catalogue_request(F.col("status"), F.col("content_type"))
+    return attempts.resolve_attempts(_turns_as_requests(spark, folder), 2, ends)
+
+
+@query(
+    "A12 E1",
+    """
+    WITH ended AS (
+        SELECT 1 FROM conversations WHERE turn < 2 AND turn % 3 <> 2 AND role = 'nobody')
+    SELECT c_custkey AS id, c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM ended)
+    UNION ALL
+    SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM ended)""",
+)
+def fallback_failure_branch(spark, folder):
+    """All requests of all conversations as one: each answered, none with JSON."""
+    requests = _turns_as_requests(spark, folder).withColumn("content_type", F.lit("text/html"))
+    ends = attempts.ends_catalogue_request(F.col("status"), F.col("content_type"))
+    outcome = attempts.resolve_attempts(requests, 2, ends)
+    primary = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    fallback = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return card_source.with_fallback_on_failure(primary, fallback, outcome)

@@ -114,4 +114,7 @@ ATTEMPT = _record(
     key=T.StringType(), attempt=T.IntegerType(), status=T.IntegerType(), error=T.StringType()
 )
 
+# An attempt of a request that wants JSON, with what the answer says it is.
+TYPED_ATTEMPT = T.StructType([*ATTEMPT.fields, T.StructField("content_type", T.StringType())])
+
 IMAGE = _record(id=T.StringType(), content=T.BinaryType())

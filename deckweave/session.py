@@ -1,8 +1,11 @@
 """Session settings and the shared folder for tables that cut a plan's lineage."""
 
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,12 +48,16 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary folder made.
+    Only where a session on one machine names none (tests) is a temporary folder made; executors
+    elsewhere would write to disks of their own.
     """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="deckweave-")
     return _own_folder
@@ -71,11 +78,41 @@ def remove_scratch(spark: SparkSession) -> None:
 
     To be called when the results that were read from there are written elsewhere.
     """
+    _delete(spark, _scratch_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Tables written inside the innermost ``passing_tables``, by thread of the driver.
+_passing = threading.local()
+
+
+@contextmanager
+def passing_tables() -> Iterator[None]:
+    """Delete what ``cut_lineage`` writes inside, at the end: for work whose result is stored by then."""
+    outer, _passing.written = getattr(_passing, "written", None), []
+    try:
+        yield
+    finally:
+        for spark, path in _passing.written:
+            _delete(spark, path)
+        _passing.written = outer
+
+
+@contextmanager
+def lasting_tables() -> Iterator[None]:
+    """Keep what ``cut_lineage`` writes inside, within ``passing_tables``: for what later work reuses."""
+    outer, _passing.written = getattr(_passing, "written", None), None
+    try:
+        yield
+    finally:
+        _passing.written = outer
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and go on from the written copy.
 
@@ -83,5 +120,7 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     and later readers prune columns of the Parquet files.
     """
     path = scratch_path(df.sparkSession, name)
+    if getattr(_passing, "written", None) is not None:
+        _passing.written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

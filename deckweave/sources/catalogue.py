@@ -47,10 +47,11 @@ def with_fallback_on_failure(
     """The fallback rows where the request failed, else the primary rows, even if there are
     none.
 
-    ``outcome`` is the request's row of ``resolve_attempts``; a request succeeded if its status
-    is 2xx.
+    ``outcome`` is the request's row of ``resolve_attempts``; a request succeeded if an attempt
+    ended it with status 2xx. An answer that ended nothing is a failure whatever its status, such
+    as a page in place of JSON.
     """
-    success = outcome.where(F.col("status").between(200, 299))
+    success = outcome.where(F.col("resolved") & F.col("status").between(200, 299))
     return primary.where(success.exists()).unionByName(
         fallback.where(~success.exists()), allowMissingColumns=True
     )

@@ -11,29 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from deckweave.operators import match as matching
 from deckweave.operators.cells import CellIndex
-from deckweave.plans.scan import FAILED, NO_MATCH, embed_queries
-from deckweave.session import cut_lineage
-
-
-def scan_results(
-    queries: DataFrame, index: DataFrame, threshold: float = matching.THRESHOLD
-) -> DataFrame:
-    """Results for query vectors ``(query_id, embedding, error)`` and a small index.
-
-    A map over rows, for streams and tables alike. ``message`` says why there is no card; an
-    image that failed spoils no other.
-    """
-    hit = matching.hit_column(index, threshold)
-    found = queries.select("query_id", "error", hit.alias("hit"))
-    return _with_message(found.select("query_id", "hit.idx", "hit.card_id", "hit.score", "error"))
-
-
-def _with_message(found: DataFrame) -> DataFrame:
-    matched = F.col("score").isNotNull()
-    message = F.when(F.col("error").isNotNull(), FAILED).when(~matched, NO_MATCH)
-    return found.select(
-        "query_id", "idx", "card_id", "score", matched.alias("matched"), "error", message.alias("message")
-    )
+from deckweave.plans.scan import embed_queries, with_message
+from deckweave.session import cut_lineage, passing_tables
 
 
 def start_scan(
@@ -51,30 +30,37 @@ def start_scan(
     """Start the stream of images into a Parquet sink.
 
     With a factory the images are embedded first; without one the stream already holds
-    ``(query_id, embedding, error)``. The index is measured: a small one is matched by a map
-    and the file sink commits each batch once; a large one is matched batch by batch, each
-    batch overwriting its own folder, so a repeated batch leaves no second copy; its cells are
-    made once, and ``batch`` is a column of what is read back. Every result
-    row carries its query id. ``once`` stops when the files that are there are done.
+    ``(query_id, embedding, error)``. Each batch overwrites its own folder of the sink, so a
+    repeated batch leaves no second copy; ``batch`` is a column of what is read back. The index is
+    written once and measured: a small one goes to every worker, a large one is cut into cells
+    once. Rows and layout are the same for both. Tables written on the way are deleted with their
+    batch. Every result row carries its query id. ``once`` stops when the files that are there are
+    done.
     """
     queries = images if factory is None else embed_queries(images, factory, image, query_id)
-    if matching.index_bytes(index) <= small_bytes:
-        writer = (
-            scan_results(queries, index, threshold)
-            .writeStream.format("parquet")
-            .option("path", sink)
-            .outputMode("append")
-        )
+    stored = cut_lineage(index.select("idx", "card_id", "embedding"), "index")
+    size = matching.index_bytes(stored)
+    if size <= min(small_bytes, matching.SMALL_INDEX_BYTES):
+        hit = matching.hit_column(stored, threshold, size=size)
+
+        def matched(batch: DataFrame) -> DataFrame:
+            found = batch.select("query_id", "error", hit.alias("hit"))
+            return found.select(
+                "query_id", "hit.idx", "hit.card_id", "hit.score",
+                F.col("hit.score").isNotNull().alias("matched"), "error",
+            )
+
     else:
-        cells = CellIndex(index)
+        cells = CellIndex(stored)
+
+        def matched(batch: DataFrame) -> DataFrame:
+            return cells.match(batch, threshold, ("error",))
 
-        def match_batch(batch: DataFrame, number: int) -> None:
-            arrived = cut_lineage(batch.select("query_id", "embedding", "error"), "arrivals")
-            best = cells.match(arrived, threshold)
-            errors = arrived.select("query_id", "error")
-            result = _with_message(best.drop("matched").join(errors, "query_id", "left"))
+    def write_batch(batch: DataFrame, number: int) -> None:
+        with passing_tables():
+            result = with_message(matched(batch.select("query_id", "embedding", "error")))
             result.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={number}")
 
-        writer = queries.writeStream.foreachBatch(match_batch)
+    writer = queries.writeStream.foreachBatch(write_batch)
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -173,8 +173,8 @@ def test_empty_tables(spark, cases):
 def test_match_chooses_by_measured_size(spark, cases, monkeypatch):
     queries, index = cases
     chosen = []
-    monkeypatch.setattr(matching, "match_small_index", lambda *a: chosen.append("small"))
-    monkeypatch.setattr(matching, "match_large_index", lambda *a: chosen.append("large"))
+    monkeypatch.setattr(matching, "match_small_index", lambda *a, **k: chosen.append("small"))
+    monkeypatch.setattr(matching, "match_large_index", lambda *a, **k: chosen.append("large"))
     size = matching.index_bytes(index)
     matching.match(queries, index, small_bytes=size)
     matching.match(queries, index, small_bytes=size - 1)

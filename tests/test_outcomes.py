@@ -86,5 +86,5 @@ def test_embed(spark):
     rows = images.select("id", embed("content", model).alias("made")).orderBy("id").collect()
     assert [r.made.embedding for r in rows] == [[1.0, 2.0], [3.5], [1.5, 2.5], None, None]
     assert [r.made.error for r in rows] == [
-        None, None, None, "Model failed to produce output", "RuntimeError: bad image",
+        None, None, None, "the model gave no vector", "RuntimeError: bad image",
     ]

@@ -16,7 +16,7 @@ EXPECTED = {
     "q2.img": ("c3", True, None, None),
     "q3.img": (None, False, "OSError: broken image", "Failed to scan image."),
     "q4.img": (None, False, None, "No matching card found."),
-    "q5.img": (None, False, "Model failed to produce output", "Failed to scan image."),
+    "q5.img": (None, False, "the model gave no vector", "Failed to scan image."),
 }
 
 
@@ -70,8 +70,23 @@ def test_tables_give_what_streams_give(spark, index, tmp_path, monkeypatch, smal
     if not small_bytes:
         monkeypatch.setattr(matching, "match_small_index", None)
     found = scan.match_images(images, index, Bytes, "content", "path")
-    got = {r.query_id.rsplit("/", 1)[1]: (r.card_id, r.matched) for r in found.collect()}
-    assert got == {name: row[:2] for name, row in EXPECTED.items()}
+    got = {r.query_id.rsplit("/", 1)[1]: (r.card_id, r.matched, r.error, r.message) for r in found.collect()}
+    assert got == EXPECTED
+
+
+@pytest.mark.parametrize("small_bytes", [matching.SMALL_INDEX_BYTES, 0])
+def test_repeated_ids_of_a_stream(spark, index, tmp_path, small_bytes):
+    source = tmp_path / "in"
+    rows = [(7, [1.0, 0.0, 0.0, 0.0], None), (7, [0.0, 1.0, 0.0, 0.0], None), (7, None, "bad file"), (None, [1.0, 1.0, 0.0, 0.0], None)]
+    schema = "query_id bigint, embedding array<float>, error string"
+    spark.createDataFrame(rows, schema).write.parquet(str(source))
+    arriving = spark.readStream.schema(schema).parquet(str(source))
+    sink = str(tmp_path / "out")
+    start_scan(arriving, index, sink, str(tmp_path / "log"), small_bytes=small_bytes).awaitTermination()
+    found = spark.read.parquet(sink)
+    assert found.columns == ["query_id", "idx", "card_id", "score", "matched", "error", "message", "batch"]
+    got = sorted((str(r.query_id), str(r.card_id), str(r.error)) for r in found.collect())
+    assert got == [("7", "None", "bad file"), ("7", "c1", "None"), ("7", "c2", "None"), ("None", "c3", "None")]
 
 
 def test_a_vector_stream_needs_no_embedder(spark, index, tmp_path):
