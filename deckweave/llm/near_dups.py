@@ -3,11 +3,12 @@
 The similarity is the probability Jaccard of the texts' shingles weighted by how often they occur;
 where no shingle repeats it is the Jaccard similarity of the two sets.
 
-Texts with the same words are one text from the start. In each bucket of equal bands one member,
-the leader, is compared with all others of another class; similar ones join its class, and the
-leader leaves the bucket. Buckets whose members are of one class are done, the others go on, so in
-the end each pair of a bucket was compared or is in one class anyway, without pairs within a class
-of copies and without any bucket in one task.
+Texts with the same words are one text from the start. Texts that share a bucket of equal bands are
+candidates; chains of such texts are clusters, each of which is compared once, whatever number of
+buckets its texts share. A cluster is dealt out in blocks of bounded number and bytes, and each pair
+of blocks is a group of its own: a matrix product of the group's shingles bounds all similarities,
+those that may reach the threshold are computed exactly, and the group answers with links that
+connect its similar texts, never with its pairs.
 """
 
 from functools import lru_cache
@@ -29,9 +30,13 @@ THRESHOLD = 0.8
 #: A pair at the threshold is missed by all bands with a probability of (1 - 0.8**6)**32, 6 in 100,000.
 BANDS = 32
 BAND_ROWS = 6
-#: Rows of a sketching step, and comparisons that one copy of a leader's text serves.
+#: Rows of a sketching step.
 SKETCH_ROWS = 1024
-PER_LEADER = 256
+#: Texts and characters of a block of a cluster; a group is two blocks at most.
+BLOCK_TEXTS = 1024
+BLOCK_CHARS = 8 << 20
+#: Shingles of a step of the matrix product.
+STEP_SHINGLES = 4096
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,72 +160,92 @@ def _sketched(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.length("words") > 0).select("node", "words").mapInArrow(run, "bucket bigint, node bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar. A leader's text is copied for many partners."""
-    loads = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    copies = loads.join(texts, loads.a == texts.node).select(
-        "a", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PER_LEADER).cast("int"))).alias("copy"),
-        (F.floor((F.col("n") - 1) / PER_LEADER) + 1).alias("copies"), F.col("words").alias("a_words"),
-    )
-    dealt = pairs.join(loads, "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.floor((F.col("n") - 1) / PER_LEADER) + 1).cast("int").alias("copy")
+def shared_mass(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each pair of weighted sets, the share of the first one's weight on common elements."""
+    count = len(texts)
+    total = np.zeros((count, count), np.float32)
+    owner = np.repeat(np.arange(count), [len(x) for x, _ in texts])
+    if not len(owner):
+        return total
+    weight = np.concatenate([n / n.sum() for _, n in texts if len(n)]).astype(np.float32)
+    names, code, often = np.unique(np.concatenate([x for x, _ in texts]), return_inverse=True, return_counts=True)
+    # An element of one set alone is common to none.
+    place = np.cumsum(often > 1) - 1
+    used = often[code] > 1
+    owner, weight, code = owner[used], weight[used], place[code[used]]
+    order = np.argsort(code, kind="stable")
+    owner, weight, code = owner[order], weight[order], code[order]
+    for low in range(0, int((often > 1).sum()), STEP_SHINGLES):
+        first, last = np.searchsorted(code, [low, low + STEP_SHINGLES])
+        there = np.zeros((count, STEP_SHINGLES), np.float32)
+        there[owner[first:last], code[first:last] - low] = weight[first:last]
+        total += there @ (there > 0).astype(np.float32).T
+    return total
+
+
+def similar_links(texts: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect all texts which chains of similar pairs connect.
+
+    Pairs on one side count only if all texts are on one side. The similarity of two sets is at
+    most the weight of either on their common elements, so only pairs that reach the threshold by
+    that are computed, and of those none that earlier links connect.
+    """
+    mass = shared_mass(texts)
+    able = np.triu(np.minimum(mass, mass.T) >= threshold - 1e-4, 1)
+    if side.min() != side.max():
+        able &= side[:, None] != side[None, :]
+    first, second = np.nonzero(able)
+    order = np.argsort(-mass[first, second], kind="stable")
+    root = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in zip(first[order].tolist(), second[order].tolist()):
+        a, b = find(i), find(j)
+        if a != b and similarity(texts[i], texts[j]) >= threshold:
+            root[max(a, b)] = min(a, b)
+            links.append((i, j))
+    return links
+
+
+def _links(clusters: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between similar texts from rows ``cluster, node, words``."""
+    sizes = clusters.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.length("words")) / BLOCK_CHARS)).alias("blocks")
     )
-    both = (
-        dealt.join(texts, dealt.b == texts.node)
-        .select("a", "copy", "b", F.col("words").alias("b_words"))
-        .join(copies.drop("copies"), ["a", "copy"])
-        .select("a", "b", "a_words", "b_words")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    dealt = (
+        clusters.join(sizes, "cluster")
+        .select("cluster", "node", "words", own.alias("own"), F.explode(every).alias("other"))
+        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "words", "own")
     )
 
-    def rows(part):
-        made, last, left = [], None, None
-        for a, b, a_words, b_words in part:
-            if a != last:
-                last, left = a, shingles(a_words)
-            if similarity(left, shingles(b_words)) >= threshold:
-                made.append((a, b))
-        return made
+    def compare(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_pylist()
+        texts = [shingles(words) for words in group.column("words").to_pylist()]
+        found = similar_links(texts, np.array(group.column("own").to_pylist()), threshold)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
 
-    return arrow.map_rows(both, rows, [pa.field("a", pa.int64()), pa.field("b", pa.int64())], "a bigint, b bigint")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _classes(nodes: DataFrame, threshold: float) -> DataFrame:
     """Rows ``node, label`` of all texts that are in a class with another one."""
-    spark = nodes.sparkSession
     buckets = cut_lineage(_sketched(nodes), "bands")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(buckets.join(shared.select("bucket"), "bucket"), "members")
-    texts = cut_lineage(nodes.join(members.select("node").distinct(), "node").select("node", "words"), "candidates")
-    classes = spark.createDataFrame([], "node bigint, label bigint")
-    turn = 0
-    while True:
-        labelled = members.join(classes, "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label")
-        )
-        # First the least node of each bucket, later one by a hash, so that buckets try different ones.
-        rank = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
-        leaders = (
-            labelled.groupBy("bucket")
-            .agg(F.min(F.struct(rank.alias("rank"), "node", "label")).alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"))
-            .where("low < high")
-            .select("bucket", F.col("leader.node").alias("leader"), F.col("leader.label").alias("leader_label"))
-        )
-        open_ = cut_lineage(labelled.join(leaders, "bucket").where("node != leader"), "members")
-        pairs = cut_lineage(
-            open_.where("label != leader_label").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
-        )
-        if pairs.isEmpty():
-            return classes
-        links = cut_lineage(_verified(pairs, texts, threshold), "links")
-        if not links.isEmpty():
-            # Classes that existed stay linked through their labels.
-            classes = cut_lineage(
-                connected_components(
-                    links.unionAll(classes.select(F.col("node").alias("a"), F.col("label").alias("b")))
-                ),
-                "classes",
-            )
-        members, turn = open_.select("bucket", "node"), turn + 1
+    # A chain through the least text of each bucket holds the bucket's texts together.
+    least = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
+    chains = buckets.join(least.select("bucket", "a"), "bucket").select("a", F.col("node").alias("b"))
+    candidates = connected_components(chains)
+    clusters = cut_lineage(
+        nodes.join(candidates, "node").select(F.col("label").alias("cluster"), "node", "words"), "clusters"
+    )
+    return connected_components(_links(clusters, threshold))
 
 
 def _nodes(keyed: DataFrame, doc_id: str) -> DataFrame:
