@@ -1,8 +1,9 @@
-"""Text helpers, all of them Column expressions but for HTML unescaping."""
+"""Text helpers, all of them Column expressions."""
 
-import html
+import json
+from html.entities import html5
+from zlib import crc32
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,20 +40,76 @@ def embedded_rows(page: Column | str, row: T.StructType) -> Column:
     return json_rows(embedded_json(page), row)
 
 
-def _unescape(texts: pa.Array) -> pa.Array:
-    plain = [None if text is None else html.unescape(text) for text in texts.to_pylist()]
-    return pa.array(plain, pa.string())
+# What html.unescape takes for a reference: numbers, or a name of up to 32 characters.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_BUCKETS = 4096
+
+
+def _name_table() -> Column:
+    """The names of the standard library's table, in buckets by checksum, as one literal."""
+    buckets: list[list[dict]] = [[] for _ in range(_BUCKETS)]
+    for name, characters in html5.items():
+        buckets[crc32(name.encode()) % _BUCKETS].append({"k": name, "v": characters})
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<k: string, v: string>>>")
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a number by the HTML standard: some stand for others, some for nothing."""
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    # Bytes of the Windows character set were once written as numbers.
+    western = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+    last = number.bitwiseAND(0xFFFF)
+    nothing = (
+        number.between(0x1, 0x8) | (number == 0xB) | number.between(0xE, 0x1F) | (number == 0x7F)
+        | number.between(0xFDD0, 0xFDEF) | (last >= 0xFFFE)
+    )
+    return (
+        F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd")
+        .when(number.between(0x80, 0x9F), F.substring(F.lit(western), (number - 0x7F).cast("int"), F.lit(1)))
+        .when(nothing, "")
+        .otherwise(plain)
+    )
+
+
+def _resolved(reference: Column, names: Column) -> Column:
+    """The text of one reference; one that means nothing stays as it is."""
+
+    digits = F.regexp_extract(reference, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    base = F.when(reference.rlike("^&#[xX]"), 16).otherwise(10)
+    # No code point has more than seven digits.
+    number = F.when(F.length(digits) > 7, F.lit(0x110000).cast("bigint")).otherwise(
+        F.coalesce(
+            F.when(base == 16, F.conv(F.concat(F.lit("0"), digits), 16, 10)).otherwise(F.concat(F.lit("0"), digits)).cast("bigint"),
+            F.lit(0),
+        )
+    )
+    name = F.substring(reference, F.lit(2), F.length(reference))
+
+    def begun(n: Column) -> Column:
+        """The reference with its first ``n`` letters as a name, null where they are none."""
+        first = F.substring(name, F.lit(1), n)
+        bucket = F.get(names, (F.crc32(F.encode(first, "UTF-8")) % _BUCKETS).cast("int"))
+        known = F.get(F.filter(bucket, lambda e: e["k"] == first), F.lit(0))["v"]
+        return F.when(n <= F.length(name), F.concat(known, F.substring(name, n + 1, F.length(name))))
+
+    # Old names need no semicolon, and the longest that begins the reference counts; they have 2 to 6 letters.
+    lengths = F.array(F.length(name), *[F.lit(n) for n in range(6, 1, -1)])
+    known = F.get(F.array_compact(F.transform(lengths, begun)), F.lit(0))
+    return F.when(reference.startswith("&#"), _code_point(number)).otherwise(F.coalesce(known, reference))
 
 
 def unescape_html(text: Column | str) -> Column:
-    """Resolve HTML entities; null stays null.
+    """Resolve HTML references as the standard library does; null stays null.
 
-    Spark has no such function. Texts without ``&`` have nothing to resolve and are not sent
-    to Python; several columns of one table go there in one pass.
+    Column expressions alone: the text is cut at its references, each is looked up, and the parts
+    are put together again. Texts without ``&`` are passed on.
     """
     value = F.col(text) if isinstance(text, str) else text
-    resolve = F.arrow_udf(_unescape, T.StringType())
-    return F.coalesce(resolve(F.when(F.contains(value, F.lit("&")), value)), value)
+    names = _name_table()
+    gaps = F.split(value, _REFERENCE)
+    found = F.transform(F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0)), lambda r: _resolved(r, names))
+    joined = F.array_join(F.flatten(F.zip_with(gaps, found, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
+    return F.when(F.contains(value, F.lit("&")), joined).otherwise(value)
 
 
 def percent_match(score: Column) -> Column:

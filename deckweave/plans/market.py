@@ -76,7 +76,7 @@ def market_clean(raw: DataFrame, date_pattern: str | None = None, lenient: bool
     names = set(RENAMES)
     # Fields that are dropped later are dropped first, so their texts are not unescaped.
     fields = raw.select(*[c for c in raw.columns if c in names or c in RENAMES.values()])
-    clean = frames.map_text_columns(fields, text.unescape_html)
+    clean = frames.map_texts_together(fields, text.unescape_html)
     clean = frames.keep_columns(frames.rename_present(clean, RENAMES), RENAMES.values())
     clean = frames.cast_columns(clean, frames.columns_matching(clean, "preco"), "double", lenient)
     return frames.to_dates(clean, ["date"], date_pattern) if "date" in clean.columns else clean

@@ -263,7 +263,7 @@ def json_fields(spark, folder):
     FROM pages""",
 )
 def html_unescape(spark, folder):
-    plain = frames.map_text_columns(table(spark, folder, "pages"), text.unescape_html)
+    plain = frames.map_texts_together(table(spark, folder, "pages"), text.unescape_html)
     return plain.select(
         "page_id", "url", F.length("html").alias("characters"), F.md5("html").alias("digest")
     )

@@ -1,14 +1,14 @@
-"""Plain pandas and loops for four headline jobs, to compare ``bench.py`` with.
+"""DuckDB, pandas and numpy for four headline jobs, to compare ``bench.py`` with.
 
 ``python tests/single_node.py [FOLDER]`` prints one JSON line. Each job reads its Parquet files.
 """
 
 import html
 import json
-import re
 import sys
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 
@@ -16,31 +16,22 @@ FOLDER = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
 
 
 def collection_summary():
-    items = pd.read_parquet(f"{FOLDER}/lineitem.parquet")
-    parts = pd.read_parquet(f"{FOLDER}/part.parquet")
-    rows = items.merge(parts, left_on="l_partkey", right_on="p_partkey")
-    rows["preco_min"] = rows["l_extendedprice"] * (1 - rows["l_discount"])
-    rows["preco_max"] = rows["l_extendedprice"] * (1 + rows["l_tax"])
-    totals = rows.groupby("p_brand").agg(
-        num_cards=("l_orderkey", "count"),
-        date=("l_shipdate", "min"),
-        preco_min=("preco_min", "sum"),
-        preco_mean=("l_extendedprice", "sum"),
-        preco_max=("preco_max", "sum"),
-    )
-    return totals.sort_values("date", ascending=False)
+    return duckdb.sql(f"""
+        SELECT p_brand, count(*) AS num_cards, min(l_shipdate) AS date,
+               sum(l_extendedprice * (1 - l_discount)) AS preco_min, sum(l_extendedprice) AS preco_mean,
+               sum(l_extendedprice * (1 + l_tax)) AS preco_max
+        FROM '{FOLDER}/lineitem.parquet' JOIN '{FOLDER}/part.parquet' ON l_partkey = p_partkey
+        GROUP BY p_brand ORDER BY date DESC""").arrow()
 
 
 def embedded_table():
-    events = pd.read_parquet(f"{FOLDER}/events.parquet")
-    frames = []
-    for event in events.itertuples():
-        page = "<html>\n<script>var cardsjson = " + json.dumps(
-            [{"id": str(event.event_id), "p1a": event.value}]
-        ) + ";\n</script></html>"
-        found = re.search(r"var cardsjson = (\[.*?\]);", page, re.DOTALL)
-        frames += json.loads(found.group(1))
-    return pd.DataFrame(frames)
+    return duckdb.sql(f"""
+        WITH pages AS (
+            SELECT '<html>' || chr(10) || '<script>var cardsjson = [{{"id": "' || event_id || '", "p1a": ' || value || '}}];'
+                   || chr(10) || '</script></html>' AS page
+            FROM '{FOLDER}/events.parquet'),
+        found AS (SELECT unnest(CAST(regexp_extract(page, 'var cardsjson = (\\[.*?\\]);', 1, 's') AS JSON[])) AS row FROM pages)
+        SELECT row->>'id' AS id, row->>'p1a' AS p1a FROM found""").arrow()
 
 
 def html_unescape():
@@ -49,19 +40,12 @@ def html_unescape():
 
 
 def best_match():
-    """One query after another, one index vector after another, as arrays."""
+    """One matrix product."""
     rows = pd.read_parquet(f"{FOLDER}/embeddings.parquet")["embedding"]
-    index = [np.asarray(v, dtype=np.float64) for v in rows]
-    found = []
-    for vector in index:
-        query = vector + 0.5 * vector[::-1]
-        length, best, place = np.sqrt(query @ query), -1.0, -1
-        for at, other in enumerate(index):
-            score = query @ other / (length * np.sqrt(other @ other))
-            if score > best:
-                best, place = score, at
-        found.append((place, best))
-    return found
+    index = np.stack([np.asarray(v, dtype=np.float64) for v in rows])
+    queries = index + 0.5 * index[:, ::-1]
+    scores = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ (index / np.linalg.norm(index, axis=1, keepdims=True)).T
+    return scores.argmax(axis=1), scores.max(axis=1)
 
 
 def main():

@@ -1,5 +1,7 @@
 import html
+import random
 from decimal import ROUND_HALF_UP, Decimal
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +131,19 @@ def test_waits(spark):
 def test_leading_text(spark):
     row = spark.range(1).select(text.leading_text(F.lit("é" * 60), 50), text.leading_text(F.lit("ab"), 200)).first()
     assert row[0] == "é" * 50 and row[1] == "ab"
+
+
+def test_references_as_in_the_standard_library(spark):
+    rng = random.Random(1)
+    texts = [
+        None, "", "&", "&&", "&amp;lt;", "a &lt b", "&notit;", "&#0;", "&#x80;", "&#128;x", "&#150", "&#xD800;", "&#1114112;",
+        "&#99999999999999999999;", "&#11;", "&#xFDD0;", "&#x1FFFF;", "&#129;", "&#13;", "&#x1F600;", "&#00065;", "&#x;", "&#;",
+        "&nosuch;", "&ampx", "&copy2024", "&acE;", "& amp;", "&" + "a" * 50, "&éx;", "x&ngE;y", "&fjlig;",
+    ]
+    texts += [f"x&{name}y &{name[:-1]}z" for name in rng.sample(sorted(html5), 150)]
+    parts = ["&", "amp", "lt", ";", "#", "x", "41", "233", " ", "é", "not", "in", "AMP;", "&copy", "&#x"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(map(tuple, rows.select("i", text.unescape_html("t")).collect()))
+    assert got == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    assert "ArrowEvalPython" not in rows.select(text.unescape_html("t"))._jdf.queryExecution().executedPlan().toString()
