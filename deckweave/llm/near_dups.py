@@ -35,6 +35,8 @@ SKETCH_ROWS = 1024
 #: Texts and characters of a block of a cluster; a group is two blocks at most.
 BLOCK_TEXTS = 1024
 BLOCK_CHARS = 8 << 20
+#: Candidates up to which their two numbers each are broadcast to the texts; beyond, texts are shuffled.
+BROADCAST_NODES = 2_000_000
 #: Shingles of a step of the matrix product.
 STEP_SHINGLES = 4096
 
@@ -241,9 +243,10 @@ def _classes(nodes: DataFrame, threshold: float) -> DataFrame:
     # A chain through the least text of each bucket holds the bucket's texts together.
     least = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
     chains = buckets.join(least.select("bucket", "a"), "bucket").select("a", F.col("node").alias("b"))
-    candidates = connected_components(chains)
+    candidates = cut_lineage(connected_components(chains), "candidates")
+    few = candidates.count() <= BROADCAST_NODES
     clusters = cut_lineage(
-        nodes.join(candidates, "node").select(F.col("label").alias("cluster"), "node", "words"), "clusters"
+        nodes.join(F.broadcast(candidates) if few else candidates, "node").select(F.col("label").alias("cluster"), "node", "words"), "clusters"
     )
     return connected_components(_links(clusters, threshold))
 
