@@ -31,6 +31,11 @@ def json_rows(text: Column, row: T.StructType) -> Column:
     return F.from_json(text, T.ArrayType(row), STRICT_JSON)
 
 
+def embedded_records(page: Column | str) -> Column:
+    """The table embedded in a page with every field of its rows as a text, by name."""
+    return F.from_json(embedded_json(page), "array<map<string, string>>", STRICT_JSON)
+
+
 def embedded_rows(page: Column | str, row: T.StructType) -> Column:
     """Rows of the table embedded in a page, null where there is none or its JSON is broken.
 

@@ -30,6 +30,7 @@ RENAMES = {
     "sNomePortugues": "nome_pt2",
 }
 
+MOST_FIELDS = 1000
 SUMMED = ("preco_min", "preco_mean", "preco_max")
 MEANS = tuple(f"{name}_mean" for name in SUMMED)
 
@@ -58,6 +59,26 @@ def market_rows(
     return page_rows(good, row)
 
 
+def raw_rows(pages: DataFrame, collections: DataFrame | None = None) -> DataFrame:
+    """Market rows of accepted pages with all fields that any of them has, as texts, and ``url``.
+
+    A pass over all pages finds the names of fields; those that are known come first. Pages with
+    more than ``MOST_FIELDS`` names are refused, as names would then be data.
+    """
+    good = page_source.accepted(pages)
+    if collections is not None:
+        good = page_source.in_collections(good, collections)
+    carrying = good.where(F.contains("html", F.lit(text.TABLE_MARKER)))
+    records = carrying.select("url", F.explode(text.embedded_records("html")).alias("record"))
+    names = records.select(F.explode(F.map_keys("record")).alias("name")).distinct()
+    found = {row.name for row in names.limit(MOST_FIELDS + 1).collect()}
+    if len(found) > MOST_FIELDS:
+        raise ValueError(f"the pages have more than {MOST_FIELDS} fields")
+    known = [name for name in schemas.MARKET_ROW.fieldNames() if name in found]
+    others = sorted(found - set(known) - {"url"})
+    return records.select(*[F.col("record")[name].alias(name) for name in known + others], "url")
+
+
 def variation_rows(
     pages: DataFrame, variation: str = "alta", period: str = "semana"
 ) -> DataFrame:

@@ -205,7 +205,7 @@ def csv_sink_texts(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
     path = scratch_path(spark, "raw-csv")
     files.write_csv(documents, path, mark=True)
-    return files.read_csv(spark, path, documents.schema)
+    return files.read_csv(spark, path, documents.schema, multi_line=True)
 
 
 @query(

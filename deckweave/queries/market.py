@@ -7,6 +7,8 @@ from deckweave.functions import numbers, text
 from deckweave.operators import frames
 from deckweave.plans import market
 from deckweave.queries import query, table
+from deckweave.session import scratch_path
+from deckweave.sources import files
 from deckweave.sources import pages as page_source
 
 
@@ -225,6 +227,59 @@ def market_clean(spark, folder):
     )
 
 
+def _flow_pages(spark, folder):
+    """Pages whose rows have three prices and a field that no declared row knows."""
+    row = F.struct(
+        F.parse_url("url", F.lit("HOST")).alias("sSigla"),
+        F.col("page_id").cast("string").alias("id"),
+        F.length("html").cast("string").alias("p1a"),
+        F.length("url").cast("string").alias("p1b"),
+        (F.length("url") * 2).alias("p1c"),
+        F.concat(F.date_format(_page_date(), "yyyy-MM-dd"), F.lit(" 10:30:00")).alias("dt"),
+        F.concat(F.lit('say "'), F.col("page_id"), F.lit('", or not')).alias("novo"),
+    )
+    script = F.concat(F.lit("<script>var cardsjson = "), F.to_json(F.array(row)), F.lit(";</script>"))
+    return table(spark, folder, "pages").select("url", F.lit(200).alias("status"), script.alias("html"))
+
+
+def _raw_csv(spark, folder):
+    raw = market.raw_rows(_flow_pages(spark, folder))
+    path = scratch_path(spark, "market-csv")
+    files.write_csv(raw, path, mark=True)
+    return files.read_csv(spark, path, raw.schema)
+
+
+@query(
+    "A9",
+    """
+    SELECT CAST(page_id AS VARCHAR) AS id, CAST(length(html) AS VARCHAR) AS p1a,
+           CAST(2 * length(url) AS VARCHAR) AS p1c, 'say "' || page_id || '", or not' AS novo, url
+    FROM pages""",
+)
+def csv_sink_market(spark, folder):
+    return _raw_csv(spark, folder).select("id", "p1a", "p1c", "novo", "url")
+
+
+@query(
+    "A3 A9 B2 B3 B4 B5 B6 B7 H1 D1 D2 F1 H13",
+    """
+    WITH market AS (
+        SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS colecao, page_id AS id,
+               DATE '2024-01-01' + CAST(length(url) AS INTEGER) AS date,
+               length(html) AS a, length(url) AS b, 2 * length(url) AS c
+        FROM pages)
+    SELECT colecao, count(*) AS num_cards, strftime(min(date), '%Y-%m-%d') AS date,
+           CAST(sum(a) AS DOUBLE) AS preco_min, CAST(sum(b) AS DOUBLE) AS preco_mean, CAST(sum(c) AS DOUBLE) AS preco_max,
+           round_even(sum(a) / count(*), 1) AS preco_min_mean, round_even(sum(b) / count(*), 1) AS preco_mean_mean,
+           round_even(sum(c) / count(*), 1) AS preco_max_mean
+    FROM market GROUP BY colecao""",
+)
+def market_flow(spark, folder):
+    """Captured pages to raw CSV, to clean rows, to the summary."""
+    summary = market.collection_summary(market.market_clean(_raw_csv(spark, folder)), digits=1)
+    return summary.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 @query(
     "A3",
     """

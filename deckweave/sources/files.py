@@ -31,15 +31,21 @@ def write_csv(df: DataFrame, path: str, mark: bool = False, mode: str = "errorif
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read what ``write_csv`` wrote; fields are taken by position."""
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """Read what ``write_csv`` wrote; fields are taken by position.
+
+    Texts with line breaks need ``multi_line``, which reads a file in one task; without it files
+    are read in splits.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .csv(path)
     )
 

@@ -19,7 +19,7 @@ def test_csv_is_what_pandas_writes(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "csv"), mark=True)
     frame = pd.DataFrame(rows, columns=df.columns)
     assert _written(tmp_path / "csv") == frame.to_csv(index=False).encode("utf-8-sig")
-    back = files.read_csv(spark, str(tmp_path / "csv"), df.schema)
+    back = files.read_csv(spark, str(tmp_path / "csv"), df.schema, multi_line=True)
     assert [tuple(r) for r in back.orderBy("id").collect()] == rows[:3] + [(4, None, True, 2.0)]
 
 
