@@ -220,12 +220,17 @@ class CellIndex:
     def _centres(self, cut: DataFrame, length: int) -> np.ndarray | None:
         """Pivots: distinct index vectors in hash order, bounded in number and bytes.
 
-        Twice as many are collected, as some may be copies of each other.
+        Twice as many are collected, as some may be copies of each other. A filter on the hash comes
+        first and leaves about four times as many, so tasks send few vectors however many they are.
         """
-        wanted = math.ceil(self.index.count() / ROWS_PER_PIVOT)
+        rows = self.index.count()
+        wanted = math.ceil(rows / ROWS_PER_PIVOT)
         count = max(1, min(self.pivots, wanted, SMALL_INDEX_BYTES // (16 * length)))
-        hashed = cut.orderBy(F.xxhash64("idx"), "idx").limit(2 * count)
+        few = cut.where(F.pmod(F.xxhash64("idx"), F.lit(max(1, rows // (4 * count)))) == 0)
+        hashed = few.orderBy(F.xxhash64("idx"), "idx").limit(2 * count)
         sample = hashed.select("embedding").toArrow()
+        if sample.num_rows == 0:  # few usable vectors among many rows
+            sample = cut.limit(count).select("embedding").toArrow()
         if sample.num_rows == 0:
             return None
         vectors = nearest.matrices(nearest.one_chunk(sample["embedding"]))[length][1]

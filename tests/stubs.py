@@ -41,3 +41,10 @@ def whole_number(payload):
     if payload is None:
         raise TypeError("no payload")
     return int(payload)
+
+
+class InLists(Bytes):
+    """The same for lists of images; a list with a broken image fails as a whole."""
+
+    def many(self, contents):
+        return [self(content) for content in contents]

@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from stubs import model, whole_number
+from stubs import Bytes, InLists, model, whole_number
 
 from deckweave import schemas
 from deckweave.operators import attempts
@@ -88,3 +88,17 @@ def test_embed(spark):
     assert [r.made.error for r in rows] == [
         None, None, None, "the model gave no vector", "RuntimeError: bad image",
     ]
+
+
+def test_embed_in_lists(spark):
+    contents = [b"a", b"bb", b"none", b"x", b"abcd"] * 40
+    images = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(contents)], "id int, content binary")
+    one = images.select("id", embed("content", Bytes).alias("made")).orderBy("id").collect()
+    many = images.select("id", embed("content", InLists).alias("made")).orderBy("id").collect()
+    assert one == many and [r.made.error for r in many[:5]] == [None, None, "the model gave no vector", "OSError: broken image", None]
+
+
+def test_try_map_gives_values_as_they_are(spark):
+    numbers = spark.createDataFrame([(9007199254740993,), (None,), (5,)], "n bigint")
+    rows = numbers.select(try_map("n", repr, "string").alias("done")).collect()
+    assert [r.done.result for r in rows] == ["9007199254740993", "None", "5"]
