@@ -273,9 +273,9 @@ def _groups(scored: DataFrame, stats: str) -> DataFrame:
     counted = scored.where(~base_failed(stats)).groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
     small = F.col("n") < LEAST_GROUP
     first = counted.withColumn("pool", F.when(~small, F.concat_ws("/", F.lit("s"), "lang_key", "source_key")))
-    by_lang = first.withColumn(
-        "rest", F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("lang_key"))
-    ).withColumn("pool", F.coalesce("pool", F.when(F.col("rest") >= LEAST_GROUP, F.concat_ws("/", F.lit("l"), "lang_key"))))
+    rests = first.groupBy("lang_key").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("rest"))
+    pooled = F.when(F.col("rest") >= LEAST_GROUP, F.concat_ws("/", F.lit("l"), "lang_key"))
+    by_lang = first.join(rests, "lang_key").withColumn("pool", F.coalesce("pool", pooled))
     # What is left is put together over all languages; its size is one row's worth of counts.
     left = by_lang.where(F.col("pool").isNull()).agg(F.sum("n").alias("n")).first().n or 0
     last = F.lit("all") if left >= LEAST_GROUP else F.lit(None).cast("string")

@@ -6,7 +6,7 @@ varying segments), so the tree is built from counts of typed paths and not from
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckweave.session import cut_lineage
@@ -91,6 +91,15 @@ def _ratio(blocked: Column, labelled: Column, prior: Column) -> Column:
     return (blocked + PRIOR_LABELS * prior) / (labelled + PRIOR_LABELS)
 
 
+def _summed(tree: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """``tree`` with sums over its rows with the same keys.
+
+    Partial sums and a join, no window: the paths of one host may be most of the tree.
+    """
+    sums = tree.groupBy(*by).agg(*[F.sum(name).alias(f"{prefix}_{name}") for name in ("n", "labels", "blocked")])
+    return tree.join(sums, by)
+
+
 def template_tree(labelled: DataFrame) -> DataFrame:
     """Rows ``host, segments, template, rate`` from rows ``host, segments, n, labels, blocked``.
 
@@ -98,29 +107,28 @@ def template_tree(labelled: DataFrame) -> DataFrame:
     or its labelled rate is not apart from that of its siblings. ``rate`` is the smoothed share of
     blocked labels of the template, towards its parent's, the host's and in the end that of all.
     """
-    whole = labelled.agg(F.sum("blocked").alias("b"), F.sum("labels").alias("l")).first()
+    stored = cut_lineage(labelled, "paths")
+    whole = stored.agg(F.sum("blocked").alias("b"), F.sum("labels").alias("l")).first()
     overall = float((whole.b or 0) + 0.5) / float((whole.l or 0) + 1.0)
-    tree = cut_lineage(labelled, "paths").withColumn("template", F.array().cast("array<string>"))
-    # Windows go over counts of distinct typed paths; the hosts' shares of rows do not show in them.
-    by_host = Window.partitionBy("host")
-    tree = tree.withColumn("rate", _ratio(F.sum("blocked").over(by_host), F.sum("labels").over(by_host), F.lit(overall)))
+    kept = ["host", "segments", "n", "labels", "blocked", "template"]
+    tree = _summed(stored.withColumn("template", F.array().cast("array<string>")), ["host"], "p")
+    tree = tree.select(*kept, _ratio(F.col("p_blocked"), F.col("p_labels"), F.lit(overall)).alias("rate"))
     for level in range(DEPTH):
-        parent = Window.partitionBy("host", "template")
-        branch = Window.partitionBy("host", "template", "segment")
-        tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        for name in ("n", "labels", "blocked"):
-            tree = tree.withColumn(f"p_{name}", F.sum(name).over(parent)).withColumn(f"b_{name}", F.sum(name).over(branch))
+        # A path that has ended before this level has a segment that no path can have.
+        tree = tree.withColumn("segment", F.coalesce(F.get("segments", F.lit(level)), F.lit("/")))
+        tree = _summed(_summed(tree, ["host", "template"], "p"), ["host", "template", "segment"], "b")
         pooled = (F.col("p_blocked") + 0.5) / (F.col("p_labels") + 1.0)
         error = F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("b_labels"), F.lit(1)))
-        apart = (F.col("b_labels") > 0) & (F.abs(F.col("b_blocked") / F.greatest(F.col("b_labels"), F.lit(1)) - pooled) > APART * error)
+        own = F.col("b_blocked") / F.greatest(F.col("b_labels"), F.lit(1))
+        apart = (F.col("b_labels") > 0) & (F.abs(own - pooled) > APART * error)
         often = (F.col("b_n") >= BRANCH_ROWS) & (F.col("b_n") >= BRANCH_SHARE * F.col("p_n"))
-        part = F.when(F.col("segment").isNull(), F.lit("")).when(often & apart, F.col("segment")).otherwise(F.lit("*"))
-        tree = tree.withColumn("template", F.concat("template", F.array(part)))
-        same = Window.partitionBy("host", "template")
-        tree = tree.withColumn(
-            "rate", _ratio(F.sum("blocked").over(same), F.sum("labels").over(same), F.col("rate"))
-        ).select("host", "segments", "n", "labels", "blocked", "template", "rate")
-    return cut_lineage(tree.select("host", "segments", "template", "rate"), "templates")
+        part = F.when(F.col("segment") == "/", F.lit("")).when(often & apart, F.col("segment")).otherwise(F.lit("*"))
+        tree = tree.select(*kept[:-1], F.concat("template", F.array(part)).alias("template"), F.col("rate").alias("above"))
+        tree = _summed(tree, ["host", "template"], "t")
+        tree = cut_lineage(
+            tree.select(*kept, _ratio(F.col("t_blocked"), F.col("t_labels"), F.col("above")).alias("rate")), "templates"
+        )
+    return tree.select("host", "segments", "template", "rate")
 
 
 def judge(
