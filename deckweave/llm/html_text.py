@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from deckweave.llm import arrow
 from deckweave.llm.boosting import Boosted, fit
 from deckweave.llm.dom import Node, parse
+from deckweave.llm.sampling import sample_by_hash
 
 #: Pages that give the texts of training pages, chosen by hash, and characters read of each.
 SAMPLE_PAGES = 200
@@ -301,10 +302,8 @@ class Composer:
 def learn(pages: DataFrame, html: str = "html", training_pages: int = TRAINING_PAGES) -> Boosted:
     """Trees fitted to composed pages, whose texts come from at most ``SAMPLE_PAGES`` pages."""
     value = F.col(f"`{html}`").cast("string")
-    sample = (
-        pages.select(value.alias("html")).where("html is not null").orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES)
-        .select(F.left("html", F.lit(SAMPLE_CHARS)).alias("html"))
-    )
+    whole = pages.select(value.alias("html")).where("html is not null")
+    sample = sample_by_hash(whole, SAMPLE_PAGES, "html").select(F.left("html", F.lit(SAMPLE_CHARS)).alias("html"))
     texts = [text.strip() for row in sample.collect() for text in _RUNS.findall(row.html) if text.strip()]
     composer = Composer(texts[:20_000])
     made = [Page(composer.page()) for _ in range(training_pages)]

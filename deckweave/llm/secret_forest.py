@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckweave.llm.decontaminate import fresh
+from deckweave.llm.sampling import sample_by_hash
 from deckweave.session import cut_lineage
 
 #: Characters of context before and after a candidate.
@@ -77,7 +78,7 @@ class Language:
 
     def __init__(self, docs: DataFrame, text: str = "text"):
         value = F.col(f"`{text}`").cast("string")
-        sample = docs.select(value.alias("text")).where("text is not null").orderBy(F.xxhash64("text")).limit(DICTIONARY_DOCUMENTS)
+        sample = sample_by_hash(docs.select(value.alias("text")).where("text is not null"), DICTIONARY_DOCUMENTS, "text")
         words = sample.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= 3)
         counted = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(20 * DICTIONARY_WORDS).collect()
         self.words = sorted(row.word for row in counted[:DICTIONARY_WORDS])
