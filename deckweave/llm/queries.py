@@ -41,7 +41,70 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_templates.judge(table(spark, sf_dir, "pages"))
+    return url_templates.judge(table(spark, sf_dir, "pages")).drop("rate")
+
+
+def _level_sql(k: int) -> str:
+    """A level of the tree: branches that are frequent and apart keep their segment."""
+    return f"""
+a{k} AS (SELECT *, coalesce(seg[{k + 1}], '/') AS segment FROM t{k}),
+b{k} AS (
+  SELECT *, sum(n) OVER p AS p_n, sum(labels) OVER p AS p_labels, sum(blocked) OVER p AS p_blocked,
+    sum(n) OVER b AS b_n, sum(labels) OVER b AS b_labels, sum(blocked) OVER b AS b_blocked
+  FROM a{k} WINDOW p AS (PARTITION BY host, template), b AS (PARTITION BY host, template, segment)),
+c{k} AS (
+  SELECT *, (p_blocked + 0.5::DOUBLE) / (p_labels + 1::DOUBLE) AS pooled, greatest(b_labels, 1) AS known FROM b{k}),
+d{k} AS (
+  SELECT host, seg, n, labels, blocked, rate AS above, list_append(template, CASE WHEN segment = '/' THEN ''
+    WHEN b_n >= 3 AND b_n >= 0.02::DOUBLE * p_n AND b_labels > 0
+      AND abs(b_blocked / known - pooled) > 2::DOUBLE * sqrt(pooled * (1 - pooled) / known) THEN segment
+    ELSE '*' END) AS template
+  FROM c{k}),
+t{k + 1} AS (
+  SELECT host, seg, n, labels, blocked, template,
+    (sum(blocked) OVER t + 4::DOUBLE * above) / (sum(labels) OVER t + 4::DOUBLE) AS rate
+  FROM d{k} WINDOW t AS (PARTITION BY host, template))"""
+
+
+OP8_SQL = (
+    r"""
+WITH u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+    list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: CASE
+      WHEN regexp_full_match(s, '[0-9]+') THEN '{n}'
+      WHEN regexp_full_match(s, '[0-9a-fA-F-]{8,}') AND regexp_matches(s, '[0-9]') THEN '{hex}'
+      WHEN regexp_matches(s, '[0-9]') THEN regexp_replace(s, '[0-9]+', '{n}', 'g') ELSE s END) AS parts
+  FROM u),
+p AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS decided,
+    CASE WHEN len(parts) > 3 THEN list_append(parts[1:2], array_to_string(parts[3:], '/')) ELSE parts END AS seg
+  FROM r),
+counted AS (
+  SELECT host, seg, count(*) AS n, count(decided) AS labels, count(*) FILTER (decided = 'block') AS blocked
+  FROM p GROUP BY host, seg),
+whole AS (SELECT (sum(blocked) + 0.5::DOUBLE) / (sum(labels) + 1::DOUBLE) AS overall FROM counted),
+t0 AS (
+  SELECT host, seg, n, labels, blocked, CAST([] AS VARCHAR[]) AS template,
+    (sum(blocked) OVER h + 4::DOUBLE * overall) / (sum(labels) OVER h + 4::DOUBLE) AS rate
+  FROM counted, whole WINDOW h AS (PARTITION BY host)),"""
+    + ",".join(map(_level_sql, range(3)))
+    + """
+SELECT page_id, host, path, rule,
+  coalesce(decided, CASE WHEN rate > 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+  array_to_string(template, '/') AS template
+FROM p JOIN t3 USING (host, seg)
+"""
+)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +171,7 @@ def load() -> dict[str, Query]:
         "op5_html_text": Query(op5_html_text),
         "op6_near_duplicates": Query(op6_near_duplicates),
         "op7_decontaminate": Query(op7_decontaminate, OP7_SQL),
-        "op8_url_templates": Query(op8_url_templates),
+        "op8_url_templates": Query(op8_url_templates, OP8_SQL),
         "op9_language": Query(op9_language),
         "op10_tree_bpe": Query(op10_tree_bpe),
     }

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from deckweave.llm.arrow import ROWS, map_rows, typed
 from deckweave.llm.pieces import Store, split
+from deckweave.llm.sampling import sample_by_hash
 from deckweave.llm.vocabularies import tokenizer
 
 #: Documents whose ids train the dictionary, and ids of each that count: bounds of the training sample.
@@ -116,8 +117,9 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, text: str = "text"
         use = encoder(path)
         return [((use.encode(value or "") + np.uint32(end_id).astype("<u4").tobytes())[: 4 * SAMPLE_IDS],) for (value,) in part]
 
-    chosen = docs.orderBy(F.xxhash64(F.col(f"`{doc_id}`")), F.xxhash64(F.col(f"`{text}`"))).limit(SAMPLE_DOCUMENTS)
-    sample = map_rows(chosen.select(typed(chosen, text, "string")), rows, [pa.field("ids", pa.binary())], "ids binary")
+    named = docs.select(typed(docs, doc_id, "bigint").alias("doc_id"), typed(docs, text, "string").alias("text"))
+    chosen = sample_by_hash(named, SAMPLE_DOCUMENTS, "doc_id", "text")
+    sample = map_rows(chosen.select("text"), rows, [pa.field("ids", pa.binary())], "ids binary")
     samples = sorted(bytes(row.ids) for row in sample.collect())
     if len(samples) < 64 or sum(map(len, samples)) < 16 * DICTIONARY_BYTES // 8:
         return b""
