@@ -302,13 +302,13 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
 
     Of repeated rows with that id one stays. Null and empty texts all stay.
     """
-    keyed = _keyed(docs, text)
-    classes = _class_ids(keyed.select(f"`{doc_id}`", "nd_words", "nd_k1", "nd_k2"), doc_id, threshold)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    plain = docs.select(row, arrow.typed(docs, doc_id, "bigint").alias("id"), arrow.typed(docs, text, "string").alias("text"))
+    keyed = _keyed(plain, "text").drop("text")
+    classes = _class_ids(keyed.drop("row"), "id", threshold)
     # By hashes and id together, no group of copies is one key.
-    kept = classes.where("stays").select(
-        "nd_k1", "nd_k2", F.coalesce(F.col("first_id").cast("bigint"), F.lit(-1)).alias("nd_id")
-    )
-    rows = keyed.drop("nd_words").withColumn("nd_id", F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(-1)))
+    kept = classes.where("stays").select("nd_k1", "nd_k2", F.coalesce("first_id", F.lit(-1)).alias("nd_id"))
+    rows = keyed.drop("nd_words").withColumn("nd_id", F.coalesce("id", F.lit(-1)))
     chosen = rows.where(F.col("nd_k1").isNotNull()).join(kept, ["nd_k1", "nd_k2", "nd_id"], "left_semi")
     single = chosen.dropDuplicates(["nd_k1", "nd_k2", "nd_id"])
-    return single.unionByName(rows.where(F.col("nd_k1").isNull())).select(*[f"`{c}`" for c in docs.columns])
+    return single.unionByName(rows.where(F.col("nd_k1").isNull())).select("row.*")

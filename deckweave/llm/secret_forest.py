@@ -187,10 +187,10 @@ def scored(docs: DataFrame, text: str = "text", labelled: Column | None = None,
     """
     language = Language(docs, text)
     names = docs.columns if keep is None else keep
-    found, name = candidates(docs.select(*[f"`{c}`" for c in dict.fromkeys([*names, text])]), text)
-    found = with_features(found, name, language).withColumn("label", weak_labels(found, name) if labelled is None else labelled)
     rows = F.struct(*[F.col(f"`{c}`") for c in names])
-    found = cut_lineage(found.select(rows.alias("row"), F.col(name).alias("found"), "features", "label"), "findings")
+    found, name = candidates(docs.select(rows.alias("row"), F.col(f"`{text}`").alias("text")))
+    found = with_features(found, name, language).withColumn("label", weak_labels(found, name) if labelled is None else labelled)
+    found = cut_lineage(found.select("row", F.col(name).alias("found"), "features", "label"), "findings")
     forest = train(found)
     if forest is None:
         return found.withColumn("score", F.coalesce("label", F.lit(0.0))), "found"

@@ -128,7 +128,7 @@ def test_one_of_each_class(spark):
     assert kept.columns == docs.columns
     rows = kept.collect()
     assert sorted(row.doc_id for row in rows) == sorted(i for i, c in zip(ids, classes) if i == c)
-    assert all(row.text == texts[row.doc_id] for row in rows)
+    assert all(row.text == texts[row.doc_id] and (row.nd_k1, row.bucket, row.node) == ("k", "b", "n") for row in rows)
     assert near_dups.one_of_each(docs.limit(0)).count() == 0
     # One id on two texts of a class: one row stays.
     same = frame(spark, [texts[10], texts[11]], [7, 7])
