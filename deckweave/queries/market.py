@@ -149,7 +149,7 @@ def _event_pages(spark, folder):
 
 
 @query(
-    "H1 H2 B1 G1",
+    "H1 H2 B1",
     """
     SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, value AS price,
            strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen,
@@ -428,7 +428,7 @@ _URLS = ", ".join(f"({i}, '{url}')" for i, url in enumerate(page_source.COLLECTI
 
 
 @query(
-    "A4 A6 C8 H1 G1",
+    "A4 A6 C8 H1",
     f"""
     SELECT c.url, p_brand AS colecao, count(*) AS num_cards,
            round(sum(p_retailprice), 2) AS preco_min
