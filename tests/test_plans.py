@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from deckweave.operators import match as matching
 from deckweave import schemas
 from deckweave.plans import catalogue, market
 from deckweave.sources import catalogue as card_source
@@ -66,9 +67,9 @@ def test_market_rows_do_not_shuffle(spark, stored):
     assert "hashpartitioning" not in plan_of(listed)
 
 
-def test_cleaning_goes_to_python_once(stored):
+def test_cleaning_stays_in_columns(stored):
     plan = plan_of(market.market_clean(market.market_rows(stored[1])))
-    assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
+    assert "EvalPython" not in plan
 
 
 def test_summary_adds_up_before_each_shuffle(spark):
@@ -117,3 +118,17 @@ def test_hot_card_is_split_by_adaptive_execution(spark, settings, tmp_path):
     rows = flat.collect()
     assert len(rows) == 60000
     assert "isSkew=true" in plan_of(flat) or "skew=true" in plan_of(flat)
+
+
+def test_unmatched_rows_are_not_shuffled(spark):
+    rows = "query_id bigint, card_id string, matched boolean"
+    matches = spark.createDataFrame([(1, "a", True), (2, None, False)], rows)
+    cards = spark.createDataFrame([("a", "Ay")], "card_id string, name string")
+    named = matching.with_card(matches, cards)
+    assert sorted(map(tuple, named.select("query_id", "card_id", "matched", "name").collect())) == [
+        (1, "a", True, "Ay"), (2, None, False, None),
+    ]
+    joined = named._jdf.queryExecution().optimizedPlan().children().toList()
+    plans = [joined.apply(i).toString() for i in range(joined.size())]
+    assert len(plans) == 2 and "Join" in plans[0] and "isnotnull(card_id" in plans[0]
+    assert "Join" not in plans[1] and "isnull(card_id" in plans[1]
