@@ -15,15 +15,15 @@ def typed(df: DataFrame, column: str, kind: str) -> Column:
 
 
 def map_rows(
-    df: DataFrame, rows: Callable[[list[tuple]], list[tuple]], fields: list[pa.Field], schema: str
+    df: DataFrame, rows: Callable[[list[tuple]], list[tuple]], fields: list[pa.Field], schema: str, step: int = ROWS
 ) -> DataFrame:
-    """``rows`` gets the next few input rows as tuples and returns any number of output tuples."""
+    """``rows`` gets the next few input rows, up to ``step``, as tuples and returns any number of tuples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = pa.schema(fields)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 made = rows(list(zip(*(part.column(i).to_pylist() for i in range(part.num_columns)))))
                 if made:
                     yield pa.RecordBatch.from_arrays(

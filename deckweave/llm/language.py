@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckweave.llm.arrow import map_rows, typed
-from deckweave.llm.pieces import Store
 
 #: Documents of each language that the scores are learnt from, chosen by the hash of their ids.
 SAMPLE_DOCUMENTS = 1500
@@ -62,37 +61,48 @@ class Model:
             scripts[script(word)][at] += n
             for gram in _grams(word):
                 grams[gram][at] += min(n, 20)
-        self._grams, self._words = self._log(grams, 2), self._log(words, 4)
+        self._grams, self._gram_scores = self._log(grams, 2, k)
+        self._words, self._word_scores = self._log(words, 4, k)
         total = np.maximum(sum(scripts.values(), np.zeros(k)), 1)
-        self._scripts = {name: found / total >= 0.01 for name, found in scripts.items()}
+        # The first row is for scripts that were never learnt: they exclude no language.
+        able = [np.ones(k, bool)]
+        self._scripts: dict[str, int] = {}
+        for name, found in scripts.items():
+            if (found / total >= 0.01).any():
+                self._scripts[name] = len(able)
+                able.append(found / total >= 0.01)
+        self._able = np.array(able).reshape(len(able), k)
 
     @staticmethod
-    def _log(found: dict, least: int) -> dict:
-        """Log probabilities less their mean over languages, so that unknown keys score 0."""
-        if not found:
-            return {}
-        total = np.maximum(sum(found.values()), 1)
-        made = {}
+    def _log(found: dict, least: int, k: int) -> tuple[dict[str, int], np.ndarray]:
+        """Rows of log probabilities less their mean over languages; row 0 is for unknown keys."""
+        rows, values = {}, [np.zeros(k, np.float32)]
+        total = np.maximum(sum(found.values(), np.zeros(k)), 1)
         for key, n in found.items():
             if n.sum() >= least:
                 p = np.log((n + 0.5) / (total + 0.5 * len(found)))
-                made[key] = (p - p.mean()).astype(np.float32)
-        return made
+                rows[key] = len(values)
+                values.append((p - p.mean()).astype(np.float32))
+        return rows, np.array(values)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores, one for each language, for each lower-cased word."""
+        if not words or not self.languages:
+            return np.zeros((len(words), len(self.languages)), np.float32)
+        row, codes, sizes = self._grams.get, [], []
+        for word in words:
+            grams = _grams(word)
+            codes += [row(gram, 0) for gram in grams]
+            sizes.append(len(grams))
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        value = np.add.reduceat(self._gram_scores[codes], begin, axis=0) / 3  # grams overlap
+        value += self._word_scores[[self._words.get(word, 0) for word in words]]
+        value = np.clip(value - value.max(axis=1, keepdims=True), -WORD_BOUND, 0)
+        able = self._able[[self._scripts.get(script(word), 0) for word in words]]
+        return np.where(able, value, -WORD_BOUND).astype(np.float32)
 
     def score(self, word: str) -> np.ndarray:
-        """Score of each language for a lower-cased word."""
-        k = len(self.languages)
-        value = np.zeros(k)
-        parts = [self._grams[gram] for gram in _grams(word) if gram in self._grams]
-        if parts:
-            value += np.sum(parts, axis=0) / 3  # grams overlap
-        if word in self._words:
-            value += self._words[word]
-        value = np.clip(value - value.max(), -WORD_BOUND, 0) if k else value
-        able = self._scripts.get(script(word))
-        if able is not None and able.any():
-            value = np.where(able, value, -WORD_BOUND)
-        return value.astype(np.float32)
+        return self.scores([word])[0]
 
 
 def learn(
@@ -129,19 +139,20 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         return [np.zeros(0, np.int16) for _ in scores]
     flat = np.concatenate([scores[i] for i in order])
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    negative = -np.array(sizes)
-    live = [int(np.searchsorted(negative, -t, side="left")) for t in range(sizes[0])]
+    rows = np.arange(len(sizes))
+    # How many texts, the longest first, have a word at each step.
+    live = np.searchsorted(-np.array(sizes), -np.arange(sizes[0]), side="left").tolist()
     best = flat[begin[: live[0]]].astype(np.float64)
     backs, stays = [], []
     for t in range(1, sizes[0]):
         n = live[t]
         old = best[:n]
         top = old.argmax(axis=1)
-        value = old[np.arange(n), top] - switch
-        stay = old >= value[:, None]
-        backs.append(top.astype(np.int16))
+        value = old[rows[:n], top, None] - switch
+        stay = old >= value
+        backs.append(top)
         stays.append(stay)
-        best[:n] = np.where(stay, old, value[:, None]) + flat[begin[:n] + t]
+        best[:n] = np.where(stay, old, value) + flat[begin[:n] + t]
     # Backwards, the longest texts first; the others join where they end.
     now = best.argmax(axis=1)
     paths = np.zeros(len(flat), np.int16)
@@ -149,35 +160,47 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         n = live[t]
         paths[begin[:n] + t] = now[:n]
         if t:
-            stay, back = stays[t - 1], backs[t - 1]
-            now[:n] = np.where(stay[np.arange(n), now[:n]], now[:n], back)
+            now[:n] = np.where(stays[t - 1][rows[:n], now[:n]], now[:n], backs[t - 1])
     found: list = [np.zeros(0, np.int16)] * len(scores)
     for rank, i in enumerate(order):
         found[i] = paths[begin[rank] : begin[rank] + sizes[rank]]
     return found
 
 
+#: Texts that go through the steps of the path together.
+STEP_TEXTS = 1024
+#: Words whose scores a worker keeps; results do not depend on it.
+KEPT_WORDS = 400_000
+
+
 class Tagger:
     """Words and their languages, with scores kept per word."""
 
     def __init__(self, model: Model):
         self.model = model
-        self._rows: list[np.ndarray] = []
-        self._store = Store(self._row)
+        self._rows: dict[str, int] = {}
+        self._table = np.zeros((0, len(model.languages)), np.float32)
 
-    def _row(self, word: str) -> int:
-        self._rows.append(self.model.score(word))
-        return len(self._rows) - 1
+    def _learn(self, words: list[list[str]]) -> None:
+        """Rows for all words that have none, in one step."""
+        if len(self._rows) > KEPT_WORDS:
+            self._rows.clear()
+        known = self._rows
+        new = [word for word in set().union(*words) if word not in known]
+        used = len(known)
+        if used + len(new) > len(self._table):
+            larger = np.zeros((2 * (used + len(new)), self._table.shape[1]), np.float32)
+            larger[:used] = self._table[:used]
+            self._table = larger
+        self._table[used : used + len(new)] = self.model.scores(new)
+        known.update(zip(new, range(used, used + len(new))))
 
     def tag(self, texts: list[str]) -> list[tuple[list, np.ndarray]]:
-        """For each text the matches of its words and the place of each one's language."""
-        if len(self._rows) > 400_000:
-            self._rows.clear()
-            self._store.empty()
+        """For each text its words and the place of each one's language."""
         words = [_WORD.findall(text.lower()) for text in texts]
-        places = [np.fromiter(map(self._store.__getitem__, found), np.int64, len(found)) for found in words]
-        table = np.array(self._rows) if self._rows else np.zeros((0, len(self.model.languages)), np.float32)
-        return list(zip(words, viterbi([table[at] for at in places])))
+        self._learn(words)
+        places = [np.fromiter(map(self._rows.__getitem__, found), np.int64, len(found)) for found in words]
+        return list(zip(words, viterbi([self._table[at] for at in places])))
 
 
 @lru_cache(maxsize=1)
@@ -214,7 +237,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
     fields = [pa.field(doc_id, pa.int64()), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
     return map_rows(
         docs.select(typed(docs, doc_id, "bigint"), typed(docs, text, "string")),
-        rows, fields, f"`{doc_id}` bigint, lang_pred string, score double",
+        rows, fields, f"`{doc_id}` bigint, lang_pred string, score double", STEP_TEXTS,
     )
 
 
@@ -233,7 +256,7 @@ def language_spans(docs: DataFrame, model: Model, text: str = "text", doc_id: st
             places = [m.span() for m in _WORD.finditer(value)]
             if not use.model.languages or not places:
                 continue
-            table = np.array([use.model.score(value[a:b].lower()) for a, b in places])
+            table = use.model.scores([value[a:b].lower() for a, b in places])
             path = viterbi([table])[0]
             cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
             for a, b in zip(cuts, cuts[1:]):
