@@ -29,8 +29,11 @@ SETTLED = 1e-3
 #: A text is rejected beyond this quantile of the chi-squared distribution.
 CUTOFF = 0.9999
 #: Standard deviations that estimates have at least, one for each statistic below: as many texts
-#: have none of a kind, their spread can be 0, and a text with few would be far from all.
-FLOORS = (0.1, 0.4, 1.2, 1.2)
+#: have none of a kind, their spread can be 0, and a text with few would be far from all. Each is
+#: well under the range of its statistic (4.6 for lines in a hundred, 3.0 for repeated words up to
+#: the base rule) by the root of the cutoff (4.85), so that each can reject alone: in a group
+#: without any, beyond about 29 % of lines or 10 % of words.
+FLOORS = (0.1, 0.4, 0.7, 0.5)
 STATISTICS = ("word_length", "symbols", "dup_lines", "repeats")
 _D = len(STATISTICS)
 #: Buckets for each doubling of 1 + distance, and of a statistic's unit.

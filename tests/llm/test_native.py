@@ -122,6 +122,26 @@ def test_outliers_are_rejected_by_group(spark):
     assert {row.doc_id for row in kept.collect()} == {i for i, row in found.items() if row.kept}
 
 
+def in_lines(words, size=9):
+    return "\n".join(" ".join(words[i : i + size]) for i in range(0, len(words), size))
+
+
+def test_copied_lines_and_repeated_words_are_outliers_alone(spark):
+    clean = [in_lines(text.split()) for text in plain_texts(400)]
+    # Short copies between longer lines: no window of five words occurs twice.
+    lines = [in_lines(text.split()).split("\n") for text in plain_texts(10, 21)]
+    copied = ["\n".join(part for line in text for part in ("Read on", line)) for text in lines]
+    repeating = [text.split() for text in plain_texts(20, 22)]
+    repeating = [in_lines(words[:60] + words[:5]) for words in repeating if len(words) >= 60]
+    assert len(repeating) > 3
+    found = {row.doc_id: row for row in quality.verdicts(frame(spark, clean + copied + repeating)).collect()}
+    assert not any(found[i].base_failed for i in range(len(found)))
+    assert all(found[i].n_repeat_words == 0 for i in range(400, 410))
+    assert all(found[i].n_dup_lines == 0 for i in range(410, len(found)))
+    assert sum(found[i].kept for i in range(400)) >= 398
+    assert not any(found[i].kept for i in range(400, len(found)))
+
+
 def test_few_texts_are_judged_by_the_base_rules_alone(spark):
     docs = frame(spark, plain_texts(20) + ["### " * 40])
     assert [row.kept for row in quality.verdicts(docs).orderBy("doc_id").collect()] == [True] * 20 + [False]
