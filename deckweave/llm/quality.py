@@ -20,7 +20,7 @@ REPEAT_WINDOW = 5
 #: Base rules: fewest words, most repeated words in a hundred.
 LEAST_WORDS = 10
 MOST_REPEATED = 20
-#: Texts a group needs for an estimate; smaller groups of a language, then of all, are put together.
+#: Texts a group needs for an estimate; smaller groups take that of their language, then of all.
 LEAST_GROUP = 200
 #: Share of a group that an estimate rests on, most concentration steps, and change that ends them.
 SUBSET = 0.75
@@ -179,7 +179,8 @@ def _distance(x: list[Column]) -> Column:
 def estimates(scored: DataFrame, stats: str, groups: DataFrame) -> DataFrame:
     """Per group: mean, factor and the factor that turns distances into chi-squared values.
 
-    ``scored`` is read once a step, so it has to be a stored table. Deterministic: starts from
+    ``groups`` tells which texts each group rests on; a text may count in several. ``scored`` is
+    read once a step, so it has to be a stored table. Deterministic: starts from
     medians and median deviations, sums of rounded values, whole buckets.
     """
     x = [F.col(f"x{i}") for i in range(_D)]
@@ -272,17 +273,27 @@ def _concentrated(rows: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def _groups(scored: DataFrame, stats: str) -> DataFrame:
-    """Per language and source, the group whose estimate holds for it; none where all are too few."""
+    """Per language and source, the ``group`` whose estimate holds for it and all ``pools`` it counts in.
+
+    The estimate is that of its own texts, where they are too few that of all texts of its
+    language, and then that of all texts; no row where all are too few.
+    """
     counted = scored.where(~base_failed(stats)).groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
-    small = F.col("n") < LEAST_GROUP
-    first = counted.withColumn("pool", F.when(~small, F.concat_ws("/", F.lit("s"), "lang_key", "source_key")))
-    rests = first.groupBy("lang_key").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("rest"))
-    pooled = F.when(F.col("rest") >= LEAST_GROUP, F.concat_ws("/", F.lit("l"), "lang_key"))
-    by_lang = first.join(rests, "lang_key").withColumn("pool", F.coalesce("pool", pooled))
-    # What is left is put together over all languages; its size is one row's worth of counts.
-    left = by_lang.where(F.col("pool").isNull()).agg(F.sum("n").alias("n")).first().n or 0
-    last = F.lit("all") if left >= LEAST_GROUP else F.lit(None).cast("string")
-    return by_lang.select("lang_key", "source_key", F.coalesce("pool", last).alias("group")).where(F.col("group").isNotNull())
+    by_lang = counted.join(counted.groupBy("lang_key").agg(F.sum("n").alias("n_lang")), "lang_key")
+    own, lang = F.concat_ws("/", F.lit("s"), "lang_key", "source_key"), F.concat_ws("/", F.lit("l"), "lang_key")
+    # One row's worth of counts.
+    whole = counted.agg(F.sum("n").alias("n")).first().n or 0
+    last = F.lit("all") if whole >= LEAST_GROUP else F.lit(None).cast("string")
+    group = F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("n_lang") >= LEAST_GROUP, lang).otherwise(last)
+    return by_lang.select("lang_key", "source_key", group.alias("group"), F.array(own, lang, F.lit("all")).alias("pools")).where(
+        F.col("group").isNotNull()
+    )
+
+
+def _members(groups: DataFrame) -> DataFrame:
+    """Rows ``lang_key, source_key, group``: the estimates that are needed and the texts they rest on."""
+    each = groups.select("lang_key", "source_key", F.explode("pools").alias("group"))
+    return each.join(groups.select("group").distinct(), "group", "left_semi")
 
 
 def judged(
@@ -295,15 +306,16 @@ def judged(
     estimate) and ``kept``: false where the base rules fail or the distance is beyond ``cutoff``.
     One row for each row of ``docs``, repeated or not. A null text has no words and fails. Null
     languages and sources are groups of their own. Groups of fewer than ``LEAST_GROUP`` texts are
-    judged together with those of their language, then of all; still fewer are not judged beyond
-    the base rules. An empty table gives an empty table.
+    judged by the estimate over all texts of their language, or where those are too few, over all
+    texts; a table of fewer is not judged beyond the base rules. An empty table gives an empty table.
     """
     names = docs.columns if keep is None else keep
     row = F.struct(*[F.col(f"`{name}`") for name in names]).alias("row")
     plain = docs.select(row, F.col(f"`{text}`").alias("text"), _key(F.col(f"`{lang}`")).alias("lang_key"), _key(F.col(f"`{source}`")).alias("source_key"))
     scored = cut_lineage(with_statistics(plain).select("row", "lang_key", "source_key", "stats"), "scored")
     groups = cut_lineage(_groups(scored, "stats"), "groups")
-    found = cut_lineage(groups.join(estimates(scored, "stats", groups), "group"), "estimates")
+    members = cut_lineage(_members(groups), "members")
+    found = cut_lineage(groups.drop("pools").join(estimates(scored, "stats", members), "group"), "estimates")
     most = chi_squared_quantile(cutoff, _D)
     distance = _distance(_vector("stats")) / F.col("scale")
     return (

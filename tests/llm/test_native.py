@@ -142,6 +142,18 @@ def test_copied_lines_and_repeated_words_are_outliers_alone(spark):
     assert not any(found[i].kept for i in range(400, len(found)))
 
 
+def test_small_groups_are_judged_by_larger_ones(spark):
+    odd = re.sub(" ", "### ", plain_texts(1, 7)[0])
+    clean = [(text, "en", "large") for text in plain_texts(260)]
+    # A small source of a large language, and a small language: neither has an estimate of its own.
+    small = [(odd, "en", "small"), (odd, "eo", "large")] + [(text, lang, "small") for text in plain_texts(5, 8) for lang in ("en", "eo")]
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(clean + small)], "doc_id bigint, text string, lang string, source string")
+    found = {row.doc_id: row for row in quality.verdicts(docs).collect()}
+    assert len(found) == 272 and all(row.distance is not None for row in found.values())
+    assert not found[260].kept and not found[261].kept
+    assert all(found[i].kept for i in range(262, 272))
+
+
 def test_few_texts_are_judged_by_the_base_rules_alone(spark):
     docs = frame(spark, plain_texts(20) + ["### " * 40])
     assert [row.kept for row in quality.verdicts(docs).orderBy("doc_id").collect()] == [True] * 20 + [False]
