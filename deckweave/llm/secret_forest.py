@@ -30,11 +30,28 @@ TREES, TREE_DEPTH = 20, 5
 SECRET = 0.5
 MARK = "[SECRET]"
 
-#: Fixed value: a run of 16 characters or more that values of secrets are written in, with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=.@-]{0,64}[0-9])[A-Za-z0-9+/_=.@-]{16,}"
 #: Neighbouring words that go with secrets, and with values that only look like one.
 SECRET_WORDS = r"(?i)(token|secret|passw|api.?key|access.?key|auth|credential|private|bearer)"
 HARMLESS_WORDS = r"(?i)(sha\d*|md5|checksum|commit|digest|uuid|guid|isbn|phone|card|order|example|sample)"
+#: What stands before a value that is assigned to a name with a secret word (the short
+#: look behind spares the long one at most places), or after the word of an authorization header.
+_NAMED = (
+    r"(?<=[=:>]\s{0,8}\\?[\"'`]?)(?<=(?i:token|secret|passw|passphrase|pwd|api.?key|access.?key|auth|credential|private)"
+    r"[A-Za-z0-9_.-]{0,32}[\"'`\\\]]{0,3}\s{0,8}(?::=|=>|==|[=:>])\s{0,8}\\?[\"'`]?)"
+)
+_HEADER = r"(?<=(?i:bearer|basic|token)\s{1,4})(?<=(?i:bearer|auth[a-z-]{0,16}[\"']?\s{0,4}[:=]\s{0,4}[\"']?(?:basic|token))\s{1,4})"
+#: Fixed value: a value up to its closing quote, or else to white space or a mark that ends it.
+_VALUE = (
+    r"(?:(?<=\")[^\"\r\n]{7,}[^\"\r\n\\](?=\\?\")|(?<=')[^'\r\n]{7,}[^'\r\n\\](?=\\?')|(?<=`)[^`\r\n]{7,}[^`\r\n\\](?=\\?`)"
+    r"|[^\s\"'`<>,;&]{7,}[^\s\"'`<>,;&.:!?)\]}\\])"
+)
+#: Fixed value: a run of 16 characters or more that values of secrets are written in, with a digit;
+#: '=' is in it only as padding at its end, so that a name before it stands in the text before.
+_RUN = (
+    r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+/_.@-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=.@-]))?"
+)
+#: Fixed value: values behind a secret word from 8 characters on, bodies of private keys, other runs.
+CANDIDATE = rf"{_NAMED}{_VALUE}|{_HEADER}{_VALUE}|(?<=-----)(?<=-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----)[^-]{{16,}}+|{_RUN}"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 
 FEATURES = (
@@ -58,6 +75,14 @@ def candidates(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         .withColumn(gaps, F.split(value, CANDIDATE))
     )
     gap, v = F.col(gaps), F.col(values)
+    # Values have 8 characters or more: so many before, with what lies between, reach over the context.
+    near = BEFORE // 8
+
+    def before(i: Column) -> Column:
+        first = F.greatest(i - near, F.lit(0)) + 1
+        pairs = F.zip_with(F.slice(gap, first, F.lit(near)), F.slice(v, first, F.lit(near)), lambda g, x: F.concat(g, x))
+        earlier = F.array_join(F.slice(pairs, F.lit(1), F.least(i, F.lit(near))), "")
+        return F.right(F.concat(earlier, F.get(gap, i)), F.lit(BEFORE))
 
     def start(i: Column) -> Column:
         parts = F.concat(F.slice(gap, F.lit(1), i + 1), F.slice(v, F.lit(1), i))
@@ -67,7 +92,7 @@ def candidates(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         v,
         lambda x, i: F.struct(
             i.alias("place"), start(i).alias("start"), x.alias("value"),
-            F.right(F.get(gap, i), F.lit(BEFORE)).alias("before"), F.left(F.get(gap, i + 1), F.lit(AFTER)).alias("after"),
+            before(i).alias("before"), F.left(F.get(gap, i + 1), F.lit(AFTER)).alias("after"),
         ),
     )
     return staged.select(*own, F.explode(each).alias(found)), found

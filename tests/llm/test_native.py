@@ -252,6 +252,32 @@ def test_secrets_are_found_and_replaced(spark):
     assert [row.text for row in cleaned.orderBy("doc_id").collect()] == expected
 
 
+FORMS = [
+    ("export API_KEY=abcd1234abcd1234ef", "abcd1234abcd1234ef", "export API_KEY="),
+    ("https://x.io/cb?token=abc123abc123abc123&a=1", "abc123abc123abc123", "?token="),
+    ('password = "Tr0ub4dor&3xyz"', "Tr0ub4dor&3xyz", 'password = "'),
+    ('db_password = "correcthorsebattery"', "correcthorsebattery", 'db_password = "'),
+    ("/".join(["path"] * 30) + "/API_KEY=abcd1234abcd1234ef", "abcd1234abcd1234ef", "API_KEY="),
+    ("AWS_S3_SECRET_ACCESS_KEY=abcd1234abcd1234ef+/", "abcd1234abcd1234ef+/", "AWS_S3_SECRET_ACCESS_KEY="),
+    ('{"access_token": "abcdEFGH12"}', "abcdEFGH12", '"access_token": "'),
+    ("Authorization: Bearer eyJhbGciOi.J9x", "eyJhbGciOi.J9x", "Authorization: Bearer "),
+    ("value YWJjZGVmZ2hpamtsbW5vcA0=.", None, ""),
+    ("x" * 100 + "1", "x" * 100 + "1", ""),
+]
+
+
+def test_candidates_are_values_without_their_names(spark):
+    docs = spark.createDataFrame([(i, form[0]) for i, form in enumerate(FORMS)], "doc_id bigint, text string")
+    found, name = secret_forest.candidates(docs)
+    rows = found.select("doc_id", f"{name}.*").collect()
+    for row in rows:
+        assert FORMS[row.doc_id][0][row.start : row.start + len(row.value)] == row.value
+        assert FORMS[row.doc_id][0][: row.start].endswith(row.before)
+    for i, (_, value, before) in enumerate(FORMS):
+        if value is not None:
+            assert any(row.doc_id == i and row.value == value and row.before.endswith(before) for row in rows), i
+
+
 def test_no_candidates(spark):
     docs = frame(spark, [None, "", "plain"])
     assert secret_forest.findings(docs).count() == 0
