@@ -11,20 +11,18 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckweave.llm.decontaminate import fresh
-from deckweave.llm.sampling import sample_by_hash
 from deckweave.session import cut_lineage
 
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 48, 24
 #: Labelled findings of each label that the forest is trained on, chosen by hash; words of the
-#: dictionary and of the letter transitions, and documents they are counted in.
+#: dictionary for each language.
 TRAINING_FINDINGS = 2000
 DICTIONARY_WORDS = 500
-DICTIONARY_DOCUMENTS = 2000
 TREES, TREE_DEPTH = 20, 5
 #: Probability from which a candidate counts as a secret.
 SECRET = 0.5
@@ -99,19 +97,27 @@ def candidates(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
 
 class Language:
-    """Frequent words and letter transitions of the corpus, as literals of bounded size."""
+    """Frequent words of each language and letter transitions of the corpus, as literals of bounded size.
 
-    def __init__(self, docs: DataFrame, text: str = "text"):
+    Counted over all texts. Without a column ``lang`` the texts are one language.
+    """
+
+    def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang"):
         value = F.col(f"`{text}`").cast("string")
-        sample = sample_by_hash(docs.select(value.alias("text")).where("text is not null"), DICTIONARY_DOCUMENTS, "text")
-        words = sample.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= 3)
-        counted = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(20 * DICTIONARY_WORDS).collect()
-        self.words = sorted(row.word for row in counted[:DICTIONARY_WORDS])
+        named = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+        texts = docs.select(named.alias("lang"), F.lower(value).alias("text"))
+        words = texts.select("lang", F.explode(F.split("text", "[^a-z]+")).alias("word")).where(F.length("word") >= 3)
+        counted = cut_lineage(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+        # The limit by language is applied by each task before rows of a language meet.
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+        top = counted.withColumn("rank", rank).where(F.col("rank") <= DICTIONARY_WORDS)
+        self.words = sorted(row.word for row in top.select("word").distinct().collect())
+        places = F.sequence(F.lit(1), F.length("word") - 1)
+        pair = F.explode(F.transform(places, lambda i: F.substring("word", i, F.lit(2)))).alias("pair")
         size = len(_LETTERS)
         pairs = [[0.5] * size for _ in range(size)]
-        for row in counted:
-            for a, b in zip(row.word, row.word[1:]):
-                pairs[_LETTERS.index(a)][_LETTERS.index(b)] += row["count"]
+        for row in counted.select("n", pair).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            pairs[_LETTERS.index(row.pair[0])][_LETTERS.index(row.pair[1])] += row.n
         self.transitions = [math.log(n / sum(line) * size) for line in pairs for n in line]
 
     def coverage(self, value: Column) -> Column:
@@ -203,14 +209,17 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
     return forest.fit(ready)
 
 
-def scored(docs: DataFrame, text: str = "text", labelled: Column | None = None, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+def scored(
+    docs: DataFrame, text: str = "text", labelled: Column | None = None, keep: list[str] | None = None, language: Language | None = None,
+) -> tuple[DataFrame, str]:
     """Candidates with ``score``: the forest's probability that each is a secret.
 
     ``labelled`` is a label column over the candidates' struct ``found``; the default takes the
     plain cases of ``docs`` itself. Without two labels the plain label is the score (0 if none).
-    ``keep`` names the columns to go on with (all by default).
+    ``keep`` names the columns to go on with (all by default), ``language`` the words and
+    transitions of a larger table that ``docs`` are taken from.
     """
-    language = Language(docs, text)
+    language = Language(docs, text) if language is None else language
     names = docs.columns if keep is None else keep
     rows = F.struct(*[F.col(f"`{c}`") for c in names])
     found, name = candidates(docs.select(rows.alias("row"), F.col(f"`{text}`").alias("text")))
@@ -249,7 +258,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
     row_id, spans = fresh(docs, "row_id", "spans")
     with_any = docs.where(value.rlike(CANDIDATE)).withColumn(row_id, F.monotonically_increasing_id())
     stored = cut_lineage(with_any, "suspects")
-    found, name = scored(stored, text, keep=[row_id])
+    found, name = scored(stored, text, keep=[row_id], language=Language(docs, text))
     secrets = (
         found.where(F.col("score") >= SECRET)
         .groupBy(F.col(f"row.`{row_id}`").alias(row_id))

@@ -278,6 +278,13 @@ def test_candidates_are_values_without_their_names(spark):
             assert any(row.doc_id == i and row.value == value and row.before.endswith(before) for row in rows), i
 
 
+def test_words_of_all_texts_are_counted(spark):
+    # One text in many copies, and a small language behind it.
+    texts = [("common words of the first language", "en")] * 3000 + [("vortoj de malgranda lingvo", "eo")]
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert {"common", "language", "vortoj", "malgranda"} <= set(secret_forest.Language(docs).words)
+
+
 def test_no_candidates(spark):
     docs = frame(spark, [None, "", "plain"])
     assert secret_forest.findings(docs).count() == 0
