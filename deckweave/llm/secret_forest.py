@@ -6,7 +6,7 @@ bounded sample of labelled findings.
 
 import json
 import math
-from functools import reduce
+import random
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -54,7 +54,7 @@ ASSIGNED = r"[=:]\s*[\"'`]?$"
 
 FEATURES = (
     "length", "digits", "upper", "distinct", "changes", "transitions", "coverage", "slashes", "dots", "at_sign",
-    "in_path", "secret_word", "harmless_word", "assigned", "quoted", "same_kind",
+    "in_path", "secret_word", "harmless_word", "assigned", "quoted", "same_kind", "known_key", "code",
 )
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -167,41 +167,113 @@ def with_features(found: DataFrame, name: str, language: Language) -> DataFrame:
         "harmless_word": before.rlike(HARMLESS_WORDS).cast("int"),
         "assigned": before.rlike(ASSIGNED).cast("int"),
         "quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("int"),
+        "known_key": (value.rlike(KNOWN_KEYS) | before.rlike(KEY_BLOCK)).cast("int"),
+        "code": value.rlike(r"[(){}\[\]]|^https?:|(?i)^your|example|change.?me").cast("int"),
         "same_kind": value.rlike(r"^([0-9]+|[A-Za-z]+)$").cast("int"),
     }
     return found.withColumn("features", F.array(*[columns[f].cast("double") for f in FEATURES]))
 
 
+#: Fixed value: forms that only keys have: prefixes of well-known issuers, signed tokens.
+KNOWN_KEYS = (
+    r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|[sr]k_live_[A-Za-z0-9]{20,}"
+    r"|xox[abpr]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})$"
+)
+#: Fixed value: what stands before the body of a private key.
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----$"
+
+
 def weak_labels(found: DataFrame, name: str) -> Column:
     """A label for findings that are plain cases, null for the others.
 
-    1: a quoted value of letters and digits, assigned to a word that goes with secrets. 0: numbers,
-    addresses, paths, words that go with harmless values, and runs that are not assigned at all.
+    1: a key by its own form or a body of a private key, whatever stands around it; letters and
+    digits of 16 characters or more, assigned to a word that goes with secrets, in quotes or not.
+    0: numbers, addresses, paths, words that go with harmless values. Other findings, those that are
+    not assigned too, have no label.
     """
-    value, before, after = (F.col(f"{name}.{x}") for x in ("value", "before", "after"))
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.contains("@")
+    value, before = F.col(f"{name}.value"), F.col(f"{name}.before")
+    mixed = value.rlike("^[A-Za-z0-9+/=_-]{16,}$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     last_words = F.right(before, F.lit(24))
-    secret = mixed & last_words.rlike(SECRET_WORDS) & before.rlike(ASSIGNED) & after.rlike("^[\"'`]")
+    known = value.rlike(KNOWN_KEYS) | before.rlike(KEY_BLOCK)
+    secret = mixed & last_words.rlike(SECRET_WORDS) & before.rlike(ASSIGNED)
     harmless = value.rlike("^[0-9]+$") | value.contains("@") | value.rlike("^[A-Za-z./_-]+[0-9]?$") | last_words.rlike(HARMLESS_WORDS)
-    return F.when(secret, 1.0).when(harmless, 0.0)
+    return F.when(known, 1.0).when(harmless & ~secret, 0.0).when(secret & ~last_words.rlike(HARMLESS_WORDS), 1.0)
 
 
-def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+_DIGITS = "0123456789"
+#: Forms in which secrets and harmless values stand; names that go with each.
+_SECRET_FORMS = (
+    '{n} = "{v}"', "{n}: {v}", "export {N}={v}", "{N}={v}", "{n} = '{v}'", '{{"{n}": "{v}"}}', "https://a.io/cb?{n}={v}&x=1",
+    "Authorization: Bearer {v}", "X-Api-Key: {v}", "--{n}={v}", "<{n}>{v}</{n}>", "{n} := `{v}`",
+)
+_SECRET_NAMES = ("token", "api_key", "secret", "password", "db_password", "access_key", "client_secret", "auth_token")
+_HARMLESS_FORMS = (
+    "commit {h}", "sha256: {h}", 'checksum = "{h}"', 'id = "{u}"', "uuid: {u}", "see /usr/share/{w}/{w}{d}/{w}-{w}.txt", "{w}.{w}{d}@{w}.example.com",
+    "https://www.{w}.com/{w}/{w}-{w}-{d}{d}", "order {d}{d}{d}{d}", '{n} = "{w}_{w}_{w}"', "{n}: {w}{w}", "author: {w}{w}", "{n} = get_{w}({w}_{w})",
+    '{n} = "your-{n}-here"', "{N}=${{{N}_{w}}}", "version-{d}-{w}-{w}-{d}", "the {n}: {w}{w} {w}", '{n}_url = "https://{w}.com/{w}/{w}{d}"',
+    '{n}_file = "/etc/{w}/{w}/{w}{d}.json"', "{w}_{w}_{w}_{d}={w}", 'etag = "{h}"', "digest={h}",
+)
+
+
+def composed(spark) -> DataFrame:
+    """Rows ``text, secret``: texts in the forms above, of which ``secret`` is one or null; always the same.
+
+    A third of the secrets are keys by their own form or bodies of private keys, without an
+    assignment, quotes or a word that goes with secrets before them.
+    """
+    rng = random.Random(17)
+    mixed = _LOWER + _LOWER.upper() + _DIGITS
+    draw = lambda letters, k: "".join(rng.choices(letters, k=k))
+    word = lambda: "".join(rng.choice("bdfklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    rows = []
+    for i in range(1200):
+        name = rng.choice(_SECRET_NAMES)
+        value = (
+            draw("0123456789abcdef", rng.choice((32, 40, 64))), draw("0123456789ABCDEF", 40), draw(mixed, rng.randint(20, 48)),
+            draw(mixed + "+/", 40), word().title() + draw(_DIGITS, 3) + rng.choice("!&#%$*") + draw(mixed, 5), draw(mixed + "!#%$*", 12),
+        )[i % 6]
+        text = rng.choice(_SECRET_FORMS).format(n=name, N=name.upper(), v=value)
+        if i % 3 == 0:
+            value = (
+                "AKIA" + draw(_LOWER.upper() + _DIGITS, 16), "ghp_" + draw(mixed, 36), "sk_live_" + draw(mixed, 24), "glpat-" + draw(mixed, 20),
+                "xoxb-" + draw(_DIGITS, 12) + "-" + draw(mixed, 24), "eyJ" + draw(mixed, 30) + ".eyJ" + draw(mixed, 40) + "." + draw(mixed, 43),
+                "\n" + "\n".join(draw(mixed + "+/", 64) for _ in range(6)) + "\n",
+            )[i // 3 % 7]
+            block = value[0] == "\n"
+            text = f"-----BEGIN RSA PRIVATE KEY-----{value}-----END RSA PRIVATE KEY-----" if block else f"{word()} {value} {word()}"
+        rows.append({"text": f"{word()} {word()}\n{text}\n{word()}", "secret": value})
+        fields = {x: word() for x in "w"} | {"d": draw(_DIGITS, 4), "h": draw("0123456789abcdef", 40), "n": name, "N": name.upper()}
+        fields["u"] = "-".join(draw("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+        rows.append({"text": f"{word()} {word()}\n{_HARMLESS_FORMS[i % len(_HARMLESS_FORMS)].format(**fields)}\n{word()}"})
+    made = F.from_json(F.lit(json.dumps(rows)), "array<struct<text:string,secret:string>>")
+    return spark.range(1).select(F.inline(made))
+
+
+def composed_findings(spark, language: Language) -> DataFrame:
+    """Rows ``features, label`` of the candidates in composed texts."""
+    found, name = candidates(composed(spark))
+    label = F.coalesce(F.col(f"{name}.value") == F.col("secret"), F.lit(False)).cast("double")
+    return with_features(found, name, language).select("features", label.alias("label"))
+
+
+def train(labelled: DataFrame, further: DataFrame | None = None) -> RandomForestClassificationModel | None:
     """A forest from rows ``features`` (array) and ``label`` (0 or 1); null labels are left out.
 
-    Of each label at most about ``TRAINING_FINDINGS`` rows count, by hash. None where a label has
-    no row: there is nothing to tell apart.
+    Of each label at most about ``TRAINING_FINDINGS`` rows count, by hash, and all of ``further``.
+    None where a label has no row: there is nothing to tell apart.
     """
     known = labelled.where("label is not null")
     sizes = {row.label: row["count"] for row in known.groupBy("label").count().collect()}
-    if len(sizes) < 2:
+    if len(sizes) < 2 and further is None:
         return None
-    share = reduce(
-        lambda rest, label: F.when(F.col("label") == label, min(1.0, TRAINING_FINDINGS / sizes[label])).otherwise(rest),
-        sizes, F.lit(0.0),
-    )
+    share = F.lit(0.0)
+    for label, n in sizes.items():
+        share = F.when(F.col("label") == label, min(1.0, TRAINING_FINDINGS / n)).otherwise(share)
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(5), "features"), 11) / float(1 << 53)
-    sample = known.where(spot < share).select("label", *[F.get("features", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
+    rows = known.where(spot < share).select("label", "features")
+    rows = rows if further is None else rows.unionByName(further.select("label", "features"))
+    sample = rows.select("label", *[F.get("features", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(sample).select("label", "vector")
     forest = RandomForestClassifier(
         featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=TREE_DEPTH, featureSubsetStrategy="sqrt", seed=11
@@ -215,7 +287,8 @@ def scored(
     """Candidates with ``score``: the forest's probability that each is a secret.
 
     ``labelled`` is a label column over the candidates' struct ``found``; the default takes the
-    plain cases of ``docs`` itself. Without two labels the plain label is the score (0 if none).
+    plain cases of ``docs`` itself and composed ones in many forms. Without two labels the plain
+    label is the score (0 if none).
     ``keep`` names the columns to go on with (all by default), ``language`` the words and
     transitions of a larger table that ``docs`` are taken from.
     """
@@ -225,7 +298,7 @@ def scored(
     found, name = candidates(docs.select(rows.alias("row"), F.col(f"`{text}`").alias("text")))
     found = with_features(found, name, language).withColumn("label", weak_labels(found, name) if labelled is None else labelled)
     found = cut_lineage(found.select("row", F.col(name).alias("found"), "features", "label"), "findings")
-    forest = train(found)
+    forest = train(found, composed_findings(docs.sparkSession, language) if labelled is None else None)
     if forest is None:
         return found.withColumn("score", F.coalesce("label", F.lit(0.0))), "found"
     vector = found.select("*", *[F.get("features", F.lit(i)).alias(f"feature_{f}") for i, f in enumerate(FEATURES)])

@@ -285,6 +285,22 @@ def test_words_of_all_texts_are_counted(spark):
     assert {"common", "language", "vortoj", "malgranda"} <= set(secret_forest.Language(docs).words)
 
 
+def test_secrets_in_other_forms_are_found(spark):
+    rng = random.Random(31)
+    draw = lambda k, letters="abcdefghijkmnpqrstuvwxyzABCDEFGHJK0123456789": "".join(rng.choices(letters, k=k))
+    forms = ("password: {}", "Authorization: Bearer {}", "export API_KEY={}", "https://b.org/in?access_token={}&b=2", '{{"secret": "{}"}}')
+    secrets = [draw(rng.randint(24, 40)) for _ in range(60)]
+    texts = [forms[i % len(forms)].format(value) for i, value in enumerate(secrets)]
+    keys = ["AKIA" + draw(16, "ABCDEFGHIJKLMNOP234567") for _ in range(10)]
+    texts += [f"then {value} follows" for value in keys]
+    harmless = [f"commit {draw(40, '0123456789abcdef')}" for _ in range(20)] + ["the secret: everything about it"] * 5
+    docs = frame(spark, secret_texts(120)[0] + texts + harmless)
+    found = {row.doc_id: row for row in secret_forest.findings(docs).where("is_secret").collect()}
+    right = [i for i, value in enumerate(secrets + keys, 120) if i in found and found[i].value_sha256 == hashlib.sha256(value.encode()).hexdigest()]
+    assert len(right) >= 0.9 * 70
+    assert not any(i in found for i in range(190, 215))
+
+
 def test_no_candidates(spark):
     docs = frame(spark, [None, "", "plain"])
     assert secret_forest.findings(docs).count() == 0
