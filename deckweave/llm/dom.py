@@ -14,7 +14,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset(
     "script style template noscript svg math iframe object canvas audio video select textarea button title head datalist".split()
 )
-RAW = frozenset("script style textarea title iframe noscript".split())
+#: Of those, the ones that hold no elements and run to the end of a page where they
+#: never end; elements that can stand in a head.
+RAW = frozenset("script style textarea title".split())
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template html head".split())
 #: Which open elements a start tag ends, up to the nearest of the second group.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -64,18 +67,28 @@ def parse(page: str) -> Node:
     """The tree of block elements below a root; it never fails, whatever the markup."""
     root = Node("html", None, [])
     blocks, open_tags, run, anchors = [root], ["html"], None, 0
+    runs: list[Node | None] = []  # what each open unseen element interrupts
     at, size = 0, len(page)
 
     def end(tag: str) -> None:
-        nonlocal run, anchors
         while open_tags[-1] != tag:
             leave()
-        leave()
+        leave(True)
 
-    def leave() -> None:
+    def leave(closed: bool = False) -> None:
         nonlocal run, anchors
         gone = open_tags.pop()
-        if gone in BLOCKS:
+        if gone in UNSEEN:
+            # The node is no child of any. Without an end tag of its own, it holds no more than
+            # what stands before its first block.
+            node, run = blocks.pop(), runs.pop()
+            first = next((i for i, child in enumerate(node.children) if child.tag != "#"), None)
+            if not closed and first is not None:
+                for child in node.children[first:]:
+                    child.parent = blocks[-1]
+                blocks[-1].children += node.children[first:]
+                run = None
+        elif gone in BLOCKS:
             blocks.pop()
             run = None
         elif gone == "a":
@@ -91,6 +104,8 @@ def parse(page: str) -> Node:
             piece = found.group()
             if piece[0] == "<" and len(piece) > 1:
                 continue
+            if open_tags[-1] == "head" and piece.strip():
+                leave()
             if run is None:
                 if not piece.strip():
                     continue
@@ -107,22 +122,35 @@ def parse(page: str) -> Node:
             elif tag == "br" and run is not None:
                 run.text.append(" ")
             continue
+        if open_tags[-1] == "head" and tag not in HEAD:
+            leave()
         if tag in UNSEEN:
-            if not attributes.endswith("/"):
-                at = _skip(page, at, tag)
+            if tag in ("select", "button") and tag in open_tags:
+                while tag in open_tags:
+                    leave()
             if tag in ("select", "textarea", "button"):
                 blocks[-1].inputs += 1
+            if tag in RAW:
+                if not attributes.endswith("/"):
+                    at = _skip(page, at, tag)
+            elif not attributes.endswith("/") and not (tag == "head" and tag in open_tags):
+                node = Node(tag, None, [])
+                node.depth = blocks[-1].depth  # that of its children where they go to its parent
+                blocks.append(node)
+                open_tags.append(tag)
+                runs.append(run)
+                run = None
             continue
         if tag in ("html", "body"):
             root.tokens += attribute_tokens(attributes)[0]
             continue
         if tag in BLOCKS:
-            if "p" in open_tags:
+            if "p" in open_tags and not (runs and _unseen_above("p", open_tags)):
                 end("p")
             if tag in CLOSES:
                 closed, limits = CLOSES[tag]
                 for name in reversed(open_tags):
-                    if name in limits:
+                    if name in limits or name in UNSEEN:
                         break
                     if name in closed:
                         end(name)
@@ -146,21 +174,23 @@ def parse(page: str) -> Node:
         if not attributes.endswith("/"):
             open_tags.append(tag)
             anchors += tag == "a"
+    while len(open_tags) > 1:
+        leave()
     return root
 
 
+def _unseen_above(tag: str, open_tags: list[str]) -> bool:
+    """Whether an unseen element was opened after the last ``tag``."""
+    return next(name for name in reversed(open_tags) if name == tag or name in UNSEEN) != tag
+
+
 _ENDS: dict[str, re.Pattern] = {}
 
 
 def _skip(page: str, at: int, tag: str) -> int:
-    """Where the content of an unseen element ends; one that never ends holds the rest of the page,
-    but for a head, which ends where the body begins."""
+    """Where the content of an element without elements ends; one that never ends holds the rest of the page."""
     pattern = _ENDS.get(tag)
     if pattern is None:
-        last = rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)"
-        quiet = "" if tag in RAW else r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|"
-        pattern = _ENDS[tag] = re.compile(f"{quiet}({last})", re.S | re.I)
-    for found in pattern.finditer(page, at):
-        if found.group(1) is not None:
-            return found.end()
-    return len(page)
+        pattern = _ENDS[tag] = re.compile(rf"</{tag}\b[^>]*>", re.I)
+    found = pattern.search(page, at)
+    return found.end() if found else len(page)

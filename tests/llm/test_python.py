@@ -264,6 +264,23 @@ def test_odd_pages(spark):
     assert html_text.extract(pages.limit(0), html_text.learn(pages.limit(0), training_pages=30)).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>x</title><p>article</p>more", ["article", "more"]),
+    ("<head><title>x</title><body><p>article", ["article"]),
+    ("<head><meta a=b><noscript><p>no</p></noscript></head>article", ["article"]),
+    ("<head><title>x</title>article", ["article"]),
+    *[(f"<div><p>a</p><{t}>Menu</div><p>b", ["a", "b"]) for t in ("button", "select", "object", "svg", "noscript", "template")],
+    *[(f"<{t}>Menu<p>a</p><p>b</p>", ["a", "b"]) for t in ("button", "select", "object", "svg", "noscript", "template")],
+    ("<button>Menu<p>a</p><button>Ok</button><p>b", ["a", "b"]),
+    ("<p>a <button><div>no</div></button> b</p>", ["a  b"]),
+])
+def test_unseen_elements_without_an_end(page, text):
+    def texts(node):
+        return ["".join(node.text)] if node.tag == "#" else [x for child in node.children for x in texts(child)]
+
+    assert [x for x in texts(dom.parse(page)) if x.strip()] == text
+
+
 def test_pipeline_by_its_parts(spark):
     import corpus_pipeline
 
