@@ -7,14 +7,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckweave.llm.arrow import map_rows, typed
 
 #: Documents of each language that the scores are learnt from, chosen by the hash of their ids.
 SAMPLE_DOCUMENTS = 1500
-#: Distinct words of the sample that are kept, the most frequent first, and longest word that counts.
+#: Distinct words of each language in the sample that are kept, the most frequent first, and longest word that counts.
 SAMPLE_WORDS = 150_000
 LONGEST_WORD = 40
 #: Score that a change of language costs, and what one word's score is bounded by.
@@ -46,7 +46,7 @@ def _grams(word: str) -> list[str]:
 
 
 class Model:
-    """Scores of words by language; picklable, a few MB at most by the bounds of the sample."""
+    """Scores of words by language; picklable, its size bounded by the sample of each language."""
 
     def __init__(self, counts: dict[tuple[str, str], int]):
         """``counts``: how often each (language, word) occurs in the sample."""
@@ -127,7 +127,8 @@ def learn(
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(
         F.length("word").between(1, LONGEST_WORD)
     )
-    counted = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(SAMPLE_WORDS)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    counted = words.groupBy("lang", "word").count().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_WORDS)
     return Model({(row.lang, row.word): row["count"] for row in counted.collect()})
 
 

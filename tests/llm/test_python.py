@@ -188,6 +188,13 @@ def test_languages_of_held_out_documents(spark):
     assert {row.lang_pred for row in language.predictions(both.limit(0)).collect()} == set()
 
 
+def test_rare_languages_keep_their_words(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_WORDS", 3)
+    texts = [("the house of rivers", "en")] * 30 + [("la domo de riveroj", "eo")]
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert language.learn(docs).languages == ["en", "eo"]
+
+
 def test_spans_of_mixed_texts_and_scripts(spark):
     counts = {("en", w): 50 for w in "the of and house river".split()} | {("de", w): 50 for w in "der und haus fluss nicht".split()}
     counts |= {("ru", w): 50 for w in "река дом и не что".split()}
