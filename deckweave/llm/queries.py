@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deckweave.llm import decontaminate, html_text, language, near_dups, quality, secret_forest, token_counts, token_files, tree_bpe, url_templates
+from deckweave.llm import decontaminate, filter_audit, html_text, language, near_dups, quality, secret_forest, token_counts, token_files, tree_bpe, url_templates
 from deckweave.session import scratch_path
 
 
@@ -162,6 +162,56 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The counts of the cells by part, then every order and step beside them.
+OP13_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY text) AS first_id
+  FROM t),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > first_id THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+orders AS (
+  SELECT '' AS filter_order
+  UNION ALL
+  SELECT filter_order || name FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name)
+  WHERE NOT contains(filter_order, name)),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS name, filter_order[1:step - 1] AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+summed AS (
+  SELECT part, filter_order, step, name,
+    sum(n) FILTER (translate(fails, earlier || name, '') = fails) AS kept,
+    sum(n) FILTER (contains(fails, name) AND translate(fails, earlier, '') = fails) AS removed,
+    sum(n) FILTER (contains(fails, name) AND translate(fails, earlier, '') <> fails) AS redundant,
+    sum(n) FILTER (fails = name) AS unique_fails,
+    sum(good) FILTER (contains(fails, name) AND translate(fails, earlier, '') = fails) AS good_lost,
+    sum(toxic) FILTER (contains(fails, name) AND translate(fails, earlier, '') = fails) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, name)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, name) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def load() -> dict[str, Query]:
     return {
         "op1_token_files": Query(op1_token_files),
@@ -174,4 +224,5 @@ def load() -> dict[str, Query]:
         "op8_url_templates": Query(op8_url_templates, OP8_SQL),
         "op9_language": Query(op9_language),
         "op10_tree_bpe": Query(op10_tree_bpe),
+        "op13_filter_audit": Query(op13_filter_audit, OP13_SQL),
     }
