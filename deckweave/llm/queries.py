@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deckweave.llm import decontaminate, filter_audit, html_text, language, near_dups, quality, secret_forest, token_counts, token_files, tree_bpe, url_templates
+from deckweave.llm import decontaminate, filter_audit, html_text, language, near_dups, packing, quality, secret_forest, spelling, token_counts, token_files, tree_bpe, url_templates
 from deckweave.session import scratch_path
 
 
@@ -162,6 +162,15 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), drop_every=97)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -224,5 +233,7 @@ def load() -> dict[str, Query]:
         "op8_url_templates": Query(op8_url_templates, OP8_SQL),
         "op9_language": Query(op9_language),
         "op10_tree_bpe": Query(op10_tree_bpe),
+        "op11_spelling_groups": Query(op11_spelling_groups),
+        "op12_packing": Query(op12_packing),
         "op13_filter_audit": Query(op13_filter_audit, OP13_SQL),
     }

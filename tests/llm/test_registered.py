@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = {name.split("_")[0] for name in load()}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(load()) | {"pipeline"} <= set(driver.queries())
 
 
