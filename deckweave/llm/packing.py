@@ -10,6 +10,7 @@ into sequences of powers of two, which need no padding.
 """
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,33 +37,58 @@ LONG_RUN = 4096
 _SAFE_CUT = re.compile(r"(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[.,;:!?。、，])(?=[0-9A-Za-z一-鿿])")
 
 
+# Fixed value: the words of the tokenizer after lower-casing, for the characters that `plain` texts hold.
+_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# Characters for which the standard library's classes, its lower case and the tokenizer's are the same and
+# no normal form differs: below U+0250 without four separators and six numerals.
+_OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+# A byte that is not printable stands for itself plus an offset in vocabularies of this kind.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_NAMES = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordEncoder:
-    """Ids of whole texts by a ``tokenizers`` file that drops white space.
+    """Ids of whole texts by a ``tokenizers`` file that lowers case and drops white space.
 
-    Blanks, tabs and line ends separate runs, and a run has the same ids in every text: no special
-    string and no normal form reaches over them. Ids of runs are kept, and the library is asked for
-    new ones only. A file that keeps white space, or joins over it, is refused.
+    Texts of plain characters are taken apart into the tokenizer's words, whose ids are kept; the
+    file's model is asked for new ones only. Other texts are taken apart at blanks, tabs and line ends
+    alone, over which no special string and no normal form reaches, and the library encodes each new
+    run. A file that doesn't take texts apart in this way is refused.
     """
 
     def __init__(self, path: str):
         self._tokenizer = tokenizer(path)
-        joined = self._plain("a b\tc\nd\r\re")
-        if joined != b"".join(map(self._plain, "abcde")):
-            raise ValueError(f"{path} does not encode words apart from their white space")
-        self._store = Store(self._run)
-        self._store[""] = b""
+        self._model = self._tokenizer.model
+        self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
+        self._words, self._runs = Store(self._word), Store(self._run)
+        self._runs[""] = b""
+        probe = "It's a \x1btest_1 of\tDON'T!!'s É²ß\n12 ab."
+        if self._library(probe) != b"".join(map(self._library, probe.split())) or self._library(
+            probe.replace("²", "")
+        ) != self._plain(probe.replace("²", "")):
+            raise ValueError(f"{path} does not take texts apart into lower-case words without white space")
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        named = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        found = self._model.tokenize(named)
+        return struct.pack(f"<{len(found)}I", *[token.id for token in found])
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self._words.__getitem__, _WORDS.findall(text.lower())))
 
     def _run(self, run: str) -> bytes:
         if len(run) <= LONG_RUN:
-            return self._plain(run)
-        return b"".join(map(self._plain, _long_parts(run)))
+            return self._library(run)
+        return b"".join(map(self._library, _long_parts(run)))
 
     def encode(self, text: str) -> bytes:
+        if not _OTHER.search(text) and not any(token in text for token in self._special):
+            return self._plain(text)
         blanks = text.replace("\t", " ").replace("\n", " ").replace("\r", " ")
-        return b"".join(map(self._store.__getitem__, blanks.split(" ")))
+        return b"".join(map(self._runs.__getitem__, blanks.split(" ")))
 
 
 def _long_parts(run: str) -> Iterator[str]:

@@ -91,6 +91,8 @@ def test_encoder_equals_library():
     texts = [t or "" for t in TEXTS] + ["".join(draw.choices(parts, k=k)) for k in range(1, 200)]
     # Runs of more characters than are given to the library at once.
     texts += ["".join(draw.choices(["ab1", "z.", "9", "é", "日。日", "<|endoftext|>", "'s", "́"], k=6000)) for _ in range(3)]
+    texts += [f"x{chr(c)}y 1{chr(c)}2 .{chr(c)}, {chr(c)}{chr(c)}Z '{chr(c)}'s" for c in [*range(0x250), 0x3A3, 0x1E9E, 0x4E00]]
+    texts += ["<|ENDOFTEXT|> <|EndOfText|>", "I'LL WE'RE 'S'T", "!'s _'m__ 'll"]
     for text in texts:
         assert np.frombuffer(use.encode(text), "<u4").tolist() == _library(text), text[:80]
     assert max(map(len, packing._long_parts("ab1." * 100_000))) < 2 * packing.LONG_RUN
