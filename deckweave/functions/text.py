@@ -36,6 +36,19 @@ def embedded_records(page: Column | str) -> Column:
     return F.from_json(embedded_json(page), "array<map<string, string>>", STRICT_JSON)
 
 
+def last_entries(record: Column) -> Column:
+    """A map with the last value of each key, as parsers of JSON objects give it.
+
+    Maps from ``from_json`` keep all entries of a repeated key; those without one stay as they are.
+    """
+    keys, count = F.map_keys(record), F.size(F.map_keys(record))
+    last = F.filter(
+        F.map_entries(record),
+        lambda entry, i: ~F.exists(F.slice(keys, i + 2, count), lambda later: later == entry["key"]),
+    )
+    return F.when(F.size(F.array_distinct(keys)) == count, record).otherwise(F.map_from_entries(last))
+
+
 def embedded_rows(page: Column | str, row: T.StructType) -> Column:
     """Rows of the table embedded in a page, null where there is none or its JSON is broken.
 

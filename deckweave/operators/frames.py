@@ -1,7 +1,7 @@
 """Column-set operators driven by the schema, and unions of frames."""
 
 import re
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,55 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def distinct_names(names: Iterable[str]) -> dict[str, str]:
+    """Column names that differ by more than case, for names that may not.
+
+    The first of several spellings keeps its name, the next ones end in ``_2``, ``_3`` …, skipping
+    what is taken by another name; an empty name is ``_``.
+    """
+    wanted = list(dict.fromkeys(names))
+    fold = lambda name: name.upper().lower()
+    firsts: dict[str, str] = {}
+    for name in wanted:
+        firsts.setdefault(fold(name or "_"), name)
+    taken, given = set(firsts), {}
+    counts: dict[str, int] = {}
+    for name in wanted:
+        base, folded = name or "_", fold(name or "_")
+        if firsts[folded] == name:
+            given[name] = base
+            continue
+        number = counts.get(folded, 1)
+        while True:
+            number += 1
+            if fold(f"{base}_{number}") not in taken:
+                break
+        counts[folded] = number
+        taken.add(fold(f"{base}_{number}"))
+        given[name] = f"{base}_{number}"
+    return given
+
+
+def map_columns(df: DataFrame, record: str, names: Iterable[str], *keep: str) -> DataFrame:
+    """Columns of a ``map<string, string>`` column by key, then the columns to ``keep``.
+
+    A key is found by its exact spelling, and columns are named by ``distinct_names``, also apart
+    from those to keep. The map becomes a variant whose keys are sorted, and one cast takes all columns
+    out of it, so that a row costs its own entries and not entries times columns. Keys are unique.
+    """
+    named = distinct_names([*keep, *names])
+    keys = [name for name in named if name not in keep]
+    own = T.StructType([T.StructField(name, T.StringType()) for name in keys])
+    final = T.StructType([T.StructField(named[name], T.StringType()) for name in keys])
+    if not keys:
+        return df.select(*map(_quoted, keep))
+    held = "fields"
+    while held in keep:
+        held += "_"
+    taken = F.to_variant_object(_quoted(record)).cast(own).cast(final).alias(held)
+    return df.select(taken, *map(_quoted, keep)).select(F.col(f"{held}.*"), *map(_quoted, keep))
+
+
 def with_source(df: DataFrame, url: Column | str, name: str = "url") -> DataFrame:
     """Keep the source address on every row; a plain string is a literal address."""
     return df.withColumn(name, F.lit(url) if isinstance(url, str) else url)
@@ -146,6 +195,46 @@ def page_of(df: DataFrame, page: int = 1, size: int = 5, order: str | Column = "
     return numbered.select(*rows.columns, "page", "pageSize", counted, "totalCount")
 
 
+def page_after(df: DataFrame, last: Mapping | None = None, size: int = 5, order: Sequence[str] = ("id",)) -> DataFrame:
+    """The ``size`` rows behind ``last`` in ascending order of some columns, nulls first.
+
+    ``last`` has the values of the order columns in the last row of the page before; without it the
+    first rows are given. The order has to tell rows apart: of rows that are equal in it those that
+    did not fit on a page are not met again. Every page is a top-k of ``size`` rows under a condition
+    that files with statistics are pruned by.
+    """
+    if size < 1:
+        raise ValueError("size starts at 1")
+    keys = list(order)
+    if last is not None and set(last) != set(keys):
+        raise ValueError(f"the last row has to have values for {keys} alone")
+    chosen = df if last is None else df.where(_behind({name: last[name] for name in keys}))
+    return chosen.orderBy(*[_quoted(name).asc_nulls_first() for name in keys]).limit(size)
+
+
+def _behind(last: Mapping) -> Column:
+    """Whether a row comes after the values, nulls first."""
+    (name, value), *rest = last.items()
+    column = _quoted(name)
+    greater = column.isNotNull() if value is None else column > F.lit(value)
+    if not rest:
+        return greater
+    equal = column.isNull() if value is None else column == F.lit(value)
+    behind = greater | (equal & _behind(dict(rest)))
+    # Implied by the other condition, and such that a scan can use it.
+    return behind if value is None else (column >= F.lit(value)) & behind
+
+
+def last_key(page: DataFrame, order: Sequence[str] = ("id",)) -> dict | None:
+    """The values of the order columns in the last row of a page, null for an empty page.
+
+    At most a page comes to the driver.
+    """
+    keys = list(order)
+    row = page.select(*map(_quoted, keys)).orderBy(*[_quoted(name).desc_nulls_last() for name in keys]).first()
+    return None if row is None else dict(zip(keys, row))
+
+
 def page_counts(df: DataFrame, page: int = 1, size: int = 5) -> DataFrame:
     """``page, pageSize, count, totalCount`` of a page as one row, also of a page past the end."""
     if page < 1 or size < 1:

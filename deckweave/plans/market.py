@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from deckweave import schemas
 from deckweave.functions import numbers, text
 from deckweave.operators import frames
+from deckweave.session import cut_lineage
 from deckweave.sources import pages as page_source
 
 # New names of the market fields. Both rarity codes become one column.
@@ -30,7 +31,6 @@ RENAMES = {
     "sNomePortugues": "nome_pt2",
 }
 
-MOST_FIELDS = 1000
 SUMMED = ("preco_min", "preco_mean", "preco_max")
 MEANS = tuple(f"{name}_mean" for name in SUMMED)
 
@@ -59,24 +59,45 @@ def market_rows(
     return page_rows(good, row)
 
 
-def raw_rows(pages: DataFrame, collections: DataFrame | None = None) -> DataFrame:
-    """Market rows of accepted pages with all fields that any of them has, as texts, and ``url``.
+def raw_records(pages: DataFrame, collections: DataFrame | None = None) -> DataFrame:
+    """Rows of the tables of accepted pages as ``url, record``, all their fields as texts by name.
 
-    A pass over all pages finds the names of fields; those that are known come first. Pages with
-    more than ``MOST_FIELDS`` names are refused, as names would then be data.
+    Of a repeated field the last value counts. Elements that are not objects spoil their table, as
+    broken JSON does.
     """
     good = page_source.accepted(pages)
     if collections is not None:
         good = page_source.in_collections(good, collections)
     carrying = good.where(F.contains("html", F.lit(text.TABLE_MARKER)))
-    records = carrying.select("url", F.explode(text.embedded_records("html")).alias("record"))
+    # The outer form, as the other makes Spark parse each table again to see whether it is empty.
+    records = carrying.select("url", F.explode_outer(text.embedded_records("html")).alias("record"))
+    found = records.where(F.col("record").isNotNull())
+    return found.select("url", text.last_entries(F.col("record")).alias("record"))
+
+
+def raw_rows(pages: DataFrame, collections: DataFrame | None = None) -> DataFrame:
+    """Market rows of accepted pages with all fields that any of them has, as texts, and ``url``.
+
+    Fields of the declared row come first, the others in the order of their names, ``url`` is the
+    page's. Names that differ only in case are columns of their own (``frames.distinct_names``:
+    ``id``, ``ID_2``), as Spark takes them for one; declared names keep theirs. Pages are parsed once:
+    their records are written, and names are found in the keys alone. There may be any number of
+    names; the columns of a frame are in the driver by nature, ``raw_fields`` needs none.
+    """
+    records = cut_lineage(raw_records(pages, collections), "records")
     names = records.select(F.explode(F.map_keys("record")).alias("name")).distinct()
-    found = {row.name for row in names.limit(MOST_FIELDS + 1).collect()}
-    if len(found) > MOST_FIELDS:
-        raise ValueError(f"the pages have more than {MOST_FIELDS} fields")
+    found = {row.name for row in names.toLocalIterator()} - {"url"}
     known = [name for name in schemas.MARKET_ROW.fieldNames() if name in found]
-    others = sorted(found - set(known) - {"url"})
-    return records.select(*[F.col("record")[name].alias(name) for name in known + others], "url")
+    return frames.map_columns(records, "record", known + sorted(found - set(known)), "url")
+
+
+def raw_fields(pages: DataFrame, collections: DataFrame | None = None) -> DataFrame:
+    """The same in long form, ``url, row, field, value``, where names are data: one row a field.
+
+    ``row`` tells the rows of one job apart and means nothing else.
+    """
+    records = raw_records(pages, collections).withColumn("row", F.monotonically_increasing_id())
+    return records.select("url", "row", F.explode("record").alias("field", "value"))
 
 
 def variation_rows(

@@ -1,5 +1,7 @@
 """Market queries: lineitem, part, events, pages and orders as captured pages and market rows."""
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,11 +241,28 @@ def _flow_pages(spark, folder):
         F.concat(F.lit('say "'), F.col("page_id"), F.lit('", or not')).alias("novo"),
     )
     script = F.concat(F.lit("<script>var cardsjson = "), F.to_json(F.array(row)), F.lit(";</script>"))
-    return table(spark, folder, "pages").select("url", F.lit(200).alias("status"), script.alias("html"))
+    return table(spark, folder, "pages").select("url", F.lit(200).alias("status"), script.alias("html"), "page_id")
+
+
+_NAMES, _NAMES_OF_PAGE = 1200, 12
+
+
+def _wild_pages(spark, folder):
+    """The same with names that differ only in case, a repeated name, and 1,200 names in all pages together."""
+    number = lambda k: (F.col("page_id") * _NAMES_OF_PAGE + k) % _NAMES
+    others = F.transform(
+        F.sequence(F.lit(0), F.lit(_NAMES_OF_PAGE - 1)),
+        lambda k: F.concat(F.lit('"x'), number(k), F.lit('": "'), F.col("page_id"), F.lit("-"), k, F.lit('"')),
+    )
+    more = F.concat(
+        F.lit(',"ID":"other '), F.col("page_id"), F.lit('","sN":"first","sN":"'), F.col("page_id"), F.lit('",'),
+        F.concat_ws(",", others), F.lit("}];"),
+    )
+    return _flow_pages(spark, folder).withColumn("html", F.replace("html", F.lit("}];"), more))
 
 
-def _raw_csv(spark, folder):
-    raw = market.raw_rows(_flow_pages(spark, folder))
+def _raw_csv(spark, folder, pages=_flow_pages):
+    raw = market.raw_rows(pages(spark, folder))
     path = scratch_path(spark, "market-csv")
     files.write_csv(raw, path, mark=True)
     return files.read_csv(spark, path, raw.schema)
@@ -251,13 +270,38 @@ def _raw_csv(spark, folder):
 
 @query(
     "A9",
-    """
-    SELECT CAST(page_id AS VARCHAR) AS id, CAST(length(html) AS VARCHAR) AS p1a,
-           CAST(2 * length(url) AS VARCHAR) AS p1c, 'say "' || page_id || '", or not' AS novo, url
-    FROM pages""",
+    f"""
+    WITH others AS (
+        SELECT page_id, ({_NAMES_OF_PAGE} * page_id + k) % {_NAMES} AS name, page_id || '-' || k AS value
+        FROM pages, (SELECT unnest(range({_NAMES_OF_PAGE})) AS k)),
+    joined AS (
+        SELECT page_id, string_agg(value, ';' ORDER BY name) AS others FROM others GROUP BY page_id)
+    SELECT CAST(page_id AS VARCHAR) AS id, 'other ' || page_id AS id_2, CAST(page_id AS VARCHAR) AS sn,
+           CAST(length(html) AS VARCHAR) AS p1a, CAST(2 * length(url) AS VARCHAR) AS p1c,
+           'say "' || page_id || '", or not' AS novo, url, others,
+           10 + (SELECT count(DISTINCT name) FROM others) AS fields
+    FROM pages JOIN joined USING (page_id)""",
 )
 def csv_sink_market(spark, folder):
-    return _raw_csv(spark, folder).select("id", "p1a", "p1c", "novo", "url")
+    back = _raw_csv(spark, folder, _wild_pages)
+    others = sorted((c for c in back.columns if re.fullmatch("x[0-9]+", c)), key=lambda c: int(c[1:]))
+    return back.select(
+        "id", F.col("ID_2").alias("id_2"), F.col("sN").alias("sn"), "p1a", "p1c", "novo", "url",
+        F.concat_ws(";", *others).alias("others"), F.lit(len(back.columns)).cast("bigint").alias("fields"),
+    )
+
+
+@query(
+    "A9",
+    f"""
+    SELECT url, 'x' || (({_NAMES_OF_PAGE} * page_id + k) % {_NAMES}) AS field, page_id || '-' || k AS value
+    FROM pages, (SELECT unnest(range({_NAMES_OF_PAGE})) AS k)
+    UNION ALL SELECT url, 'ID', 'other ' || page_id FROM pages
+    UNION ALL SELECT url, 'sN', CAST(page_id AS VARCHAR) FROM pages""",
+)
+def market_fields(spark, folder):
+    fields = market.raw_fields(_wild_pages(spark, folder)).drop("row")
+    return fields.where(F.col("field").rlike("^(x[0-9]+|ID|sN)$"))
 
 
 @query(

@@ -7,6 +7,10 @@ from pyspark.sql import types as T
 BYTE_ORDER_MARK = "\ufeff"
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def write_csv(df: DataFrame, path: str, mark: bool = False, mode: str = "errorifexists") -> None:
     """Write CSV with a header and quotes doubled, null and empty text both as nothing.
 
@@ -17,7 +21,7 @@ def write_csv(df: DataFrame, path: str, mark: bool = False, mode: str = "errorif
     flags = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)}
     names = {c: (BYTE_ORDER_MARK if mark and i == 0 else "") + c for i, c in enumerate(df.columns)}
     columns = [
-        (F.initcap(F.col(c).cast("string")) if c in flags else F.col(c)).alias(names[c])
+        (F.initcap(_quoted(c).cast("string")) if c in flags else _quoted(c)).alias(names[c])
         for c in df.columns
     ]
     (
