@@ -1,9 +1,11 @@
 """An index of any size, split into cells once and searched many times.
 
-The join of two sets of vectors on nearest neighbours by Voronoi cells (Lu et al., VLDB 2012),
-with angles as the metric. Every query first scores one block of its nearest cell, then visits
-the cells that may hold something as good, by the triangle inequality. Nothing is approximate,
-and no pair of vectors leaves a task.
+The join of two sets of vectors on nearest neighbours by Voronoi cells (Lu et al., VLDB 2012), with
+angles as the metric and vectors quantised to a byte per element on the way (as vector files do, Weber
+et al., VLDB 1998). A query visits the cells that may hold something as good as what it knows already,
+by the triangle inequality, with quantised vectors on both sides. That bounds the best score in each
+block from both sides; only blocks whose upper bound reaches the best lower bound are scored exactly.
+Nothing is approximate, and no pair of vectors leaves a task.
 """
 
 from __future__ import annotations
@@ -11,10 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,8 @@ from deckweave.session import cut_lineage, lasting_tables
 BLOCK_BYTES = 64 << 20
 PIVOTS = 1024
 ROWS_PER_PIVOT = 32
+# Pivots of all lengths together, as a multiple of those of one length.
+LENGTH_PIVOTS = 16
 RINGS = 64
 MERGED_RINGS = 8
 SUB_BLOCKS = 1 << 24
@@ -69,38 +73,48 @@ def _merged_rings(rings: list[tuple], block_rows: int) -> list[list[tuple]]:
 
 
 class _Cells:
-    """Pivots and the cells around them: for each, the range of angles of its vectors."""
+    """Cells around the pivots of one length: for each, the range of angles of its vectors.
 
-    def __init__(self, pivots: np.ndarray, cells: list[list[tuple]], block_rows: int):
+    ``known`` are vectors of the index, of which the best gives a first bound to a query.
+    """
+
+    def __init__(self, pivots: np.ndarray, known: np.ndarray, first: int):
         self.pivots = nearest.unit_rows(pivots)
+        self.known = nearest.unit_rows(known)
+        # Number of the first pivot among those of all lengths.
+        self.first = first
+        self.fill([], 1)
+
+    def fill(self, cells: list[list[tuple]], block_rows: int) -> None:
         self.cell = np.array([c[0][0] for c in cells], dtype=np.int64)
         self.low = np.array([c[0][1] for c in cells], dtype=np.float64)
         self.high = np.array([c[-1][2] for c in cells], dtype=np.float64)
         self.parts = np.array(
             [math.ceil(sum(ring[3] for ring in c) / block_rows) for c in cells], dtype=np.int64
         )
-        self.owner = self.cell // RINGS
-        self.step = max(1, _BOUND_ELEMENTS // max(1, len(cells)))
-
-    def _gaps(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least angle between each query and each cell, and the cosines of the pivots."""
-        cosines = np.clip(nearest.unit_rows(queries) @ self.pivots.T, -1.0, 1.0)
-        angles = np.arccos(cosines)[:, self.owner]
-        gaps = np.maximum(np.maximum(angles - self.high, self.low - angles), 0.0)
-        return gaps, cosines
-
-    def home(self, queries: np.ndarray) -> np.ndarray:
-        """The cell to score first: of the nearest pivot's cells, the nearest."""
-        gaps, cosines = self._gaps(queries)
-        others = self.owner[None, :] != cosines.argmax(axis=1)[:, None]
-        return (gaps + 4.0 * others).argmin(axis=1)
-
-    def open_cells(self, queries: np.ndarray, reached: np.ndarray) -> np.ndarray:
-        """Which cells may hold a vector as good as the score reached, or the best pivot's."""
-        gaps, cosines = self._gaps(queries)
-        bound = np.cos(np.maximum(gaps - _ANGLE_SLACK, 0.0))
-        least = np.maximum(reached, cosines.max(axis=1)) - _SCORE_SLACK
-        return bound >= least[:, None]
+        self.owner = self.cell // RINGS - self.first
+        self.step = max(1, _BOUND_ELEMENTS // max(1, len(cells), len(self.known)))
+
+    def rings(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ring of each vector (nearest pivot and band of angles) and its angle to the pivot."""
+        ring, angle = _angle_rings(self.pivots, matrix)
+        return ring + self.first * RINGS, angle
+
+    def visits(self, queries: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+        """For each query the blocks that may hold a vector as good as the best one known."""
+        for low in range(0, len(queries), self.step):
+            units = nearest.unit_rows(queries[low : low + self.step])
+            angles = np.arccos(np.clip(units @ self.pivots.T, -1.0, 1.0))[:, self.owner]
+            gaps = np.maximum(np.maximum(angles - self.high, self.low - angles), 0.0)
+            bound = np.cos(np.maximum(gaps - _ANGLE_SLACK, 0.0))
+            reached = np.maximum((units @ self.known.T).max(axis=1, initial=-1.0), threshold) - _SCORE_SLACK
+            for row in bound >= reached[:, None]:
+                chosen = np.flatnonzero(row)
+                parts = self.parts[chosen]
+                ends = np.cumsum(parts)
+                yield np.repeat(self.cell[chosen] * SUB_BLOCKS, parts) + (
+                    np.arange(int(parts.sum())) - np.repeat(ends - parts, parts)
+                )
 
 
 def _angle_rings(pivots: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,27 +129,18 @@ def _angle_rings(pivots: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np
     return owner * RINGS + ring, angle
 
 
-def _steps(vectors: pa.Array, length: int, rows: int) -> Iterator[np.ndarray]:
-    """Matrices of a column of equally long vectors, a bounded number of rows at a time."""
-    for low in range(0, len(vectors), rows):
-        part = vectors.slice(low, rows)
-        yield part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), length)
-
-
 @dataclass(frozen=True)
 class _Blocks:
-    """The index for queries of one length: its vectors by block, and the cells."""
+    """The index for queries of some lengths: its vectors by block, and the cells by length."""
 
-    length: int
     rows: DataFrame
-    cells: Broadcast
-    block_rows: int
-    few: bool
-    hit: T.StructType
+    cells: dict[int, _Cells]
+    pivots: int
+    blocks: int
 
 
 class CellIndex:
-    """Index vectors in cells, made on first use for each length of query.
+    """Index vectors in cells, made for the lengths of the queries that come.
 
     The cells live as long as this object, so a stream makes them once and not per batch.
     """
@@ -144,7 +149,7 @@ class CellIndex:
         self.index = index.select("idx", "card_id", "embedding")
         self.pivots = pivots
         self.block_bytes = block_bytes
-        self._blocks: dict[int, _Blocks | None] = {}
+        self._made: list[_Blocks] = []
 
     def match(
         self, queries: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()
@@ -152,223 +157,233 @@ class CellIndex:
         """``(query_id, …, idx, card_id, score, matched)``, one row per query row.
 
         The queries are written first, each row with a key of its own, so that ids may repeat or be
-        null and a model that makes the vectors runs once. ``carry`` names columns to keep. Queries of different lengths are matched one length at a time, as each length cuts the
-        index differently.
+        null and a model that makes the vectors runs once. ``carry`` names columns to keep. Each
+        length of query cuts the index differently; all lengths are searched in one job, their cells
+        and blocks numbered through.
         """
         check_threshold(threshold)
         who = F.struct("query_id", *carry).alias("who")
         keyed = queries.select(F.monotonically_increasing_id().alias("row"), who, "embedding")
         written = cut_lineage(keyed, "asked")
-        asked = written.select("row", "embedding")
-        # One row per length of vector, not per query.
-        sizes = asked.where(F.size("embedding") > 0).select(F.size("embedding")).distinct()
-        hit = hit_type(self.index)
-        best = written.select("row", "who", F.lit(None).cast(hit).alias("hit"))
-        for length in sorted(row[0] for row in sizes.collect()):
-            if length not in self._blocks:
-                with lasting_tables():
-                    self._blocks[length] = self._made(length)
-            blocks = self._blocks[length]
-            if blocks is not None:
-                same = asked.where((F.size("embedding") == length) & usable("embedding"))
-                for part in _search(same, blocks, threshold):
-                    best = best.unionByName(part, allowMissingColumns=True)
-        return _top(best)
-
-    def _made(self, length: int) -> _Blocks | None:
+        # One row per length of vector, not per query: n lengths take n² / 2 elements of queries.
+        sizes = written.where(F.size("embedding") > 0).select(F.size("embedding")).distinct()
+        held = {length for made in self._made for length in made.cells}
+        new = sorted({row[0] for row in sizes.collect()} - held)
+        if new:
+            with lasting_tables():
+                self._made.append(self._cut(new))
+        none = written.select("row", "who", F.lit(None).cast(hit_type(self.index)).alias("hit"))
+        if not self._made:  # no query has a vector
+            return _top(none)
+        found = _search(written, self._all(), threshold, self.block_bytes)
+        return _top(none.unionByName(found, allowMissingColumns=True))
+
+    def _all(self) -> _Blocks:
+        """What was made so far as one; more than one only where later batches brought new lengths."""
+        return _Blocks(
+            reduce(DataFrame.unionByName, [made.rows for made in self._made]),
+            {length: cells for made in self._made for length, cells in made.cells.items()},
+            sum(made.pivots for made in self._made),
+            sum(made.blocks for made in self._made),
+        )
+
+    def _cut(self, lengths: list[int]) -> _Blocks:
+        """Cells for some lengths. An index vector stands in those of each length that it has elements for."""
+        first = sum(made.pivots for made in self._made)
+        cells = self._cells(lengths, first)
+        fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("embedding"))
         cut = (
             without_placeholders(self.index)
-            .where(F.size("embedding") >= length)
-            .select("idx", "card_id", F.slice("embedding", 1, length).alias("embedding"))
+            .select("idx", "card_id", "embedding", F.explode(fitting).alias("length"))
+            .select("idx", "card_id", F.slice("embedding", 1, F.col("length")).alias("embedding"))
             .where(usable("embedding"))
         )
-        centres = self._centres(cut, length)
-        if centres is None:
-            return None
-        block_rows = max(1, self.block_bytes // (8 * length))
-        placed = _placed(cut, centres, length)
+        placed = _placed(cut, cells)
         # At most pivots × rings rows, whatever the size of the index.
         summary = placed.groupBy("ring").agg(
             F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("rows")
         )
-        merged = _merged_rings([tuple(row) for row in summary.collect()], block_rows)
-        cells = _Cells(centres, merged, block_rows)
+        rings = sorted(tuple(row) for row in summary.collect())
+        merged = []
+        for length, own in cells.items():
+            last = own.first + len(own.pivots)
+            block_rows = max(1, self.block_bytes // (8 * length))
+            held = _merged_rings([r for r in rings if own.first <= r[0] // RINGS < last], block_rows)
+            own.fill(held, block_rows)
+            merged += [(ring[0], int(cell), int(parts)) for ours, cell, parts in zip(held, own.cell, own.parts) for ring in ours]
         spark = cut.sparkSession
-        spread = [len(rings) for rings in merged]
+        columns = list(zip(*merged)) or [(), (), ()]
         cell_of_ring = spark.createDataFrame(
-            pa.table(
-                {
-                    "ring": pa.array([ring[0] for rings in merged for ring in rings], pa.int64()),
-                    "cell": pa.array(np.repeat(cells.cell, spread)),
-                    "parts": pa.array(np.repeat(cells.parts, spread)),
-                }
-            )
+            pa.table({name: pa.array(values, pa.int64()) for name, values in zip(("ring", "cell", "parts"), columns)})
         )
         part = F.pmod(F.xxhash64("idx"), "parts")
         rows = placed.join(F.broadcast(cell_of_ring), "ring").select(
-            (F.col("cell") * SUB_BLOCKS + part).alias("block"), "idx", "card_id", "embedding"
+            (F.col("cell") * SUB_BLOCKS + part).alias("block"), "idx", "card_id", "embedding", "quantised"
         )
         return _Blocks(
-            length,
-            rows,
-            spark.sparkContext.broadcast(cells),
-            block_rows,
-            int(cells.parts.sum()) <= BROADCAST_BLOCKS,
-            hit_type(self.index),
+            rows, cells, sum(len(own.pivots) for own in cells.values()), sum(int(own.parts.sum()) for own in cells.values())
         )
 
-    def _centres(self, cut: DataFrame, length: int) -> np.ndarray | None:
-        """Pivots: distinct index vectors in hash order, bounded in number and bytes.
+    def _cells(self, lengths: list[int], first: int) -> dict[int, _Cells]:
+        """Pivots of each length: distinct index vectors in hash order, bounded in number and bytes.
 
-        Twice as many are collected, as some may be copies of each other. A filter on the hash comes
-        first and leaves about four times as many, so tasks send few vectors however many they are.
+        One sample serves all lengths. A filter on the hash comes first and leaves about four times
+        as many, so tasks send few vectors however many they are. A length of which the sample has no
+        vector gets the first axis, which bounds no query, but parts the index as any direction does.
         """
         rows = self.index.count()
         wanted = math.ceil(rows / ROWS_PER_PIVOT)
-        count = max(1, min(self.pivots, wanted, SMALL_INDEX_BYTES // (16 * length)))
+        count = max(1, min(self.pivots, wanted, SMALL_INDEX_BYTES // (16 * lengths[-1])))
+        each = max(1, min(count, LENGTH_PIVOTS * self.pivots // len(lengths)))
+        cut = without_placeholders(self.index).select("idx", F.slice("embedding", 1, lengths[-1]).alias("embedding"))
         few = cut.where(F.pmod(F.xxhash64("idx"), F.lit(max(1, rows // (4 * count)))) == 0)
-        hashed = few.orderBy(F.xxhash64("idx"), "idx").limit(2 * count)
-        sample = hashed.select("embedding").toArrow()
+        sample = few.orderBy(F.xxhash64("idx"), "idx").limit(2 * count).select("embedding").toArrow()
         if sample.num_rows == 0:  # few usable vectors among many rows
-            sample = cut.limit(count).select("embedding").toArrow()
-        if sample.num_rows == 0:
-            return None
-        vectors = nearest.matrices(nearest.one_chunk(sample["embedding"]))[length][1]
-        firsts = np.sort(np.unique(vectors, axis=0, return_index=True)[1])
-        return vectors[firsts[:count]]
-
-
-def _placed(index: DataFrame, centres: np.ndarray, length: int) -> DataFrame:
-    """Distinct index vectors with their ring and angle, written to the shared folder."""
-    shared_centres = index.sparkSession.sparkContext.broadcast(nearest.unit_rows(centres))
+            sample = cut.orderBy("idx").limit(count).select("embedding").toArrow()
+        by_length = nearest.matrices(nearest.one_chunk(sample["embedding"]))
+        cells = {}
+        for length in lengths:
+            parts = [matrix[:, :length].astype(np.float64) for size, (_, matrix) in sorted(by_length.items()) if size >= length]
+            vectors = np.concatenate([np.zeros((0, length)), *parts])
+            vectors = vectors[np.isfinite(vectors).all(axis=1) & vectors.any(axis=1)]
+            firsts = np.sort(np.unique(vectors, axis=0, return_index=True)[1])[: 2 * each]
+            known = vectors[firsts]
+            pivots = known[:each] if len(known) else np.eye(1, length)
+            cells[length] = _Cells(pivots, known, first)
+            first += len(pivots)
+        return cells
+
+
+def _quantised(vectors: pa.Array, rows: int) -> pa.Array:
+    """A column of vectors of any lengths, quantised, a bounded number of rows at a time."""
+    made: list[bytes] = [b""] * len(vectors)
+    for at, matrix in nearest.matrices(vectors).values():
+        for low in range(0, len(at), rows):
+            found = nearest.packed(*nearest.quantised(matrix[low : low + rows]))
+            for row, code in zip(at[low : low + rows].tolist(), found):
+                made[row] = code
+    return pa.array(made, pa.binary())
+
+
+def _placed(index: DataFrame, cells: dict[int, _Cells]) -> DataFrame:
+    """Distinct index vectors with ring, angle and quantised form, written to the shared folder."""
+    shared_cells = index.sparkSession.sparkContext.broadcast(cells)
+    kind = T.StructType(
+        [T.StructField("ring", T.LongType()), T.StructField("angle", T.DoubleType()), T.StructField("quantised", T.BinaryType())]
+    )
 
-    @F.arrow_udf("struct<ring: bigint, angle: double>")
+    @F.arrow_udf(kind)
     def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vectors in batches:
-            found = [
-                _angle_rings(shared_centres.value, matrix)
-                for matrix in _steps(vectors, length, nearest.QUERY_STEP)
-            ]
+            rings, angles = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+            for length, (at, matrix) in nearest.matrices(vectors).items():
+                for low in range(0, len(at), nearest.QUERY_STEP):
+                    own = at[low : low + nearest.QUERY_STEP]
+                    rings[own], angles[own] = shared_cells.value[length].rings(matrix[low : low + nearest.QUERY_STEP])
             yield pa.StructArray.from_arrays(
-                [
-                    pa.array(np.concatenate([ring for ring, _ in found] or [[]]), pa.int64()),
-                    pa.array(np.concatenate([angle for _, angle in found] or [[]]), pa.float64()),
-                ],
-                names=["ring", "angle"],
+                [pa.array(rings), pa.array(angles), _quantised(vectors, nearest.QUERY_STEP)],
+                names=["ring", "angle", "quantised"],
             )
 
     distinct = collapse_copies(index).withColumn("at", place("embedding"))
     return cut_lineage(distinct.select("idx", "card_id", "embedding", "at.*"), "cells")
 
 
-def _search(queries: DataFrame, blocks: _Blocks, threshold: float) -> list[DataFrame]:
-    """Best hits of usable queries: those near home, and those of the other blocks visited."""
-    length, shared_cells = blocks.length, blocks.cells
+def _search(written: DataFrame, blocks: _Blocks, threshold: float, block_bytes: int) -> DataFrame:
+    """Best hits ``(row, hit)`` of usable queries in the blocks that may hold them."""
+    spark = written.sparkSession
+    shared_cells = spark.sparkContext.broadcast(blocks.cells)
+    kind = T.StructType(
+        [T.StructField("blocks", T.ArrayType(T.LongType())), T.StructField("quantised", T.BinaryType())]
+    )
 
-    @F.arrow_udf("struct<cell: bigint, parts: bigint>")
-    def nearest_cell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cells = shared_cells.value
+    @F.arrow_udf(kind)
+    def route(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vectors in batches:
-            best = [cells.home(matrix) for matrix in _steps(vectors, length, cells.step)]
-            rows = np.concatenate(best or [[]]).astype(np.int64)
+            lists: list = [None] * len(vectors)
+            for length, (at, matrix) in nearest.matrices(vectors).items():
+                for row, chosen in zip(at.tolist(), shared_cells.value[length].visits(matrix, threshold)):
+                    lists[row] = chosen
             yield pa.StructArray.from_arrays(
-                [pa.array(cells.cell[rows]), pa.array(cells.parts[rows])], names=["cell", "parts"]
+                [pa.array(lists, pa.list_(pa.int64())), _quantised(vectors, nearest.QUERY_STEP)],
+                names=["blocks", "quantised"],
             )
 
-    at_home = cut_lineage(
-        queries.withColumn("home", nearest_cell("embedding")).select(
-            "row",
-            "embedding",
-            (
-                F.col("home.cell") * SUB_BLOCKS + F.pmod(F.xxhash64("row"), "home.parts")
-            ).alias("block"),
-        ),
-        "home",
-    )
-    found = _score(at_home, blocks, threshold, keep_vector=True)
-
-    @F.arrow_udf("array<bigint>")
-    def other_blocks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        cells = shared_cells.value
-        for vectors, scores in batches:
-            reached = scores.fill_null(threshold).to_numpy(zero_copy_only=False)
-            lists, low = [], 0
-            for matrix in _steps(vectors, length, cells.step):
-                is_open = cells.open_cells(matrix, reached[low : low + len(matrix)])
-                low += len(matrix)
-                for row in is_open:
-                    chosen = np.flatnonzero(row)
-                    parts = cells.parts[chosen]
-                    base = np.repeat(cells.cell[chosen] * SUB_BLOCKS, parts)
-                    ends = np.cumsum(parts)
-                    within = np.arange(len(base)) - np.repeat(ends - parts, parts)
-                    lists.append(base + within)
-            yield pa.array(lists, pa.list_(pa.int64()))
-
-    routed = cut_lineage(
-        found.select(
-            "row",
-            "embedding",
-            "hit",
-            F.array_remove(other_blocks("embedding", "hit.score"), F.col("block")).alias("blocks"),
-        ),
-        "routes",
+    asked = written.where((F.size("embedding") > 0) & usable("embedding"))
+    routed = cut_lineage(asked.select("row", F.size("embedding").alias("length"), route("embedding").alias("to")), "routes")
+    visits = routed.select("row", "length", "to.quantised", F.explode("to.blocks").alias("block"))
+    bounds = _bounds(visits, blocks, block_bytes)
+    # As many entries for a query as its list of blocks had.
+    best = bounds.groupBy("row").agg(
+        F.max("length").alias("length"), F.max("low").alias("low"),
+        F.collect_list("block").alias("blocks"), F.collect_list("high").alias("highs"),
+    )
+    least = F.greatest(F.col("low"), F.lit(threshold)) - _SCORE_SLACK
+    # Both lists are in the same order, and neither has nulls.
+    open_blocks = F.filter("blocks", lambda block, i: F.get("highs", i) >= least)
+    chosen = cut_lineage(
+        best.select("row", "length", open_blocks.alias("blocks")).where(F.size("blocks") > 0), "visits"
     )
-    visits = routed.select("row", "embedding", F.explode("blocks").alias("block"))
-    return [
-        routed.select("row", "hit"),
-        _score(visits, blocks, threshold, keep_vector=False),
-    ]
-
-
-def _score(
-    visits: DataFrame, blocks: _Blocks, threshold: float, keep_vector: bool
-) -> DataFrame:
-    """Best row of a block for every query that visits it: ``(query_id, hit, …)``.
-
-    Blocks are bounded when they are made. The visits of a block are counted first, with
-    partial counts, and a crowded block is read by as many groups as its visits fill, so no
-    group grows with the data. The counts have one row per block; where blocks are few enough
-    they are broadcast, and the vectors are shuffled once.
+    exact = written.join(chosen, "row").select("row", "embedding", F.explode("blocks").alias("block"))
+    counted = chosen.select("length", F.explode("blocks").alias("block"))
+    return _score(exact, counted, blocks, threshold, block_bytes)
+
+
+def _crowded(visits: DataFrame, blocks: _Blocks, block_bytes: int) -> DataFrame:
+    """Into how many groups the visits of a block go, so that no group grows with the data.
+
+    One row per block, from partial counts; broadcast where blocks are few enough.
     """
-    crowded = visits.groupBy("block").agg(
-        F.ceil(F.count(F.lit(1)) / blocks.block_rows).alias("shares")
-    )
-    if blocks.few:
-        crowded = F.broadcast(crowded)
+    queries = F.count(F.lit(1)) * F.max("length") * 8
+    crowded = visits.groupBy("block").agg(F.ceil(queries / block_bytes).alias("shares"))
+    return F.broadcast(crowded) if blocks.blocks <= BROADCAST_BLOCKS else crowded
+
+
+def _dealt(visits: DataFrame, blocks: _Blocks, crowded: DataFrame, asked: list[str], held: list[str]):
+    """Visits, and the blocks that they go to, grouped by block and share."""
     left = visits.join(crowded, "block").select(
-        "block",
-        F.pmod(F.xxhash64("row"), "shares").alias("share"),
-        "row",
-        "embedding",
+        "block", F.pmod(F.xxhash64("row"), "shares").alias("share"), "row", *asked
     )
-    right = blocks.rows.join(crowded, "block").select(
-        "block",
-        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
-        "idx",
-        "card_id",
-        "embedding",
-    )
-    fields = [
-        visits.schema["row"],
-        T.StructField("hit", blocks.hit),
-    ]
-    if keep_vector:
-        fields += [visits.schema["block"], visits.schema["embedding"]]
+    share = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share")
+    right = blocks.rows.select("block", *held).join(crowded, "block").select("block", share, *held)
+    return left.groupBy("block", "share").cogroup(right.groupBy("block", "share"))
+
+
+def _bounds(visits: DataFrame, blocks: _Blocks, block_bytes: int) -> DataFrame:
+    """``row, length, block, low, high`` for every visit: bounds on the best score in the block.
+
+    Vectors cross the shuffle as a byte per element.
+    """
+
+    def numbers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return nearest.unpacked(nearest.one_chunk(rows["quantised"]))
+
+    def bounded(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not (asked.num_rows and held.num_rows):  # a share without visits, or a part without vectors
+            return none
+        queries = numbers(asked)
+        low, high = nearest.best_bounds(queries, numbers(held))
+        length = np.full(len(low), queries[0].shape[1], np.int32)
+        return pa.table({"row": asked["row"], "length": length, "block": asked["block"], "low": low, "high": high})
+
+    fields = [("row", pa.int64()), ("length", pa.int32()), ("block", pa.int64()), ("low", pa.float64()), ("high", pa.float64())]
+    none = pa.schema(fields).empty_table()
+    crowded = _crowded(visits, blocks, block_bytes)
+    groups = _dealt(visits, blocks, crowded, ["quantised"], ["quantised"])
+    return groups.applyInArrow(bounded, "row bigint, length int, block bigint, low double, high double")
+
+
+def _score(exact: DataFrame, counted: DataFrame, blocks: _Blocks, threshold: float, block_bytes: int) -> DataFrame:
+    """``row, hit`` for every visit in ``exact``: the best row of the block, by exact scores."""
 
     def best(asked: pa.Table, held: pa.Table) -> pa.Table:
         vectors = nearest.one_chunk(asked["embedding"])
         found = nearest.hits(nearest.IndexRows(held, copies=False), vectors, threshold)
-        columns = {"row": asked["row"], "hit": found}
-        if keep_vector:
-            columns |= {"block": asked["block"], "embedding": vectors}
-        return pa.table(columns)
+        return pa.table({"row": asked["row"], "hit": found})
 
-    return (
-        left.groupBy("block", "share")
-        .cogroup(right.groupBy("block", "share"))
-        .applyInArrow(best, T.StructType(fields))
-    )
+    hit = T.StructType([blocks.rows.schema["idx"], blocks.rows.schema["card_id"], T.StructField("score", T.DoubleType())])
+    groups = _dealt(exact, blocks, _crowded(counted, blocks, block_bytes), ["embedding"], ["idx", "card_id", "embedding"])
+    return groups.applyInArrow(best, T.StructType([exact.schema["row"], T.StructField("hit", hit)]))
 
 
 def _top(best: DataFrame) -> DataFrame:

@@ -38,6 +38,60 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return wide / np.where(lengths == 0, 1.0, lengths)[:, None]
 
 
+def quantised(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows scaled to length 1 as ``(codes, scales, errors)``, a byte per element.
+
+    ``codes * scale`` is a row, up to a vector of at most the length ``error``. Scales and errors are
+    in single precision, errors rounded up.
+    """
+    units = unit_rows(matrix)
+    scales = (np.abs(units).max(axis=1, initial=0.0) / 127).astype(np.float32)
+    scales[scales == 0] = 1.0
+    codes = np.clip(np.rint(units / scales[:, None]), -127, 127)
+    rest = units - codes * scales[:, None].astype(np.float64)
+    errors = np.sqrt(np.einsum("ij,ij->i", rest, rest)).astype(np.float32)
+    return codes.astype(np.int8), scales, np.nextafter(errors, np.float32(np.inf))
+
+
+def packed(codes: np.ndarray, scales: np.ndarray, errors: np.ndarray) -> list[bytes]:
+    """Quantised rows as byte strings: the codes, the scale, the error."""
+    ends = np.stack([scales, errors], axis=1).astype("<f4")
+    whole = np.concatenate([codes.view(np.uint8), np.ascontiguousarray(ends).view(np.uint8)], axis=1)
+    return [row.tobytes() for row in whole]
+
+
+def unpacked(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column of packed rows of one length, at least one, as ``quantised`` gives them."""
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(rows), -1)
+    ends = np.ascontiguousarray(data[:, -8:]).view("<f4").astype(np.float64)
+    return data[:, :-8].view(np.int8), ends[:, 0], ends[:, 1]
+
+
+def best_bounds(one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds from below and above on the best cosine of each row of ``one`` with all rows of ``two``.
+
+    Both are quantised. Of unit vectors u = a + e and v = b + f, the products u·v and a·b differ by
+    at most |e| + |f| + 3 |e| |f|; rounding in single precision comes on top.
+    """
+    codes, scales, errors = one
+    held, held_scales, held_errors = two
+    low, high = np.full(len(codes), -np.inf), np.full(len(codes), -np.inf)
+    slack = 4 * (codes.shape[1] + 16) * float(np.finfo(np.float32).eps)
+    rough = codes.astype(np.float32) * scales[:, None].astype(np.float32)
+    for first in range(0, len(held), INDEX_STEP):
+        step = slice(first, first + INDEX_STEP)
+        block = np.ascontiguousarray((held[step].astype(np.float32) * held_scales[step, None].astype(np.float32)).T)
+        error = float(held_errors[step].max())
+        for start in range(0, len(codes), QUERY_STEP):
+            part = slice(start, start + QUERY_STEP)
+            top = (rough[part] @ block).max(axis=1).astype(np.float64)
+            width = errors[part] * (1 + 3 * error) + error + slack
+            low[part] = np.maximum(low[part], top - width)
+            high[part] = np.maximum(high[part], top + width)
+    return low, high
+
+
 def _ordered_sum(products: np.ndarray) -> np.ndarray:
     # Added up from the left, so that a score has the same last bit wherever it is computed.
     return np.add.accumulate(products, axis=1)[:, -1]

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from deckweave.functions import vectors
 from deckweave.operators import match as matching
 from deckweave.operators import nearest
+from deckweave.operators.cells import CellIndex
+
+_vector4 = st.lists(st.floats(-100, 100, width=32), min_size=4, max_size=4)
 
 INDEX = "idx bigint, card_id string, embedding array<float>"
 QUERIES = "query_id bigint, embedding array<float>"
@@ -152,6 +156,57 @@ def test_large_index_of_equal_directions(spark):
     assert got == brute(queries, index)
 
 
+def test_two_hundred_lengths_in_one_plan(spark):
+    """Queries of 200 lengths over an index of many: one search, equal to comparing all pairs."""
+    random = np.random.default_rng(9)
+    vector = lambda n: [float(np.float32(v)) for v in random.normal(size=n)]
+    index = [(i, f"c{i}", vector(int(random.integers(1, 230)))) for i in range(150)]
+    index += [(900 + i, "long", index[149][2]) for i in range(5)]
+    queries = [(n, vector(n)) for n in range(1, 201)] + [(300, vector(400)), (301, None), (302, [])]
+    frames = spark.createDataFrame(queries, QUERIES), spark.createDataFrame(index, INDEX)
+    for threshold in (0.0, 0.3):
+        found = matching.match_large_index(*frames, threshold, pivots=3, block_bytes=40 * 8 * 6)
+        assert rows_of(found) == brute(queries, index, threshold)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and plan.count("Union") == 1
+
+
+def test_later_queries_bring_lengths(spark):
+    index = [(i, f"c{i}", [float(i % 7 + 1), float(i % 3), 1.0, float(i % 5)]) for i in range(60)]
+    cells = CellIndex(spark.createDataFrame(index, INDEX), pivots=4, block_bytes=256)
+    for length in (2, 4, 3, 2):
+        queries = [(i, [1.0, float(i), 0.5, 2.0][:length]) for i in range(20)]
+        assert rows_of(cells.match(spark.createDataFrame(queries, QUERIES))) == brute(queries, index)
+    mixed = [(i, [1.0, float(i), 0.5, 2.0][: 2 + i % 3]) for i in range(20)] + [(30, None)]
+    assert rows_of(cells.match(spark.createDataFrame(mixed, QUERIES))) == brute(mixed, index)
+    assert len(cells._made) == 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(_vector4, min_size=1, max_size=9), st.lists(_vector4, min_size=1, max_size=9))
+def test_quantised_bounds_hold(queries, index):
+    q, x = np.array(queries, np.float32), np.array(index, np.float32)
+    low, high = nearest.best_bounds(nearest.quantised(q), nearest.quantised(x))
+    best = (nearest.unit_rows(q) @ nearest.unit_rows(x).T).max(axis=1)
+    assert (low <= best).all() and (best <= high).all() and (high - low < 0.2).all()
+
+
+def test_quantised_vectors_are_a_byte_per_element():
+    random = np.random.default_rng(3)
+    matrix = random.normal(size=(50, 64)) * 10.0 ** random.integers(-5, 6, size=(50, 1))
+    codes, scales, errors = nearest.quantised(matrix)
+    assert codes.dtype == np.int8 and codes.nbytes * 8 == matrix.nbytes
+    rest = nearest.unit_rows(matrix) - codes * scales[:, None].astype(float)
+    sizes = np.linalg.norm(rest, axis=1)
+    assert np.allclose(sizes, errors) and (sizes <= errors).all() and errors.max() < 0.02
+    rows = pa.array(nearest.packed(codes, scales, errors), pa.binary())
+    for part in (rows, rows.slice(7, 20)):
+        first = part.offset
+        for one, two in zip(nearest.unpacked(part), (codes, scales, errors)):
+            assert (one == two[first : first + len(part)]).all()
+    assert not nearest.quantised(np.zeros((1, 3)))[0].any()
+
+
 def test_index_order_may_be_text(spark):
     index = spark.createDataFrame(
         [("b", "second", [1.0, 0.0]), ("a", "first", [2.0, 0.0])],
@@ -224,11 +279,8 @@ def test_placeholders(spark):
     assert matching.without_placeholders(df.withColumnRenamed("v", "embedding")).count() == 2
 
 
-_vector = st.lists(st.floats(-100, 100, width=32), min_size=4, max_size=4)
-
-
 @settings(max_examples=60, deadline=None)
-@given(st.lists(_vector, min_size=1, max_size=12), st.lists(_vector, min_size=1, max_size=12))
+@given(st.lists(_vector4, min_size=1, max_size=12), st.lists(_vector4, min_size=1, max_size=12))
 def test_first_best_is_the_brute_force_answer(queries, index):
     q, x = np.array(queries, np.float32), np.array(index, np.float32)
     rows, scores = nearest.first_best(q, x, 0.15)
@@ -256,7 +308,7 @@ def test_first_best_among_near_copies(spread):
 
 
 @settings(max_examples=60, deadline=None)
-@given(_vector, _vector)
+@given(_vector4, _vector4)
 def test_cosine_is_symmetric_and_bounded(a, b):
     one, two = np.array([a]), np.array([b])
     left, right = nearest.exact_scores(one, two)[0], nearest.exact_scores(two, one)[0]
