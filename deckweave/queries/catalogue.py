@@ -73,6 +73,26 @@ def catalogue_flat(spark, folder):
     )
 
 
+@query(
+    "C2",
+    """
+    SELECT l_orderkey AS set_id, l_linenumber AS set_line, part.p_partkey AS id, p_name AS name
+    FROM (SELECT *, CASE WHEN l_linenumber <= 2 THEN 1 ELSE l_partkey END AS card FROM lineitem)
+    JOIN part ON card = p_partkey WHERE p_partkey % 10 <> 0""",
+)
+def hot_cards(spark, folder):
+    """Order lines as sets of one card, half of them of the same one."""
+    hot = F.when(F.col("l_linenumber") <= 2, 1).otherwise(F.col("l_partkey"))
+    briefs = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("set_id"), F.col("l_linenumber").alias("set_line"), F.struct(hot.alias("id")).alias("brief")
+    )
+    details = table(spark, folder, "part").where("p_partkey % 10 <> 0").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name")
+    )
+    joined = catalogue.with_full_card(briefs, details, even=True)
+    return joined.select("set_id", "set_line", "card.id", "card.name")
+
+
 @query(
     "A7 F3 C1 C2 C3 B8 B9",
     f"""
@@ -370,6 +390,40 @@ def envelope_counts(spark, folder):
     return card_source.envelope_pages(card_source.parse_envelopes(_responses(spark, folder)))
 
 
+def _large_file(spark, folder):
+    """All parts as one pretty-printed envelope: a head, a card each, a tail."""
+    line = lambda name, value: F.concat(F.lit(f'      "{name}": '), value)
+    card = F.concat_ws(
+        ",\n",
+        line("id", F.concat(F.lit('"'), F.col("p_partkey"), F.lit('"'))),
+        line("name", F.concat(F.lit('"{'), F.col("p_name"), F.lit('}\\n    }"'))),
+        line("set", F.concat(F.lit('{\n        "id": "'), F.col("p_brand"), F.lit('"\n      }'))),
+    )
+    parts = table(spark, folder, "part")
+    last = parts.agg(F.max("p_partkey")).scalar()
+    after = F.when(F.col("p_partkey") == last, "").otherwise(",")
+    cards = parts.select(F.col("p_partkey").alias("at"), F.concat(F.lit("    {\n"), card, F.lit("\n    }"), after).alias("value"))
+    ends = spark.createDataFrame([(-1, '{\n  "page": 1,\n  "data": ['), (1 << 40, '  ],\n  "pageSize": 250,\n  "totalCount": 7\n}')], "at bigint, value string")
+    path = scratch_path(spark, "large-envelope")
+    cards.unionByName(ends).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    return card_source.read_large_envelopes(spark, path)
+
+
+@query(
+    "A1",
+    r"""
+    SELECT CAST(p_partkey AS VARCHAR) AS id, '{' || p_name || '}' || chr(10) || '    }' AS name, p_brand AS set_id FROM part""",
+)
+def large_envelope_cards(spark, folder):
+    cards = card_source.large_envelope_cards(_large_file(spark, folder))
+    return cards.select("id", "name", F.col("set.id").alias("set_id"))
+
+
+@query("A2", 'SELECT 1 AS page, 250 AS "pageSize", CAST(NULL AS INTEGER) AS count, 7 AS "totalCount"')
+def large_envelope_counts(spark, folder):
+    return card_source.large_envelope_pages(_large_file(spark, folder)).drop("file")
+
+
 @query(
     "A1 A2",
     """
@@ -428,6 +482,21 @@ def catalogue_first_page(spark, folder):
     return page.select("id", "name", "totalCount")
 
 
+@query(
+    "F4 B11",
+    """
+    SELECT p_partkey AS id, p_name AS name FROM part WHERE p_brand <> 'Brand#7'
+    ORDER BY p_name, p_partkey LIMIT 7 OFFSET 14""",
+)
+def catalogue_page_after(spark, folder):
+    """The third page, each found behind the last row of the one before."""
+    cards, last, page = _part_cards(spark, folder), None, None
+    for _ in range(3):
+        page = catalogue.catalogue_page_after(cards, last, F.col("set.id") != "Brand#7", 7, ("name", "id"))
+        last = frames.last_key(page, ("name", "id"))
+    return page.select("id", "name")
+
+
 @query(
     "A12 C7",
     """

@@ -199,3 +199,21 @@ def test_flatten_and_count(spark):
     df = spark.sql("SELECT array(array(struct(1 AS a), struct(1 AS a)), array(struct(2 AS a))) AS r")
     assert [r.a for r in frames.flatten_rows(df, "r").collect()] == [1, 1, 2]
     assert frames.row_count(df).first().rows == 1
+
+
+def test_pages_behind_the_last_row_meet_every_row_once(spark):
+    rows = [(i, None if i % 7 == 0 else "abc"[i % 3], float(i % 2)) for i in range(41)]
+    cards = spark.createDataFrame(rows, "id int, `a.name` string, price double").repartition(4)
+    order = ("a.name", "price", "id")
+    key = lambda r: (r[1] is not None, r[1] or "", r[2], r[0])
+    met, last = [], None
+    for _ in range(9):
+        page = frames.page_after(cards, last, 5, order)
+        met += [tuple(r) for r in page.collect()]
+        last = frames.last_key(page, order)
+    assert met == sorted(rows, key=key) and frames.page_after(cards, last, 5, order).count() == 0
+    assert frames.last_key(cards.limit(0), order) is None
+    with pytest.raises(ValueError):
+        frames.page_after(cards, {"id": 1}, 5, order)
+    with pytest.raises(ValueError):
+        frames.page_after(cards, None, 0, order)

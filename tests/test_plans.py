@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from deckweave.operators import joins
 from deckweave.operators import match as matching
 from deckweave import schemas
 from deckweave.plans import catalogue, market
@@ -120,6 +121,42 @@ def test_hot_card_is_split_by_adaptive_execution(spark, settings, tmp_path):
     assert "isSkew=true" in plan_of(flat) or "skew=true" in plan_of(flat)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_heavy_keys_are_dealt_out_by_counting(spark, settings, how):
+    """One key in a third of all rows, null in a tenth, without adaptive execution."""
+    settings(adaptive__enabled="false", autoBroadcastJoinThreshold="-1", shuffle__partitions="16")
+    ids = spark.range(0, 120_000, 1, 8)
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, None).otherwise(F.col("id") % 5000)
+    rows = ids.select(F.col("id").alias("row"), key.alias("key"), F.lit("x").alias("salt"))
+    details = spark.range(4000).select(F.col("id").alias("id"), F.concat(F.lit("n"), "id").alias("name"))
+    joined = joins.join_even(rows, details, F.col("key"), F.col("id"), F.col("row"), how)
+    assert joined.columns == ["row", "key", "salt", "id", "name"]
+    tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(row["count"] for row in tasks)
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    plain = rows.join(details, F.col("key") == F.col("id"), how)
+    assert joined.exceptAll(plain).count() == 0 and plain.exceptAll(joined).count() == 0
+    assert joins.heavy_keys(rows, F.col("key"), 16).select("key").collect() == [(7,)]
+    with pytest.raises(ValueError):
+        joins.join_even(rows, details, F.col("key"), F.col("id"), F.col("row"), "right")
+
+
+def test_full_cards_are_joined_evenly_where_nothing_splits_partitions(spark, settings):
+    briefs = spark.range(100).select(F.col("id").alias("set_id"), F.struct(F.lit("a").alias("id")).alias("brief"))
+    details = spark.createDataFrame([("a", "Ay"), ("b", "Bee")], "id string, name string")
+    usual = catalogue.with_full_card(briefs, details)
+    assert "sequence" not in plan_of(usual) and usual.count() == 100
+    settings(adaptive__skewJoin__enabled="false")
+    even = catalogue.with_full_card(briefs, details)
+    assert "sequence" in plan_of(even) and even.exceptAll(usual).count() == 0 and even.count() == 100
+
+
+def test_deep_page_is_a_top_k_of_its_size(stored):
+    page = catalogue.catalogue_page_after(stored[0], {"name": "Mew", "id": "x9"}, F.col("set.id") == "base1", 5, ("name", "id"))
+    plan = plan_of(page.select("id", "name"))
+    assert "TakeOrderedAndProject(limit=5" in plan and "GreaterThanOrEqual(name,Mew)" in plan
+
+
 def test_unmatched_rows_are_not_shuffled(spark):
     rows = "query_id bigint, card_id string, matched boolean"
     matches = spark.createDataFrame([(1, "a", True), (2, None, False)], rows)
