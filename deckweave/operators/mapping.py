@@ -10,7 +10,8 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.resource import ResourceProfile
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,6 +23,9 @@ MODEL_BATCH = 64
 NO_OUTPUT = "the model gave no vector"
 
 
+_MADE = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]
+
+
 def _model(key: str, factory: Callable[[], Callable]) -> Callable:
     if key not in _loaded:
         _loaded.clear()
@@ -69,30 +73,56 @@ def embed(content: Column | str, factory: Callable[[], Callable]) -> Column:
     the error says why; other rows are unaffected.
     """
     key = sha256(cloudpickle.dumps(factory)).hexdigest()
-    kind = T.StructType(
-        [
-            T.StructField("embedding", T.ArrayType(T.FloatType())),
-            T.StructField("error", T.StringType()),
-        ]
-    )
-
-    @F.arrow_udf(kind)
+
+    @F.arrow_udf(T.StructType(_MADE))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(key, factory)
         for batch in batches:
-            vectors, errors = [], []
-            for low in range(0, len(batch), MODEL_BATCH):
-                for vector, error in _outcomes(model, batch.slice(low, MODEL_BATCH).to_pylist()):
-                    vectors.append(vector)
-                    errors.append(error)
-            yield pa.StructArray.from_arrays(
-                [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],
-                names=["embedding", "error"],
-            )
+            yield pa.StructArray.from_arrays(_embedded(model, batch), names=["embedding", "error"])
 
     return run(content)
 
 
+def embed_rows(
+    images: DataFrame, content: str, factory: Callable[[], Callable], profile: ResourceProfile | None = None
+) -> DataFrame:
+    """``images`` without ``content``, with ``embedding`` and ``error`` of it, as a stage that may have
+    resources of its own.
+
+    The same as ``embed`` but for the plan: a pass over all rows, whose tasks get the cores, graphics
+    processors and memory of ``profile`` (``pyspark.resource.ResourceProfileBuilder``). Spark gives
+    profiles on clusters only and refuses them on a local master. Columns that the rest of a job does
+    not need are to be left out before, as all of them pass through Python here.
+    """
+    taken = {"embedding", "error"} & {c for c in images.columns if c != content}
+    if taken:
+        raise ValueError(f"the images have columns {sorted(taken)} already")
+    key = sha256(cloudpickle.dumps(factory)).hexdigest()
+    others = [c for c in images.columns if c != content]
+    kind = T.StructType([*[images.schema[c] for c in others], *_MADE])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(key, factory)
+        for batch in batches:
+            made = _embedded(model, batch.column(len(others)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*others, "embedding", "error"])
+
+    # Plain names on the way, as a pass over rows finds its columns by name and dots mean fields there.
+    order = [*others, content]
+    quoted = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(order)]
+    return images.select(*quoted).mapInArrow(run, kind, profile=profile)
+
+
+def _embedded(model: Callable, images: pa.Array) -> list[pa.Array]:
+    """Vectors and errors of some images, a few at a time."""
+    vectors, errors = [], []
+    for low in range(0, len(images), MODEL_BATCH):
+        for vector, error in _outcomes(model, images.slice(low, MODEL_BATCH).to_pylist()):
+            vectors.append(vector)
+            errors.append(error)
+    return [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())]
+
+
 def try_map(value: Column | str, function: Callable[[Any], Any], kind: str | T.DataType) -> Column:
     """``struct<result, error: string>`` of a function over one value per row.
 

@@ -5,11 +5,13 @@ from pyspark.sql import types as T
 
 from deckweave.functions import text, vectors
 from deckweave.operators import match as matching
-from deckweave.operators.mapping import embed
+from deckweave.operators.mapping import embed, embed_rows
 from deckweave.plans import scan
 from deckweave.queries import query, table
 from deckweave.session import cut_lineage, scratch_path
+from deckweave.sources import image_files as files
 from deckweave.streaming.scan import start_scan
+from deckweave.streaming.sink import read_batches
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -189,6 +191,14 @@ _COUNTS = ", ".join(f"{_count_sql('text', letter)} AS {letter}" for letter in LE
 _VECTOR = "[" + ", ".join(f"CAST({_count_sql('text', c)} AS DOUBLE)" for c in LETTERS) + "]"
 
 
+@query("J1", f"SELECT doc_id, {_COUNTS}, md5(text) AS digest FROM documents")
+def embedding_stage(spark, folder):
+    """The embedding as a stage of its own, which a resource profile can be given to."""
+    rows = table(spark, folder, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"), F.md5("text").alias("digest"))
+    made = embed_rows(rows, "content", LetterCounts)
+    return made.select("doc_id", *[F.col("embedding")[i].cast("bigint").alias(c) for i, c in enumerate(LETTERS)], "digest")
+
+
 @query("J1", f"SELECT doc_id, {_COUNTS} FROM documents")
 def embed_texts(spark, folder):
     made = embed(F.encode("text", "UTF-8"), LetterCounts)["embedding"]
@@ -230,6 +240,20 @@ def data_urls(spark, folder):
     return rows.select("doc_id", F.length("content").alias("bytes"), F.md5("content").alias("digest"))
 
 
+_IMAGE_PATH = "'images/2024-01-01_' || (page_id % 7) || '_' || page_id || '_low.png'"
+
+
+@query("A11", f"SELECT {_IMAGE_PATH} AS path, strlen(html) AS length, md5(html) AS digest FROM pages")
+def images_as_files(spark, folder):
+    """Pages as image files, one each, and read back."""
+    path = text.image_path(F.lit("2024-01-01"), (F.col("page_id") % 7).cast("string"), F.col("page_id").cast("string"))
+    images = table(spark, folder, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    target = scratch_path(spark, "image-files")
+    files.write_image_files(images, target, path)
+    back = files.read_image_files(spark, target, "*.png")
+    return back.select("path", "length", F.md5("content").alias("digest"))
+
+
 @query("I1", _match_sql(_REVERSED, 0.4).replace("b.idx IS NOT NULL AS matched", """b.idx IS NOT NULL AS matched,
            CASE WHEN b.idx IS NULL THEN 'No matching card found.' END AS message"""))
 def stream_match(spark, folder):
@@ -247,7 +271,7 @@ def stream_match(spark, folder):
         queries, _index(spark, folder), sink, scratch_path(spark, "scan-log"), threshold=0.4
     )
     started.awaitTermination()
-    results = spark.read.parquet(sink)
+    results = read_batches(spark, sink)
     return results.select(
         "query_id", "card_id", F.round("score", 6).alias("score"), "matched", "message"
     )

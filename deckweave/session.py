@@ -78,13 +78,30 @@ def remove_scratch(spark: SparkSession) -> None:
 
     To be called when the results that were read from there are written elsewhere.
     """
-    _delete(spark, _scratch_folder(spark))
+    delete_folder(spark, _scratch_folder(spark))
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _path(spark: SparkSession, folder: str):
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder with all in it, if it is there, in any store that Spark reaches."""
+    path, store = _path(spark, folder)
+    store.delete(path, True)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path, store = _path(spark, folder)
+    return store.exists(path)
+
+
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder."""
+    path, store = _path(spark, folder)
+    return store.getContentSummary(path).getLength()
 
 
 # Tables written inside the innermost ``passing_tables``, by thread of the driver.
@@ -99,7 +116,7 @@ def passing_tables() -> Iterator[None]:
         yield
     finally:
         for spark, path in _passing.written:
-            _delete(spark, path)
+            delete_folder(spark, path)
         _passing.written = outer
 
 

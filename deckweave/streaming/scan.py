@@ -13,6 +13,7 @@ from deckweave.operators import match as matching
 from deckweave.operators.cells import CellIndex
 from deckweave.plans.scan import embed_queries, with_message
 from deckweave.session import cut_lineage, passing_tables
+from deckweave.streaming import sink as batches
 
 
 def start_scan(
@@ -26,12 +27,15 @@ def start_scan(
     threshold: float = matching.THRESHOLD,
     small_bytes: int = matching.SMALL_INDEX_BYTES,
     once: bool = True,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
     """Start the stream of images into a Parquet sink.
 
     With a factory the images are embedded first; without one the stream already holds
-    ``(query_id, embedding, error)``. Each batch overwrites its own folder of the sink, so a
-    repeated batch leaves no second copy; ``batch`` is a column of what is read back. The index is
+    ``(query_id, embedding, error)``. Each batch has its own folder of the sink and is listed there
+    when it is finished (``sink``): a lost batch is written again, a repeated one left out.
+    ``sink.read_batches`` reads the listed ones, with ``batch`` as a column. With ``compact_every``,
+    each so many batches become few files; then only ``read_batches`` reads all rows. The index is
     written once and measured: a small one goes to every worker, a large one is cut into cells
     once. Rows and layout are the same for both. Tables written on the way are deleted with their
     batch. Every result row carries its query id. ``once`` stops when the files that are there are
@@ -59,7 +63,9 @@ def start_scan(
     def write_batch(batch: DataFrame, number: int) -> None:
         with passing_tables():
             result = with_message(matched(batch.select("query_id", "embedding", "error")))
-            result.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={number}")
+            batches.write_batch(result, sink, number)
+            if compact_every and (number + 1) % compact_every == 0:
+                batches.compact(batch.sparkSession, sink)
 
     writer = queries.writeStream.foreachBatch(write_batch)
     writer = writer.option("checkpointLocation", checkpoint)

@@ -1,12 +1,14 @@
 import io
+import json
 from pathlib import Path
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from deckweave.functions import text
 from deckweave.session import cut_lineage, remove_scratch, scratch_path, shared_folder
-from deckweave.sources import files
+from deckweave.sources import catalogue, files, image_files
 
 
 def _written(path):
@@ -55,3 +57,77 @@ def test_remove_scratch(spark):
     assert cut_lineage(spark.range(3), "gone").count() == 3 and folder.is_dir()
     remove_scratch(spark)
     assert not folder.exists()
+
+
+def _tree(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+
+def test_images_become_files_under_their_paths(spark, tmp_path):
+    rows = [(f"images/s {i % 3}/c%20{i}_é.png", bytes([i]) * i, "x") for i in range(40)]
+    images = spark.createDataFrame([(a, bytearray(b), c) for a, b, c in rows], "p string, content binary, path string")
+    folder = tmp_path / "out"
+    image_files.write_image_files(images.repartition(5), str(folder), F.col("p"))
+    tree = _tree(folder)
+    assert json.loads(tree.pop("_SUCCESS")) == {"files": 40, "bytes": sum(range(40))}
+    assert tree == {path: content for path, content, _ in rows}
+    back = {r.path: bytes(r.content) for r in image_files.read_image_files(spark, str(folder), "*.png").collect()}
+    # Spark's reader of files leaves out empty ones.
+    assert back == {path: content for path, content, _ in rows if content}
+    # Written again with other bytes, files are replaced.
+    image_files.write_image_files(images.where("p like '%1_é.png'").withColumn("content", F.lit(b"new")), str(folder), F.col("p"))
+    assert _tree(folder)["images/s 1/c%201_é.png"] == b"new" and len(_tree(folder)) == 41
+
+
+def test_a_failing_task_leaves_no_file(spark, tmp_path):
+    def broken(batches):
+        for batch in batches:
+            yield batch
+        raise OSError("disk full")
+
+    images = spark.range(10).select(F.concat(F.lit("a/"), "id").alias("p"), F.encode(F.lit("x"), "UTF-8").alias("content"))
+    with pytest.raises(Exception, match="disk full"):
+        checked = images.select("p", "content").coalesce(1)
+        files_of = checked.select(F.col("p").alias("path"), "content").mapInArrow(broken, "path string, content binary")
+        spark.dataSource.register(image_files.FileSource)
+        files_of.write.format(image_files.FORMAT).mode("append").option("path", str(tmp_path / "out")).option("job", "j").save()
+    assert _tree(tmp_path) == {}
+
+
+def test_bad_paths_are_refused(spark, tmp_path):
+    for paths in (["a", "a"], ["../a"], ["/a"], ["a//b"], [None], [""], ["a/."]):
+        images = spark.createDataFrame([(p, bytearray(b"x")) for p in paths], "p string, content binary")
+        with pytest.raises(ValueError):
+            image_files.write_image_files(images, str(tmp_path), F.col("p"))
+    image_files.write_image_files(images.limit(0), str(tmp_path / "none"), F.col("p"))
+    assert _tree(tmp_path) == {"none/_SUCCESS": b'{"files": 0, "bytes": 0}'}
+
+
+CARDS = [
+    {"id": f"c{i}", "name": f'n{i} {{ "x" }} \\n    }},', "attacks": [{"name": "a", "cost": ["x", "y"]}] * (i % 3),
+     "set": {"id": "s", "images": {"symbol": "u"}}} for i in range(300)
+]
+
+
+@pytest.mark.parametrize("indent, end", [(2, "\n"), (4, "\n"), ("\t", "\n"), (2, "\r\n")])
+def test_large_envelopes_are_read_in_pieces(spark, tmp_path, indent, end):
+    one = {"page": 1, "data": CARDS, "meta": {"deep": {"page": 99, "x": [{}]}, "list": [1]}, "count": 300, "totalCount": 1000}
+    two = {"data": [], "page": 2, "pageSize": 250}
+    (tmp_path / "in").mkdir()
+    for name, envelope in (("one", one), ("two", two)):
+        text = json.dumps(envelope, indent=indent).replace("\n", end)
+        (tmp_path / "in" / f"{name}.json").write_bytes(text.encode())
+    level = indent if isinstance(indent, str) else " " * indent
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        pieces = catalogue.read_large_envelopes(spark, str(tmp_path / "in"), level)
+        assert pieces.rdd.getNumPartitions() > 8
+        got = catalogue.large_envelope_cards(pieces)
+        whole = catalogue.envelope_cards(catalogue.read_envelopes(spark, str(tmp_path / "in" / "one.json")))
+        assert got.columns == whole.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.count() == 300
+        counts = {r.file[-8:]: tuple(r)[1:] for r in catalogue.large_envelope_pages(pieces, level).collect()}
+        assert counts == {"one.json": (1, None, 300, 1000), "two.json": (2, 250, None, None)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

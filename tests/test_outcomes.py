@@ -1,10 +1,16 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
+import stubs
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import functions as F
 from stubs import Bytes, InLists, model, whole_number
 
 from deckweave import schemas
 from deckweave.operators import attempts
-from deckweave.operators.mapping import embed, try_map
+from deckweave.operators.mapping import embed, embed_rows, try_map
 
 ROWS = [
     ("first", 1, 200, None),
@@ -102,3 +108,56 @@ def test_try_map_gives_values_as_they_are(spark):
     numbers = spark.createDataFrame([(9007199254740993,), (None,), (5,)], "n bigint")
     rows = numbers.select(try_map("n", repr, "string").alias("done")).collect()
     assert [r.done.result for r in rows] == ["9007199254740993", "None", "5"]
+
+
+def test_embedding_as_a_stage(spark):
+    images = spark.createDataFrame([(1, bytearray(b"aab"), "k"), (2, bytearray(b"x"), None), (3, bytearray(b"none"), "l")], "id int, content binary, `a.b` string")
+    for factory in (stubs.Bytes, stubs.InLists):
+        rows = embed_rows(images, "content", factory)
+        assert rows.columns == ["id", "a.b", "embedding", "error"]
+        column = images.select("id", "`a.b`", embed("content", factory).alias("made")).select("id", "`a.b`", "made.*")
+        assert rows.exceptAll(column).count() == 0 and rows.count() == 3
+    with pytest.raises(ValueError):
+        embed_rows(images.withColumn("error", F.lit(1)), "content", stubs.Bytes)
+
+
+def test_profile_is_in_the_plan(spark):
+    wanted = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2).resource("gpu", 0.5)).build
+    images = spark.createDataFrame([(1, bytearray(b"a"))], "id int, content binary")
+    plan = embed_rows(images, "content", stubs.Bytes, wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cpus, amount: 2.0" in plan and "gpu, amount: 0.5" in plan
+
+
+PROFILE_JOB = """
+import sys
+sys.path[:0] = [{repo!r}, {tests!r}]
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import SparkSession
+import stubs
+from deckweave.operators.mapping import embed_rows
+from deckweave.session import ship_package
+
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").getOrCreate()
+ship_package(spark)
+spark.sparkContext.addPyFile({tests!r} + "/stubs.py")
+wanted = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+images = spark.range(6).selectExpr("id", "encode(concat('aab', id), 'UTF-8') AS content")
+rows = embed_rows(images, "content", stubs.Bytes, wanted).orderBy("id").collect()
+assert [list(r.embedding) for r in rows] == [[2.0, 1.0, 0.0, 0.0]] * 6
+stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+used = {{stages.apply(i).resourceProfileId() for i in range(stages.size())}}
+print("profiles", sorted(used), wanted.id)
+spark.stop()
+"""
+
+
+def test_profile_is_on_the_stage(tmp_path):
+    """In a session of its own, with an executor, as a local master takes no profile."""
+    here = Path(__file__).resolve().parent
+    script = tmp_path / "job.py"
+    script.write_text(PROFILE_JOB.format(repo=str(here.parent), tests=str(here)))
+    done = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=180, cwd=tmp_path)
+    said = [line for line in done.stdout.splitlines() if line.startswith("profiles")]
+    assert said, done.stderr[-2000:]
+    used, wanted = said[0].removeprefix("profiles ").rsplit(" ", 1)
+    assert int(wanted) in eval(used)

@@ -6,6 +6,7 @@ from deckweave.operators import match as matching
 from deckweave.plans import scan
 from deckweave.session import cut_lineage
 from deckweave.sources import files
+from deckweave.streaming import sink as batches
 from deckweave.streaming.scan import start_scan
 
 
@@ -106,3 +107,60 @@ def test_stream_keeps_no_state(spark, index, tmp_path):
     hit = matching.hit_column(index)
     plan = queries.select(F.col("query_id"), hit)._jdf.queryExecution().analyzed().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def _files(folder):
+    return [p for p in folder.rglob("*.parquet") if "_manifest" not in str(p)]
+
+
+def test_lost_and_repeated_batches(spark, index, tmp_path, monkeypatch):
+    """A batch whose entry is lost is written again; one whose stream forgot it is left out."""
+    inbox, sink, log = tmp_path / "in", tmp_path / "out", tmp_path / "log"
+    inbox.mkdir()
+
+    def run(checkpoint=log):
+        images = files.stream_images(spark, str(inbox), "*.img")
+        start_scan(images, index, str(sink), str(checkpoint), Bytes).awaitTermination()
+
+    def met():
+        rows = batches.read_batches(spark, str(sink)).collect()
+        return sorted(r.query_id.rsplit("/", 1)[1] for r in rows)
+
+    with pytest.raises(ValueError):
+        batches.read_batches(spark, str(sink))
+    _arrive(inbox, ["q1.img"])
+    run()
+    _arrive(inbox, ["q2.img", "q3.img"])
+    with monkeypatch.context() as patch:
+        patch.setattr(batches, "_enter", lambda *a: 1 / 0)
+        with pytest.raises(Exception):
+            run()
+    assert met() == ["q1.img"] and (sink / "batch=1").is_dir()
+    run()
+    assert met() == ["q1.img", "q2.img", "q3.img"]
+    # The log of the last batch is gone: the stream repeats it.
+    (log / "commits" / "1").unlink()
+    (log / "commits" / ".1.crc").unlink(missing_ok=True)
+    before = _files(sink)
+    run()
+    assert met() == ["q1.img", "q2.img", "q3.img"] and _files(sink) == before
+    assert batches.write_batch(spark.range(1).toDF("query_id"), str(sink), 0) is False
+
+
+def test_compaction_bounds_the_files(spark, index, tmp_path):
+    inbox, sink, log = tmp_path / "in", tmp_path / "out", tmp_path / "log"
+    inbox.mkdir()
+    for i in range(11):
+        (inbox / f"a{i:02d}.img").write_bytes(b"aab" if i % 2 else b"x")
+        images = files.stream_images(spark, str(inbox), "*.img")
+        start_scan(images, index, str(sink), str(log), Bytes, compact_every=3).awaitTermination()
+        rows = batches.read_batches(spark, str(sink)).collect()
+        assert sorted((r.query_id[-7:], r.batch) for r in rows) == [(f"a{k:02d}.img", k) for k in range(i + 1)]
+        # Batches since the compaction before the last one, and a file for each segment.
+        assert len(_files(sink)) <= 6 + (i + 1) // 3
+    assert [(e.first, e.last) for e in batches.finished(spark, str(sink))] == [(0, 2), (3, 5), (6, 8), (9, 9), (10, 10)]
+    # A batch that a segment holds is not written again, and a lost compaction changes nothing.
+    assert batches.write_batch(spark.range(1).toDF("query_id"), str(sink), 4) is False
+    spark.range(3).write.parquet(str(sink / "_segments" / "0-9-lost"))
+    assert batches.read_batches(spark, str(sink)).count() == 11
+    assert batches.compact(spark, str(sink)) == 2 and batches.read_batches(spark, str(sink)).count() == 11
