@@ -111,8 +111,8 @@ def _resolved(reference: Column, names: Column) -> Column:
         return F.when(n <= F.length(name), F.concat(known, F.substring(name, n + 1, F.length(name))))
 
     # Old names need no semicolon, and the longest that begins the reference counts; they have 2 to 6 letters.
-    lengths = F.array(F.length(name), *[F.lit(n) for n in range(6, 1, -1)])
-    known = F.get(F.array_compact(F.transform(lengths, begun)), F.lit(0))
+    # The first that is known ends the search, which is the whole name for all but the oldest texts.
+    known = F.coalesce(begun(F.length(name)), *[begun(F.lit(n)) for n in range(6, 1, -1)])
     return F.when(reference.startswith("&#"), _code_point(number)).otherwise(F.coalesce(known, reference))
 
 
