@@ -56,7 +56,7 @@ c{k} AS (
   SELECT *, (p_blocked + 0.5::DOUBLE) / (p_labels + 1::DOUBLE) AS pooled, greatest(b_labels, 1) AS known FROM b{k}),
 d{k} AS (
   SELECT host, seg, n, labels, blocked, rate AS above, list_append(template, CASE WHEN segment = '/' THEN ''
-    WHEN b_n >= 3 AND b_n >= 0.02::DOUBLE * p_n AND b_labels > 0
+    WHEN b_n >= 3 AND b_labels > 0
       AND abs(b_blocked / known - pooled) > 2::DOUBLE * sqrt(pooled * (1 - pooled) / known) THEN segment
     ELSE '*' END) AS template
   FROM c{k}),

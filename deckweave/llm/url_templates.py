@@ -13,8 +13,7 @@ from deckweave.session import cut_lineage
 
 #: Levels of the tree; deeper segments are one last segment.
 DEPTH = 3
-#: A segment stays a branch of its own with this share of its parent's rows, and so many rows.
-BRANCH_SHARE = 0.02
+#: A segment can stay a branch of its own from so many rows.
 BRANCH_ROWS = 3
 #: Sibling branches stay apart where their labelled rates differ by so many standard errors.
 APART = 2.0
@@ -103,8 +102,9 @@ def _summed(tree: DataFrame, by: list[str], prefix: str) -> DataFrame:
 def template_tree(labelled: DataFrame) -> DataFrame:
     """Rows ``host, segments, template, rate`` from rows ``host, segments, n, labels, blocked``.
 
-    ``segments`` are typed; ``template`` has a wildcard wherever a branch is rare under its parent
-    or its labelled rate is not apart from that of its siblings. ``rate`` is the smoothed share of
+    ``segments`` are typed; ``template`` has a wildcard wherever a branch has fewer than
+    ``BRANCH_ROWS`` rows or its labelled rate is not apart from that of its siblings, whatever its
+    share of them. ``rate`` is the smoothed share of
     blocked labels of the template, towards its parent's, the host's and in the end that of all.
     """
     stored = cut_lineage(labelled, "paths")
@@ -121,7 +121,7 @@ def template_tree(labelled: DataFrame) -> DataFrame:
         error = F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("b_labels"), F.lit(1)))
         own = F.col("b_blocked") / F.greatest(F.col("b_labels"), F.lit(1))
         apart = (F.col("b_labels") > 0) & (F.abs(own - pooled) > APART * error)
-        often = (F.col("b_n") >= BRANCH_ROWS) & (F.col("b_n") >= BRANCH_SHARE * F.col("p_n"))
+        often = F.col("b_n") >= BRANCH_ROWS
         part = F.when(F.col("segment") == "/", F.lit("")).when(often & apart, F.col("segment")).otherwise(F.lit("*"))
         tree = tree.select(*kept[:-1], F.concat("template", F.array(part)).alias("template"), F.col("rate").alias("above"))
         tree = _summed(tree, ["host", "template"], "t")
