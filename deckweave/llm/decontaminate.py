@@ -4,15 +4,18 @@ Only DataFrame functions run on the main path. Windows are looked up by hash and
 compared word by word, so the result is exact.
 """
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckweave.session import cut_lineage
+
 #: Words of a window.
 WINDOW = 10
-#: Bounds under which the benchmark's windows are broadcast: their number and the bytes of their words.
-#: Beyond them the same join shuffles; rows of the result are the same.
+#: Bounds of the benchmark's windows that are broadcast at once: their number and the bytes of their words.
+#: More are looked up in several passes over the texts; rows of the result are the same.
 BROADCAST_WINDOWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
@@ -76,27 +79,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "t
     )
 
 
-def find_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text",
-    benchmark_text: str = "text", item_id: str = "item_id", keep: list[str] | None = None,
-) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) in one struct ``row``, with what was found.
+def _windowed(rows: DataFrame, row: str | None, lengths: list[int]) -> DataFrame:
+    """``id, words``, the row, and ``keys``: the hashes of all windows of a row as one list.
 
-    Further columns: ``n_words``, ``spans`` (array of word positions ``from, size`` of occurring
-    windows, in order), ``n_hit`` (words inside any of them), ``items`` (sorted ids). One row for
-    each row of ``docs``, also where ids repeat or are null; a null or empty text has no words and
-    no hits. An empty benchmark finds nothing, an empty table gives an empty table.
+    Lists of hashes are a step of their own: a place is then made from them in the same generated code
+    that looks it up, and the words beside it are not copied for each.
     """
-    windows = benchmark_windows(benchmark, window, benchmark_text, item_id)
-    known = windows.groupBy("size").agg(
-        F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("words", " "))).alias("bytes")
-    )
-    sizes = known.orderBy("size").collect()  # at most one row for each size of a window
-    fits = sum(r.n for r in sizes) <= BROADCAST_WINDOWS and sum(r.bytes for r in sizes) <= BROADCAST_BYTES
-    lengths = [row["size"] for row in sizes]
-
-    words, hashes, n = F.col("words"), F.col("hashes"), F.size("words")
-    whole = F.struct(*[F.col(f"`{name}`") for name in (docs.columns if keep is None else keep)])
+    n, hashes = F.size("words"), F.col("hashes")
 
     def keys(size: int) -> Column:
         at_all = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -104,11 +93,19 @@ def find_hits(
 
     # Each row ends with a mark of its own, so that rows without hits are kept through the join.
     mark = F.xxhash64(F.lit("mark"), F.col("id"))
-    exploded = (
-        docs.select(whole.alias("row"), words_of(F.col(f"`{text}`")).alias("words"))
-        .withColumn("id", F.monotonically_increasing_id())
-        .withColumn("hashes", F.transform(words, lambda w: F.xxhash64(w)))
-        .select("id", "row", "words", F.posexplode(F.concat(*[keys(size) for size in lengths], F.array(mark))).alias("place", "key"))
+    kept = ["id", "words"] if row is None else ["id", "words", row]
+    made = rows.withColumn("words", words_of(F.col("text"))).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    return made.select(*kept, F.concat(*[keys(size) for size in lengths], F.array(mark)).alias("keys"))
+
+
+def _found(windowed: DataFrame, windows: DataFrame, lengths: list[int], row: str | None = "row") -> DataFrame:
+    """Per ``id`` what the broadcast windows find: ``n_words, spans, items``, and the row."""
+    words, n = F.col("words"), F.size("words")
+    kept = [c for c in windowed.columns if c != "keys"]
+    # The outer form, though no list is empty: for the other one Spark tests that first, below the
+    # steps that make the list, with all their expressions written out in one.
+    placed = (
+        windowed.select(*kept, F.posexplode_outer("keys").alias("place", "key"))
         .where(F.col("key").isNotNull())
         .withColumn("last", F.col("place") == n * len(lengths))
     )
@@ -117,23 +114,67 @@ def find_hits(
     )
     at = F.col("place") % F.greatest(n, F.lit(1))
     same = F.slice(words, at + 1, F.col("w_size")) == F.col("w_words")
+    whole = [] if row is None else [F.when(F.col("last"), F.col(row)).alias("row")]
     joined = (
-        exploded.join(F.broadcast(table) if fits else table, "key", "left")
+        placed.join(F.broadcast(table), "key", "left")
         .where(F.col("last") | F.col("w_size").isNotNull())
         .select(
-            "id",
-            F.when(F.col("last"), F.col("row")).alias("row"),
+            "id", *whole,
             F.when(F.col("last"), n).alias("n_words"),
             F.when(~F.col("last") & same, F.struct(at.alias("from"), F.col("w_size").alias("size"))).alias("span"),
             F.when(~F.col("last") & same, F.col("w_items")).alias("items"),
         )
-    )
-    grouped = joined.groupBy("id").agg(
-        F.first("row", ignorenulls=True).alias("row"),
+    )
+    first = [] if row is None else [F.first("row", ignorenulls=True).alias("row")]
+    return joined.groupBy("id").agg(
+        *first,
         F.max("n_words").cast("bigint").alias("n_words"),
         F.sort_array(F.collect_set("span")).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
+
+
+def _found_in_parts(rows: DataFrame, windows: DataFrame, lengths: list[int], parts: int) -> DataFrame:
+    """The same for windows beyond the bound: one pass over the texts for each part of them.
+
+    Each part is broadcast, so no window of a text is shuffled and no common passage makes a hot key.
+    Rows are written with their ids first, and only what is found is put together by id.
+    """
+    stored, table = cut_lineage(rows, "texts"), cut_lineage(windows, "windows")
+    one_part = lambda k: table.where(F.pmod("key", F.lit(parts)) == k)
+    passes = [_found(_windowed(stored, None, lengths), one_part(k), lengths, None) for k in range(parts)]
+    found = reduce(DataFrame.unionByName, passes).groupBy("id").agg(
+        F.max("n_words").alias("n_words"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return stored.select("id", "row").join(found, "id")
+
+
+def find_hits(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text",
+    benchmark_text: str = "text", item_id: str = "item_id", keep: list[str] | None = None,
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) in one struct ``row``, with what was found.
+
+    Further columns: ``n_words``, ``spans`` (array of word positions ``from, size`` of occurring
+    windows, in order), ``n_hit`` (words inside any of them), ``items`` (sorted ids). One row for
+    each row of ``docs``, also where ids repeat or are null; a null or empty text has no words and
+    no hits. An empty benchmark finds nothing, an empty table gives an empty table.
+    """
+    windows = benchmark_windows(benchmark, window, benchmark_text, item_id)
+    known = windows.groupBy("size").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("words", " "))).alias("bytes")
+    )
+    sizes = known.orderBy("size").collect()  # at most one row for each size of a window
+    parts = max(1, math.ceil(sum(r.n for r in sizes) / BROADCAST_WINDOWS), math.ceil(sum(r.bytes for r in sizes) / BROADCAST_BYTES))
+    fits, lengths = parts == 1, [row["size"] for row in sizes]
+    whole = F.struct(*[F.col(f"`{name}`") for name in (docs.columns if keep is None else keep)])
+    rows = docs.select(whole.alias("row"), F.col(f"`{text}`").alias("text")).withColumn("id", F.monotonically_increasing_id())
+    if fits:
+        grouped = _found(_windowed(rows, "row", lengths), windows, lengths)
+    else:
+        grouped = _found_in_parts(rows, windows, lengths, parts)
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
 
     def covered(done: Column, span: Column) -> Column:
