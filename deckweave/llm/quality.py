@@ -20,8 +20,9 @@ REPEAT_WINDOW = 5
 #: Base rules: fewest words, most repeated words in a hundred.
 LEAST_WORDS = 10
 MOST_REPEATED = 20
-#: Texts a group needs for an estimate; smaller groups take that of their language, then of all.
-LEAST_GROUP = 200
+#: Texts that the estimate of a language counts for in that of a group, and that of all texts in that
+#: of a language: a small group is near them, a large one near its own texts, without a step between.
+PRIOR_TEXTS = 40.0
 #: Share of a group that an estimate rests on, most concentration steps, and change that ends them.
 SUBSET = 0.75
 STEPS = 8
@@ -30,10 +31,15 @@ SETTLED = 1e-3
 CUTOFF = 0.9999
 #: Standard deviations that estimates have at least, one for each statistic below: as many texts
 #: have none of a kind, their spread can be 0, and a text with few would be far from all. Each is
-#: well under the range of its statistic (4.6 for lines in a hundred, 3.0 for repeated words up to
-#: the base rule) by the root of the cutoff (4.85), so that each can reject alone: in a group
-#: without any, beyond about 29 % of lines or 10 % of words.
-FLOORS = (0.1, 0.4, 0.7, 0.5)
+#: well under the range of its statistic by the root of the cutoff (4.85), so that each can reject
+#: alone: in a group without any, beyond about 14 % of lines or 9 % of words.
+FLOORS = (0.1, 0.4, 0.7, 0.6)
+#: Correlation that goes with the floors: a repeated line is repeated words as well, so that both
+#: together are no more than either.
+TOGETHER = {(3, 2): 0.6}
+#: Words of the usual length, lines and words without repetition that are added to each text for its
+#: statistics: one repeated line of a short text tells little.
+PRIOR_WORDS, PRIOR_LENGTH, PRIOR_LINES, PRIOR_REPEATS = 20, 5, 10, 30
 STATISTICS = ("word_length", "symbols", "dup_lines", "repeats")
 _D = len(STATISTICS)
 #: Buckets for each doubling of 1 + distance, and of a statistic's unit.
@@ -110,16 +116,21 @@ def base_failed(stats: str) -> Column:
 
 def _vector(stats: str) -> list[Column]:
     """Transformed statistics: near symmetric, rounded so that their sums do not depend on order."""
-    n, chars = F.greatest(F.col(f"{stats}.n_words"), F.lit(1)), F.greatest(F.col(f"{stats}.word_chars"), F.lit(1))
+    n, chars = F.col(f"{stats}.n_words"), F.col(f"{stats}.word_chars")
     raw = (
-        F.log(chars / n),
-        F.log1p(100.0 * F.col(f"{stats}.n_symbols") / chars),
-        F.log1p(100.0 * F.col(f"{stats}.n_dup_lines") / F.greatest(F.col(f"{stats}.n_lines"), F.lit(1))),
-        F.log1p(100.0 * F.col(f"{stats}.n_repeat_words") / n),
+        F.log((chars + PRIOR_WORDS * PRIOR_LENGTH) / (n + PRIOR_WORDS)),
+        F.log1p(100.0 * F.col(f"{stats}.n_symbols") / F.greatest(chars, F.lit(1))),
+        F.log1p(100.0 * F.col(f"{stats}.n_dup_lines") / (F.col(f"{stats}.n_lines") + PRIOR_LINES)),
+        F.log1p(100.0 * F.col(f"{stats}.n_repeat_words") / (n + PRIOR_REPEATS)),
     )
     return [F.rint(x * 1024) / 1024 for x in raw]
 
 
+def _floor(i: int, j: int) -> float:
+    """Least covariance of two statistics, the same in every estimate."""
+    return FLOORS[i] * FLOORS[j] * (1.0 if i == j else TOGETHER.get((i, j), 0.0))
+
+
 def _key(*columns: Column) -> Column:
     """A text that tells all values of the columns apart, null included."""
     marked = [F.coalesce(F.concat(F.lit("="), F.regexp_replace(c.cast("string"), "([\\\\/])", "\\\\$1")), F.lit("-")) for c in columns]
@@ -160,7 +171,7 @@ def _with_factor(estimates: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             value = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}")
             estimates = estimates.withColumn(f"l{i}{j}", value)
-    names = [f"m{i}" for i in range(_D)] + [f"l{i}{j}" for i in range(_D) for j in range(i + 1)]
+    names = [f"m{i}" for i in range(_D)] + [f"{kind}{i}{j}" for kind in "cl" for i in range(_D) for j in range(i + 1)]
     logdet = sum((2 * F.log(f"l{i}{i}") for i in range(_D)), F.lit(0.0))
     return estimates.select("group", *names, logdet.alias("logdet"))
 
@@ -179,17 +190,19 @@ def _distance(x: list[Column]) -> Column:
 def estimates(scored: DataFrame, stats: str, groups: DataFrame) -> DataFrame:
     """Per group: mean, factor and the factor that turns distances into chi-squared values.
 
-    ``groups`` tells which texts each group rests on; a text may count in several. ``scored`` is
-    read once a step, so it has to be a stored table. Deterministic: starts from
-    medians and median deviations, sums of rounded values, whole buckets.
+    Each source and language, each language, and the whole have an estimate of their own; those of
+    the groups are drawn towards the wider ones by ``PRIOR_TEXTS``. ``scored`` is read once a step, so it has to
+    be a stored table. Deterministic: starts from medians and median deviations, sums of rounded
+    values, whole buckets.
     """
     x = [F.col(f"x{i}") for i in range(_D)]
     rows = (
         scored.where(~base_failed(stats))
         .select("lang_key", "source_key", *[v.alias(f"x{i}") for i, v in enumerate(_vector(stats))])
         .join(groups, ["lang_key", "source_key"])
-        .select("group", *x)
     )
+    own_rows = rows.select("group", *x)
+    rows = rows.select(F.explode(F.array("group", "lang_group", "all_group")).alias("group"), *x)
     tall = rows.select("group", F.posexplode(F.array(*x)).alias("i", "x"))
     bucket = F.floor(F.col("x") * _FINE)
     medians = cut_lineage(
@@ -211,8 +224,8 @@ def estimates(scored: DataFrame, stats: str, groups: DataFrame) -> DataFrame:
             *[F.max(F.when(F.col("i") == i, F.pow("s", F.lit(2)) + floor * floor)).alias(f"c{i}{i}") for i in range(_D)],
         )
     )
-    zeros = {f"c{i}{j}": F.lit(0.0) for i in range(_D) for j in range(i)}
-    current = cut_lineage(_with_factor(wide.withColumns(zeros)), "estimates")
+    beside = {f"c{i}{j}": F.lit(_floor(i, j)) for i in range(_D) for j in range(i)}
+    current = cut_lineage(_with_factor(wide.withColumns(beside)), "estimates")
     for _ in range(STEPS):
         following = cut_lineage(_with_factor(_concentrated(rows, current)), "estimates")
         moved = (
@@ -225,11 +238,29 @@ def estimates(scored: DataFrame, stats: str, groups: DataFrame) -> DataFrame:
         current = following
         if moved is None or moved < SETTLED:
             break
-    spread = _quantiles(_by_distance(rows, current).agg(F.count("*").alias("n")), ["group"], 0.5)
+    shrunk = cut_lineage(_with_factor(_shrunk(current, groups)), "estimates")
+    spread = _quantiles(_by_distance(own_rows, shrunk).agg(F.count("*").alias("n")), ["group"], 0.5)
     middle = chi_squared_quantile(0.5, _D)
     scale = F.greatest(F.pow(F.lit(2.0), (F.col("bucket") + 1) / _FINE) - 1, F.lit(1e-6)) / middle
-    # Never narrower than the estimate itself, whose floors are meant as they are.
-    return current.join(spread, "group").select(*current.columns, F.greatest(scale, F.lit(1.0)).alias("scale"))
+    # Never narrower than the estimate itself, whose floors are meant as they are; and for few texts near
+    # it, as their own distances tell little about their spread.
+    own = F.col("n") / (F.col("n") + PRIOR_TEXTS)
+    wider = 1 + own * (F.greatest(scale, F.lit(1.0)) - 1)
+    return shrunk.join(spread, "group").join(groups.select("group", "n"), "group").select(*shrunk.columns, wider.alias("scale"))
+
+
+def _shrunk(current: DataFrame, groups: DataFrame) -> DataFrame:
+    """Means and covariances of the groups, drawn towards those of their language, and these to the whole's."""
+    names = [f"m{i}" for i in range(_D)] + [f"c{i}{j}" for i in range(_D) for j in range(i + 1)]
+    joined = groups.select("group", "lang_group", "all_group", "n", "n_lang")
+    for kind, key in (("own", "group"), ("lang", "lang_group"), ("all", "all_group")):
+        part = current.select(F.col("group").alias(key), *[F.col(name).alias(f"{kind}_{name}") for name in names])
+        joined = joined.join(part, key)
+    own = F.col("n") / (F.col("n") + PRIOR_TEXTS)
+    lang = F.col("n_lang") / (F.col("n_lang") + PRIOR_TEXTS)
+    return joined.select("group", *[
+        (own * F.col(f"own_{c}") + (1 - own) * (lang * F.col(f"lang_{c}") + (1 - lang) * F.col(f"all_{c}"))).alias(c) for c in names
+    ])
 
 
 def _by_distance(rows: DataFrame, current: DataFrame):
@@ -265,7 +296,7 @@ def _concentrated(rows: DataFrame, current: DataFrame) -> DataFrame:
             (
                 F.col(f"p{i}{j}") / F.col("n")
                 - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("n") * F.col("n"))
-                + (FLOORS[i] ** 2 if i == j else 0.0)
+                + _floor(i, j)
             ).alias(f"c{i}{j}")
             for i, j in pairs
         ],
@@ -273,27 +304,18 @@ def _concentrated(rows: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def _groups(scored: DataFrame, stats: str) -> DataFrame:
-    """Per language and source, the ``group`` whose estimate holds for it and all ``pools`` it counts in.
+    """Per language and source the groups that its texts count in: its own, its language's, the whole.
 
-    The estimate is that of its own texts, where they are too few that of all texts of its
-    language, and then that of all texts; no row where all are too few.
+    ``n`` and ``n_lang`` are the texts of the first two that the base rules leave; others have no row.
     """
     counted = scored.where(~base_failed(stats)).groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
     by_lang = counted.join(counted.groupBy("lang_key").agg(F.sum("n").alias("n_lang")), "lang_key")
-    own, lang = F.concat_ws("/", F.lit("s"), "lang_key", "source_key"), F.concat_ws("/", F.lit("l"), "lang_key")
-    # One row's worth of counts.
-    whole = counted.agg(F.sum("n").alias("n")).first().n or 0
-    last = F.lit("all") if whole >= LEAST_GROUP else F.lit(None).cast("string")
-    group = F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("n_lang") >= LEAST_GROUP, lang).otherwise(last)
-    return by_lang.select("lang_key", "source_key", group.alias("group"), F.array(own, lang, F.lit("all")).alias("pools")).where(
-        F.col("group").isNotNull()
-    )
-
-
-def _members(groups: DataFrame) -> DataFrame:
-    """Rows ``lang_key, source_key, group``: the estimates that are needed and the texts they rest on."""
-    each = groups.select("lang_key", "source_key", F.explode("pools").alias("group"))
-    return each.join(groups.select("group").distinct(), "group", "left_semi")
+    return by_lang.select(
+        "lang_key", "source_key", "n", "n_lang",
+        F.concat_ws("/", F.lit("s"), "lang_key", "source_key").alias("group"),
+        F.concat_ws("/", F.lit("l"), "lang_key").alias("lang_group"),
+        F.lit("all").alias("all_group"),
+    )
 
 
 def judged(
@@ -305,17 +327,18 @@ def judged(
     Further columns: ``base_failed``, ``distance`` (scaled squared distance; null without an
     estimate) and ``kept``: false where the base rules fail or the distance is beyond ``cutoff``.
     One row for each row of ``docs``, repeated or not. A null text has no words and fails. Null
-    languages and sources are groups of their own. Groups of fewer than ``LEAST_GROUP`` texts are
-    judged by the estimate over all texts of their language, or where those are too few, over all
-    texts; a table of fewer is not judged beyond the base rules. An empty table gives an empty table.
+    languages and sources are groups of their own. The fewer texts a group has, the more its estimate
+    is that of its language, and of all texts; a text alone in its table is near itself and kept. An
+    empty table gives an empty table.
     """
     names = docs.columns if keep is None else keep
     row = F.struct(*[F.col(f"`{name}`") for name in names]).alias("row")
     plain = docs.select(row, F.col(f"`{text}`").alias("text"), _key(F.col(f"`{lang}`")).alias("lang_key"), _key(F.col(f"`{source}`")).alias("source_key"))
     scored = cut_lineage(with_statistics(plain).select("row", "lang_key", "source_key", "stats"), "scored")
     groups = cut_lineage(_groups(scored, "stats"), "groups")
-    members = cut_lineage(_members(groups), "members")
-    found = cut_lineage(groups.drop("pools").join(estimates(scored, "stats", members), "group"), "estimates")
+    found = cut_lineage(
+        groups.select("lang_key", "source_key", "group").join(estimates(scored, "stats", groups), "group"), "estimates"
+    )
     most = chi_squared_quantile(cutoff, _D)
     distance = _distance(_vector("stats")) / F.col("scale")
     return (

@@ -1,10 +1,12 @@
 """Quality rules, decontamination, URL filters and secret scans against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,7 +173,46 @@ def test_small_groups_are_judged_by_larger_ones(spark):
     assert all(found[i].kept for i in range(262, 272))
 
 
-def test_few_texts_are_judged_by_the_base_rules_alone(spark):
+def test_a_repeated_line_is_no_outlier(spark):
+    """One boilerplate line twice in a text of usual length, among texts without any."""
+    texts = plain_texts(500)
+    clean = [in_lines((texts[i] + " " + texts[i + 250]).split()) for i in range(250)]
+    line = "all rights reserved by the owners of this page"
+    twice = [f"{line}\n{text}\n{line}" for text in clean[:60]]
+    found = {row.doc_id: row for row in quality.verdicts(frame(spark, clean + twice)).collect()}
+    assert all(found[i].n_dup_lines == 1 and found[i].n_repeat_words >= 18 for i in range(250, 310))
+    left = [row for row in found.values() if not row.base_failed]
+    assert len(left) > 290 and sum(row.kept for row in left) >= 0.99 * len(left)
+
+
+def test_the_estimate_is_near_the_least_determinant(spark):
+    """On 60 texts, a third of them odd: no subset of three quarters found by many random starts is tighter."""
+    draw = np.random.default_rng(4)
+    texts = plain_texts(45) + [re.sub(" ", "## ", text) for text in plain_texts(15, 3)]
+    docs = frame(spark, texts)
+    scored = quality.cut_lineage(
+        quality.with_statistics(docs.select("text")).select(F.lit("=a").alias("lang_key"), F.lit("=b").alias("source_key"), "stats"), "scored"
+    )
+    groups = quality.cut_lineage(quality._groups(scored, "stats"), "groups")
+    found = quality.estimates(scored, "stats", groups).first()
+    rows = np.array([tuple(r) for r in scored.where(~quality.base_failed("stats")).select(*quality._vector("stats")).collect()])
+    floor = np.array([[quality._floor(max(i, j), min(i, j)) for j in range(4)] for i in range(4)])
+    size = math.ceil(quality.SUBSET * len(rows))
+
+    def concentrated(chosen):
+        for _ in range(20):
+            part = rows[chosen]
+            mean, cov = part.mean(axis=0), np.cov(part.T, bias=True) + floor
+            off = rows - mean
+            chosen = np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off), kind="stable")[:size]
+        return np.linalg.slogdet(cov)[1]
+
+    best = min(concentrated(draw.choice(len(rows), 5, replace=False)) for _ in range(300))
+    # The three levels hold the same texts here, so that nothing is drawn anywhere.
+    assert found.logdet <= best + 0.1
+
+
+def test_few_texts_are_judged_as_well(spark):
     docs = frame(spark, plain_texts(20) + ["### " * 40])
     assert [row.kept for row in quality.verdicts(docs).orderBy("doc_id").collect()] == [True] * 20 + [False]
     assert quality.verdicts(docs.limit(0)).count() == 0
