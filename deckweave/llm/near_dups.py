@@ -220,10 +220,15 @@ def _links(clusters: DataFrame, threshold: float) -> DataFrame:
     sizes = clusters.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.length("words")) / BLOCK_CHARS)).alias("blocks")
     )
+    # Only clusters of several blocks are looked up, of which there are few, so that no texts of a large
+    # cluster are brought together for their number.
+    large = cut_lineage(sizes.where("blocks > 1"), "large")
+    known = F.broadcast(large) if large.count() <= BROADCAST_NODES else large
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
     dealt = (
-        clusters.join(sizes, "cluster")
+        clusters.join(known, "cluster", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
         .select("cluster", "node", "words", own.alias("own"), F.explode(every).alias("other"))
         .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "words", "own")
     )
