@@ -34,16 +34,17 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""\b(class|id|role|itemprop|aria-label|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
     """A block element, or a run of inline text between block elements (``tag`` is ``#``)."""
 
-    __slots__ = ("tag", "parent", "depth", "tokens", "text", "links", "inline", "inputs", "children", "wanted")
+    __slots__ = ("tag", "parent", "depth", "tokens", "text", "links", "inline", "inputs", "children", "wanted", "hidden")
 
-    def __init__(self, tag: str, parent: "Node | None", tokens: list[str], wanted: bool = False):
-        self.tag, self.parent, self.tokens, self.wanted = tag, parent, tokens, wanted
+    def __init__(self, tag: str, parent: "Node | None", tokens: list[str], wanted: bool = False, hidden: bool = False):
+        self.tag, self.parent, self.tokens, self.wanted, self.hidden = tag, parent, tokens, wanted, hidden
         self.depth = 0 if parent is None else parent.depth + 1
         self.text: list[str] = []  # of runs alone
         self.links = self.inline = self.inputs = 0
@@ -159,7 +160,8 @@ def parse(page: str) -> Node:
             tokens, wanted = attribute_tokens(attributes) if attributes else ([], False)
             run = None
             if tag not in VOID:
-                blocks.append(Node(tag, blocks[-1], tokens, wanted))
+                hidden = bool(attributes) and _HIDDEN.search(attributes) is not None
+                blocks.append(Node(tag, blocks[-1], tokens, wanted, hidden))
                 open_tags.append(tag)
             continue
         if tag in VOID:

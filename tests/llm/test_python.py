@@ -1,6 +1,7 @@
 """Near duplicates, languages, page texts and the pipeline against brute force and held-out rows."""
 
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -212,7 +213,7 @@ def test_pages_of_the_tables(spark):
     import re
 
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    model = html_text.learn(pages, training_pages=500)
+    model = html_text.learn(pages)
     texts = {row.page_id: row.html for row in pages.collect()}
     right = 0
     for row in html_text.extract(pages, model).collect():
@@ -223,17 +224,51 @@ def test_pages_of_the_tables(spark):
     assert right >= 0.98 * len(texts)
 
 
-def test_composed_pages_that_were_not_trained_on():
+@pytest.fixture(scope="module")
+def page_model():
     make = html_text.Composer([], seed=1)
-    made = [html_text.Page(make.page()) for _ in range(500)]
-    model = boosting.fit(np.concatenate([p.features for p in made]), np.concatenate([p.labels() for p in made]))
+    return html_text.fit_pages([html_text.Page(make.page()) for _ in range(900)])
+
+
+def test_composed_pages_that_were_not_trained_on(page_model):
+    """Other layouts with other names, a third of them missing, meaningless or misleading."""
     other = html_text.Composer([], seed=2)
-    right = 0
+    whole = near = 0
     for _ in range(150):
         page = html_text.Page(other.page())
-        wanted = np.where(page.labels(), 50.0, -50.0)
-        right += page.text(model.margin(page.features)) == page.text(wanted)
-    assert right >= 0.8 * 150
+        wanted = Counter(page.text(np.where(page.labels(), 50.0, -50.0)).split("\n\n"))
+        got = Counter(page.text(page_model.margins([page])).split("\n\n"))
+        same = sum((wanted & got).values())
+        whole += wanted == got
+        near += 2 * same >= 0.9 * (sum(wanted.values()) + sum(got.values()))
+    assert whole >= 0.6 * 150 and near >= 0.8 * 150
+
+
+_SAID = "The river had risen during the night, and the lower fields were under water. Nobody could remember it."
+_ARTICLE = "<h1>The title of the article</h1>" + "".join(f"<p>{_SAID} Number {i} of them.</p>" for i in range(5))
+_NAV = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+_FOOT = "<footer>&copy; 2024 Somebody</footer>"
+
+
+def _comments(name="", own=""):
+    items = "".join(f"<div{own}><b>Anna {k}</b><p>I do not think so at all, thanks.</p></div>" for k in range(4))
+    return f"<div{name}>{items}</div>"
+
+
+@pytest.mark.parametrize("body", [
+    f'{_NAV}<div class="content-header-wrap">{_ARTICLE}</div>{_FOOT}',
+    f'{_NAV}<div class="page-with-sidebar"><div class="post">{_ARTICLE}</div><aside><p>Read more here</p></aside></div>{_FOOT}',
+    f'{_NAV}<div id="legal-news"><article>{_ARTICLE}</article></div>{_FOOT}',
+    f'{_NAV}<article>{_ARTICLE}</article>{_comments(" class=user-posts")}{_FOOT}',
+    f'{_NAV}<article>{_ARTICLE}</article>{_comments(" class=kommentare", " class=eintrag")}{_FOOT}',
+    f"{_NAV}<article>{_ARTICLE}</article>{_comments()}{_FOOT}",
+    f'{_NAV}<article>{_ARTICLE}<p hidden>secret words</p><div style="display: none">more <p>secrets</p></div></article>{_FOOT}',
+])
+def test_names_do_not_decide_alone(page_model, body):
+    """Misleading names around articles, names that no training page has, and hidden elements."""
+    page = html_text.Page(f"<html><body>{body}</body></html>")
+    blocks = page.text(page_model.margins([page])).split("\n\n")
+    assert [block for block in blocks if block != "The title of the article"] == [f"{_SAID} Number {i} of them." for i in range(5)]
 
 
 def test_decoding_is_consistent_and_best():
@@ -261,7 +296,7 @@ ODD_PAGES = [None, "", "plain text", "<p>a<p>b", "<script>var x='<p>no</p>'</scr
 
 
 def test_odd_pages(spark):
-    model = boosting.fit(np.zeros((4, len(html_text.FEATURES)), np.float32), np.array([True, True, True, False]))
+    model = html_text.Model({}, boosting.fit(np.zeros((4, len(html_text.FEATURES)), np.float32), np.array([True, True, True, False])))
     pages = spark.createDataFrame([(i, None, h, "t") for i, h in enumerate(ODD_PAGES)], "page_id bigint, url string, html string, text string")
     found = {row.page_id: row.text for row in html_text.extract(pages, model).collect()}
     assert len(found) == len(ODD_PAGES)
