@@ -11,70 +11,86 @@ from deckweave.llm.pieces import Store
 from deckweave.llm.vocabularies import tokenizer
 
 #: Texts of more characters are encoded in chunks of so many.
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 65_536
 #: Characters that neighbouring chunks share at first.
 OVERLAP_CHARS = 256
+#: Characters behind a word's end that decide where it ends, at most: a contraction has three.
+LOOK_AHEAD = 3
 _GAPS = str.maketrans("\t\n\r", "   ")
 
 
+class _Chunk:
+    """A chunk's encoding: where its words begin in the text, and its tokens before each."""
+
+    def __init__(self, use, text: str, start: int, end: int):
+        self.start, self.end = start, end
+        found = use.encode(text[start:end], add_special_tokens=False)
+        words = np.array([-1 if word is None else word for word in found.word_ids], np.int64)
+        offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
+        self.tokens = len(words)
+        # A word that begins within what one character became begins at no place of the text.
+        apart = offsets[1:, 0] >= offsets[:-1, 1]
+        self._before = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) & apart][: self.tokens])
+        self.begins = start + offsets[self._before, 0]
+
+    def before(self, place: int) -> int:
+        """Tokens before a word that begins at a place."""
+        return int(self._before[np.searchsorted(self.begins, place)])
+
+
 class Counter:
-    """Token counts by one ``tokenizers`` file.
+    """Token counts by one ``tokenizers`` file whose words are matches of a pattern, without white space.
 
-    Blanks, tabs and line ends are the only places at which texts are taken apart: the tokenizer
-    splits there whatever stands around, drops white space, and neither its special strings nor a
-    normal form joins characters across them. So a run between two of them has the same tokens in
-    every text, and its count can be kept.
+    Texts of usual length are taken apart at blanks, tabs and line ends: the tokenizer splits there
+    whatever stands around, drops white space, and neither its special strings nor a normal form joins
+    characters across them. So a run between two of them has the same tokens in every text, and its count
+    can be kept. A file that doesn't do so is refused.
     """
 
     def __init__(self, path: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS):
         self._tokenizer = tokenizer(path)
         self._chunk, self._overlap = max(2, chunk_chars), max(1, overlap_chars)
+        special = [len(token.content) for token in self._tokenizer.get_added_tokens_decoder().values()]
+        self._margin = max([LOOK_AHEAD, *special])
         self._store = Store(lambda run: len(self._tokenizer.encode(run, add_special_tokens=False).ids))
         self._store[""] = 0
-
-    def _spans(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets at which the runs of a chunk begin, and the tokens of the chunk before each."""
-        runs = text[start:end].translate(_GAPS).split(" ")
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
-        tokens = np.fromiter(map(self._store.__getitem__, runs), np.int64, len(runs))
-        return start + np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(tokens)])
+        probe = "It's a b1 of\tDON'T!!'s\n12 ab."
+        whole = self._tokenizer.encode(probe, add_special_tokens=False)
+        if len(whole.ids) != sum(map(self._store.__getitem__, probe.split())) or None in whole.word_ids:
+            raise ValueError(f"{path} does not encode words apart from their white space")
 
     def count(self, text: str) -> int:
         """The tokens of a text, equal to encoding it in one go.
 
-        Chunks overlap. Offsets at which runs begin in the encodings of both chunks, inside the
-        overlap and behind white space, are proven boundaries; the count goes over from the left
-        chunk to the right one at the first. Without one the overlap doubles, in the end to the
-        whole rest of the left chunk, and then both chunks become one.
+        A text beyond the chunk is encoded in overlapping chunks. The first begins where the text does, so
+        its words are those of the text, but for the last characters: where a word begins is decided
+        by what stands before and by a few characters behind, a special string at most. From a place on
+        at which both a chunk with such words and the next one begin a word, the next one has the words
+        of the text as well, as nothing before a word's beginning changes what follows. The count goes
+        over at the first such place in the overlap. Without one the overlap doubles, up to the whole
+        left chunk, and then the left chunk is made longer, which only a word of its length brings about.
         """
         if len(text) <= self._chunk:
             return sum(map(self._store.__getitem__, text.translate(_GAPS).split(" ")))
-        total, begin, end = 0, 0, min(len(text), self._chunk)
-        starts, before = self._spans(text, begin, end)
-        taken = 0
-        while end < len(text):
+        left = _Chunk(self._tokenizer, text, 0, self._chunk)
+        total, proven = 0, 0
+        while left.end < len(text):
+            right, common = None, ()
             overlap = self._overlap
-            while True:
-                back = max(begin + 1, end - overlap)
-                following = min(len(text), max(end + 1, back + self._chunk))
-                right_starts, right_before = self._spans(text, back, following)
-                # A run cut by the chunk's own start begins at no proven place; nor does one at its end.
-                common = np.intersect1d(starts[1:-1], right_starts[1:-1])
-                common = common[common > begin]
-                if len(common) or back == begin + 1:
+            while not len(common):
+                back = max(proven + 1, left.end - overlap)
+                right = _Chunk(self._tokenizer, text, back, min(len(text), max(back + self._chunk, left.end + 1)))
+                sure = left.begins[(left.begins > proven) & (left.begins <= left.end - self._margin)]
+                common = np.intersect1d(sure, right.begins)
+                if back == proven + 1:
                     break
                 overlap *= 2
             if len(common):
-                at = common[0]
-                total += int(before[np.searchsorted(starts, at)]) - taken
-                taken = int(right_before[np.searchsorted(right_starts, at)])
-                begin, end, starts, before = int(at), following, right_starts, right_before
+                total += left.before(common[0]) - (left.before(proven) if proven else 0)
+                proven, left = int(common[0]), right
             else:
-                # No white space in all of the left chunk: it has to be one with the next.
-                end = min(len(text), end + (end - begin))
-                starts, before = self._spans(text, begin, end)
-                taken = 0
-        return total + int(before[-1]) - taken
+                left = _Chunk(self._tokenizer, text, left.start, min(len(text), 2 * left.end - left.start))
+        return total + left.tokens - (left.before(proven) if proven else 0)
 
 
 @lru_cache(maxsize=2)

@@ -67,6 +67,49 @@ def test_counts_equal_library(chunk, overlap):
         assert use.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
 
 
+def _long_texts():
+    draw = random.Random(8)
+    parts = [*PARTS, "İ", "é́", "日。本", "<|endoftext|>", "<|end", "oftext|>", "'s", "a1", ".", "Σ"]
+    yield "".join(draw.choices(parts, k=700))
+    yield "".join(draw.choices([part for part in parts if not part.isspace()], k=900))
+    yield "".join(draw.choices(["<|endoftext|>", "x", "́", "1"], k=500))
+    yield "ab" * 400 + "." + "c" * 300 + " " * 300 + "d"
+    yield "́" * 300 + "<|endoftext|>" * 60
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(2, 1), (17, 3), (40, 8), (200, 20), (1000, 256)])
+def test_spliced_counts_equal_library(chunk, overlap):
+    use, library = token_counts.Counter(WORDS, chunk, overlap), tokenizer(WORDS)
+    for text in _long_texts():
+        assert use.count(text) == len(library.encode(text, add_special_tokens=False).ids), text[:200]
+
+
+def test_chunks_stay_short_without_white_space(monkeypatch):
+    """Ten million characters without a blank: no call gets more than a chunk."""
+    draw = random.Random(3)
+    piece = "".join(draw.choices(["word", "é", "1", "--", "日本", "'s", ".", "<|endoftext|>"], k=40_000))
+    text = piece * (10_000_000 // len(piece))
+    calls, plain = [], token_counts._Chunk.__init__
+
+    def noted(self, use, whole, start, end):
+        calls.append(end - start)
+        plain(self, use, whole, start, end)
+
+    monkeypatch.setattr(token_counts._Chunk, "__init__", noted)
+    use = token_counts.Counter(WORDS)
+    size, copies = len(piece), len(text) // len(piece)
+    one, two = use.count(piece), use.count(piece * 2)
+    assert len(piece) > use._chunk and one == len(tokenizer(WORDS).encode(piece, add_special_tokens=False).ids)
+    calls.clear()
+    assert use.count(text) == one + (copies - 1) * (two - one)
+    assert max(calls) <= use._chunk and sum(calls) < 1.02 * size * copies
+
+
+def test_other_kinds_of_files_are_refused():
+    with pytest.raises(ValueError):
+        token_counts.Counter(BYTES)
+
+
 def test_counts_job(docs):
     library = tokenizer(WORDS)
     found = sorted(map(tuple, token_counts.token_counts(docs, WORDS, limit=20).collect()), key=str)
