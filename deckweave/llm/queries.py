@@ -166,6 +166,50 @@ def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"), drop_every=97)
 
 
+# The polynomial of the unsigned crc32 by eight halvings for each byte of a table, then byte by byte.
+_CRC_STEP = "list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+OP11_SQL = f"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda b: CAST({_CRC_STEP} AS BIGINT)) AS crc_of),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(strlen(name)), lambda i: CAST('0x' || hex(name)[2 * i + 1:2 * i + 2] AS BIGINT))),
+      lambda c, b: xor(c // 256, crc_of[xor(c % 256, b) + 1]))) AS h
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name FROM runs), bits),
+words AS (
+  SELECT word, sum(n) AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+               ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM cut a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, a.word FROM cut a JOIN words w ON a.rest = w.word),
+ranked AS (
+  SELECT near.word, other, o.n AS other_n, w.n,
+    count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+  FROM near JOIN words w ON near.word = w.word JOIN words o ON other = o.word),
+formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * words.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * words.n THEN other_n END AS form_n
+  FROM words LEFT JOIN ranked ON words.word = ranked.word AND place = 1),
+ways AS (
+  SELECT word, word AS here, 0 AS step FROM formed
+  UNION ALL
+  SELECT ways.word, form, step + 1 FROM ways JOIN formed ON here = formed.word WHERE form IS NOT NULL)
+SELECT formed.word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM formed JOIN (SELECT word, max_by(here, step) AS root FROM ways GROUP BY word) USING (word)
+"""
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
@@ -233,7 +277,7 @@ def load() -> dict[str, Query]:
         "op8_url_templates": Query(op8_url_templates, OP8_SQL),
         "op9_language": Query(op9_language),
         "op10_tree_bpe": Query(op10_tree_bpe),
-        "op11_spelling_groups": Query(op11_spelling_groups),
+        "op11_spelling_groups": Query(op11_spelling_groups, OP11_SQL),
         "op12_packing": Query(op12_packing),
         "op13_filter_audit": Query(op13_filter_audit, OP13_SQL),
     }
