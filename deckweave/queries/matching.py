@@ -8,7 +8,7 @@ from deckweave.operators import match as matching
 from deckweave.operators.mapping import embed, embed_rows
 from deckweave.plans import scan
 from deckweave.queries import query, table
-from deckweave.session import cut_lineage, scratch_path
+from deckweave.session import scratch_path
 from deckweave.sources import image_files as files
 from deckweave.streaming.scan import start_scan
 from deckweave.streaming.sink import read_batches
@@ -104,6 +104,37 @@ def match_repeated_ids_large(spark, folder):
     return _result(matching.match_large_index(*_repeated(spark, folder), pivots=16, block_bytes=1 << 17))
 
 
+def _mixed_sql() -> str:
+    """Queries of 64 and 32 elements over vectors of 64 and 128, with placeholders of 768 zeros between."""
+    return f"""
+    WITH queries AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 3 = 0 THEN ({_DISTURBED})[1:32] ELSE {_DISTURBED} END AS v FROM embeddings),
+    cards AS (SELECT vec_id AS idx, CASE WHEN vec_id % 5 = 0 THEN list_concat(CAST(embedding AS DOUBLE[]), {_REVERSED})
+                                         ELSE CAST(embedding AS DOUBLE[]) END AS v
+              FROM embeddings WHERE vec_id % 7 <> 0),
+    scored AS (SELECT query_id, idx, list_cosine_similarity(q.v, c.v[1:len(q.v)]) AS score FROM queries q CROSS JOIN cards c),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS place FROM scored),
+    best AS (SELECT query_id, idx, score FROM ranked WHERE place = 1 AND score > 0.15)
+    SELECT q.query_id, b.idx AS card_id, round(b.score, 6) AS score, b.idx IS NOT NULL AS matched
+    FROM queries q LEFT JOIN best b ON q.query_id = b.query_id"""
+
+
+def _mixed(spark, folder):
+    made = F.when(F.col("idx") % 5 == 0, F.concat("embedding", F.reverse("embedding"))).otherwise(F.col("embedding"))
+    index = _index(spark, folder).withColumn("embedding", vectors.or_placeholder(F.when(F.col("idx") % 7 != 0, made)))
+    short = F.when(F.col("query_id") % 3 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    return _photos(spark, folder, 0.5).withColumn("embedding", short), index
+
+
+@query("C4 H3 D3 B12 H17 C6", _mixed_sql())
+def match_mixed_lengths(spark, folder):
+    return _result(matching.match(*_mixed(spark, folder)))
+
+
+@query("C4 H3 D3 B12 H17 C6", _mixed_sql())
+def match_mixed_lengths_large(spark, folder):
+    return _result(matching.match_large_index(*_mixed(spark, folder), pivots=16, block_bytes=1 << 17))
+
+
 @query(
     "C5 C6",
     _match_sql(_REVERSED, 0.4).replace("SELECT q.query_id,", "SELECT q.query_id, e.label,")
@@ -225,8 +256,7 @@ def embed_and_match(spark, folder):
     cards = table(spark, folder, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     index = scan.build_index(cards, LetterCounts, "content", "doc_id", "doc_id", len(LETTERS))
     images = table(spark, folder, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content"))
-    found = scan.match_images(images, cut_lineage(index, "index"), LetterCounts, "content", "item_id")
-    return _result(found)
+    return _result(scan.match_images(images, index, LetterCounts, "content", "item_id"))
 
 
 @query(

@@ -25,6 +25,9 @@ COLLECTIONS = (
     "https://www.ligapokemon.com.br/?view=cards/search&card=edid=612%20ed=SCR",
 )
 
+# Fixed value: the error of a page that was refused.
+STATUS_ERROR = "Response status code != 200"
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages ``(url, status, html)`` from Parquet."""
@@ -39,7 +42,7 @@ def accepted(pages: DataFrame) -> DataFrame:
 def rejected(pages: DataFrame) -> DataFrame:
     """The other pages, with an error text; a page without a status is rejected too."""
     failed = ~F.coalesce(F.col("status") == 200, F.lit(False))
-    return pages.where(failed).withColumn("error", F.lit("Response status code != 200"))
+    return pages.where(failed).withColumn("error", F.lit(STATUS_ERROR))
 
 
 def has_card_content(page: Column | str) -> Column:
