@@ -23,18 +23,22 @@ BEFORE, AFTER = 48, 24
 #: dictionary for each language.
 TRAINING_FINDINGS = 2000
 DICTIONARY_WORDS = 500
-TREES, TREE_DEPTH = 20, 5
+TREES, TREE_DEPTH = 30, 8
+#: Candidates of a text whose sizes are added up together: offsets take time in proportion to their number.
+BLOCK = 256
 #: Probability from which a candidate counts as a secret.
 SECRET = 0.5
 MARK = "[SECRET]"
 
 #: Neighbouring words that go with secrets, and with values that only look like one.
 SECRET_WORDS = r"(?i)(token|secret|passw|api.?key|access.?key|auth|credential|private|bearer)"
-HARMLESS_WORDS = r"(?i)(sha\d*|md5|checksum|commit|digest|uuid|guid|isbn|phone|card|order|example|sample)"
+HARMLESS_WORDS = (
+    r"(?i)(sha\d*|md5|checksum|commit|digest|uuid|guid|isbn|phone|card|order|example|sample|integrity|base64|author(?!i)|header|version|etag)"
+)
 #: What stands before a value that is assigned to a name with a secret word (the short
 #: look behind spares the long one at most places), or after the word of an authorization header.
 _NAMED = (
-    r"(?<=[=:>]\s{0,8}\\?[\"'`]?)(?<=(?i:token|secret|passw|passphrase|pwd|api.?key|access.?key|auth|credential|private)"
+    r"(?<=[=:>]\s{0,8}\\?[\"'`]?)(?<=(?i:token|secret|passw|passphrase|pwd|\bpw|api.?key|access.?key|auth|credential|private)"
     r"[A-Za-z0-9_.-]{0,32}[\"'`\\\]]{0,3}\s{0,8}(?::=|=>|==|[=:>])\s{0,8}\\?[\"'`]?)"
 )
 _HEADER = r"(?<=(?i:bearer|basic|token)\s{1,4})(?<=(?i:bearer|auth[a-z-]{0,16}[\"']?\s{0,4}[:=]\s{0,4}[\"']?(?:basic|token))\s{1,4})"
@@ -48,14 +52,18 @@ _VALUE = (
 _RUN = (
     r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+/_.@-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=.@-]))?"
 )
+#: Fixed value: the password of a user in an address.
+_IN_ADDRESS = r"(?<=:)(?<=://[^\s/@:\"']{1,64}:)[^\s/@:\"']{6,}+(?=@)"
 #: Fixed value: values behind a secret word from 8 characters on, bodies of private keys, other runs.
-CANDIDATE = rf"{_NAMED}{_VALUE}|{_HEADER}{_VALUE}|(?<=-----)(?<=-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----)[^-]{{16,}}+|{_RUN}"
+CANDIDATE = rf"{_IN_ADDRESS}|{_NAMED}{_VALUE}|{_HEADER}{_VALUE}|(?<=-----)(?<=-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----)[^-]{{16,}}+|{_RUN}"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 
 FEATURES = (
     "length", "digits", "upper", "distinct", "changes", "transitions", "coverage", "slashes", "dots", "at_sign",
-    "in_path", "secret_word", "harmless_word", "assigned", "quoted", "same_kind", "known_key", "code",
+    "in_path", "secret_word", "harmless_word", "assigned", "quoted", "same_kind", "known_key", "code", "in_address", "like_name",
 )
+#: Fixed value: what stands between words of any script.
+NO_LETTERS = r"[^\p{L}]+"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -65,14 +73,22 @@ def candidates(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     The struct has ``place`` (how many candidates stand before it), ``start`` (character offset),
     ``value``, ``before`` and ``after``. A null or empty text has no candidate.
     """
-    found, values, gaps = fresh(docs, "found", "values", "gaps")
+    found, values, gaps, sizes, sums = fresh(docs, "found", "values", "gaps", "sizes", "sums")
     value, own = F.col(f"`{text}`").cast("string"), [F.col(f"`{c}`") for c in docs.columns]
+    gap, v, size = F.col(gaps), F.col(values), F.col(sizes)
+    zero = F.lit(0).cast("bigint")
+    summed = lambda parts: F.aggregate(parts, zero, lambda n, x: n + x)
+    blocks = F.sequence(F.lit(0), (F.size(size) / BLOCK).cast("int"))
+    of_block = F.transform(blocks, lambda b: summed(F.slice(size, b * BLOCK + 1, F.lit(BLOCK))))
     staged = (
-        docs.where(value.rlike(CANDIDATE))
-        .withColumn(values, F.regexp_extract_all(value, F.lit(CANDIDATE), F.lit(0)))
-        .withColumn(gaps, F.split(value, CANDIDATE))
+        docs.withColumn(values, F.regexp_extract_all(value, F.lit(CANDIDATE), F.lit(0)))
+        .withColumn(gaps, F.when(F.size(v) > 0, F.split(value, CANDIDATE)))
+        # What a candidate and the gap before it take; then sums of blocks of them, and of blocks up to each.
+        .withColumn(sizes, F.zip_with(F.slice(gap, F.lit(1), F.size(v)), v, lambda g, x: (F.length(g) + F.length(x)).cast("bigint")))
+        .withColumn(sums, F.when(F.size(v) > 0, of_block))
     )
-    gap, v = F.col(gaps), F.col(values)
+    whole = F.col(sums)
+    staged = staged.withColumn(sums, F.transform(whole, lambda _, b: summed(F.slice(whole, F.lit(1), b))))
     # Values have 8 characters or more: so many before, with what lies between, reach over the context.
     near = BEFORE // 8
 
@@ -83,8 +99,9 @@ def candidates(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         return F.right(F.concat(earlier, F.get(gap, i)), F.lit(BEFORE))
 
     def start(i: Column) -> Column:
-        parts = F.concat(F.slice(gap, F.lit(1), i + 1), F.slice(v, F.lit(1), i))
-        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
+        block = (i / BLOCK).cast("int")
+        within = summed(F.slice(size, block * BLOCK + 1, i - block * BLOCK))
+        return F.get(F.col(sums), block) + within + F.length(F.get(gap, i))
 
     each = F.transform(
         v,
@@ -93,7 +110,9 @@ def candidates(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
             before(i).alias("before"), F.left(F.get(gap, i + 1), F.lit(AFTER)).alias("after"),
         ),
     )
-    return staged.select(*own, F.explode(each).alias(found)), found
+    # The outer form: for the other one Spark first tests, below all these steps, whether there are any.
+    made = staged.select(*own, F.explode_outer(each).alias(found))
+    return made.where(F.col(f"{found}.value").isNotNull()), found
 
 
 class Language:
@@ -106,7 +125,7 @@ class Language:
         value = F.col(f"`{text}`").cast("string")
         named = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
         texts = docs.select(named.alias("lang"), F.lower(value).alias("text"))
-        words = texts.select("lang", F.explode(F.split("text", "[^a-z]+")).alias("word")).where(F.length("word") >= 3)
+        words = texts.select("lang", F.explode(F.split("text", NO_LETTERS)).alias("word")).where(F.length("word") >= 3)
         counted = cut_lineage(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
         # The limit by language is applied by each task before rows of a language meet.
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -116,14 +135,15 @@ class Language:
         pair = F.explode(F.transform(places, lambda i: F.substring("word", i, F.lit(2)))).alias("pair")
         size = len(_LETTERS)
         pairs = [[0.5] * size for _ in range(size)]
-        for row in counted.select("n", pair).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        known = F.col("pair").rlike("^[a-z]{2}$")
+        for row in counted.select("n", pair).where(known).groupBy("pair").agg(F.sum("n").alias("n")).collect():
             pairs[_LETTERS.index(row.pair[0])][_LETTERS.index(row.pair[1])] += row.n
         self.transitions = [math.log(n / sum(line) * size) for line in pairs for n in line]
 
     def coverage(self, value: Column) -> Column:
         """Share of the characters that are in dictionary words."""
         known = F.from_json(F.lit(json.dumps(self.words)), "array<string>")
-        parts = F.split(F.lower(value), "[^a-z]+")
+        parts = F.split(F.lower(value), NO_LETTERS)
         inside = F.filter(parts, lambda part: F.array_contains(known, part))
         return F.length(F.array_join(inside, "")) / F.length(value)
 
@@ -170,6 +190,8 @@ def with_features(found: DataFrame, name: str, language: Language) -> DataFrame:
         "known_key": (value.rlike(KNOWN_KEYS) | before.rlike(KEY_BLOCK)).cast("int"),
         "code": value.rlike(r"[(){}\[\]]|^https?:|(?i)^your|example|change.?me").cast("int"),
         "same_kind": value.rlike(r"^([0-9]+|[A-Za-z]+)$").cast("int"),
+        "in_address": (before.rlike(r"://[^\s/@:]+:$") & after.startswith("@")).cast("int"),
+        "like_name": value.rlike(r"^(?:[A-Z]?[a-z]*[0-9]{0,4}[-_. ])*+[A-Z]?[a-z]{2,}[0-9]{0,4}$").cast("int"),
     }
     return found.withColumn("features", F.array(*[columns[f].cast("double") for f in FEATURES]))
 
@@ -205,14 +227,15 @@ _DIGITS = "0123456789"
 #: Forms in which secrets and harmless values stand; names that go with each.
 _SECRET_FORMS = (
     '{n} = "{v}"', "{n}: {v}", "export {N}={v}", "{N}={v}", "{n} = '{v}'", '{{"{n}": "{v}"}}', "https://a.io/cb?{n}={v}&x=1",
-    "Authorization: Bearer {v}", "X-Api-Key: {v}", "--{n}={v}", "<{n}>{v}</{n}>", "{n} := `{v}`",
+    "Authorization: Bearer {v}", "X-Api-Key: {v}", "--{n}={v}", "<{n}>{v}</{n}>", "{n} := `{v}`", "mysql://{w}:{v}@{w}.com/{w}",
 )
 _SECRET_NAMES = ("token", "api_key", "secret", "password", "db_password", "access_key", "client_secret", "auth_token")
 _HARMLESS_FORMS = (
     "commit {h}", "sha256: {h}", 'checksum = "{h}"', 'id = "{u}"', "uuid: {u}", "see /usr/share/{w}/{w}{d}/{w}-{w}.txt", "{w}.{w}{d}@{w}.example.com",
     "https://www.{w}.com/{w}/{w}-{w}-{d}{d}", "order {d}{d}{d}{d}", '{n} = "{w}_{w}_{w}"', "{n}: {w}{w}", "author: {w}{w}", "{n} = get_{w}({w}_{w})",
     '{n} = "your-{n}-here"', "{N}=${{{N}_{w}}}", "version-{d}-{w}-{w}-{d}", "the {n}: {w}{w} {w}", '{n}_url = "https://{w}.com/{w}/{w}{d}"',
-    '{n}_file = "/etc/{w}/{w}/{w}{d}.json"', "{w}_{w}_{w}_{d}={w}", 'etag = "{h}"', "digest={h}",
+    '{n}_file = "/etc/{w}/{w}/{w}{d}.json"', 'integrity="sha384-{b}"', 'src="data:image/png;base64,{b}{b}{b}"', '{N}_HEADER = "X-{w}-Key{d}-{w}"',
+    'author = "{w}{w}{d}"', "{n}_name: {w}-{w}{d}-{w}", "by {w}{w}{d}", "{w} {b} {w}", "{w} ({b})", '{N}_{w} = "{w}-{w}{d}-{w}"', "https://{w}.com:8080/{w}@{w}/{w}{d}{d}", "{w}_{w}_{w}_{d}={w}", 'etag = "{h}"', "digest={h}",
 )
 
 
@@ -233,7 +256,10 @@ def composed(spark) -> DataFrame:
             draw("0123456789abcdef", rng.choice((32, 40, 64))), draw("0123456789ABCDEF", 40), draw(mixed, rng.randint(20, 48)),
             draw(mixed + "+/", 40), word().title() + draw(_DIGITS, 3) + rng.choice("!&#%$*") + draw(mixed, 5), draw(mixed + "!#%$*", 12),
         )[i % 6]
-        text = rng.choice(_SECRET_FORMS).format(n=name, N=name.upper(), v=value)
+        form = rng.choice(_SECRET_FORMS)
+        if "@" in form:
+            value = "".join(c for c in value if c not in "/@:+")
+        text = form.format(n=name, N=name.upper(), v=value, w=word())
         if i % 3 == 0:
             value = (
                 "AKIA" + draw(_LOWER.upper() + _DIGITS, 16), "ghp_" + draw(mixed, 36), "sk_live_" + draw(mixed, 24), "glpat-" + draw(mixed, 20),
@@ -243,7 +269,7 @@ def composed(spark) -> DataFrame:
             block = value[0] == "\n"
             text = f"-----BEGIN RSA PRIVATE KEY-----{value}-----END RSA PRIVATE KEY-----" if block else f"{word()} {value} {word()}"
         rows.append({"text": f"{word()} {word()}\n{text}\n{word()}", "secret": value})
-        fields = {x: word() for x in "w"} | {"d": draw(_DIGITS, 4), "h": draw("0123456789abcdef", 40), "n": name, "N": name.upper()}
+        fields = {x: word() for x in "w"} | {"d": draw(_DIGITS, 4), "h": draw("0123456789abcdef", 40), "b": draw(mixed + "+/", 44), "n": name, "N": name.upper()}
         fields["u"] = "-".join(draw("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
         rows.append({"text": f"{word()} {word()}\n{_HARMLESS_FORMS[i % len(_HARMLESS_FORMS)].format(**fields)}\n{word()}"})
     made = F.from_json(F.lit(json.dumps(rows)), "array<struct<text:string,secret:string>>")

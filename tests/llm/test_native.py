@@ -376,3 +376,45 @@ def test_no_candidates(spark):
     assert secret_forest.findings(docs).count() == 0
     assert [row.text for row in secret_forest.redact(docs).orderBy("doc_id").collect()] == [None, "", "plain"]
     assert secret_forest.redact(docs.limit(0)).count() == 0
+
+
+HELD_OUT_SECRETS = (
+    "postgres://app:{}@db.example.net/main", "pw={}", 'connect(user="me", password="{}")', 'AUTH_TOKEN: "{}"',
+    "curl -H 'X-Auth-Token: {}' https://a.example", "client_secret => '{}'", "redis-cli -a x --secret {}=", "set PRIVATE_KEY={}",
+)
+HELD_OUT_HARMLESS = (
+    '<script integrity="sha384-{}"></script>', '<img src="data:image/png;base64,{}{}{}">', 'API_KEY_HEADER2 = "X-Api-Key2-Header"',
+    'author = "Maximilian1987"', "Build {} finished, md5 {}", "see https://b.example/wiki/Some_long_page_title_2024", "the token is described below, see chapter12",
+)
+
+
+def test_forms_that_were_not_trained_on(spark):
+    """Other forms of secrets and of what only looks like one than those that the forest is composed of."""
+    rng = random.Random(8)
+    draw = lambda k: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=k))
+    secrets = [draw(rng.randint(20, 40)) for _ in range(6 * len(HELD_OUT_SECRETS))]
+    texts = [HELD_OUT_SECRETS[i % len(HELD_OUT_SECRETS)].format(value) for i, value in enumerate(secrets)]
+    harmless = [form.format(*[draw(44) for _ in range(3)]) for form in HELD_OUT_HARMLESS for _ in range(6)]
+    docs = frame(spark, secret_texts(120)[0] + texts + harmless)
+    found = secret_forest.findings(docs).where("is_secret").collect()
+    true = {(row.doc_id, row.value_sha256) for row in found}
+    right = sum((i, hashlib.sha256(value.encode()).hexdigest()) in true for i, value in enumerate(secrets, 120))
+    false = sorted(row.doc_id for row in found if row.doc_id >= 120 + len(texts))
+    missed = [texts[i][:40] for i, value in enumerate(secrets) if (120 + i, hashlib.sha256(value.encode()).hexdigest()) not in true]
+    assert right >= 0.85 * len(secrets), missed
+    assert len(false) <= 0.05 * len(harmless), sorted({harmless[i - 120 - len(texts)] for i in false})
+
+
+def test_offsets_of_many_candidates(spark):
+    """Twenty thousand candidates in one text, at the places where they stand."""
+    rng = random.Random(1)
+    parts, starts, at = [], [], 0
+    for i in range(20_000):
+        gap = "é " * rng.randint(1, 3)
+        value = f"{i:05d}" + "a1b2c3d4e5f6g7"
+        starts.append(at + len(gap))
+        parts += [gap, value]
+        at += len(gap) + len(value)
+    found, name = secret_forest.candidates(frame(spark, ["".join(parts), "none", None]))
+    rows = found.select(f"{name}.place", f"{name}.start", f"{name}.value").orderBy("place").collect()
+    assert [row.start for row in rows] == starts and [row.value for row in rows] == parts[1::2]
