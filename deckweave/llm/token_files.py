@@ -5,6 +5,7 @@ A folder holds Parquet files whose rows are blocks of documents in ascending ord
 ``shard``, ``block``      place of the block; shards ascend with the ids of documents, blocks in a shard
 ``dictionary_sha256``     which dictionary its frames need; ``dictionary/`` in the folder holds it
 ``doc_ids``               ids of the documents of the block
+``first_id``, ``last_id`` least and greatest of them, null where all are
 ``offsets``               offset index: where the frame of each document begins in ``frames``, and the end
 ``n_tokens``              ids of each document
 ``start``                 ids of the shard before the block
@@ -43,12 +44,12 @@ LEVEL = 3
 TIES = 1024
 
 _BLOCKS = (
-    "shard int, block int, dictionary_sha256 string, doc_ids array<bigint>, offsets array<bigint>, "
+    "shard int, block int, dictionary_sha256 string, first_id bigint, last_id bigint, doc_ids array<bigint>, offsets array<bigint>, "
     "n_tokens array<bigint>, start bigint, frames binary"
 )
 _BLOCK_FIELDS = pa.schema([
     ("shard", pa.int32()), ("block", pa.int32()), ("dictionary_sha256", pa.string()),
-    ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())),
+    ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())),
     ("n_tokens", pa.list_(pa.int64())), ("start", pa.int64()), ("frames", pa.binary()),
 ])
 
@@ -109,22 +110,28 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 def train_dictionary(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> bytes:
     """A dictionary from the documents with the smallest hashes of their ids.
 
-    At most ``SAMPLE_DOCUMENTS`` documents and ``SAMPLE_IDS`` ids of each are used. Empty where the
-    sample is too small to train on; frames then need no dictionary.
+    At most ``SAMPLE_DOCUMENTS`` documents are used, and of each at most ``SAMPLE_IDS`` ids in a row,
+    from a place by their hash. Where they are too few to train on, their ids as they are, the
+    last ``DICTIONARY_BYTES``, are the dictionary; of an empty table it is empty.
     """
 
     def rows(part):
-        use = encoder(path)
-        return [((use.encode(value or "") + np.uint32(end_id).astype("<u4").tobytes())[: 4 * SAMPLE_IDS],) for (value,) in part]
+        use, end, made = encoder(path), np.uint32(end_id).astype("<u4").tobytes(), []
+        for (value,) in part:
+            ids = use.encode(value or "") + end
+            first = crc32(ids) % max(1, len(ids) // 4 - SAMPLE_IDS + 1)
+            made.append((ids[4 * first : 4 * (first + SAMPLE_IDS)],))
+        return made
 
     named = docs.select(typed(docs, doc_id, "bigint").alias("doc_id"), typed(docs, text, "string").alias("text"))
     chosen = sample_by_hash(named, SAMPLE_DOCUMENTS, "doc_id", "text")
     sample = map_rows(chosen.select("text"), rows, [pa.field("ids", pa.binary())], "ids binary")
     samples = sorted(bytes(row.ids) for row in sample.collect())
-    if len(samples) < 64 or sum(map(len, samples)) < 16 * DICTIONARY_BYTES // 8:
-        return b""
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
-    return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    try:
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too few samples, or bytes of them
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def _in_order(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -159,7 +166,9 @@ def write_tokens(
 
         def made():
             offsets = np.concatenate([[0], np.cumsum([len(frame) for frame in frames])]).astype(np.int64)
-            row = [[shard], [block], [name], [ids], [offsets], [sizes], [start], [b"".join(frames)]]
+            known = [key for key in ids if key is not None]
+            ends = [[min(known, default=None)], [max(known, default=None)]]
+            row = [[shard], [block], [name], *ends, [ids], [offsets], [sizes], [start], [b"".join(frames)]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(value, field.type) for value, field in zip(row, _BLOCK_FIELDS)], schema=_BLOCK_FIELDS
             )
@@ -227,7 +236,12 @@ def read_documents(spark: SparkSession, folder: str, only: list[int] | None = No
 
     blocks = read_blocks(spark, folder)
     if only is not None:
-        blocks = blocks.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(x).cast("bigint") for x in only])))
+        # Blocks are in the order of ids: their bounds are in the files' statistics.
+        inside = F.exists(
+            F.array(*[F.lit(x).cast("bigint") for x in only]), lambda x: (x >= F.col("first_id")) & (x <= F.col("last_id"))
+        )
+        least, most = min(only, default=0), max(only, default=-1)
+        blocks = blocks.where((F.col("last_id") >= least) & (F.col("first_id") <= most) & inside)
     columns = ("shard", "dictionary_sha256", "doc_ids", "offsets", "n_tokens", "start", "frames")
     fields = [pa.field("doc_id", pa.int64()), pa.field("ids", pa.list_(pa.int64()))]
     return map_rows(blocks.select(*columns), rows, fields, "doc_id bigint, ids array<bigint>")

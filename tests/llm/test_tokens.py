@@ -123,11 +123,12 @@ def test_counts_job(docs):
 
 @pytest.mark.parametrize("copies", [1, 40])
 def test_files(spark, docs, copies):
-    """With one copy the sample is too small for a dictionary; with 40 it is not."""
     many = docs.crossJoin(spark.range(copies)).drop("id") if copies > 1 else docs
     folder = scratch_path(spark, "token-test")
     token_files.write_tokens(many, BYTES, folder, end_id=2)
-    assert bool(token_files.read_dictionary(spark, folder)) == (copies > 1)
+    dictionary = token_files.read_dictionary(spark, folder)
+    # Trained ones begin with the magic number of the format.
+    assert dictionary[:4] == b"\x37\xa4\x30\xec"
     library = tokenizer(BYTES)
     rows = many.collect()
     ids = {row.text: [*library.encode(row.text or "", add_special_tokens=False).ids, 2] for row in rows}
@@ -142,6 +143,21 @@ def test_files(spark, docs, copies):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in found) == sorted((str(r.doc_id), *crc[r.text]) for r in rows)
     some = token_files.read_documents(spark, folder, only=[5, 20]).collect()
     assert {row.doc_id: row.ids for row in some} == {i: ids[TEXTS[i]] for i in (5, 20)}
+    assert token_files.read_documents(spark, folder, only=[]).count() == 0
+    plan = token_files.read_documents(spark, folder, only=[5, 20])._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(last_id), IsNotNull(first_id)" in plan.split("PushedFilters: ")[1]
+
+
+def test_files_of_few_texts(spark):
+    """Too few to train on: their ids are the dictionary."""
+    texts = ["one text", "one text and more", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder, library = scratch_path(spark, "token-test"), tokenizer(BYTES)
+    token_files.write_tokens(docs, BYTES, folder, end_id=2)
+    dictionary = token_files.read_dictionary(spark, folder)
+    assert dictionary and dictionary[:4] != b"\x37\xa4\x30\xec"
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert {row.doc_id: row.ids for row in token_files.read_documents(spark, folder).collect()} == ids
 
 
 def test_files_of_an_empty_table(spark, docs):
