@@ -17,7 +17,8 @@ def _store(folder: str):
     """The store of a folder and its path there, for any address that Arrow knows."""
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    address = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    return FileSystem.from_uri(address.replace("s3a://", "s3://", 1))
 
 
 @dataclass
