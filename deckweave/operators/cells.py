@@ -234,7 +234,8 @@ class CellIndex:
         rows = self.index.count()
         wanted = math.ceil(rows / ROWS_PER_PIVOT)
         count = max(1, min(self.pivots, wanted, SMALL_INDEX_BYTES // (16 * lengths[-1])))
-        each = max(1, min(count, LENGTH_PIVOTS * self.pivots // len(lengths)))
+        # Vectors kept for all lengths together are bounded in bytes.
+        each = max(1, min(count, LENGTH_PIVOTS * self.pivots // len(lengths), SMALL_INDEX_BYTES // (16 * sum(lengths))))
         cut = without_placeholders(self.index).select("idx", F.slice("embedding", 1, lengths[-1]).alias("embedding"))
         few = cut.where(F.pmod(F.xxhash64("idx"), F.lit(max(1, rows // (4 * count)))) == 0)
         sample = few.orderBy(F.xxhash64("idx"), "idx").limit(2 * count).select("embedding").toArrow()
