@@ -6,7 +6,26 @@ from pyspark.sql import functions as F
 from deckweave.session import cut_lineage
 
 
-def _pointed(edges: DataFrame, both_ways: bool) -> DataFrame:
+#: Links of a node from which its least neighbour is broadcast to them, and how many such nodes there are at most.
+STAR_LINKS = 1024
+STARS = 100_000
+
+
+def _with_least(seen: DataFrame, links: int) -> tuple[DataFrame, DataFrame]:
+    """Links with the least node ``m`` of ``a`` and its neighbours, and the rows ``a, m``.
+
+    The links of a large star stay where they are and get its least node by broadcast, so that none of
+    its rows meet; there are at most ``STARS`` of those. The others are joined.
+    """
+    large = max(STAR_LINKS, links // STARS)
+    least = seen.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    stars = F.broadcast(least.where(F.col("n") > large).select("a", "m"))
+    light = least.where(F.col("n") <= large).select("a", "m")
+    joined = seen.join(stars, "a").unionByName(seen.join(stars, "a", "left_anti").join(light, "a"))
+    return joined, least
+
+
+def _pointed(edges: DataFrame, both_ways: bool, links: int) -> DataFrame:
     """Link the neighbours of each node to the least of them and itself.
 
     ``both_ways``: larger neighbours only, looked at from both ends (large star); else all smaller
@@ -16,8 +35,7 @@ def _pointed(edges: DataFrame, both_ways: bool) -> DataFrame:
         seen = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         seen = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = seen.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = seen.join(least, "a")
+    joined, least = _with_least(seen, links)
     if both_ways:
         made = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,9 +51,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     costs one round.
     """
     edges = cut_lineage(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
-    before = None
+    before, links = None, 2 * edges.count()
     while True:
-        edges = cut_lineage(_pointed(_pointed(edges, True), False), "links")
+        edges = cut_lineage(_pointed(_pointed(edges, True, links), False, links), "links")
         # The links are stars around least nodes once a round changes none of them.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deckweave.llm import boosting, decontaminate, dom, html_text, language, near_dups, quality
+from deckweave.llm import boosting, components, decontaminate, dom, html_text, language, near_dups, quality
 from deckweave.llm.components import connected_components
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, nd_k1 string, bucket string, node string"
@@ -136,7 +136,10 @@ def test_one_of_each_class(spark):
     assert near_dups.one_of_each(same).count() == (1 if brute_classes(texts[10:12], [7, 8]) == [7, 7] else 2)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("star", [components.STAR_LINKS, 3])
+def test_components(spark, monkeypatch, star):
+    """With and without stars whose least nodes are broadcast."""
+    monkeypatch.setattr(components, "STAR_LINKS", star)
     links = [(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (30, 20)]
     links += [(100, 100 + i) for i in range(1, 40)]
     found = {row.node: row.label for row in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
