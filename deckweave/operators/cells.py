@@ -3,7 +3,8 @@
 The join of two sets of vectors on nearest neighbours by Voronoi cells (Lu et al., VLDB 2012), with
 angles as the metric and vectors quantised to a byte per element on the way (as vector files do, Weber
 et al., VLDB 1998). A query visits the cells that may hold something as good as what it knows already,
-by the triangle inequality, with quantised vectors on both sides. That bounds the best score in each
+by the triangle inequality, with quantised vectors on both sides. Neighbouring cells travel together
+as a block, so that the visits of a query do not grow with the index. That bounds the best score in each
 block from both sides; only blocks whose upper bound reaches the best lower bound are scored exactly.
 Nothing is approximate, and no pair of vectors leaves a task.
 """
@@ -34,6 +35,8 @@ from deckweave.operators.index import (
 from deckweave.session import cut_lineage, lasting_tables
 
 BLOCK_BYTES = 64 << 20
+# Blocks grow with the index, up to BLOCK_BYTES each, before there are more than about twice as many of a length.
+BLOCKS = 32
 PIVOTS = 1024
 ROWS_PER_PIVOT = 32
 # Pivots of all lengths together, as a multiple of those of one length.
@@ -72,6 +75,27 @@ def _merged_rings(rings: list[tuple], block_rows: int) -> list[list[tuple]]:
     return cells
 
 
+def _near_each_other(pivots: np.ndarray) -> np.ndarray:
+    """The pivots, scaled to length 1, in an order where neighbours have the same one of the first few nearest."""
+    few = pivots[: math.isqrt(len(pivots))]
+    return pivots[np.argsort((pivots @ few.T).argmax(axis=1), kind="stable")]
+
+
+def _grouped(cells: list[list[tuple]], block_rows: int) -> list[list[list[tuple]]]:
+    """Neighbouring cells together as long as they fit a block; one that is larger stays alone."""
+    groups: list[list[list[tuple]]] = []
+    rows = 0
+    for cell in cells:
+        own = sum(ring[3] for ring in cell)
+        if groups and rows + own <= block_rows:
+            groups[-1].append(cell)
+            rows += own
+        else:
+            groups.append([cell])
+            rows = own
+    return groups
+
+
 class _Cells:
     """Cells around the pivots of one length: for each, the range of angles of its vectors.
 
@@ -79,20 +103,23 @@ class _Cells:
     """
 
     def __init__(self, pivots: np.ndarray, known: np.ndarray, first: int):
-        self.pivots = nearest.unit_rows(pivots)
+        self.pivots = _near_each_other(nearest.unit_rows(pivots))
         self.known = nearest.unit_rows(known)
         # Number of the first pivot among those of all lengths.
         self.first = first
         self.fill([], 1)
 
-    def fill(self, cells: list[list[tuple]], block_rows: int) -> None:
-        self.cell = np.array([c[0][0] for c in cells], dtype=np.int64)
+    def fill(self, groups: list[list[list[tuple]]], block_rows: int) -> None:
+        cells = [cell for group in groups for cell in group]
         self.low = np.array([c[0][1] for c in cells], dtype=np.float64)
         self.high = np.array([c[-1][2] for c in cells], dtype=np.float64)
+        self.owner = np.array([c[0][0] for c in cells], dtype=np.int64) // RINGS - self.first
+        # A group is named by its first ring; its cells follow each other.
+        self.group = np.array([g[0][0][0] for g in groups], dtype=np.int64)
+        self.starts = np.cumsum([0] + [len(g) for g in groups], dtype=np.int64)[:-1]
         self.parts = np.array(
-            [math.ceil(sum(ring[3] for ring in c) / block_rows) for c in cells], dtype=np.int64
+            [math.ceil(sum(ring[3] for cell in g for ring in cell) / block_rows) for g in groups], dtype=np.int64
         )
-        self.owner = self.cell // RINGS - self.first
         self.step = max(1, _BOUND_ELEMENTS // max(1, len(cells), len(self.known)))
 
     def rings(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +135,12 @@ class _Cells:
             gaps = np.maximum(np.maximum(angles - self.high, self.low - angles), 0.0)
             bound = np.cos(np.maximum(gaps - _ANGLE_SLACK, 0.0))
             reached = np.maximum((units @ self.known.T).max(axis=1, initial=-1.0), threshold) - _SCORE_SLACK
-            for row in bound >= reached[:, None]:
+            inside = bound >= reached[:, None]
+            for row in np.logical_or.reduceat(inside, self.starts, axis=1) if len(self.starts) else inside:
                 chosen = np.flatnonzero(row)
                 parts = self.parts[chosen]
                 ends = np.cumsum(parts)
-                yield np.repeat(self.cell[chosen] * SUB_BLOCKS, parts) + (
+                yield np.repeat(self.group[chosen] * SUB_BLOCKS, parts) + (
                     np.arange(int(parts.sum())) - np.repeat(ends - parts, parts)
                 )
 
@@ -137,12 +165,15 @@ class _Blocks:
     cells: dict[int, _Cells]
     pivots: int
     blocks: int
+    block_bytes: int
 
 
 class CellIndex:
     """Index vectors in cells, made for the lengths of the queries that come.
 
-    The cells live as long as this object, so a stream makes them once and not per batch.
+    The cells live as long as this object, so a stream makes them once and not per batch. Cells hold
+    about ``block_bytes`` at most, and so do blocks of a small index; those of a larger one grow with
+    it, up to ``BLOCK_BYTES``.
     """
 
     def __init__(self, index: DataFrame, pivots: int = PIVOTS, block_bytes: int = BLOCK_BYTES):
@@ -175,7 +206,7 @@ class CellIndex:
         none = written.select("row", "who", F.lit(None).cast(hit_type(self.index)).alias("hit"))
         if not self._made:  # no query has a vector
             return _top(none)
-        found = _search(written, self._all(), threshold, self.block_bytes)
+        found = _search(written, self._all(), threshold)
         return _top(none.unionByName(found, allowMissingColumns=True))
 
     def _all(self) -> _Blocks:
@@ -185,6 +216,7 @@ class CellIndex:
             {length: cells for made in self._made for length, cells in made.cells.items()},
             sum(made.pivots for made in self._made),
             sum(made.blocks for made in self._made),
+            max(made.block_bytes for made in self._made),
         )
 
     def _cut(self, lengths: list[int]) -> _Blocks:
@@ -204,25 +236,33 @@ class CellIndex:
             F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("rows")
         )
         rings = sorted(tuple(row) for row in summary.collect())
+        of_length = {
+            length: [r for r in rings if own.first <= r[0] // RINGS < own.first + len(own.pivots)] for length, own in cells.items()
+        }
+        most = max(8 * length * sum(ring[3] for ring in own) for length, own in of_length.items())
+        block_bytes = max(self.block_bytes, min(BLOCK_BYTES, most // BLOCKS))
         merged = []
         for length, own in cells.items():
-            last = own.first + len(own.pivots)
-            block_rows = max(1, self.block_bytes // (8 * length))
-            held = _merged_rings([r for r in rings if own.first <= r[0] // RINGS < last], block_rows)
-            own.fill(held, block_rows)
-            merged += [(ring[0], int(cell), int(parts)) for ours, cell, parts in zip(held, own.cell, own.parts) for ring in ours]
+            cell_rows, block_rows = (max(1, size // (8 * length)) for size in (self.block_bytes, block_bytes))
+            groups = _grouped(_merged_rings(of_length[length], cell_rows), block_rows)
+            own.fill(groups, block_rows)
+            merged += [
+                (ring[0], int(name), int(parts))
+                for group, name, parts in zip(groups, own.group, own.parts) for cell in group for ring in cell
+            ]
         spark = cut.sparkSession
         columns = list(zip(*merged)) or [(), (), ()]
-        cell_of_ring = spark.createDataFrame(
-            pa.table({name: pa.array(values, pa.int64()) for name, values in zip(("ring", "cell", "parts"), columns)})
+        group_of_ring = spark.createDataFrame(
+            pa.table({name: pa.array(values, pa.int64()) for name, values in zip(("ring", "group", "parts"), columns)})
         )
         part = F.pmod(F.xxhash64("idx"), "parts")
-        rows = placed.join(F.broadcast(cell_of_ring), "ring").select(
-            (F.col("cell") * SUB_BLOCKS + part).alias("block"), "idx", "card_id", "embedding", "quantised"
+        rows = placed.join(F.broadcast(group_of_ring), "ring").select(
+            (F.col("group") * SUB_BLOCKS + part).alias("block"), "idx", "card_id", "embedding", "quantised"
         )
         return _Blocks(
-            rows, cells, sum(len(own.pivots) for own in cells.values()), sum(int(own.parts.sum()) for own in cells.values())
-        )
+            rows, cells, sum(len(own.pivots) for own in cells.values()),
+            sum(int(own.parts.sum()) for own in cells.values()), block_bytes,
+        )
 
     def _cells(self, lengths: list[int], first: int) -> dict[int, _Cells]:
         """Pivots of each length: distinct index vectors in hash order, bounded in number and bytes.
@@ -290,7 +330,7 @@ def _placed(index: DataFrame, cells: dict[int, _Cells]) -> DataFrame:
     return cut_lineage(distinct.select("idx", "card_id", "embedding", "at.*"), "cells")
 
 
-def _search(written: DataFrame, blocks: _Blocks, threshold: float, block_bytes: int) -> DataFrame:
+def _search(written: DataFrame, blocks: _Blocks, threshold: float) -> DataFrame:
     """Best hits ``(row, hit)`` of usable queries in the blocks that may hold them."""
     spark = written.sparkSession
     shared_cells = spark.sparkContext.broadcast(blocks.cells)
@@ -313,7 +353,7 @@ def _search(written: DataFrame, blocks: _Blocks, threshold: float, block_bytes:
     asked = written.where((F.size("embedding") > 0) & usable("embedding"))
     routed = cut_lineage(asked.select("row", F.size("embedding").alias("length"), route("embedding").alias("to")), "routes")
     visits = routed.select("row", "length", "to.quantised", F.explode("to.blocks").alias("block"))
-    bounds = _bounds(visits, blocks, block_bytes)
+    bounds = _bounds(visits, blocks)
     # As many entries for a query as its list of blocks had.
     best = bounds.groupBy("row").agg(
         F.max("length").alias("length"), F.max("low").alias("low"),
@@ -327,16 +367,16 @@ def _search(written: DataFrame, blocks: _Blocks, threshold: float, block_bytes:
     )
     exact = written.join(chosen, "row").select("row", "embedding", F.explode("blocks").alias("block"))
     counted = chosen.select("length", F.explode("blocks").alias("block"))
-    return _score(exact, counted, blocks, threshold, block_bytes)
+    return _score(exact, counted, blocks, threshold)
 
 
-def _crowded(visits: DataFrame, blocks: _Blocks, block_bytes: int) -> DataFrame:
+def _crowded(visits: DataFrame, blocks: _Blocks) -> DataFrame:
     """Into how many groups the visits of a block go, so that no group grows with the data.
 
     One row per block, from partial counts; broadcast where blocks are few enough.
     """
     queries = F.count(F.lit(1)) * F.max("length") * 8
-    crowded = visits.groupBy("block").agg(F.ceil(queries / block_bytes).alias("shares"))
+    crowded = visits.groupBy("block").agg(F.ceil(queries / blocks.block_bytes).alias("shares"))
     return F.broadcast(crowded) if blocks.blocks <= BROADCAST_BLOCKS else crowded
 
 
@@ -350,7 +390,7 @@ def _dealt(visits: DataFrame, blocks: _Blocks, crowded: DataFrame, asked: list[s
     return left.groupBy("block", "share").cogroup(right.groupBy("block", "share"))
 
 
-def _bounds(visits: DataFrame, blocks: _Blocks, block_bytes: int) -> DataFrame:
+def _bounds(visits: DataFrame, blocks: _Blocks) -> DataFrame:
     """``row, length, block, low, high`` for every visit: bounds on the best score in the block.
 
     Vectors cross the shuffle as a byte per element.
@@ -369,12 +409,12 @@ def _bounds(visits: DataFrame, blocks: _Blocks, block_bytes: int) -> DataFrame:
 
     fields = [("row", pa.int64()), ("length", pa.int32()), ("block", pa.int64()), ("low", pa.float64()), ("high", pa.float64())]
     none = pa.schema(fields).empty_table()
-    crowded = _crowded(visits, blocks, block_bytes)
+    crowded = _crowded(visits, blocks)
     groups = _dealt(visits, blocks, crowded, ["quantised"], ["quantised"])
     return groups.applyInArrow(bounded, "row bigint, length int, block bigint, low double, high double")
 
 
-def _score(exact: DataFrame, counted: DataFrame, blocks: _Blocks, threshold: float, block_bytes: int) -> DataFrame:
+def _score(exact: DataFrame, counted: DataFrame, blocks: _Blocks, threshold: float) -> DataFrame:
     """``row, hit`` for every visit in ``exact``: the best row of the block, by exact scores."""
 
     def best(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -383,7 +423,7 @@ def _score(exact: DataFrame, counted: DataFrame, blocks: _Blocks, threshold: flo
         return pa.table({"row": asked["row"], "hit": found})
 
     hit = T.StructType([blocks.rows.schema["idx"], blocks.rows.schema["card_id"], T.StructField("score", T.DoubleType())])
-    groups = _dealt(exact, blocks, _crowded(counted, blocks, block_bytes), ["embedding"], ["idx", "card_id", "embedding"])
+    groups = _dealt(exact, blocks, _crowded(counted, blocks), ["embedding"], ["idx", "card_id", "embedding"])
     return groups.applyInArrow(best, T.StructType([exact.schema["row"], T.StructField("hit", hit)]))
 
 

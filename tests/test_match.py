@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from deckweave.functions import vectors
 from deckweave.operators import match as matching
 from deckweave.operators import nearest
-from deckweave.operators.cells import CellIndex
+from deckweave.operators.cells import BLOCKS, CellIndex
 
 _vector4 = st.lists(st.floats(-100, 100, width=32), min_size=4, max_size=4)
 
@@ -182,6 +182,30 @@ def test_later_queries_bring_lengths(spark):
     assert len(cells._made) == 3
 
 
+def _scattered(spark, count, lengths=(8,), seed=4):
+    """Vectors without any structure, as queries of ids that repeat and as an index."""
+    random = np.random.default_rng(seed)
+    rows = [(i, f"c{i}", random.normal(size=lengths[i % len(lengths)]).astype(np.float32).tolist()) for i in range(count)]
+    index = spark.createDataFrame(rows, INDEX)
+    queries = index.select((F.col("idx") % 10).alias("query_id"), F.reverse("embedding").alias("embedding"), "idx")
+    return queries, index
+
+
+def _all_rows(df):
+    return sorted(df.select("row", "query_id", "card_id", "score", "matched").collect())
+
+
+def test_blocks_grow_with_the_index(spark):
+    """Four times the vectors are not four times the blocks that a query visits."""
+    for count in (1000, 4000):
+        queries, index = _scattered(spark, count)
+        cells = CellIndex(index, pivots=16, block_bytes=4 * 8 * 8)
+        found = cells.match(queries.withColumnRenamed("idx", "row"), 0.15, ("row",))
+        expected = matching.match_small_index(queries.withColumnRenamed("idx", "row"), index, 0.15, ("row",))
+        assert _all_rows(found) == _all_rows(expected)
+        assert BLOCKS <= cells._made[0].blocks <= 2 * BLOCKS + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(_vector4, min_size=1, max_size=9), st.lists(_vector4, min_size=1, max_size=9))
 def test_quantised_bounds_hold(queries, index):
