@@ -8,9 +8,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from deckweave.functions import vectors
+from deckweave.operators import cells as cells_module
 from deckweave.operators import match as matching
 from deckweave.operators import nearest
 from deckweave.operators.cells import BLOCKS, CellIndex
+from deckweave.session import cut_lineage
 
 _vector4 = st.lists(st.floats(-100, 100, width=32), min_size=4, max_size=4)
 
@@ -206,6 +208,26 @@ def test_blocks_grow_with_the_index(spark):
         assert BLOCKS <= cells._made[0].blocks <= 2 * BLOCKS + 1
 
 
+def test_visits_of_repeated_ids_stay_few(spark, monkeypatch):
+    """Every id on many rows: no row of queries is sent to more than the bounded number of blocks."""
+    written = {}
+
+    def kept(df, name):
+        written[name] = cut_lineage(df, name)
+        return written[name]
+
+    monkeypatch.setattr(cells_module, "cut_lineage", kept)
+    queries, index = _scattered(spark, 3000)
+    zeros = F.transform("embedding", lambda x: F.lit(0).cast("float"))
+    index = index.withColumn("embedding", F.when(F.col("idx") % 7 == 0, zeros).otherwise(F.col("embedding")))
+    found = matching.match_large_index(queries.drop("idx"), index, pivots=16, block_bytes=4 * 8 * 8)
+    small = matching.match_small_index(queries.drop("idx"), index)
+    plain = lambda df: sorted(tuple((v is not None, v) for v in row) for row in df.collect())
+    assert plain(found) == plain(small)
+    most = written["routes"].agg(F.max(F.size("to.blocks"))).first()[0]
+    assert 1 <= most <= 2 * BLOCKS + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(_vector4, min_size=1, max_size=9), st.lists(_vector4, min_size=1, max_size=9))
 def test_quantised_bounds_hold(queries, index):
