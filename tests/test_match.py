@@ -228,6 +228,17 @@ def test_visits_of_repeated_ids_stay_few(spark, monkeypatch):
     assert 1 <= most <= 2 * BLOCKS + 1
 
 
+def test_blocks_of_every_length_grow_with_the_index(spark):
+    """Queries of two lengths over vectors of both: blocks are few for each length."""
+    queries, index = _scattered(spark, 3000, lengths=(8, 4, 8))
+    cells = CellIndex(index, pivots=16, block_bytes=4 * 8 * 8)
+    found = cells.match(queries.withColumnRenamed("idx", "row"), 0.15, ("row",))
+    expected = matching.match_small_index(queries.withColumnRenamed("idx", "row"), index, 0.15, ("row",))
+    assert _all_rows(found) == _all_rows(expected)
+    made = cells._made[0]
+    assert sorted(made.cells) == [4, 8] and all(own.parts.sum() <= 2 * BLOCKS + 1 for own in made.cells.values())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(_vector4, min_size=1, max_size=9), st.lists(_vector4, min_size=1, max_size=9))
 def test_quantised_bounds_hold(queries, index):
