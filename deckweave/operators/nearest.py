@@ -107,12 +107,13 @@ def exact_scores(queries: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def first_best(
-    queries: np.ndarray, index: np.ndarray, threshold: float
+    queries: np.ndarray, index: np.ndarray, threshold: float, only: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each query the first index row with the greatest cosine above the threshold.
 
-    Gives ``(rows, scores)`` with row -1 where no score is above it. Both matrices are finite
-    and the threshold is not negative, so that a zero query has no match.
+    Gives ``(rows, scores)`` with row -1 where no score is above it. ``only`` names the index rows
+    that count, ascending; what counts is finite, and so are the queries. The threshold is not
+    negative, so that a zero query has no match.
 
     A matrix product in single precision finds the rows that its rounding leaves in question.
     Only those are scored exactly, in double, and compared; ties go to the first row. Memory is
@@ -125,8 +126,9 @@ def first_best(
     rough_units = units.astype(np.float32)
     # Bound on the rounding of a product of two unit vectors in single precision.
     error = (queries.shape[1] + 8) * float(np.finfo(np.float32).eps)
-    for first in range(0, len(index), INDEX_STEP):
-        block = index[first : first + INDEX_STEP].astype(np.float64)
+    for first in range(0, len(index if only is None else only), INDEX_STEP):
+        step = slice(first, first + INDEX_STEP)
+        block = index[step if only is None else only[step]].astype(np.float64)
         block_units = unit_rows(block)
         rough_block = np.ascontiguousarray(block_units.T, dtype=np.float32)
         for low in range(0, len(queries), QUERY_STEP):
@@ -141,6 +143,8 @@ def first_best(
             if len(near) > CROWD * len(at):
                 near, hit = _narrowed(units[low + at], block_units, floor)
             _keep_best(wide, block, low + at[near], hit, first, rows, scores)
+    if only is not None and len(only):
+        rows = np.where(rows < 0, -1, only[rows])
     return rows, scores
 
 
@@ -165,8 +169,36 @@ def _keep_best(wide, block, near, hit, first, rows, scores):
         scores[at[better]] = exact[better]
 
 
+def _usable_rows(matrix: np.ndarray, copies: bool) -> np.ndarray | None:
+    """Rows with finite elements only, and of equal ones the first if there are ``copies``; None for all.
+
+    Rows are told apart by a hash and then by their bytes, a bounded number at a time. Rows of equal
+    hash that differ all stay.
+    """
+    keep = np.ones(len(matrix), bool)
+    whole = np.dtype(f"u{matrix.itemsize}")
+    factors = np.random.default_rng(len(matrix)).integers(0, 1 << 64, matrix.shape[1], np.uint64) | np.uint64(1)
+    hashes = np.zeros(len(matrix), np.uint64)
+    for first in range(0, len(matrix), INDEX_STEP):
+        step = slice(first, first + INDEX_STEP)
+        keep[step] = np.isfinite(matrix[step]).all(axis=1)
+        if copies:
+            hashes[step] = (matrix[step].view(whole).astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
+    if copies and len(matrix) and matrix.shape[1]:
+        _, at, group = np.unique(hashes, return_index=True, return_inverse=True)
+        later = np.flatnonzero(at[group] != np.arange(len(matrix)))
+        for first in range(0, len(later), INDEX_STEP):
+            own = later[first : first + INDEX_STEP]
+            same = matrix[own].view(whole) == matrix[at[group[own]]].view(whole)
+            keep[own[same.all(axis=1)]] = False
+    return None if keep.all() else np.flatnonzero(keep)
+
+
 class IndexRows:
-    """Vectors of an index in tie-break order, with their positions and card ids."""
+    """Vectors of an index in tie-break order, with their positions and card ids.
+
+    A worker holds the vectors once, and for each length of query up to one number a row.
+    """
 
     def __init__(self, table: pa.Table, copies: bool = True):
         self.copies = copies
@@ -174,47 +206,43 @@ class IndexRows:
         self.idx = one_chunk(table["idx"])
         self.card_id = one_chunk(table["card_id"])
         self._by_length = matrices(one_chunk(table["embedding"]))
-        self._prepared: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._usable: dict[tuple[int, int], np.ndarray | None] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_usable": {}}
 
-    def prepared(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and matrix of the vectors a query of this length can match.
+    def _best(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """``first_best`` over the vectors that queries of this length can match.
 
         Longer vectors are cut to the query's length and shorter ones left out. Vectors with
-        an element that is not finite never win. Of equal vectors the first stands for all;
-        tables without ``copies`` are not searched for them.
+        an element that is not finite never win. Of equal vectors of one length the first stands
+        for all; tables without ``copies`` are not searched for them.
         """
-        if length not in self._prepared:
-            parts = [(r, m[:, :length]) for n, (r, m) in self._by_length.items() if n >= length]
-            if parts:
-                rows = np.concatenate([r for r, _ in parts])
-                matrix = np.concatenate([m for _, m in parts])
-                order = np.argsort(rows)
-                rows, matrix = rows[order], matrix[order]
-                finite = np.isfinite(matrix).all(axis=1)
-                rows, matrix = rows[finite], np.ascontiguousarray(matrix[finite])
-            else:
-                rows, matrix = np.zeros(0, np.int64), np.zeros((0, length), np.float32)
-            if self.copies and len(rows) and length:
-                whole = matrix.view(np.dtype((np.void, matrix.itemsize * length))).ravel()
-                firsts = np.sort(np.unique(whole, return_index=True)[1])
-                rows, matrix = rows[firsts], matrix[firsts]
-            self._prepared[length] = (rows, matrix)
-        return self._prepared[length]
-
-    def __getstate__(self):
-        return {**self.__dict__, "_prepared": {}}
+        length = queries.shape[1]
+        rows, scores = np.full(len(queries), -1, dtype=np.int64), np.full(len(queries), float(threshold))
+        for size, (own, matrix) in self._by_length.items():
+            if size < length:
+                continue
+            matrix = matrix[:, :length]
+            if (size, length) not in self._usable:
+                self._usable[size, length] = _usable_rows(matrix, self.copies)
+            best, score = first_best(queries, matrix, threshold, self._usable[size, length])
+            place = np.where(best < 0, -1, own[best])
+            # Ties between lengths go to the first row, too.
+            better = (best >= 0) & ((score > scores) | (score == scores) & (place < rows))
+            rows[better], scores[better] = place[better], score[better]
+        return rows, scores
 
     def search(self, vectors: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """``(rows, scores)`` for an Arrow list array of query vectors; row -1 for no match."""
         rows = np.full(len(vectors), -1, dtype=np.int64)
         scores = np.full(len(vectors), np.nan)
-        for length, (at, queries) in matrices(vectors).items():
+        for _, (at, queries) in matrices(vectors).items():
             finite = np.isfinite(queries).all(axis=1)
-            own, matrix = self.prepared(length)
-            best, score = first_best(queries[finite], matrix, threshold)
+            best, score = self._best(queries[finite], threshold)
             found = best >= 0
             target = at[finite][found]
-            rows[target] = own[best[found]]
+            rows[target] = best[found]
             scores[target] = score[found]
         return rows, scores
 

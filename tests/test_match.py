@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -370,3 +371,32 @@ def test_cosine_is_symmetric_and_bounded(a, b):
     one, two = np.array([a]), np.array([b])
     left, right = nearest.exact_scores(one, two)[0], nearest.exact_scores(two, one)[0]
     assert left == right and abs(left) <= 1 + 1e-12
+
+
+def test_index_rows_hold_the_vectors_once():
+    """Searching takes little memory beside the index, whose vectors are in order and without nulls."""
+    random = np.random.default_rng(5)
+    matrix = random.normal(size=(40000, 64)).astype(np.float32)
+    matrix[100:200] = matrix[7]
+    matrix[300] = NAN
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(matrix.ravel()), 64).cast(pa.list_(pa.float32()))
+    ids = pa.array(range(len(matrix)))
+    index = nearest.IndexRows(pa.table({"idx": ids, "card_id": ids, "embedding": vectors}))
+    asked = pa.array([matrix[i, :n].tolist() for i in (150, 7, 1234) for n in (64, 32)])
+    tracemalloc.start()
+    rows, scores = index.search(asked, 0.15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.tolist() == [7, 7, 7, 7, 1234, 1234] and (scores > 0.999).all()
+    assert peak < matrix.nbytes
+
+
+def test_ties_between_lengths_go_to_the_first_row():
+    vectors = [[0.0, 1.0, 5.0], [1.0, 0.0], [1.0, 0.0, 7.0], [0.0, 1.0], [1.0, 0.0, NAN]]
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 3, 0, 4, 1]):
+        held = [vectors[i] for i in order]
+        ids = pa.array(range(len(held)))
+        index = nearest.IndexRows(pa.table({"idx": ids, "card_id": ids, "embedding": pa.array(held)}))
+        rows, _ = index.search(pa.array([[2.0, 0.0], [0.0, 3.0], [1.0, 0.0, 7.0], [-1.0, -1.0]]), 0.15)
+        alike = [min(k for k, v in enumerate(held) if v[:2] == two) for two in ([1.0, 0.0], [0.0, 1.0])]
+        assert rows.tolist() == [*alike, order.index(2), -1]
