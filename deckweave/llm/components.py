@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from deckweave.session import cut_lineage
 
 
+def _each(rows: DataFrame, *links: tuple[str, str]) -> DataFrame:
+    """Links ``a, b`` of every row; one pass over the rows, where a union would read them once a link."""
+    return rows.select(F.inline(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in links])))
+
+
 def _pointed(edges: DataFrame, both_ways: bool) -> DataFrame:
     """Link the neighbours of each node to the least of them and itself.
 
@@ -13,7 +18,7 @@ def _pointed(edges: DataFrame, both_ways: bool) -> DataFrame:
     ones, looked at from the larger end (small star).
     """
     if both_ways:
-        seen = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        seen = _each(edges, ("a", "b"), ("b", "a"))
     else:
         seen = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = seen.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -21,10 +26,25 @@ def _pointed(edges: DataFrame, both_ways: bool) -> DataFrame:
     if both_ways:
         made = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        made = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+        made = _each(joined, ("b", "m"), ("a", "m"))
     return made.where(F.col("a") != F.col("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one link, to a node without one.
+
+    Links of a round lead to smaller nodes, so that stars are around least nodes and a further round
+    changes none of them.
+    """
+    none = F.lit(None).cast(edges.schema["b"].dataType)
+    ends = edges.select(F.inline(F.array(*[
+        F.struct(F.col(node).alias("node"), to.alias("to")) for node, to in (("a", F.col("b")), ("b", none))
+    ])))
+    seen = ends.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max(F.col("to").isNull()).alias("reached"))
+    further = (F.col("low") < F.col("high")) | (F.col("low").isNotNull() & F.col("reached"))
+    return seen.where(further).agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows ``node, label`` for all ends of the links ``a, b``; the label is the least node reached.
 
@@ -33,14 +53,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     costs one round.
     """
     edges = cut_lineage(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
-    before = None
     while True:
         edges = cut_lineage(_pointed(_pointed(edges, True), False), "links")
-        # The links are stars around least nodes once a round changes none of them.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _are_stars(edges):
             break
-        before = now
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(
         roots.select("node", F.col("node").alias("label"))

@@ -162,8 +162,8 @@ def chi_squared_quantile(p: float, dof: int) -> float:
     return high
 
 
-def _with_factor(estimates: DataFrame) -> DataFrame:
-    """Means ``m0…`` and covariances ``c00…`` to means and the lower Cholesky factor ``l00…``."""
+def _with_factor(estimates: DataFrame, *keep: str) -> DataFrame:
+    """Means ``m0…`` and covariances ``c00…`` to means and the lower Cholesky factor ``l00…``; ``keep`` stays."""
     for i in range(_D):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
@@ -173,7 +173,7 @@ def _with_factor(estimates: DataFrame) -> DataFrame:
             estimates = estimates.withColumn(f"l{i}{j}", value)
     names = [f"m{i}" for i in range(_D)] + [f"{kind}{i}{j}" for kind in "cl" for i in range(_D) for j in range(i + 1)]
     logdet = sum((2 * F.log(f"l{i}{i}") for i in range(_D)), F.lit(0.0))
-    return estimates.select("group", *names, logdet.alias("logdet"))
+    return estimates.select("group", *names, logdet.alias("logdet"), *keep)
 
 
 def _distance(x: list[Column]) -> Column:
@@ -196,10 +196,13 @@ def estimates(scored: DataFrame, stats: str, groups: DataFrame) -> DataFrame:
     values, whole buckets.
     """
     x = [F.col(f"x{i}") for i in range(_D)]
-    rows = (
+    # Written once with their groups: a step then joins the estimates alone.
+    rows = cut_lineage(
         scored.where(~base_failed(stats))
         .select("lang_key", "source_key", *[v.alias(f"x{i}") for i, v in enumerate(_vector(stats))])
         .join(groups, ["lang_key", "source_key"])
+        .select("group", "lang_group", "all_group", *x),
+        "vectors",
     )
     own_rows = rows.select("group", *x)
     rows = rows.select(F.explode(F.array("group", "lang_group", "all_group")).alias("group"), *x)
@@ -211,14 +214,14 @@ def estimates(scored: DataFrame, stats: str, groups: DataFrame) -> DataFrame:
         "medians",
     )
     off = F.floor(F.abs(F.col("x") - F.col("m")) * _FINE)
+    # The median goes along in the keys, so that it needs no join with what is found by it.
     spreads = _quantiles(
-        tall.join(medians, ["group", "i"]).groupBy("group", "i", off.alias("bucket")).agg(F.count("*").alias("n")),
-        ["group", "i"], 0.5,
-    ).select("group", "i", (1.4826 * (F.col("bucket") + 0.5) / _FINE).alias("s"))
+        tall.join(medians, ["group", "i"]).groupBy("group", "i", "m", off.alias("bucket")).agg(F.count("*").alias("n")),
+        ["group", "i", "m"], 0.5,
+    ).select("group", "i", "m", (1.4826 * (F.col("bucket") + 0.5) / _FINE).alias("s"))
     floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1)
     wide = (
-        medians.join(spreads, ["group", "i"])
-        .groupBy("group")
+        spreads.groupBy("group")
         .agg(
             *[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(_D)],
             *[F.max(F.when(F.col("i") == i, F.pow("s", F.lit(2)) + floor * floor)).alias(f"c{i}{i}") for i in range(_D)],
@@ -227,15 +230,9 @@ def estimates(scored: DataFrame, stats: str, groups: DataFrame) -> DataFrame:
     beside = {f"c{i}{j}": F.lit(_floor(i, j)) for i in range(_D) for j in range(i)}
     current = cut_lineage(_with_factor(wide.withColumns(beside)), "estimates")
     for _ in range(STEPS):
-        following = cut_lineage(_with_factor(_concentrated(rows, current)), "estimates")
-        moved = (
-            following.select("group", F.col("logdet").alias("now"))
-            .join(current, "group")
-            .agg(F.max(F.abs(F.col("now") - F.col("logdet"))).alias("moved"))
-            .first()
-            .moved
-        )
-        current = following
+        following = cut_lineage(_with_factor(_concentrated(rows, current), "before"), "estimates")
+        moved = following.coalesce(1).agg(F.max(F.abs(F.col("logdet") - F.col("before"))).alias("moved")).first().moved
+        current = following.drop("before")
         if moved is None or moved < SETTLED:
             break
     shrunk = cut_lineage(_with_factor(_shrunk(current, groups)), "estimates")
@@ -269,11 +266,15 @@ def _by_distance(rows: DataFrame, current: DataFrame):
 
 
 def _concentrated(rows: DataFrame, current: DataFrame) -> DataFrame:
-    """Mean and covariance of the nearest share of each group, up to the bucket that reaches it."""
+    """Mean and covariance of the nearest share of each group, up to the bucket that reaches it.
+
+    ``before`` is the determinant of the estimate that the distances come from.
+    """
     x = [F.col(f"x{i}") for i in range(_D)]
     pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
     summed = _by_distance(rows, current).agg(
         F.count("*").alias("n"),
+        F.max("logdet").alias("before"),
         *[F.sum(x[i]).alias(f"s{i}") for i in range(_D)],
         *[F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in pairs],
     )
@@ -285,12 +286,14 @@ def _concentrated(rows: DataFrame, current: DataFrame) -> DataFrame:
         .groupBy("group")
         .agg(
             F.sum("n").alias("n"),
+            F.max("before").alias("before"),
             *[F.sum(f"s{i}").alias(f"s{i}") for i in range(_D)],
             *[F.sum(f"p{i}{j}").alias(f"p{i}{j}") for i, j in pairs],
         )
     )
     return near.select(
         "group",
+        "before",
         *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_D)],
         *[
             (

@@ -212,6 +212,21 @@ def test_the_estimate_is_near_the_least_determinant(spark):
     assert found.logdet <= best + 0.1
 
 
+def test_a_concentration_step_joins_the_estimates_alone(spark, monkeypatch):
+    """A step reads the written vectors and the last estimates, and its change needs no join."""
+    joins, cut = [], quality.cut_lineage
+
+    def kept(df, name):
+        joins.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join ")))
+        return cut(df, name)
+
+    monkeypatch.setattr(quality, "cut_lineage", kept)
+    found = quality.verdicts(frame(spark, plain_texts(40) + ["## " * 30, None], ("en", "de"))).collect()
+    assert len(found) == 42 and [name for name, _ in joins].count("vectors") == 1
+    first, *steps, shrunk, last = [n for name, n in joins if name == "estimates"]
+    assert first == 1 and steps and set(steps) == {1}
+
+
 def test_few_texts_are_judged_as_well(spark):
     docs = frame(spark, plain_texts(20) + ["### " * 40])
     assert [row.kept for row in quality.verdicts(docs).orderBy("doc_id").collect()] == [True] * 20 + [False]

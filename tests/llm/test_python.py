@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deckweave.llm import boosting, decontaminate, dom, html_text, language, near_dups, quality
+from deckweave.llm import boosting, components, decontaminate, dom, html_text, language, near_dups, quality
 from deckweave.llm.components import connected_components
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, nd_k1 string, bucket string, node string"
@@ -145,6 +145,34 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_take_no_round_more_than_they_change(spark, monkeypatch):
+    """Links that one round makes stars are written twice, and scanned twice a round."""
+    written = []
+
+    def kept(df, name):
+        written.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        return cut(df, name)
+
+    cut = components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", kept)
+    links = [(1, i) for i in range(2, 9)] + [(11, 10), (None, 4), (5, None), (6, 6)]
+    found = {row.node: row.label for row in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert found == {i: 1 for i in range(1, 9)} | {10: 10, 11: 10}
+    assert len(written) == 2 and written[1] <= 4
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(5)
+    links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)]
+    label = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in label:
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    rows = connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert len(rows) == len(label) and {row.node: row.label for row in rows} == label
+
+
 def plain_viterbi(scores, switch):
     """The best path by trying all, for short texts."""
     from itertools import product
