@@ -11,10 +11,12 @@ those that may reach the threshold are computed exactly, and the group answers w
 connect its similar texts, never with its pairs.
 """
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,12 @@ THRESHOLD = 0.8
 #: A pair at the threshold is missed by all bands with a probability of (1 - 0.8**6)**32, 6 in 100,000.
 BANDS = 32
 BAND_ROWS = 6
-#: Rows of a sketching step.
+#: Rows and characters of a sketching step, so that a worker's memory does not grow with the texts' lengths;
+#: a longer text is a step of its own.
 SKETCH_ROWS = 1024
+SKETCH_CHARS = 1 << 20
+#: Words of each of the two generations of a worker's store; results do not depend on it.
+STORE_WORDS = 100_000
 #: Texts and characters of a block of a cluster; a group is two blocks at most.
 BLOCK_TEXTS = 1024
 BLOCK_CHARS = 8 << 20
@@ -52,7 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _words() -> Store:
-    return Store(lambda word: xxhash.xxh64_intdigest(word.encode()))
+    return Store(lambda word: xxhash.xxh64_intdigest(word.encode()), STORE_WORDS)
 
 
 def shingles(words: str, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +154,24 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     })
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of texts in its second column, cut where a step has its number of rows or of characters."""
+    first, chars = 0, 0
+    for at, size in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
+        if at > first and (at - first >= SKETCH_ROWS or chars + size > SKETCH_CHARS):
+            yield batch.slice(first, at - first)
+            first, chars = at, 0
+        chars += size
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def _sketched(nodes: DataFrame) -> DataFrame:
     """Rows ``bucket, node``, one for each band of each text with words."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SKETCH_ROWS):
-                part = batch.slice(at, SKETCH_ROWS)
+            for part in steps(batch):
                 made = bands(sketches([shingles(words) for words in part.column(1).to_pylist()]))
                 node = np.repeat(np.array(part.column(0).to_pylist(), np.int64), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(made.reshape(-1)), pa.array(node)], names=["bucket", "node"])

@@ -31,16 +31,16 @@ class Store(dict):
     move over, so frequent ones stay.
     """
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, entries: int = STORE_ENTRIES):
         super().__init__()
-        self._make, self._older = make, {}
+        self._make, self._older, self._entries = make, {}, entries
 
     def __missing__(self, key):
         value = self._older.get(key)
         if value is None:
             value = self._make(key)
         if len(key) <= 64:
-            if len(self) >= STORE_ENTRIES:
+            if len(self) >= self._entries:
                 self._older = dict(self)
                 self.clear()
             self[key] = value

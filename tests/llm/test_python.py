@@ -145,6 +145,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_sketching_steps_are_bounded_in_characters(monkeypatch):
+    """Every text is in one step, in order; long texts do not add up in one."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dups, "SKETCH_CHARS", 100)
+    monkeypatch.setattr(near_dups, "SKETCH_ROWS", 4)
+    texts = ["x" * n for n in (60, 60, 10, 30, 250, 1, 1, 1, 1, 1, 99, 1)] + ["ü" * 99]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["node", "words"])
+    parts = [part.column(1).to_pylist() for part in near_dups.steps(batch)]
+    assert sum(parts, []) == texts
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(map(len, p)) <= 100) for p in parts)
+    assert list(near_dups.steps(batch.slice(0, 0))) == []
+    assert near_dups._words()._entries == near_dups.STORE_WORDS
+
+
 def test_components_take_no_round_more_than_they_change(spark, monkeypatch):
     """Links that one round makes stars are written twice, and scanned twice a round."""
     written = []
