@@ -12,6 +12,8 @@ from deckweave.llm.arrow import map_rows, typed
 from deckweave.llm.pieces import LOOK_AHEAD, Store, split
 from deckweave.llm.vocabularies import rank_encoding
 
+#: Pieces of each of the two generations of a worker's store; results do not depend on it.
+STORE_PIECES = 100_000
 #: Characters of a leaf, which is split and encoded in one go.
 LEAF_CHARS = 8192
 #: Ids of a leaf of the decoding tree.
@@ -33,7 +35,7 @@ class TreeCodec:
     def __init__(self, path: str, leaf_chars: int = LEAF_CHARS):
         self._bpe = rank_encoding(path)
         self._leaf = max(1, leaf_chars)
-        self._store = Store(lambda piece: np.array(self._bpe.encode_ordinary(piece), "<u4").tobytes())
+        self._store = Store(lambda piece: np.array(self._bpe.encode_ordinary(piece), "<u4").tobytes(), STORE_PIECES)
 
     def _leaf_node(self, text: str) -> Node:
         pieces = split(text)

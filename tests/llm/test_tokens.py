@@ -164,3 +164,17 @@ def test_files_of_an_empty_table(spark, docs):
     folder = scratch_path(spark, "token-test")
     token_files.write_tokens(docs.limit(0), BYTES, folder, end_id=2)
     assert token_files.document_digests(spark, folder).count() == 0
+
+
+def test_a_worker_keeps_a_bounded_number_of_pieces():
+    """Ids are the same when pieces leave the store, which the codec bounds well below the usual number."""
+    import public_tokenizers
+    from deckweave.llm import pieces, tree_bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    small, usual = tree_bpe.TreeCodec(path, 64), tree_bpe.TreeCodec(path, 64)
+    assert usual._store._entries == tree_bpe.STORE_PIECES < pieces.STORE_ENTRIES
+    small._store._entries = 3
+    text = "one two three four five six seven one two " * 20
+    assert small.encode(text) == usual.encode(text) and small.decode(small.encode(text)) == text.encode()
+    assert len(small._store) <= 3 and len(small._store._older) <= 3
