@@ -14,21 +14,22 @@ A folder holds Parquet files whose rows are blocks of documents in ascending ord
 A short document is read by its offset alone, without decompressing the others.
 """
 
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deckweave.llm.arrow import ROWS, map_rows, typed
-from deckweave.llm.pieces import Store, split
+from deckweave.llm.pieces import STORE_ENTRIES, split_all
 from deckweave.llm.sampling import sample_by_hash
 from deckweave.llm.vocabularies import tokenizer
 
@@ -40,6 +41,10 @@ DICTIONARY_BYTES = 64 * 1024
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCUMENTS = 1024
 LEVEL = 3
+#: Texts are encoded together up to so many characters; 64 more count for each document.
+CALL_CHARACTERS = 1 << 22
+#: Bytes of the pieces that a worker keeps between calls, besides ``STORE_ENTRIES`` of them.
+STORE_BYTES = 64 << 20
 #: Shares into which rows with one id may be split between shards.
 TIES = 1024
 
@@ -57,33 +62,84 @@ _BLOCK_FIELDS = pa.schema([
 # Printable bytes stand for themselves, the others for the characters from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARACTERS = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BLANK = chr(_BYTE_CHARACTERS[ord(" ")])
 
 
 class Encoder:
     """Ids of whole texts by a byte-level ``tokenizers`` file.
 
     The tokenizer encodes each match of its pattern on its own, so the ids of a match are asked
-    from it once and kept. Texts that hold one of its special strings go to it as they are.
+    from it once and kept: matches and ids of all texts of a call are columns, looked up together.
+    Texts that hold one of its special strings go to it as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = STORE_ENTRIES):
         self._tokenizer = tokenizer(path)
         self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
-        self._bpe = self._tokenizer.model
-        self._store = Store(self._piece)
+        self._bpe, self._entries = self._tokenizer.model, entries
+        self._pieces = pa.array([], pa.large_string())
+        self._ids, self._ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def _ids(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> list[int]:
         """Ids of one match of the pattern by the tokenizer's model, which reads bytes as characters."""
-        found = self._bpe.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
-        return struct.pack(f"<{len(found)}I", *[token.id for token in found])
+        if piece.isascii() and piece.lstrip(" ").isalnum():
+            named = piece.replace(" ", _BLANK)
+        else:
+            named = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return [token.id for token in self._bpe.tokenize(named)]
+
+    def _places(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """Places of pieces in the store, which takes in those that it doesn't have."""
+        places = pc.index_in(pieces, value_set=self._pieces)
+        missing = places.is_null()
+        places = places.fill_null(-1).to_numpy().astype(np.int64)
+        if (places < 0).any():
+            coded = pieces.filter(missing).dictionary_encode()
+            places[places < 0] = len(self._pieces) + coded.indices.to_numpy()
+            found = [self._piece(piece) for piece in coded.dictionary.to_pylist()]
+            self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), "<u4")])
+            self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum([len(ids) for ids in found])])
+            self._pieces = pa.concat_arrays([self._pieces, coded.dictionary])
+        return places
+
+    def _trim(self, places: np.ndarray) -> None:
+        """A full store keeps the short pieces of the latest texts, as frequent ones are among them."""
+        if len(self._pieces) <= self._entries and self._pieces.nbytes <= STORE_BYTES:
+            return
+        used = np.unique(places)
+        lengths = pc.utf8_length(self._pieces).to_numpy()
+        used = used[lengths[used] <= 64]
+        sizes = np.diff(self._ends)[used]
+        self._ids = _gathered(self._ids, self._ends[used], sizes)
+        self._ends = np.concatenate([[0], np.cumsum(sizes)])
+        self._pieces = self._pieces.take(pa.array(used))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        special = {i for i, text in enumerate(texts) if any(token in text for token in self._special)}
+        pieces, counts = split_all(["" if i in special else text for i, text in enumerate(texts)])
+        places = self._places(pieces)
+        sizes = self._ends[places + 1] - self._ends[places]
+        ids, ends = _gathered(self._ids, self._ends[places], sizes), np.concatenate([[0], np.cumsum(sizes)])[counts]
+        self._trim(places)
+        starts = [0, *ends[:-1].tolist()]
+        return [
+            self._whole(text) if i in special else ids[start:end].tobytes()
+            for i, (text, start, end) in enumerate(zip(texts, starts, ends.tolist()))
+        ]
+
 
-    def encode(self, text: str) -> bytes:
-        if any(token in text for token in self._special):
-            return self._ids(text)
-        return b"".join(map(self._store.__getitem__, split(text)))
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Runs of values, each from its start on, one after the other."""
+    parts = []
+    for at in range(0, len(starts), step):
+        size = sizes[at : at + step]
+        ends = np.cumsum(size)
+        parts.append(values[np.repeat(starts[at : at + step] - ends + size, size) + np.arange(ends[-1])])
+    return np.concatenate([values[:0], *parts])
 
 
 @lru_cache(maxsize=2)
@@ -117,8 +173,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, text: str = "text"
 
     def rows(part):
         use, end, made = encoder(path), np.uint32(end_id).astype("<u4").tobytes(), []
-        for (value,) in part:
-            ids = use.encode(value or "") + end
+        for code in use.encode([value or "" for (value,) in part]):
+            ids = code + end
             first = crc32(ids) % max(1, len(ids) // 4 - SAMPLE_IDS + 1)
             made.append((ids[4 * first : 4 * (first + SAMPLE_IDS)],))
         return made
@@ -143,6 +199,24 @@ def _in_order(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the next documents, of about ``CALL_CHARACTERS``, or one longer document."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            for key, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                value = value or ""
+                if keys and size + len(value) > CALL_CHARACTERS:
+                    yield keys, texts
+                    keys, texts, size = [], [], 0
+                keys.append(key)
+                texts.append(value)
+                size += len(value) + 64
+    if keys:
+        yield keys, texts
+
+
 def write_tokens(
     docs: DataFrame, path: str, folder: str, end_id: int, text: str = "text", doc_id: str = "doc_id"
 ) -> None:
@@ -173,19 +247,17 @@ def write_tokens(
                 [pa.array(value, field.type) for value, field in zip(row, _BLOCK_FIELDS)], schema=_BLOCK_FIELDS
             )
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                for key, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    code = use.encode(value or "") + end
-                    ids.append(key)
-                    frames.append(pack.compress(code))
-                    sizes.append(len(code) // 4)
-                    raw += len(code)
-                    if raw >= BLOCK_BYTES or len(ids) >= BLOCK_DOCUMENTS:
-                        yield made()
-                        block, start = block + 1, start + sum(sizes)
-                        ids, frames, sizes, raw = [], [], [], 0
+        for keys, texts in _together(batches):
+            for key, code in zip(keys, use.encode(texts)):
+                code += end
+                ids.append(key)
+                frames.append(pack.compress(code))
+                sizes.append(len(code) // 4)
+                raw += len(code)
+                if raw >= BLOCK_BYTES or len(ids) >= BLOCK_DOCUMENTS:
+                    yield made()
+                    block, start = block + 1, start + sum(sizes)
+                    ids, frames, sizes, raw = [], [], [], 0
         if ids:
             yield made()
 

@@ -178,3 +178,67 @@ def test_a_worker_keeps_a_bounded_number_of_pieces():
     text = "one two three four five six seven one two " * 20
     assert small.encode(text) == usual.encode(text) and small.decode(small.encode(text)) == text.encode()
     assert len(small._store) <= 3 and len(small._store._older) <= 3
+
+
+def _grouped(parts, seed, n=400):
+    draw = random.Random(seed)
+    return [["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(draw.randint(0, 4))] for _ in range(n)]
+
+
+def test_pieces_of_many_texts_are_those_of_each():
+    parts = [*PARTS, "'re", "'v", "e", "\x85", "\xa0", "　", "½", "٣", "​", "\0", "'S", "\U0001d7d9", "d"]
+    for texts in [[text or "" for text in TEXTS], *_grouped(parts, 1)]:
+        found, counts = pieces.split_all(texts)
+        starts = [0, *counts.tolist()]
+        assert [found[a:b].to_pylist() for a, b in zip(starts, starts[1:])] == [pieces.split(text) for text in texts]
+
+
+@pytest.mark.parametrize("entries", [3, 500_000])
+def test_many_texts_are_encoded_as_by_the_library(entries):
+    use, library = token_files.Encoder(BYTES, entries), tokenizer(BYTES)
+    for texts in [[text or "" for text in TEXTS], [], [""], *_grouped(PARTS, 2, 100)]:
+        expected = [library.encode(text, add_special_tokens=False).ids for text in texts]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in use.encode(texts)] == expected
+
+
+def test_a_full_store_keeps_short_pieces_of_the_latest_texts():
+    use = token_files.Encoder(BYTES, entries=3)
+    use.encode([" ".join(f"word{i}x" for i in range(500))])
+    use.encode(["one two one", "b" * 65])
+    assert sorted(use._pieces.to_pylist()) == [" one", " two", "one"]
+    assert len(use._ends) == 4 and use._ends[-1] == len(use._ids)
+
+
+def test_texts_go_to_the_encoder_in_bounded_groups(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "CALL_CHARACTERS", 1000)
+    texts = [None, "a" * 5000, "", *["b" * 100] * 300]
+    batches = pa.table({"doc_id": range(len(texts)), "text": texts}).to_batches(max_chunksize=200)
+    groups = list(token_files._together(iter(batches)))
+    assert [key for keys, _ in groups for key in keys] == list(range(len(texts)))
+    assert [text for _, some in groups for text in some] == [text or "" for text in texts]
+    assert all(len(some) == 1 or sum(map(len, some)) <= 1000 for _, some in groups) and len(groups) < 60
+
+
+def test_known_pieces_cost_less_than_one_by_one():
+    """A file's ids by columns take less CPU than the same pieces asked from a dictionary one by one."""
+    from time import process_time
+
+    draw = random.Random(4)
+    known = ["".join(draw.choices("aeionrst", k=draw.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(draw.choices(known, k=600)) + ".\n" for _ in range(500)]
+    use = token_files.Encoder(BYTES)
+    expected = use.encode(texts)
+    store = {piece: np.array(use._piece(piece), "<u4").tobytes() for piece in {p for text in texts for p in pieces.split(text)}}
+
+    def least(run):
+        spent = []
+        for _ in range(3):
+            before = process_time()
+            assert run() == expected
+            spent.append(process_time() - before)
+        return min(spent)
+
+    plain = least(lambda: [b"".join(map(store.__getitem__, pieces.split(text))) for text in texts])
+    assert least(lambda: use.encode(texts)) < 0.8 * plain
